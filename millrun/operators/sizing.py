@@ -1,0 +1,19 @@
+"""Size checks that guard broadcasts and single-task fast paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it has at most this many rows.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def row_count_at_most(df: DataFrame, limit: int) -> bool:
+    """True when ``df`` has at most ``limit`` rows; reads at most limit + 1 rows."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint behind a checked row bound; otherwise leave the join to Spark."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
