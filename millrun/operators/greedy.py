@@ -345,3 +345,45 @@ def _plan_rounds(state: DataFrame, cap: DataFrame, keys: list[tuple], scratch: S
     else:
         raise RuntimeError(f"planner did not finish in {max_rounds} rounds")
     return spark.read.parquet(*commit_paths), k
+
+
+# ---- ranks exposed as tables ------------------------------------------------------------
+
+def dense_order_rank(ranked: DataFrame) -> DataFrame:
+    """1-based priority rank per component (O2) from the range-sorted ``prio``.
+
+    Row number inside each (component, range bucket) plus the order count of
+    the component's earlier buckets: no window ever spans a whole component.
+    """
+    b = ranked.withColumn("bucket", F.shiftright(F.col("prio"), 33))
+    local = b.withColumn("local_rank", F.row_number().over(
+        Window.partitionBy("component", "bucket").orderBy("prio")))
+    totals = b.groupBy("component", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    offsets = totals.select("component", "bucket", F.coalesce(F.sum("n").over(
+        Window.partitionBy("component").orderBy("bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    return (local.join(offsets, ["component", "bucket"])
+                 .select("component", "order_id",
+                         (F.col("local_rank") + F.col("offset")).cast("bigint")
+                         .alias("priority_rank")))
+
+
+def order_ranks(cands: DataFrame, component: str | None = "part_category",
+                buckets: int | None = None) -> DataFrame:
+    """Priority rank of every order (O2), computed over all its candidates."""
+    spark = cands.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark, "rank")
+    ranked = scratch.write(rank_orders(order_priority(_prepare(cands, component)), buckets),
+                           "ranked")
+    return dense_order_rank(ranked)
+
+
+def candidate_preference(cands: DataFrame) -> DataFrame:
+    """Preference rank of each candidate inside its order (O3): a window per order."""
+    score = _no_nan(F.col("profit_score"))
+    need = to_units(F.col("processing_hours"), MICRO)
+    w = Window.partitionBy("order_id").orderBy(score.desc_nulls_last(), need.asc_nulls_last(),
+                                               F.col("machine_id").asc_nulls_last())
+    return cands.select("order_id", "machine_id",
+                        F.row_number().over(w).cast("bigint").alias("pref_rank"))

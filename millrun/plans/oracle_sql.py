@@ -94,3 +94,236 @@ ORACLES["scored_routes"] = with_cands() + """
 SELECT order_id, machine_id, part_category, promised_date, processing_hours, margin,
        base_confidence AS p_best, CAST(margin_cents * conf_pct AS DOUBLE) / 10000 AS profit_score
 FROM cands"""
+
+
+# ---- planner ---------------------------------------------------------------------
+
+SCORED = """
+sc AS MATERIALIZED (
+  SELECT part_category AS component, order_id, machine_id, promised_date, need_uh,
+         processing_hours, margin, base_confidence AS p_best, base_confidence,
+         CAST(margin_cents * conf_pct AS DOUBLE) / 10000 AS profit_score
+  FROM cands)"""
+
+PRIORITY = """
+pri AS (
+  SELECT component, order_id,
+         row_number() OVER (PARTITION BY component ORDER BY max(profit_score) DESC NULLS LAST,
+              min(promised_date) ASC NULLS LAST, min(need_uh) ASC NULLS LAST, order_id) AS rk
+  FROM sc GROUP BY component, order_id)"""
+
+LATEST_STATUS_DOWN = """
+SELECT machine_id FROM (
+  SELECT machine_id, status, row_number() OVER (PARTITION BY machine_id
+         ORDER BY reported_at DESC, event_id DESC) AS rn FROM machine_status)
+WHERE rn = 1 AND status = 'down'"""
+
+
+def plan_ctes(days: int, scenarios: dict[str, str | None]) -> str:
+    """CTEs ``sc``, ``pri`` and ``plan(scenario_id, order_id, machine_id)``.
+
+    The sequential greedy as a recursive query: one state row per (scenario,
+    component) holding a map machine -> remaining micro-hours; step k takes
+    the component's k-th order and its first candidate that still fits.
+    ``scenarios`` maps scenario id -> SQL returning down machine ids (or None).
+    """
+    scen = ", ".join(f"('{s}')" for s in scenarios)
+    downs = [f"SELECT '{s}' AS scenario_id, machine_id FROM ({q})"
+             for s, q in scenarios.items() if q]
+    down_sql = " UNION ALL ".join(downs) if downs else (
+        "SELECT CAST(NULL AS VARCHAR) AS scenario_id, CAST(NULL AS VARCHAR) AS machine_id "
+        "WHERE FALSE")
+    return f"""{SCORED},
+{PRIORITY},
+scen(scenario_id) AS (VALUES {scen}),
+down AS ({down_sql}),
+cl AS (
+  SELECT s.scenario_id, c.component, c.order_id,
+         list({{'m': c.machine_id, 'n': c.need_uh}} ORDER BY c.profit_score DESC NULLS LAST,
+              c.need_uh ASC NULLS LAST, c.machine_id) AS cs
+  FROM sc c CROSS JOIN scen s
+  WHERE c.need_uh IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM down d WHERE d.scenario_id = s.scenario_id AND d.machine_id = c.machine_id)
+  GROUP BY s.scenario_id, c.component, c.order_id),
+oc AS MATERIALIZED (
+  SELECT s.scenario_id, p.component, p.rk, p.order_id, cl.cs
+  FROM pri p CROSS JOIN scen s LEFT JOIN cl
+    ON cl.scenario_id = s.scenario_id AND cl.component = p.component AND cl.order_id = p.order_id),
+caps0 AS MATERIALIZED (
+  SELECT s.scenario_id, m.capability AS component,
+         map_from_entries(list({{'k': m.machine_id,
+           'v': CASE WHEN d.machine_id IS NULL
+                     THEN CAST(round(m.daily_capacity_hours * 1000000) AS BIGINT) * {days}
+                     ELSE 0 END}})) AS caps
+  FROM machines m CROSS JOIN scen s
+  LEFT JOIN down d ON d.scenario_id = s.scenario_id AND d.machine_id = m.machine_id
+  GROUP BY s.scenario_id, m.capability),
+r AS (
+  SELECT scenario_id, component, 0 AS step, caps,
+         CAST(NULL AS VARCHAR) AS order_id, CAST(NULL AS VARCHAR) AS machine_id
+  FROM caps0
+  UNION ALL
+  SELECT scenario_id, component, step,
+         CASE WHEN pick IS NULL THEN caps
+              ELSE map_from_entries(list_transform(map_entries(caps),
+                     lambda e: {{'k': e.key, 'v': CASE WHEN e.key = pick.m
+                                                      THEN e.value - pick.n
+                                                      ELSE e.value END}})) END,
+         order_id, pick.m
+  FROM (
+    SELECT r.scenario_id, r.component, r.step + 1 AS step, r.caps, oc.order_id,
+           list_filter(oc.cs, lambda x: r.caps[x.m] IS NOT NULL AND r.caps[x.m] >= x.n)[1]
+             AS pick
+    FROM r JOIN oc ON oc.scenario_id = r.scenario_id AND oc.component = r.component
+                  AND oc.rk = r.step + 1) t),
+plan AS (
+  SELECT r.scenario_id, r.order_id, r.machine_id, s.margin AS profit, s.p_best,
+         s.processing_hours, s.profit_score, s.base_confidence, s.need_uh
+  FROM r JOIN sc s ON s.order_id = r.order_id AND s.machine_id = r.machine_id
+  WHERE r.machine_id IS NOT NULL)"""
+
+
+PLAN_COLS = "order_id, machine_id, profit, p_best, processing_hours, profit_score, base_confidence"
+BASE = {"baseline": None}
+SCENARIOS = {"baseline": None,
+             "two_down": "SELECT unnest(['M-0003', 'M-0010']) AS machine_id",
+             "status": LATEST_STATUS_DOWN}
+ALL_VIEWS = oracle_prefix("machines", "backlog", "machine_status") + ",\n" + CANDS
+
+
+def planned(days: int, scenarios: dict[str, str | None]) -> str:
+    sql = ALL_VIEWS + ",\n" + plan_ctes(days, scenarios)
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
+KPI_CTE = """
+kpis AS (
+  SELECT s.scenario_id,
+         coalesce(CAST(a.s_profit AS DOUBLE), 0.0) AS expected_profit,
+         coalesce(CAST(a.s_pbest AS DOUBLE), 0.0) AS expected_ontime_deliveries,
+         (CASE WHEN c.cap > 0 THEN least(coalesce(CAST(a.s_hours AS DOUBLE), 0.0) / c.cap,
+                                         CAST(1 AS DOUBLE)) ELSE 0.0 END)
+           * (CASE WHEN a.n_pbest > 0 THEN CAST(a.s_pbest AS DOUBLE) / a.n_pbest ELSE 0.0 END)
+           * CAST(0.98 AS DOUBLE) AS factory_oee,
+         CASE WHEN c.cap > 0 THEN least(coalesce(CAST(a.s_hours AS DOUBLE), 0.0) / c.cap,
+                                        CAST(1 AS DOUBLE)) ELSE 0.0 END
+           AS factory_capacity_utilization,
+         CAST(coalesce(a.n_orders, 0) AS BIGINT) AS expected_orders_completed
+  FROM scen s
+  LEFT JOIN (SELECT scenario_id, sum(CAST(profit AS DECIMAL(38,9))) AS s_profit,
+                    sum(CAST(p_best AS DECIMAL(38,9))) AS s_pbest, count(p_best) AS n_pbest,
+                    sum(CAST(processing_hours AS DECIMAL(38,9))) AS s_hours,
+                    count(DISTINCT order_id) AS n_orders
+             FROM plan GROUP BY scenario_id) a ON a.scenario_id = s.scenario_id
+  CROSS JOIN (SELECT CAST(sum(CAST(daily_capacity_hours AS DECIMAL(38,9))) * {days} AS DOUBLE)
+              AS cap FROM machines) c)"""
+
+KPI_COLS = """expected_profit, expected_ontime_deliveries, factory_oee,
+  factory_capacity_utilization, expected_orders_completed"""
+
+DAYS = 28
+
+ORACLES["order_priority"] = with_cands(SCORED) + """
+SELECT component AS part_category, order_id, max(profit_score) AS max_profit_score,
+       min(promised_date) AS min_due, min(processing_hours) AS min_hours
+FROM sc GROUP BY component, order_id"""
+
+ORACLES["order_rank"] = with_cands(SCORED, PRIORITY) + """
+SELECT component AS part_category, order_id, CAST(rk AS BIGINT) AS priority_rank FROM pri"""
+
+ORACLES["candidate_preference"] = with_cands(SCORED) + """
+SELECT order_id, machine_id, CAST(row_number() OVER (PARTITION BY order_id
+       ORDER BY profit_score DESC NULLS LAST, need_uh ASC NULLS LAST, machine_id) AS BIGINT)
+       AS pref_rank FROM sc"""
+
+ORACLES["candidates_machine_down"] = with_cands(SCORED) + """
+SELECT order_id, machine_id, processing_hours, profit_score FROM sc
+WHERE machine_id NOT IN ('M-0003', 'M-0010')"""
+
+ORACLES["candidates_unknown_machine"] = with_cands(SCORED) + f"""
+SELECT s.order_id, s.machine_id, coalesce(m.daily_capacity_hours * {DAYS}, 0.0) AS capacity_hours,
+       coalesce(m.daily_capacity_hours * {DAYS}, 0.0) >= s.processing_hours AS fits_empty_machine
+FROM sc s LEFT JOIN machines m ON m.machine_id = s.machine_id"""
+
+ORACLES["greedy_plan"] = planned(DAYS, BASE) + f"\nSELECT {PLAN_COLS} FROM plan"
+ORACLES["greedy_plan_rounds"] = ORACLES["greedy_plan"]
+
+ORACLES["remaining_capacity"] = planned(DAYS, BASE) + f"""
+SELECT m.machine_id, CAST(CAST(round(m.daily_capacity_hours * 1000000) AS BIGINT) * {DAYS}
+       - coalesce(u.used, 0) AS DOUBLE) / 1000000 AS remaining_hours
+FROM machines m LEFT JOIN (SELECT machine_id, CAST(sum(need_uh) AS BIGINT) AS used FROM plan
+                           GROUP BY machine_id) u ON u.machine_id = m.machine_id"""
+
+ORACLES["unassigned_orders"] = planned(DAYS, BASE) + """
+SELECT order_id, category, quantity FROM backlog b
+WHERE NOT EXISTS (SELECT 1 FROM plan p WHERE p.order_id = b.order_id)"""
+
+ORACLES["machine_capacity"] = oracle_prefix("machines") + f"""
+SELECT machine_id, daily_capacity_hours * {DAYS} AS capacity_hours FROM machines"""
+
+ORACLES["plant_capacity"] = oracle_prefix("machines") + f"""
+SELECT CAST(sum(CAST(daily_capacity_hours AS DECIMAL(38,9))) * {DAYS} AS DOUBLE)
+       AS plant_capacity_hours FROM machines"""
+
+ORACLES["kpi_baseline"] = (planned(DAYS, BASE) + "," + KPI_CTE.format(days=DAYS)
+                           + f"\nSELECT {KPI_COLS} FROM kpis")
+
+ORACLES["kpi_empty_plan"] = (planned(0, BASE) + "," + KPI_CTE.format(days=0)
+                             + f"\nSELECT {KPI_COLS} FROM kpis")
+
+ORACLES["scenario_plan"] = planned(DAYS, SCENARIOS) + f"\nSELECT scenario_id, {PLAN_COLS} FROM plan"
+
+ORACLES["kpi_scenarios"] = (planned(DAYS, SCENARIOS) + "," + KPI_CTE.format(days=DAYS)
+                            + f"\nSELECT scenario_id, {KPI_COLS} FROM kpis")
+
+DELTA_CTE = """
+delta AS (
+  SELECT k.scenario_id,
+         k.expected_profit - b.expected_profit AS profit_delta,
+         k.expected_ontime_deliveries - b.expected_ontime_deliveries AS ontime_delta,
+         k.factory_oee - b.factory_oee AS oee_delta,
+         k.factory_capacity_utilization - b.factory_capacity_utilization AS utilization_delta,
+         k.expected_orders_completed - b.expected_orders_completed AS orders_delta
+  FROM kpis k JOIN kpis b ON b.scenario_id = 'baseline' WHERE k.scenario_id <> 'baseline')"""
+
+ORACLES["kpi_delta"] = (planned(DAYS, SCENARIOS) + "," + KPI_CTE.format(days=DAYS) + ","
+                        + DELTA_CTE + "\nSELECT * FROM delta")
+
+ORACLES["kpi_report"] = (planned(DAYS, SCENARIOS) + "," + KPI_CTE.format(days=DAYS) + """,
+b AS (SELECT * FROM kpis WHERE scenario_id = 'baseline'),
+st AS (
+  SELECT k.scenario_id, 0 AS pos, 'Expected Profit ($)' AS kpi, k.expected_profit AS value,
+         k.expected_profit - b.expected_profit AS delta FROM kpis k, b
+  UNION ALL
+  SELECT k.scenario_id, 1, 'On-Time Deliveries', k.expected_ontime_deliveries,
+         k.expected_ontime_deliveries - b.expected_ontime_deliveries FROM kpis k, b
+  UNION ALL
+  SELECT k.scenario_id, 2, 'Factory OEE (%)', k.factory_oee, k.factory_oee - b.factory_oee
+  FROM kpis k, b
+  UNION ALL
+  SELECT k.scenario_id, 3, 'Orders Completed', CAST(k.expected_orders_completed AS DOUBLE),
+         CAST(k.expected_orders_completed AS DOUBLE) - CAST(b.expected_orders_completed AS DOUBLE)
+  FROM kpis k, b)
+SELECT scenario_id, pos, kpi, value, delta,
+       CASE WHEN pos = 0 THEN NULL WHEN pos = 2 THEN CAST(trunc(value * 100) AS BIGINT)
+            ELSE CAST(trunc(value) AS BIGINT) END AS value_int,
+       CASE WHEN pos = 0 THEN NULL WHEN pos = 2 THEN abs(CAST(trunc(delta * 100) AS BIGINT))
+            ELSE abs(CAST(trunc(delta) AS BIGINT)) END AS delta_int,
+       CASE WHEN delta > 0 THEN 'up' WHEN delta < 0 THEN 'down' ELSE 'none' END AS direction
+FROM st WHERE scenario_id <> 'baseline'""")
+
+ORACLES["assigned_enriched"] = planned(DAYS, BASE) + """
+SELECT p.order_id, p.machine_id, p.profit, p.p_best, p.processing_hours,
+       b.part_id, b.category, b.customer_name, b.quantity
+FROM plan p LEFT JOIN backlog b ON b.order_id = p.order_id"""
+
+ORACLES["scenario_enriched"] = planned(DAYS, {"baseline": SCENARIOS["two_down"]}) + f"""
+SELECT p.order_id, p.machine_id, p.profit, p.p_best, p.processing_hours,
+       p.profit_score, p.base_confidence, b.part_id, b.category, b.customer_name, b.quantity
+FROM plan p LEFT JOIN backlog b ON b.order_id = p.order_id"""
+
+ORACLES["assigned_orders_view"] = planned(DAYS, BASE) + """
+SELECT p.order_id, p.machine_id, b.part_id, b.category, b.customer_name, b.quantity
+FROM plan p LEFT JOIN backlog b ON b.order_id = p.order_id"""
+
+ORACLES["assigned_order_ids"] = planned(DAYS, BASE) + "\nSELECT DISTINCT order_id FROM plan"

@@ -91,3 +91,156 @@ def scored_routes(spark, d):
     s = routes.scored_routes(_cands(spark, d))
     return s.select("order_id", "machine_id", "part_category", "promised_date",
                     "processing_hours", "margin", "p_best", "profit_score")
+
+
+# ---- planner ---------------------------------------------------------------------
+
+from millrun.functions import report as rpt  # noqa: E402
+from millrun.operators import greedy, kpi, scenario  # noqa: E402
+
+
+def _scored(spark, d):
+    return routes.scored_routes(_cands(spark, d))
+
+
+def _scenarios(spark, d):
+    """Fixed what-if set: two named machines down, and the latest reported status."""
+    return {greedy.BASELINE: None, "two_down": SCENARIO_DOWN,
+            "status": scenario.down_from_status(fx.machine_status(spark, d))}
+
+
+def _plan(spark, d, days=PLANNING_DAYS, down=None, **kw):
+    return greedy.greedy_assign_priority(_scored(spark, d), fx.machines(spark, d), days, down,
+                                         **kw)
+
+
+@query("order_priority")
+def order_priority(spark, d):
+    s = _scored(spark, d)
+    return s.groupBy("part_category", "order_id").agg(
+        F.max("profit_score").alias("max_profit_score"),
+        F.min("promised_date").alias("min_due"),
+        F.min("processing_hours").alias("min_hours"))
+
+
+@query("order_rank")
+def order_rank(spark, d):
+    return greedy.order_ranks(_scored(spark, d)).withColumnRenamed("component", "part_category")
+
+
+@query("candidate_preference")
+def candidate_preference(spark, d):
+    return greedy.candidate_preference(_scored(spark, d))
+
+
+@query("candidates_machine_down")
+def candidates_machine_down(spark, d):
+    down = spark.createDataFrame([(m,) for m in SCENARIO_DOWN], "machine_id string")
+    return (_scored(spark, d).join(F.broadcast(down), "machine_id", "left_anti")
+            .select("order_id", "machine_id", "processing_hours", "profit_score"))
+
+
+@query("candidates_unknown_machine")
+def candidates_unknown_machine(spark, d):
+    """Capacity lookup with default 0: a machine outside the catalog has no hours."""
+    cap = kpi.machine_capacity(fx.machines(spark, d), PLANNING_DAYS)
+    c = _scored(spark, d).join(cap, "machine_id", "left")
+    hours = F.coalesce(F.col("capacity_hours"), F.lit(0.0))
+    return c.select("order_id", "machine_id", hours.alias("capacity_hours"),
+                    (hours >= F.col("processing_hours")).alias("fits_empty_machine"))
+
+
+@query("greedy_plan")
+def greedy_plan(spark, d):
+    return _plan(spark, d).assigned
+
+
+@query("greedy_plan_rounds")
+def greedy_plan_rounds(spark, d):
+    """Same plan through the DataFrame-only rounds strategy (the path for huge components)."""
+    return _plan(spark, d, strategy="rounds").assigned
+
+
+@query("remaining_capacity")
+def remaining_capacity(spark, d):
+    return _plan(spark, d).remaining
+
+
+@query("unassigned_orders")
+def unassigned_orders(spark, d):
+    plan = _plan(spark, d).assigned
+    return scenario.unassigned_orders(fx.backlog(spark, d), plan).select(
+        "order_id", "category", "quantity")
+
+
+@query("machine_capacity")
+def machine_capacity(spark, d):
+    return kpi.machine_capacity(fx.machines(spark, d), PLANNING_DAYS)
+
+
+@query("plant_capacity")
+def plant_capacity(spark, d):
+    return kpi.plant_capacity(fx.machines(spark, d), PLANNING_DAYS)
+
+
+@query("kpi_baseline")
+def kpi_baseline(spark, d):
+    return kpi.compute_kpis(_plan(spark, d).assigned, fx.machines(spark, d), PLANNING_DAYS)
+
+
+@query("kpi_empty_plan")
+def kpi_empty_plan(spark, d):
+    """A zero-day horizon leaves no capacity, so the plan is empty and KPIs are zeros."""
+    return kpi.compute_kpis(_plan(spark, d, days=0).assigned, fx.machines(spark, d), 0)
+
+
+@query("scenario_plan")
+def scenario_plan(spark, d):
+    res = greedy.plan_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+                                _scenarios(spark, d))
+    return res.assigned
+
+
+@query("kpi_scenarios")
+def kpi_scenarios(spark, d):
+    _, kpis, _ = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+                                        _scenarios(spark, d))
+    return kpis
+
+
+@query("kpi_delta")
+def kpi_delta(spark, d):
+    _, _, delta = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d),
+                                         PLANNING_DAYS, _scenarios(spark, d))
+    return delta
+
+
+@query("kpi_report")
+def kpi_report(spark, d):
+    _, kpis, _ = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+                                        _scenarios(spark, d))
+    return rpt.kpi_report(kpis).filter(F.col("scenario_id") != greedy.BASELINE)
+
+
+@query("assigned_enriched")
+def assigned_enriched(spark, d):
+    plan = _plan(spark, d).assigned
+    return scenario.enrich(plan.select("order_id", "machine_id", "profit", "p_best",
+                                       "processing_hours"), fx.backlog(spark, d))
+
+
+@query("scenario_enriched")
+def scenario_enriched(spark, d):
+    plan = _plan(spark, d, down=SCENARIO_DOWN).assigned
+    return scenario.enrich(plan, fx.backlog(spark, d))
+
+
+@query("assigned_orders_view")
+def assigned_orders_view(spark, d):
+    plan = _plan(spark, d).assigned
+    return scenario.assigned_view(scenario.enrich(plan, fx.backlog(spark, d)))
+
+
+@query("assigned_order_ids")
+def assigned_order_ids(spark, d):
+    return _plan(spark, d).assigned.select("order_id").distinct()
