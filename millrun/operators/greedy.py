@@ -39,6 +39,7 @@ sequential subtraction exactly.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -49,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrun.functions.fixedpoint import MICRO, to_units
-from millrun.session import Scratch
+from millrun.session import Scratch, trace as _trace
 
 PAYLOAD = ["margin", "p_best", "processing_hours", "profit_score", "base_confidence"]
 BASELINE = "baseline"
@@ -168,53 +169,39 @@ def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 2
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "plan")
 
-    prepared = scratch.write(_prepare(cands, component), "prepared")
-    ranked = scratch.write(rank_orders(order_priority(prepared), buckets), "ranked")
+    prepared = _prepare(cands, component)
     cap = scratch.write(_capacity(machines, planning_days, ids, down), "capacity")
 
-    # Candidates per scenario; priorities were fixed above over all candidates,
-    # now drop down machines, unknown machines and missing needs (never feasible).
-    state = (prepared.join(ranked, ["component", "order_id"])
-             .withColumn("scenario_id", F.explode(F.array(*[F.lit(s) for s in ids])))
-             .join(cap.filter(~F.col("is_down")).drop("is_down"), ["scenario_id", "machine_id"])
-             .filter(F.col("need_all").isNotNull())
-             .withColumnRenamed("need_all", "need_u")
-             .select("scenario_id", "component", "order_id", "prio",
-                     F.shiftright(F.col("prio"), 33).alias("bucket"), "machine_id", "need_u", "cap_u",
-                     *_pref_columns(), *PAYLOAD))
-    state = scratch.write(state, "state0")
-
-    # Component sizes (and the one-capability-per-machine check) from one small aggregate.
-    sizes = (state.groupBy("scenario_id", "component", "machine_id").count().collect())
-    per_comp: dict[tuple, int] = {}
-    machine_comp: dict[tuple, str] = {}
+    # Candidate rows per component (x scenarios) and the one-component-per-machine
+    # check, from one small aggregate (rows = machines, not candidates).
+    sizes = prepared.groupBy("component", "machine_id").count().collect()
+    per_comp: dict[str, int] = {}
+    machine_comp: dict[str, str] = {}
     for r in sizes:
-        key = (r["scenario_id"], r["component"])
-        per_comp[key] = per_comp.get(key, 0) + r["count"]
-        prev = machine_comp.setdefault((r["scenario_id"], r["machine_id"]), r["component"])
+        per_comp[r["component"]] = per_comp.get(r["component"], 0) + r["count"] * len(ids)
+        prev = machine_comp.setdefault(r["machine_id"], r["component"])
         if prev != r["component"]:
             raise ValueError(f"machine {r['machine_id']} appears in components "
                              f"{prev} and {r['component']}; plan with component=None")
     if strategy == "auto":
-        local_keys = [k for k, n in per_comp.items() if n <= max_local_rows]
+        local_comps = [k for k, n in per_comp.items() if n <= max_local_rows]
     elif strategy == "local":
-        local_keys = list(per_comp)
+        local_comps = list(per_comp)
     elif strategy == "rounds":
-        local_keys = []
+        local_comps = []
     else:
         raise ValueError(strategy)
-    round_keys = [k for k in per_comp if k not in set(local_keys)]
+    round_comps = [k for k in per_comp if k not in set(local_comps)]
 
     parts = []
-    if local_keys:
-        parts.append(_plan_local(state, local_keys))
+    if local_comps:
+        parts.append(_plan_local(prepared, cap, ids, local_comps))
     rounds = 0
-    if round_keys:
-        committed, rounds = _plan_rounds(state, cap, round_keys, scratch, max_rounds)
+    if round_comps:
+        committed, rounds = _plan_rounds(prepared, cap, ids, round_comps, scratch, buckets,
+                                         max_rounds)
         parts.append(committed)
-    out_schema = ("scenario_id string, order_id string, machine_id string, need_u bigint, "
-                  + ", ".join(f"{c} double" for c in PAYLOAD))
-    assigned = parts[0] if parts else spark.createDataFrame([], out_schema)
+    assigned = parts[0] if parts else spark.createDataFrame([], _OUT_SCHEMA)
     for p in parts[1:]:
         assigned = assigned.unionByName(p)
     assigned = scratch.write(assigned, "assigned")
@@ -228,7 +215,7 @@ def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 2
                                    F.col("margin").alias("profit"), "p_best",
                                    "processing_hours", "profit_score", "base_confidence")
     return PlanResult(assigned_out, remaining, rounds,
-                      {"local": sorted(local_keys), "rounds": sorted(round_keys)})
+                      {"local": sorted(local_comps), "rounds": sorted(round_comps)})
 
 
 def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
@@ -240,20 +227,42 @@ def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days:
                       res.rounds, res.strategies)
 
 
-# ---- strategy "local": one pandas task per (small, size-checked) component ---------------
+_OUT_SCHEMA = ("scenario_id string, order_id string, machine_id string, need_u bigint, "
+               + ", ".join(f"{c} double" for c in PAYLOAD))
+
 
-_LOCAL_SORT = ["prio", "p_null", "p_neg", "need_u", "machine_id"]
+def _per_scenario(prepared: DataFrame, cap: DataFrame, ids: list[str]) -> DataFrame:
+    """Candidates x scenarios with capacity; ``usable`` = machine up, known, need present."""
+    c = prepared.withColumn("scenario_id", F.explode(F.array(*[F.lit(s) for s in ids])))
+    c = c.join(cap, ["scenario_id", "machine_id"], "left")
+    usable = (F.col("cap_u").isNotNull() & ~F.coalesce(F.col("is_down"), F.lit(False))
+              & F.col("need_all").isNotNull())
+    return c.withColumn("usable", usable).drop("is_down")
 
 
+# ---- strategy "local": one pandas task per (small, size-checked) component ---------------
+
 def _plan_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(_LOCAL_SORT, kind="mergesort")
-    caps = dict(zip(pdf["machine_id"], pdf["cap_u"].astype("int64")))
-    orders = pdf["order_id"].to_numpy()
-    machines = pdf["machine_id"].to_numpy()
-    needs = pdf["need_u"].to_numpy(dtype="int64")
-    take = np.zeros(len(pdf), dtype=bool)
-    done = None
-    for i in range(len(pdf)):
+    """Sequential greedy over one component of one scenario (all candidates given)."""
+    keys = (pdf.groupby("order_id", sort=True)
+               .agg(k_score=("score", "max"), k_due=("due", "min"), k_need=("need_all", "min"))
+               .reset_index()
+               .sort_values(["k_score", "k_due", "k_need", "order_id"],
+                            ascending=[False, True, True, True], na_position="last",
+                            kind="mergesort"))
+    pos = pd.Series(np.arange(len(keys)), index=keys["order_id"].to_numpy())
+    c = pdf[pdf["usable"]].copy()
+    c["_pos"] = pos.reindex(c["order_id"].to_numpy()).to_numpy()
+    c["_pnull"] = c["score"].isna()
+    c["_pneg"] = (-c["score"]).fillna(0.0)
+    c = c.sort_values(["_pos", "_pnull", "_pneg", "need_all", "machine_id"], kind="mergesort")
+    caps = dict(zip(c["machine_id"], c["cap_u"].astype("int64")))
+    orders = c["_pos"].to_numpy()
+    machines = c["machine_id"].to_numpy()
+    needs = c["need_all"].to_numpy(dtype="int64")
+    take = np.zeros(len(c), dtype=bool)
+    done = -1
+    for i in range(len(c)):
         o = orders[i]
         if o == done:
             continue
@@ -262,17 +271,17 @@ def _plan_component(pdf: pd.DataFrame) -> pd.DataFrame:
             caps[m] -= n
             take[i] = True
             done = o
-    return pdf.loc[take, ["scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD]]
+    out = c.loc[take, ["scenario_id", "order_id", "machine_id", "need_all", *PAYLOAD]]
+    return out.rename(columns={"need_all": "need_u"})
 
 
-def _plan_local(state: DataFrame, keys: list[tuple]) -> DataFrame:
-    spark = state.sparkSession
-    sel = spark.createDataFrame(keys, "scenario_id string, component string")
-    schema = ("scenario_id string, order_id string, machine_id string, need_u bigint, "
-              + ", ".join(f"{c} double" for c in PAYLOAD))
-    return (state.join(F.broadcast(sel), ["scenario_id", "component"], "left_semi")
-                 .groupBy("scenario_id", "component")
-                 .applyInPandas(_plan_component, schema))
+def _plan_local(prepared: DataFrame, cap: DataFrame, ids: list[str],
+                comps: list[str]) -> DataFrame:
+    c = _per_scenario(prepared.filter(F.col("component").isin(comps)), cap, ids)
+    c = c.select("scenario_id", "component", "order_id", "machine_id",
+                 F.unix_date("promised_date").alias("due"), "score", "need_all", "cap_u",
+                 "usable", *PAYLOAD)
+    return c.groupBy("scenario_id", "component").applyInPandas(_plan_component, _OUT_SCHEMA)
 
 
 # ---- strategy "rounds": DataFrame-only safe-prefix rounds -----------------------------------
@@ -298,53 +307,94 @@ def running_need(best: DataFrame) -> DataFrame:
                  .drop("run_local", "offset"))
 
 
-def _plan_rounds(state: DataFrame, cap: DataFrame, keys: list[tuple], scratch: Scratch,
-                 max_rounds: int) -> tuple[DataFrame, int]:
-    spark = state.sparkSession
-    sel = spark.createDataFrame(keys, "scenario_id string, component string")
-    cur = scratch.write(state.join(F.broadcast(sel), ["scenario_id", "component"], "left_semi")
-                        .drop("cap_u"), "r0_state")
-    rem = scratch.write(cap.filter(~F.col("is_down"))
-                        .select("scenario_id", "machine_id", F.col("cap_u").alias("rem_u")),
-                        "r0_rem")
-    commit_paths = []
+_STATE_COLS = ["scenario_id", "component", "order_id", "prio", "bucket", "machine_id", "need_u",
+               "p_null", "p_neg", *PAYLOAD]
+
+
+def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: list[str],
+                 scratch: Scratch, buckets: int, max_rounds: int) -> tuple[DataFrame, int]:
+    spark = prepared.sparkSession
+    mine = scratch.write(prepared.filter(F.col("component").isin(comps)), "prepared")
+    # Priorities over all candidates (down machines included), then keep usable rows.
+    ranked = scratch.write(rank_orders(order_priority(mine), buckets), "ranked")
+    state = (_per_scenario(mine.join(ranked, ["component", "order_id"]), cap, ids)
+             .filter("usable")
+             .select("scenario_id", "component", "order_id", "prio",
+                     F.shiftright(F.col("prio"), 33).alias("bucket"), "machine_id",
+                     F.col("need_all").alias("need_u"), *_pref_columns(), *PAYLOAD))
+    cur = scratch.write(state, "r1_state")
+    rem = cap.filter(~F.col("is_down")).select("scenario_id", "machine_id",
+                                               F.col("cap_u").alias("rem_u"))
+    commits = []
     k = 0
-    while k < max_rounds:
+    while True:
+        _trace(f"round {k + 1} start")
         k += 1
+        if k > max_rounds:
+            raise RuntimeError(f"planner did not finish in {max_rounds} rounds")
         feasible = (cur.join(rem, ["scenario_id", "machine_id"])
                        .filter(F.col("need_u") <= F.col("rem_u")).drop("rem_u"))
+        # One shuffle: rows of a priority bucket meet in one task, which clusters both
+        # the per-order pick and the per-(machine, bucket) running sum.
         pick = F.min(F.struct("p_null", "p_neg", "need_u", "machine_id", *PAYLOAD)).alias("c")
-        best = (feasible.groupBy("scenario_id", "component", "order_id", "prio", "bucket")
+        best = (feasible.repartition("scenario_id", "bucket")
+                        .groupBy("scenario_id", "bucket", "component", "order_id", "prio")
                         .agg(pick)
                         .select("scenario_id", "component", "order_id", "prio", "bucket",
                                 "c.machine_id", "c.need_u", *[f"c.{p}" for p in PAYLOAD]))
         best = running_need(best).join(rem, ["scenario_id", "machine_id"])
         best = scratch.write(best.withColumn("over", F.col("run") > F.col("rem_u")),
                              f"r{k}_best")
-        stop = (best.filter("over").groupBy("scenario_id", "component")
-                    .agg(F.min("prio").alias("stop")))
-        stop = scratch.write(stop, f"r{k}_stop")
+        # First overflow per component: a handful of rows, kept on the driver for loop control.
+        # First overflow per component: one row per component (a handful).
+        stop = F.broadcast(best.filter("over").groupBy("scenario_id", "component")
+                               .agg(F.min("prio").alias("stop")))
+        commit_cols = ["scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD]
+        if stop.isEmpty():
+            commits.append(best.select(*commit_cols))
+            break
         committed = (best.join(stop, ["scenario_id", "component"], "left")
                          .filter(F.col("stop").isNull() | (F.col("prio") < F.col("stop")))
-                         .select("scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD))
-        committed = scratch.write(committed, f"r{k}_commit")
-        commit_paths.append(scratch.path(f"r{k}_commit"))
+                         .select(*commit_cols))
         used = committed.groupBy("scenario_id", "machine_id").agg(F.sum("need_u").alias("u"))
-        rem = scratch.write(
-            rem.join(used, ["scenario_id", "machine_id"], "left")
-               .select("scenario_id", "machine_id",
-                       (F.col("rem_u") - F.coalesce(F.col("u"), F.lit(0))).alias("rem_u")),
-            f"r{k}_rem")
+        rem_next = (rem.join(used, ["scenario_id", "machine_id"], "left")
+                       .select("scenario_id", "machine_id",
+                               (F.col("rem_u") - F.coalesce(F.col("u"), F.lit(0)))
+                               .alias("rem_u")))
         # Open orders: at or after their component's stop. Components without a
         # stop are finished; orders without a feasible candidate are unassigned.
         nxt = (feasible.join(stop, ["scenario_id", "component"])
                        .filter(F.col("prio") >= F.col("stop")).drop("stop"))
-        cur = scratch.write(nxt, f"r{k + 1}_state")
-        if cur.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"planner did not finish in {max_rounds} rounds")
-    return spark.read.parquet(*commit_paths), k
+        out = _tagged(nxt, "state").unionByName(_tagged(committed, "commit")).unionByName(
+            _tagged(rem_next, "rem"))
+        path = scratch.path(f"r{k}_out")
+        t0 = time.time()
+        out.write.mode("overwrite").partitionBy("kind").parquet(path)
+        _trace(f"round {k}: out written in {time.time() - t0:.2f}s")
+        reader = spark.read.schema(_ROUND_SCHEMA)
+        cur = reader.parquet(f"{path}/kind=state").select(*_STATE_COLS)
+        commits.append(reader.parquet(f"{path}/kind=commit").select(*commit_cols))
+        rem = reader.parquet(f"{path}/kind=rem").select("scenario_id", "machine_id", "rem_u")
+    out = commits[0]
+    for c in commits[1:]:
+        out = out.unionByName(c)
+    return out, k
+
+
+_ALL_TYPES = {"scenario_id": "string", "component": "string", "order_id": "string",
+              "prio": "bigint", "bucket": "bigint", "machine_id": "string", "need_u": "bigint",
+              "p_null": "int", "p_neg": "double", "rem_u": "bigint",
+              **{p: "double" for p in PAYLOAD}}
+
+
+_ROUND_SCHEMA = ", ".join(f"{c} {t}" for c, t in _ALL_TYPES.items())
+
+
+def _tagged(df: DataFrame, kind: str) -> DataFrame:
+    """Widen to the common round-output schema (missing columns null) with a kind tag."""
+    cols = [F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c)
+            for c, t in _ALL_TYPES.items()]
+    return df.select(*cols, F.lit(kind).alias("kind"))
 
 
 # ---- ranks exposed as tables ------------------------------------------------------------

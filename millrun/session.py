@@ -9,7 +9,9 @@ temporary folder when the session runs in local mode and nothing is set.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def trace(msg: str) -> None:
+    """Timing line on stderr when MILLRUN_TRACE is set."""
+    if os.environ.get("MILLRUN_TRACE"):
+        print(f"[millrun] {msg}", file=sys.stderr)
+
+
 class Scratch:
     """Unique folder under the checkpoint dir for one job's written tables."""
 
@@ -68,5 +76,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Materialise ``df`` as Parquet and return a fresh scan of it (cuts lineage)."""
         p = self.path(name)
+        t0 = time.time()
         df.write.mode("overwrite").parquet(p)
-        return self.spark.read.parquet(p)
+        trace(f"wrote {name} in {time.time() - t0:.2f}s")
+        return self.spark.read.schema(df.schema).parquet(p)

@@ -51,8 +51,13 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed_parts(spark, sf_dir).drop("p_partkey")
+
+
+def _keyed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     price_cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
     return read(spark, sf_dir, "part").select(
+        "p_partkey",
         _padded("P-", F.col("p_partkey"), 9).alias("part_id"),
         F.col("p_name").alias("part_name"),
         F.col("p_type").alias("category"),
@@ -76,8 +81,7 @@ def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = first_lines(spark, sf_dir)
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    p = parts(spark, sf_dir).withColumn(
-        "p_partkey", F.expr("CAST(substring(part_id, 3) AS BIGINT)"))
+    p = _keyed_parts(spark, sf_dir)
     return (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(p, lines.l_partkey == p.p_partkey)
