@@ -327,3 +327,22 @@ SELECT p.order_id, p.machine_id, b.part_id, b.category, b.customer_name, b.quant
 FROM plan p LEFT JOIN backlog b ON b.order_id = p.order_id"""
 
 ORACLES["assigned_order_ids"] = planned(DAYS, BASE) + "\nSELECT DISTINCT order_id FROM plan"
+
+
+# ---- route model -------------------------------------------------------------------
+
+ORACLES["split_counts"] = with_cands(LABELED) + """,
+tr AS (
+  SELECT is_best, order_id, machine_id,
+         ('0x' || substr(md5('42|split|' || order_id || '|' || machine_id), 1, 8))::BIGINT AS h
+  FROM labeled),
+rk AS (
+  SELECT is_best, row_number() OVER (PARTITION BY is_best ORDER BY h, order_id, machine_id) AS r,
+         count(*) OVER (PARTITION BY is_best) AS n
+  FROM tr)
+SELECT is_best, r <= CAST(round(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS is_test,
+       CAST(count(*) AS BIGINT) AS n
+FROM rk GROUP BY ALL"""
+
+ORACLES["latest_version"] = """
+SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events GROUP BY event_type"""

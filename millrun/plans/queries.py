@@ -244,3 +244,48 @@ def assigned_orders_view(spark, d):
 @query("assigned_order_ids")
 def assigned_order_ids(spark, d):
     return _plan(spark, d).assigned.select("order_id").distinct()
+
+
+# ---- route model ------------------------------------------------------------------
+
+from millrun.operators import model as mdl  # noqa: E402
+
+VERIFY_TREES = 20  # the reference trains 200 trees; the registered queries use fewer
+
+
+def _training_rows(spark, d):
+    labeled = routes.label_routes(_cands(spark, d))
+    return labeled.select(*routes.FEATURE_COLUMNS, routes.TARGET, "order_id").dropna(how="any")
+
+
+@query("split_counts")
+def split_counts(spark, d):
+    split = mdl.stratified_split(_training_rows(spark, d))
+    return split.groupBy(routes.TARGET, "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _trained(spark, d):
+    return mdl.train(_training_rows(spark, d), num_trees=VERIFY_TREES)
+
+
+@query("route_model_scores")
+def route_model_scores(spark, d):
+    trained = _trained(spark, d)
+    scored = mdl.score(trained.model, _cands(spark, d))
+    return scored.select("order_id", "machine_id", "p_best", "profit_score")
+
+
+@query("model_accuracy")
+def model_accuracy(spark, d):
+    t = _trained(spark, d)
+    return spark.createDataFrame([(t.test_accuracy, t.params["n_estimators"])],
+                                 "test_accuracy double, n_estimators int")
+
+
+@query("latest_version")
+def latest_version(spark, d):
+    """Versions as text per name (event_type, user_id); the latest is the integer maximum."""
+    reg = fx.read(spark, d, "events").select(
+        F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("version"),
+        F.concat(F.lit("events/"), F.col("event_id").cast("string")).alias("path"))
+    return mdl.latest_versions(reg).select("name", "version")
