@@ -346,3 +346,47 @@ FROM rk GROUP BY ALL"""
 
 ORACLES["latest_version"] = """
 SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events GROUP BY event_type"""
+
+
+# ---- overrides and replica refresh ---------------------------------------------------
+
+OV = oracle_prefix("override_requests")
+
+ORACLES["override_history"] = OV + """
+SELECT order_id, machine_id, assigned_by, assigned_at, notes FROM override_requests
+ORDER BY assigned_at DESC NULLS LAST, order_id, machine_id"""
+
+ORACLES["override_display"] = OV + """
+SELECT order_id AS "Order ID", machine_id AS "Machine ID", assigned_by AS "Assigned By",
+       assigned_at AS "Assigned At", notes AS "Notes" FROM override_requests"""
+
+_PLAN_OV = ("WITH RECURSIVE " + (oracle_prefix("machines", "backlog", "machine_status",
+                                               "override_requests")[len("WITH "):])
+            + ",\n" + CANDS + ",\n" + plan_ctes(DAYS, BASE))
+
+ORACLES["current_machine"] = _PLAN_OV + """
+SELECT r.order_id, r.machine_id AS requested_machine, r.event_id, p.machine_id AS current_machine
+FROM override_requests r LEFT JOIN plan p ON p.order_id = r.order_id"""
+
+ORACLES["valid_overrides"] = _PLAN_OV + """
+SELECT r.order_id, r.machine_id AS requested_machine, r.event_id, p.machine_id AS current_machine
+FROM override_requests r JOIN plan p ON p.order_id = r.order_id
+WHERE r.machine_id IS NOT NULL AND r.machine_id <> p.machine_id"""
+
+ORACLES["overrides_applied"] = _PLAN_OV + """,
+v AS (
+  SELECT r.order_id, r.machine_id, r.assigned_at,
+         row_number() OVER (PARTITION BY r.order_id ORDER BY r.assigned_at DESC,
+                            r.machine_id DESC) AS rn
+  FROM override_requests r JOIN plan p ON p.order_id = r.order_id
+  WHERE r.machine_id IS NOT NULL AND r.machine_id <> p.machine_id)
+SELECT p.order_id, coalesce(v.machine_id, p.machine_id) AS machine_id
+FROM plan p LEFT JOIN v ON v.order_id = p.order_id AND v.rn = 1"""
+
+ORACLES["synced_upsert"] = """
+SELECT user_id, ts, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1"""
+
+ORACLES["down_from_status"] = oracle_prefix("machine_status") + "," + """
+d AS (""" + LATEST_STATUS_DOWN + ")\nSELECT machine_id FROM d"

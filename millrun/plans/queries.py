@@ -289,3 +289,60 @@ def latest_version(spark, d):
         F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("version"),
         F.concat(F.lit("events/"), F.col("event_id").cast("string")).alias("path"))
     return mdl.latest_versions(reg).select("name", "version")
+
+
+# ---- overrides and replica refresh ------------------------------------------------
+
+from millrun.sources import overrides as ov  # noqa: E402
+from millrun.streaming import replica  # noqa: E402
+
+SYNC_CUTOFF = "2024-01-15 00:00:00"
+
+
+@query("override_history")
+def override_history(spark, d):
+    return ov.history(fx.override_requests(spark, d))
+
+
+@query("override_display")
+def override_display(spark, d):
+    return ov.display(ov.history(fx.override_requests(spark, d)))
+
+
+def _requests(spark, d):
+    return fx.override_requests(spark, d).select("order_id", "machine_id", "event_id")
+
+
+@query("current_machine")
+def current_machine(spark, d):
+    return ov.with_current_machine(_requests(spark, d), _plan(spark, d).assigned)
+
+
+@query("valid_overrides")
+def valid_overrides(spark, d):
+    return ov.valid_requests(_requests(spark, d), _plan(spark, d).assigned)
+
+
+@query("overrides_applied")
+def overrides_applied(spark, d):
+    """Plan with the latest valid override per order replacing the planned machine."""
+    plan = _plan(spark, d).assigned
+    valid = ov.valid_requests(fx.override_requests(spark, d).select(
+        "order_id", "machine_id", "assigned_at"), plan).select(
+        "order_id", F.col("requested_machine").alias("machine_id"), "assigned_at")
+    return scenario.apply_overrides(plan.select("order_id", "machine_id"), valid)
+
+
+@query("synced_upsert")
+def synced_upsert(spark, d):
+    """Replica keyed by user_id: snapshot before the cutoff, then the later changes merged."""
+    feed = fx.change_feed(spark, d)
+    cutoff = F.lit(SYNC_CUTOFF).cast("timestamp_ntz")
+    base = replica.merge(None, feed.filter(F.col("ts") < cutoff), ["user_id"], ["ts", "event_id"])
+    return replica.merge(base, feed.filter(F.col("ts") >= cutoff), ["user_id"],
+                         ["ts", "event_id"])
+
+
+@query("down_from_status")
+def down_from_status(spark, d):
+    return scenario.down_from_status(fx.machine_status(spark, d))
