@@ -55,3 +55,29 @@ def dense_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     ided = scratch.write(range_ids(df, full_order, buckets, list(dict.fromkeys([*group, *keep]))),
                          f"ids_{out}")
     return dense_rank_from_ids(ided, group, out)
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: str, keep: Sequence[str],
+                  out: str = "cum", buckets: int | None = None,
+                  scratch: Scratch | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` along a global ``order`` (unique), skew-safe.
+
+    Sum inside each range of the order plus the totals of all earlier ranges
+    (one row per range).
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = scratch or Scratch(spark, "cumsum")
+    ided = scratch.write(range_ids(df, list(order), buckets,
+                                   list(dict.fromkeys([*keep, value]))), f"ids_{out}")
+    b = ided.withColumn("_bucket", F.shiftright(F.col("rid"), 33))
+    local = b.withColumn("_local", F.sum(value).over(
+        Window.partitionBy("_bucket").orderBy("rid")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    totals = b.groupBy("_bucket").agg(F.sum(value).alias("_t"))
+    offsets = totals.select("_bucket", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_offset"))
+    return (local.join(F.broadcast(offsets), "_bucket")
+                 .withColumn(out, F.col("_local") + F.col("_offset"))
+                 .drop("_bucket", "_local", "_offset", "rid"))

@@ -390,3 +390,40 @@ SELECT user_id, ts, event_id, event_type, value FROM (
 
 ORACLES["down_from_status"] = oracle_prefix("machine_status") + "," + """
 d AS (""" + LATEST_STATUS_DOWN + ")\nSELECT machine_id FROM d"
+
+
+# ---- synthetic backlog -------------------------------------------------------------
+
+ORACLES["generated_backlog"] = oracle_prefix("parts") + """,
+pw AS (SELECT *, CAST(CASE category WHEN 'MEDIUM' THEN 25 WHEN 'PROMO' THEN 30 ELSE 10 END
+                     AS BIGINT) AS w FROM parts),
+cum AS (SELECT *, sum(w) OVER (ORDER BY part_id ROWS UNBOUNDED PRECEDING) AS hi FROM pw),
+tot AS (SELECT CAST(max(hi) AS BIGINT) AS total FROM cum),
+o AS (SELECT 'ORD-' || CAST(o_orderkey + 2000 AS VARCHAR) AS order_id FROM orders),
+o2 AS (
+  SELECT order_id,
+         CAST(floor(CAST(('0x' || substr(md5('42|part|' || order_id), 1, 6))::BIGINT * total
+                         AS DOUBLE) / 16777216) AS BIGINT) AS target,
+         ('0x' || substr(md5('42|customer|' || order_id), 1, 8))::BIGINT AS h_cust,
+         ('0x' || substr(md5('42|quantity|' || order_id), 1, 8))::BIGINT AS h_qty,
+         ('0x' || substr(md5('42|due|' || order_id), 1, 8))::BIGINT AS h_due
+  FROM o, tot),
+custs AS (
+  SELECT 'all' AS pool, c_name, row_number() OVER (ORDER BY c_name, c_custkey) AS idx
+  FROM customer
+  UNION ALL
+  SELECT 'dealer', c_name, row_number() OVER (ORDER BY c_name, c_custkey)
+  FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'MACHINERY')),
+sizes AS (SELECT pool, count(*) AS n FROM custs GROUP BY pool),
+chosen AS (
+  SELECT o2.*, p.part_id, p.category, p.default_price, p.material_cost,
+         p.estimated_runtime_hours,
+         CASE WHEN p.category IN ('LARGE', 'MEDIUM') THEN 'dealer' ELSE 'all' END AS pool
+  FROM o2 JOIN (SELECT *, hi - w AS lo FROM cum) p ON o2.target >= p.lo AND o2.target < p.hi)
+SELECT ch.order_id, ch.part_id, ch.category, c.c_name AS customer_name,
+       CAST(CASE WHEN ch.category IN ('LARGE', 'MEDIUM') THEN 4 + h_qty % 3
+                 ELSE 1 + h_qty % 6 END AS INTEGER) AS quantity,
+       CAST(DATE '2025-11-01' + CAST(1 + h_due % 30 AS INTEGER) AS DATE) AS promised_date,
+       ch.default_price AS sale_price, ch.material_cost, ch.estimated_runtime_hours
+FROM chosen ch JOIN sizes s ON s.pool = ch.pool
+LEFT JOIN custs c ON c.pool = ch.pool AND c.idx = 1 + ch.h_cust % s.n"""

@@ -346,3 +346,23 @@ def synced_upsert(spark, d):
 @query("down_from_status")
 def down_from_status(spark, d):
     return scenario.down_from_status(fx.machine_status(spark, d))
+
+
+# ---- synthetic backlog --------------------------------------------------------------
+
+from millrun.sources import generate as gen  # noqa: E402
+
+GEN_WEIGHTS = {"MEDIUM": 2.5, "PROMO": 3.0}
+GEN_DEALER_CATEGORIES = ("LARGE", "MEDIUM")
+GEN_DEALER_SEGMENTS = ("AUTOMOBILE", "MACHINERY")
+
+
+@query("generated_backlog")
+def generated_backlog(spark, d):
+    """One synthetic order per row of ``orders`` (its key is the sequence number)."""
+    ids = fx.read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"))
+    cust = fx.read(spark, d, "customer").select(
+        F.col("c_name").alias("customer_name"), F.col("c_custkey").alias("customer_key"),
+        F.col("c_mktsegment").isin(list(GEN_DEALER_SEGMENTS)).alias("is_dealer"))
+    return gen.generate_backlog(ids, fx.parts(spark, d), cust, GEN_WEIGHTS,
+                                GEN_DEALER_CATEGORIES)
