@@ -198,6 +198,10 @@ def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 2
         parts.append(_plan_local(prepared, cap, ids, local_comps))
     rounds = 0
     if round_comps:
+        # Priority buckets: fine enough that a one-bucket window is a small slice of a
+        # component (>= 16 per component), and about a million candidate rows each at scale.
+        n_rows = sum(per_comp[c] for c in round_comps)
+        buckets = max(buckets, 16 * len(round_comps), -(-n_rows // 1_000_000))
         committed, rounds = _plan_rounds(prepared, cap, ids, round_comps, scratch, buckets,
                                          max_rounds)
         parts.append(committed)
@@ -302,7 +306,8 @@ def running_need(best: DataFrame) -> DataFrame:
     offsets = totals.select("scenario_id", "machine_id", "bucket",
                             F.coalesce(F.sum("bucket_need").over(w_off), F.lit(0))
                             .alias("offset"))
-    return (local.join(offsets, ["scenario_id", "machine_id", "bucket"])
+    # machines x buckets rows: broadcast is bounded by the dimension, not the data
+    return (local.join(F.broadcast(offsets), ["scenario_id", "machine_id", "bucket"])
                  .withColumn("run", F.col("run_local") + F.col("offset"))
                  .drop("run_local", "offset"))
 
@@ -313,6 +318,15 @@ _STATE_COLS = ["scenario_id", "component", "order_id", "prio", "bucket", "machin
 
 def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: list[str],
                  scratch: Scratch, buckets: int, max_rounds: int) -> tuple[DataFrame, int]:
+    """Safe-prefix rounds over a moving priority window per (scenario, component).
+
+    The ranked state is written once, range-ordered by ``prio`` (file and
+    row-group min/max stats let a round read only its window). Each round
+    looks at the orders in [frontier, frontier + w buckets) of every open
+    component: everything before the first overflow is committed and the
+    frontier moves to it; without an overflow the whole window is decided,
+    the frontier moves past it and w doubles.
+    """
     spark = prepared.sparkSession
     mine = scratch.write(prepared.filter(F.col("component").isin(comps)), "prepared")
     # Priorities over all candidates (down machines included), then keep usable rows.
@@ -322,65 +336,96 @@ def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: lis
              .select("scenario_id", "component", "order_id", "prio",
                      F.shiftright(F.col("prio"), 33).alias("bucket"), "machine_id",
                      F.col("need_all").alias("need_u"), *_pref_columns(), *PAYLOAD))
-    cur = scratch.write(state, "r1_state")
-    rem = cap.filter(~F.col("is_down")).select("scenario_id", "machine_id",
-                                               F.col("cap_u").alias("rem_u"))
+    state = scratch.write(state.repartitionByRange(buckets, "prio").sortWithinPartitions("prio"),
+                          "state")
+    # Loop control: one entry per open (scenario, component): [frontier prio, window, last prio].
+    bounds = state.groupBy("scenario_id", "component").agg(
+        F.min("prio").alias("lo"), F.max("prio").alias("hi")).collect()
+    open_ = {(r["scenario_id"], r["component"]): [r["lo"], 1, r["hi"]] for r in bounds}
+    # Remaining capacity per (scenario, machine): dimension-sized loop state.
+    rem = {(r["scenario_id"], r["machine_id"]): r["cap_u"]
+           for r in cap.filter(~F.col("is_down")).collect()}
+    commit_cols = ["scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD]
     commits = []
     k = 0
-    while True:
-        _trace(f"round {k + 1} start")
+    while open_:
         k += 1
         if k > max_rounds:
             raise RuntimeError(f"planner did not finish in {max_rounds} rounds")
-        feasible = (cur.join(rem, ["scenario_id", "machine_id"])
-                       .filter(F.col("need_u") <= F.col("rem_u")).drop("rem_u"))
-        # One shuffle: rows of a priority bucket meet in one task, which clusters both
-        # the per-order pick and the per-(machine, bucket) running sum.
+        win_rows = [(sid, comp, f, ((f >> 33) + w) << 33) for (sid, comp), (f, w, _) in
+                    open_.items()]
+        # Pushed down as an OR of ranges: row groups outside every window are skipped.
+        in_windows = F.lit(False)
+        for lo, hi in _merge_ranges([(r[2], r[3]) for r in win_rows]):
+            in_windows = in_windows | ((F.col("prio") >= lo) & (F.col("prio") < hi))
+        win = F.broadcast(spark.createDataFrame(
+            win_rows, "scenario_id string, component string, f bigint, e bigint"))
+        rem_df = F.broadcast(spark.createDataFrame(
+            [(sid, m, v) for (sid, m), v in rem.items()],
+            "scenario_id string, machine_id string, rem_u bigint"))
+        window = (state.filter(in_windows)
+                       .join(win, ["scenario_id", "component"])
+                       .filter((F.col("prio") >= F.col("f")) & (F.col("prio") < F.col("e")))
+                       .drop("f", "e"))
+        feasible = (window.join(rem_df, ["scenario_id", "machine_id"])
+                          .filter(F.col("need_u") <= F.col("rem_u")).drop("rem_u"))
+        # One shuffle: rows of a priority bucket meet in one task, which clusters the
+        # per-order pick, the per-(machine, bucket) running sum and the bucket totals.
         pick = F.min(F.struct("p_null", "p_neg", "need_u", "machine_id", *PAYLOAD)).alias("c")
         best = (feasible.repartition("scenario_id", "bucket")
                         .groupBy("scenario_id", "bucket", "component", "order_id", "prio")
                         .agg(pick)
                         .select("scenario_id", "component", "order_id", "prio", "bucket",
                                 "c.machine_id", "c.need_u", *[f"c.{p}" for p in PAYLOAD]))
-        best = running_need(best).join(rem, ["scenario_id", "machine_id"])
+        best = running_need(best).join(rem_df, ["scenario_id", "machine_id"])
         best = scratch.write(best.withColumn("over", F.col("run") > F.col("rem_u")),
                              f"r{k}_best")
-        # First overflow per component: a handful of rows, kept on the driver for loop control.
-        # First overflow per component: one row per component (a handful).
-        stop = F.broadcast(best.filter("over").groupBy("scenario_id", "component")
-                               .agg(F.min("prio").alias("stop")))
-        commit_cols = ["scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD]
-        if stop.isEmpty():
-            commits.append(best.select(*commit_cols))
-            break
-        committed = (best.join(stop, ["scenario_id", "component"], "left")
-                         .filter(F.col("stop").isNull() | (F.col("prio") < F.col("stop")))
-                         .select(*commit_cols))
-        used = committed.groupBy("scenario_id", "machine_id").agg(F.sum("need_u").alias("u"))
-        rem_next = (rem.join(used, ["scenario_id", "machine_id"], "left")
-                       .select("scenario_id", "machine_id",
-                               (F.col("rem_u") - F.coalesce(F.col("u"), F.lit(0)))
-                               .alias("rem_u")))
-        # Open orders: at or after their component's stop. Components without a
-        # stop are finished; orders without a feasible candidate are unassigned.
-        nxt = (feasible.join(stop, ["scenario_id", "component"])
-                       .filter(F.col("prio") >= F.col("stop")).drop("stop"))
-        out = _tagged(nxt, "state").unionByName(_tagged(committed, "commit")).unionByName(
-            _tagged(rem_next, "rem"))
-        path = scratch.path(f"r{k}_out")
         t0 = time.time()
-        out.write.mode("overwrite").partitionBy("kind").parquet(path)
-        _trace(f"round {k}: out written in {time.time() - t0:.2f}s")
-        reader = spark.read.schema(_ROUND_SCHEMA)
-        cur = reader.parquet(f"{path}/kind=state").select(*_STATE_COLS)
-        commits.append(reader.parquet(f"{path}/kind=commit").select(*commit_cols))
-        rem = reader.parquet(f"{path}/kind=rem").select("scenario_id", "machine_id", "rem_u")
+        stops = {(r["scenario_id"], r["component"]): r["stop"] for r in
+                 best.filter("over").groupBy("scenario_id", "component")
+                     .agg(F.min("prio").alias("stop")).collect()}
+        committed = best.filter(_before_stop(stops))
+        for r in (committed.groupBy("scenario_id", "machine_id")
+                           .agg(F.sum("need_u").alias("u")).collect()):
+            rem[(r["scenario_id"], r["machine_id"])] -= r["u"]
+        commits.append(committed.select(*commit_cols))
+        _trace(f"round {k}: {len(open_)} open, {len(stops)} stops ({time.time() - t0:.2f}s)")
+        for key, (f, w, last) in list(open_.items()):
+            if key in stops:
+                open_[key] = [stops[key], w, last]
+            else:
+                e = ((f >> 33) + w) << 33
+                if e > last:
+                    del open_[key]
+                else:
+                    open_[key] = [e, w * 2, last]
+    if not commits:
+        return spark.createDataFrame([], _OUT_SCHEMA), 0
     out = commits[0]
     for c in commits[1:]:
         out = out.unionByName(c)
     return out, k
 
 
+def _merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(a, b) for a, b in out]
+
+
+def _before_stop(stops: dict):
+    """Rows before their component's first overflow (all rows where there is none)."""
+    cond = F.lit(True)
+    for (sid, comp), v in stops.items():
+        cond = F.when((F.col("scenario_id") == sid) & (F.col("component") == comp),
+                      F.col("prio") < F.lit(v)).otherwise(cond)
+    return cond
+
+
 _ALL_TYPES = {"scenario_id": "string", "component": "string", "order_id": "string",
               "prio": "bigint", "bucket": "bigint", "machine_id": "string", "need_u": "bigint",
               "p_null": "int", "p_neg": "double", "rem_u": "bigint",
