@@ -169,7 +169,8 @@ def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 2
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "plan")
 
-    prepared = _prepare(cands, component)
+    # Written once: the size check, the local path and the rounds all read it.
+    prepared = scratch.write(_prepare(cands, component), "prepared")
     cap = scratch.write(_capacity(machines, planning_days, ids, down), "capacity")
 
     # Candidate rows per component (x scenarios) and the one-component-per-machine
@@ -328,7 +329,7 @@ def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: lis
     the frontier moves past it and w doubles.
     """
     spark = prepared.sparkSession
-    mine = scratch.write(prepared.filter(F.col("component").isin(comps)), "prepared")
+    mine = prepared.filter(F.col("component").isin(comps))
     # Priorities over all candidates (down machines included), then keep usable rows.
     ranked = scratch.write(rank_orders(order_priority(mine), buckets), "ranked")
     state = (_per_scenario(mine.join(ranked, ["component", "order_id"]), cap, ids)
