@@ -427,3 +427,12 @@ SELECT ch.order_id, ch.part_id, ch.category, c.c_name AS customer_name,
        ch.default_price AS sale_price, ch.material_cost, ch.estimated_runtime_hours
 FROM chosen ch JOIN sizes s ON s.pool = ch.pool
 LEFT JOIN custs c ON c.pool = ch.pool AND c.idx = 1 + ch.h_cust % s.n"""
+
+
+# ---- dashboard flow ---------------------------------------------------------------
+
+ORACLES["assigned_enriched_sql"] = ORACLES["assigned_enriched"]
+
+ORACLES["scored_routes_sorted"] = with_cands() + """
+SELECT order_id, machine_id, CAST(margin_cents * conf_pct AS DOUBLE) / 10000 AS profit_score
+FROM cands ORDER BY profit_score DESC NULLS LAST, order_id, machine_id"""

@@ -366,3 +366,26 @@ def generated_backlog(spark, d):
         F.col("c_mktsegment").isin(list(GEN_DEALER_SEGMENTS)).alias("is_dealer"))
     return gen.generate_backlog(ids, fx.parts(spark, d), cust, GEN_WEIGHTS,
                                 GEN_DEALER_CATEGORIES)
+
+
+# ---- dashboard flow -------------------------------------------------------------------
+
+from millrun.plans import dashboard  # noqa: E402
+
+
+@query("assigned_enriched_sql")
+def assigned_enriched_sql(spark, d):
+    """The enrichment join as SQL text over registered views (S8)."""
+    m = fx.machines(spark, d)
+    backlog = fx.backlog(spark, d)
+    cands = routes.scored_routes(routes.candidate_routes(backlog, m))
+    plan = greedy.greedy_assign_priority(cands, m, PLANNING_DAYS).assigned
+    dashboard.register_views(m, cands, backlog, plan)
+    return dashboard.sql_query(spark, dashboard.ENRICHED_SQL)
+
+
+@query("scored_routes_sorted")
+def scored_routes_sorted(spark, d):
+    """Scored candidates in display order (highest planning score first)."""
+    return dashboard.sorted_by_score(_scored(spark, d)).select(
+        "order_id", "machine_id", "profit_score")
