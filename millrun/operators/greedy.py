@@ -378,18 +378,32 @@ def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: lis
                         .agg(pick)
                         .select("scenario_id", "component", "order_id", "prio", "bucket",
                                 "c.machine_id", "c.need_u", *[f"c.{p}" for p in PAYLOAD]))
-        best = running_need(best).join(rem_df, ["scenario_id", "machine_id"])
-        best = scratch.write(best.withColumn("over", F.col("run") > F.col("rem_u")),
-                             f"r{k}_best")
+        best = (running_need(best).join(rem_df, ["scenario_id", "machine_id"])
+                .withColumn("over", F.col("run") > F.col("rem_u")))
+        # First overflow per component (one row per component), marked in the same job.
+        stop = best.filter("over").groupBy("scenario_id", "component").agg(
+            F.min("prio").alias("stop"))
+        best = (best.join(F.broadcast(stop), ["scenario_id", "component"], "left")
+                    .withColumn("commit", F.col("stop").isNull()
+                                | (F.col("prio") < F.col("stop"))))
+        best = scratch.write(best, f"r{k}_best")
         t0 = time.time()
-        stops = {(r["scenario_id"], r["component"]): r["stop"] for r in
-                 best.filter("over").groupBy("scenario_id", "component")
-                     .agg(F.min("prio").alias("stop")).collect()}
-        committed = best.filter(_before_stop(stops))
-        for r in (committed.groupBy("scenario_id", "machine_id")
-                           .agg(F.sum("need_u").alias("u")).collect()):
-            rem[(r["scenario_id"], r["machine_id"])] -= r["u"]
-        commits.append(committed.select(*commit_cols))
+        # Loop control in one small collect: stops per component, usage per machine.
+        used = (best.filter("commit").groupBy("scenario_id", "machine_id")
+                    .agg(F.sum("need_u").alias("v"))
+                    .select(F.lit("u").alias("kind"), "scenario_id",
+                            F.col("machine_id").alias("key"), "v"))
+        stops_df = (best.filter(F.col("stop").isNotNull())
+                        .groupBy("scenario_id", "component").agg(F.min("stop").alias("v"))
+                        .select(F.lit("s").alias("kind"), "scenario_id",
+                                F.col("component").alias("key"), "v"))
+        stops = {}
+        for r in used.unionByName(stops_df).collect():
+            if r["kind"] == "u":
+                rem[(r["scenario_id"], r["key"])] -= r["v"]
+            else:
+                stops[(r["scenario_id"], r["key"])] = r["v"]
+        commits.append(best.filter("commit").select(*commit_cols))
         _trace(f"round {k}: {len(open_)} open, {len(stops)} stops ({time.time() - t0:.2f}s)")
         for key, (f, w, last) in list(open_.items()):
             if key in stops:
@@ -418,31 +432,6 @@ def _merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _before_stop(stops: dict):
-    """Rows before their component's first overflow (all rows where there is none)."""
-    cond = F.lit(True)
-    for (sid, comp), v in stops.items():
-        cond = F.when((F.col("scenario_id") == sid) & (F.col("component") == comp),
-                      F.col("prio") < F.lit(v)).otherwise(cond)
-    return cond
-
-
-_ALL_TYPES = {"scenario_id": "string", "component": "string", "order_id": "string",
-              "prio": "bigint", "bucket": "bigint", "machine_id": "string", "need_u": "bigint",
-              "p_null": "int", "p_neg": "double", "rem_u": "bigint",
-              **{p: "double" for p in PAYLOAD}}
-
-
-_ROUND_SCHEMA = ", ".join(f"{c} {t}" for c, t in _ALL_TYPES.items())
-
-
-def _tagged(df: DataFrame, kind: str) -> DataFrame:
-    """Widen to the common round-output schema (missing columns null) with a kind tag."""
-    cols = [F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c)
-            for c, t in _ALL_TYPES.items()]
-    return df.select(*cols, F.lit(kind).alias("kind"))
-
-
 # ---- ranks exposed as tables ------------------------------------------------------------
 
 def dense_order_rank(ranked: DataFrame) -> DataFrame:
