@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrun.llm import bpe, minhash, packing, rules, suffix
+from millrun.llm import bpe, minhash, packing, rules, simhash, suffix
 from millrun.llm.arrow import share_package
 
 
@@ -40,12 +40,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
