@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrun.llm import bpe, minhash, packing, rules, simhash, suffix
+from millrun.llm import bpe, minhash, packing, quality, rules, simhash, suffix, urls
 from millrun.llm.arrow import share_package
 
 
@@ -21,12 +21,27 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    bands=48, rows=8)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"),
+                            quality.graded(_table(spark, sf_dir, "labels")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                   public_tokenizers.PATTERN)
 
 
+# Verdict, host and path of the rules of op4.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"),
+             ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+             ("block", "net", "/fr/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +61,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
