@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrun.llm import bpe, minhash, packing, quality, rules, simhash, suffix, urls
+from millrun.llm import bpe, html, minhash, packing, quality, rules, simhash, suffix, tokens, urls
 from millrun.llm.arrow import share_package
 
 
@@ -46,6 +46,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    counts = tokens.tokens_by_section(_table(spark, sf_dir, "documents"),
+                                      public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                      public_tokenizers.PATTERN)
+    return counts.withColumn("n_tokens", counts["n_tokens"].cast("bigint"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filters": op4_url_filters,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_text": op6_html_text,
+    "op7_token_counts": op7_token_counts,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
