@@ -43,13 +43,14 @@ from millrun.llm.minhash import mix
 from millrun.session import Scratch
 
 BLOCK_BYTES = 4 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 16  # arrays of 8 bytes a place then fit in a core's cache
 ANCHORS_A_SLICE = 150_000
 _LAST = np.iinfo(np.int64).max  # stands for a null id
 _U = np.uint64
 _BASE = _U(0xD6E8FEB86659FD93)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _POSITION = _U((1 << 24) - 1)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def gram_size(length: int) -> int:
@@ -67,18 +68,29 @@ class Levels:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
-        new = self._sorted(keys, low, high)
+        new = self._sorted(keys, low, high, np.argsort(keys))
         while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
-            new = self._sorted(*map(np.concatenate, zip(self.levels.pop(), new)))
+            new = self._merged(self.levels.pop(), new)
         self.levels.append(new)
 
+    def _merged(self, a, b):
+        keys, low, high = map(np.concatenate, zip(a, b))
+        return self._sorted(keys, low, high, np.argsort(keys, kind="stable"))  # two rising runs
+
+    def close(self) -> None:
+        """Merges what is left, before many keys are looked up."""
+        while len(self.levels) > 1:
+            b = self.levels.pop()
+            self.levels.append(self._merged(self.levels.pop(), b))
+
     @staticmethod
-    def _sorted(keys, low, high):
-        order = np.argsort(keys, kind="stable")
+    def _sorted(keys, low, high, order):
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
         if not len(first):
             return keys, low, high
+        if len(first) == len(keys):
+            return keys, low[order], high[order]
         return (keys[first], np.minimum.reduceat(low[order], first),
                 np.maximum.reduceat(high[order], first))
 
@@ -105,7 +117,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the ``k`` bytes from each place, by doubling."""
-    parts = {1: mix(data.astype(np.uint64) + _U(1))}
+    parts = {1: _BYTES[data]}
     size = 1
     while 2 * size <= k:
         h = parts[size]
@@ -168,7 +180,7 @@ class Runs:
             cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             first = at[cut]
             windows = np.diff(np.concatenate([cut, [len(at)]]))
-            parts.append((first + lo, windows, prints.grams[place[cut]],
+            parts.append((first + lo, windows, mix(prints.grams[place[cut]] + _U(1)),
                           prints.of(first, windows - 1 + length)))
         empty = [np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)]
         self.first, self.windows, self.anchor, self.content = (
@@ -353,6 +365,7 @@ def _shared_keys(keys: DataFrame, bits: int) -> DataFrame:
         for i in np.argsort(blocks):
             owner = np.full(len(runs[i]), blocks[i])
             family.add(runs[i], owner, owner)
+        family.close()
         answers = []
         for own in runs:
             low, high = family.owners(own)
@@ -408,21 +421,33 @@ def _covered_windows(runs: DataFrame, length: int) -> DataFrame:
     k = gram_size(length)
 
     def run(table: pa.Table) -> pa.Table:
-        family, batches = Levels(), []
+        contents, windows = Levels(), Levels()
         columns = [table.column(c).to_pylist() for c in ("texts", "sizes", "owners")]
         blocks = table.column("block").to_numpy()
+        batches: list = [None] * len(blocks)
         for i in np.argsort(blocks):
             data = np.frombuffer(_unzipped(columns[0][i]), dtype=np.uint8)
             size = np.frombuffer(columns[1][i], dtype="<u4").astype(np.int64)
             owner = np.frombuffer(columns[2][i], dtype="<i8").astype(np.int64)
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            prints = _Prints(data, k)
+            content = prints.of(start, size)
+            contents.add(content, owner, owner)
             places, of = _windows(start, size - length + 1)
-            keys, mine = _Prints(data, k).of(places, length), owner[of]
-            family.add(keys, mine, mine)
-            batches.append((i, keys, mine))
-        answers: list = [None] * len(batches)
-        for i, keys, mine in batches:
-            answers[i] = np.packbits(family.owners(keys)[0] < mine).tobytes()
+            batches[i] = content, owner, prints.of(places, length), of
+        contents.close()
+        # a run that a smaller document has whole is covered whole; of equal runs the one
+        # with the least document speaks for all
+        for i, (content, owner, keys, of) in enumerate(batches):
+            least = (owner == contents.owners(content)[0])[of]
+            batches[i] = least, keys[least], owner[of[least]]
+            windows.add(batches[i][1], batches[i][2], batches[i][2])
+        windows.close()
+        answers = []
+        for least, keys, mine in batches:
+            covered = np.ones(len(least), dtype=bool)
+            covered[least] = windows.owners(keys)[0] < mine
+            answers.append(np.packbits(covered).tobytes())
         return _batch(slice=table.column("slice"), block=blocks,
                       answer=answers, kind=[2] * len(answers))
 
