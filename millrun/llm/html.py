@@ -64,6 +64,15 @@ class _Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+def _limits(tag: str) -> set:
+    """What an end tag doesn't reach across: inline ones blocks, others cells or tables."""
+    if tag not in BLOCKS:
+        return BLOCKS
+    if tag in ("tr", "td", "th", "thead", "tbody", "tfoot"):
+        return {"table"}
+    return set() if tag == "table" else {"td", "th", "caption"}
+
+
 def parse(page: str) -> _Node:
     """The page's tree; texts are strings among the children."""
     root = _Node("#root")
@@ -92,8 +101,7 @@ def parse(page: str) -> _Node:
             if tag == "br":
                 stack[-1].children.append(_Node("br"))
             else:
-                close({tag}, set() if tag == "table" else {"table"} if tag in (
-                    "tr", "td", "th", "thead", "tbody", "tfoot") else {"td", "th", "caption"})
+                close({tag}, _limits(tag))
         elif m[2]:
             tag, attributes = m[2].lower(), m[3] or ""
             if stack[-1].tag == "head" and tag not in IN_HEAD:

@@ -4,14 +4,17 @@ The documents of a task, in their stored order, form one token stream (each
 document's ids, then an end id). Windows are cut out of the stream in order. The
 places to cut are document ends (free), sentence ends (``sentence`` tokens) and,
 when a window is filled to the last token, anywhere (``truncation`` tokens). A
-window shorter than the full size costs the padding it needs, and nothing when
-its length is a power of two. For every document or sentence end ``j`` the least
-cost comes from an earlier end ``i``:
+window shorter than the full size costs the padding it needs; half and quarter
+windows need none. For every document or sentence end ``j`` the least cost comes
+from an earlier end ``i``:
 
 * one padded window: ``f(i) + i`` is least at the front of a monotone queue over
   the ends at most a window back;
-* full windows cut anywhere, then a last one that is full or a power of two: the
-  least ``f(i) - truncation * i / window`` of each residue of ``i`` is kept.
+* full windows cut anywhere, then a last one that is whole, a half or a quarter:
+  the least ``f(i) - truncation * i / window`` of each residue of ``i`` is kept.
+
+A padded window is cut further where lengths that are powers of two, which need no
+padding, cost less.
 
 Long streams are solved in segments of ``segment`` tokens that end at document
 ends; the windows after the segment's best last cut are carried over, so memory

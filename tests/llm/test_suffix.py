@@ -1,0 +1,119 @@
+"""Repeated passages against all windows; the level family against a dictionary."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+from conftest import SMALL
+from llm_cases import awkward_rows, clashing, docs, prose
+from millrun.llm import queries, suffix
+
+
+def brute_force(rows, length):
+    """{id: (bytes, removed, spans, kept)} of (id, text) rows."""
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            s = b[p:p + length]
+            first[s] = min(first.get(s, i), i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for p in range(len(b) - length + 1):
+            if first[b[p:p + length]] < i:
+                gone[p:p + length] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        out.append((i, len(b), int(gone.sum()), spans,
+                    np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    return out
+
+
+def digest(rows):
+    return sorted((i, n, r, s, hashlib.sha256(k).hexdigest()) for i, n, r, s, k in rows)
+
+
+def as_rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in
+            spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert as_rows(queries.op8_suffix_dedup(spark, SMALL)) == digest(brute_force(rows, 50))
+
+
+def shuffled_passages(seed):
+    """Texts made of shared passages that differ around them by single characters."""
+    rng = random.Random(seed)
+    passages = [prose(12, k)[:rng.randrange(40, 75)] for k in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(passages)[rng.randrange(4):] + rng.choice("abé ")
+                 for _ in range(rng.randrange(1, 6))]
+        rows.append((rng.randrange(10**6) * 100 + i, "".join(parts) + "ab" * rng.randrange(60)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("small", [False, True])
+def test_small_texts(spark, monkeypatch, seed, small):
+    if small:  # many blocks and slices
+        monkeypatch.setattr(suffix, "BLOCK_BYTES", 1000)
+        monkeypatch.setattr(suffix, "CHUNK_BYTES", 120)
+        monkeypatch.setattr(suffix, "ANCHORS_A_SLICE", 40)
+    rows = shuffled_passages(seed)
+    df = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    assert as_rows(suffix.repeat_digests(df)) == digest(brute_force(rows, 50))
+
+
+def test_awkward_rows(spark):
+    rows = awkward_rows()
+    last = 2**63 - 1
+    want = digest((last if i is None else i, *x) for i, *x in brute_force(
+        [(last if r[0] is None else r[0], r[1]) for r in rows], 50))
+    got = sorted((last if r[0] is None else r[0], *tuple(r)[1:]) for r in
+                 suffix.repeat_digests(clashing(docs(spark, rows))).collect())
+    assert got == want
+
+
+def test_cut_text_is_whole_characters(spark):
+    passage = "日本語のとても長い文章がここにあります、そして続きます。"
+    rows = [(1, "a" + passage + "b", "ja", "s", 1), (2, "語" + passage + "語 end", "ja", "s", 1),
+            (3, None, "ja", "s", None), (4, passage, "ja", "s", 1)]
+    df = clashing(docs(spark, rows))
+    got = suffix.cut_repeats(df)
+    assert got.columns == df.columns
+    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()}
+    assert set(out) == {1, 2, 3}  # nothing is left of 4
+    assert out[1] == ("a" + passage + "b", 1) and out[3] == (None, None)
+    assert out[2][0] == "語語 end" and out[2][1] == len(out[2][0])
+
+
+def test_empty_table(spark):
+    assert suffix.repeat_digests(docs(spark, [])).count() == 0
+    assert suffix.cut_repeats(docs(spark, [])).count() == 0
+
+
+def test_levels():
+    rng = np.random.default_rng(0)
+    family, plain = suffix.Levels(), {}
+    for batch in range(40):
+        keys = np.unique(rng.integers(0, 500, rng.integers(1, 60)).astype(np.uint64))
+        owner = rng.integers(0, 1000, len(keys))
+        family.add(keys, owner, owner)
+        for k, o in zip(keys.tolist(), owner.tolist()):
+            low, high = plain.get(k, (o, o))
+            plain[k] = min(low, o), max(high, o)
+        sizes = [len(level[0]) for level in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    keys = np.array(sorted(plain), dtype=np.uint64)
+    for closed in (False, True):
+        low, high = family.owners(keys)
+        assert [(a, b) for a, b in zip(low.tolist(), high.tolist())] == [
+            plain[k] for k in keys.tolist()]
+        family.close()
+    assert len(family.levels) == 1
