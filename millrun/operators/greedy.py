@@ -6,57 +6,56 @@ Semantics (the sequential planner this reproduces):
   candidates, then earliest promised date, then least processing hours, then
   order_id; priorities use *all* candidates, down machines included;
 * each order takes its first candidate by preference (profit_score desc,
-  processing hours asc, machine_id asc) whose machine is up and still has at
-  least the order's need; otherwise it stays unassigned;
+  processing hours asc, machine_id asc, then the least other values) whose
+  machine is up and still has at least the order's need; otherwise it stays
+  unassigned. An order gets one machine, whatever its categories;
 * capacity per machine is daily hours x planning days; a machine outside the
   catalog, a null/NaN need or a null order id is never assignable.
 
-Orders and machines only meet inside a *component* (the part category: a
-machine has one capability), so components are planned independently.
-
-Two exact strategies, chosen per component:
-
-``local``  one ``applyInPandas`` task per component, sequential in pandas.
-           Used only when the component's candidate count is within a
-           checked bound (``max_local_rows``).
-``rounds`` DataFrame-only "safe prefix" rounds for components of any size:
-           1. drop candidates whose need exceeds the machine's remaining
-              capacity (capacity only shrinks, so this is final);
-           2. each open order picks its best remaining candidate (aggregate);
-           3. running need per machine in priority order;
-           4. stop = first priority in the component whose running need
-              overflows its machine;
-           5. every order before stop is committed (the sequential planner
-              makes the same choices there); subtract and repeat.
-           Each round commits at least one order per component. The running
-           sum is split into priority buckets (from a global range sort), so
-           a machine holding a third of all rows still spreads over many
-           tasks. Round state is written under spark.checkpoint.dir.
-
-Needs and capacities are integer micro-hours, so running sums equal the
-sequential subtraction exactly.
+Orders and machines only meet inside a *component* of the graph of orders and
+machines, so components are planned independently. They are derived from the
+candidates: machines that share an order are in one component.
+
+The plan is made in rounds over a state of one row per order (its usable
+candidates as an array in order of preference), written once, sorted by
+component and priority. The rounds write nothing. Each looks at a window of
+orders of every open (scenario, component):
+
+1. every order picks its first candidate that fits the machine's remaining
+   capacity (capacity only shrinks, so what doesn't fit now never will);
+2. the needs are added up by machine and priority bucket (a range of the sort);
+3. where a machine overflows, its first overflowing bucket is added up row by
+   row, which gives the first order that doesn't fit;
+4. all orders before it are decided: the sequential planner makes the same
+   picks there. The next window starts at that order, or after the window.
+
+A round is remembered as a priority interval with the capacities it started
+from; one pass over the state at the end makes the same picks again and gives
+the plan. Loop control on the driver is of the size of the machine catalog.
+
+Needs and capacities are integer micro-hours, so sums equal the sequential
+subtraction exactly.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrun import schemas
 from millrun.functions.fixedpoint import MICRO, to_units
 from millrun.session import Scratch, trace as _trace
 
 PAYLOAD = ["margin", "p_best", "processing_hours", "profit_score", "base_confidence"]
 BASELINE = "baseline"
-
-ASSIGNED_COLUMNS = ["order_id", "machine_id", "profit", "p_best", "processing_hours",
-                    "profit_score", "base_confidence"]
+BUCKET_ROWS = 500_000   # orders in a priority bucket, about
+MAX_WINDOW = 64         # buckets a round looks at, so that its sums stay few
+_BITS = 33              # a priority's bucket is its bits above these
 
 
 @dataclass
@@ -64,7 +63,6 @@ class PlanResult:
     assigned: DataFrame   # scenario_id, order_id, machine_id, profit, p_best, processing_hours, ...
     remaining: DataFrame  # scenario_id, machine_id, remaining_hours
     rounds: int
-    strategies: dict
 
 
 def _no_nan(c):
@@ -106,7 +104,7 @@ def priority_order() -> list:
             F.col("order_id").asc()]
 
 
-def rank_orders(keys: DataFrame, buckets: int) -> DataFrame:
+def rank_orders(keys: DataFrame, buckets: int, *keep: str) -> DataFrame:
     """Global priority id: range-partition on the priority order, number rows in order.
 
     ``prio`` increases with priority inside a component; ``prio >> 33`` is the
@@ -116,18 +114,15 @@ def rank_orders(keys: DataFrame, buckets: int) -> DataFrame:
     return (keys.repartitionByRange(buckets, *order)
                 .sortWithinPartitions(*order)
                 .select("component", "order_id",
-                        F.monotonically_increasing_id().alias("prio")))
+                        F.monotonically_increasing_id().alias("prio"), *keep))
 
 
-def _prepare(cands: DataFrame, component: str | None) -> DataFrame:
-    comp = F.col(component).cast("string") if component else F.lit("all")
+def _prepare(cands: DataFrame, component: str) -> DataFrame:
+    """Candidates with numeric keys; ``component`` is the column that ranks are within."""
     return (cands.filter(F.col("order_id").isNotNull())
-                 .select(comp.alias("component"), "order_id",
-                         F.col("machine_id").cast("string").alias("machine_id"),
-                         "promised_date",
-                         _no_nan(F.col("profit_score")).alias("score"),
-                         to_units(F.col("processing_hours"), MICRO).alias("need_all"),
-                         *[F.col(c).cast("double").alias(c) for c in PAYLOAD]))
+                 .select(F.col(component).cast("string").alias("component"), "order_id",
+                         "promised_date", _no_nan(F.col("profit_score")).alias("score"),
+                         to_units(F.col("processing_hours"), MICRO).alias("need_all")))
 
 
 def _capacity(machines: DataFrame, planning_days: int, ids: list[str],
@@ -146,81 +141,102 @@ def _capacity(machines: DataFrame, planning_days: int, ids: list[str],
                        F.coalesce(F.col("is_down"), F.lit(False)).alias("is_down"))
 
 
-def _pref_columns() -> list:
-    s = F.col("score")
-    return [F.when(s.isNull(), 1).otherwise(0).alias("p_null"),
-            F.coalesce(-s, F.lit(0.0)).alias("p_neg")]
+def _orders(cands: DataFrame, cap: DataFrame) -> DataFrame:
+    """One row per order: priority keys over all its candidates, and the usable ones in order.
+
+    Usable are candidates with a need on a machine of the catalog.
+    """
+    known = cap.select("machine_id").distinct().withColumn("known", F.lit(True))
+    score = _no_nan(F.col("profit_score"))
+    need = to_units(F.col("processing_hours"), MICRO)
+    rows = (cands.filter(F.col("order_id").isNotNull())
+            .select("order_id", F.col("machine_id").cast("string").alias("machine_id"),
+                    "promised_date", score.alias("score"), need.alias("need_u"),
+                    *[F.col(c).cast("double").alias(c) for c in PAYLOAD])
+            .join(known, "machine_id", "left"))
+    option = F.struct(F.col("score").isNull().alias("no_score"),
+                      F.coalesce(-F.col("score"), F.lit(0.0)).alias("down_score"),
+                      "need_u", "machine_id", *PAYLOAD)
+    usable = F.col("known") & F.col("need_u").isNotNull()
+    return rows.groupBy("order_id").agg(
+        F.max("score").alias("k_score"), F.min("promised_date").alias("k_due"),
+        F.min("need_u").alias("k_need"),
+        F.sort_array(F.collect_list(F.when(usable, option))).alias("options"))
+
+
+def _machine_groups(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """Machines linked by ``pairs``, as sorted groups named by their first machine."""
+    parent: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    groups: dict[str, list[str]] = {}
+    for m in sorted(parent):
+        groups.setdefault(find(m), []).append(m)
+    return groups
+
+
+def _state(orders: DataFrame, groups: dict[str, list[str]], buckets: int) -> DataFrame:
+    """component, prio, order_id, cand (place of the machine in its group, need), options.
+
+    Sorted by component and priority; ``prio`` rises along that order, and
+    ``prio >> 33`` is the range bucket.
+    """
+    spark = orders.sparkSession
+    of = _local(spark, [(m, name, members) for name, members in groups.items() for m in members],
+                {"first": pa.string(), "component": pa.string(),
+                 "members": pa.list_(pa.string())})
+    keyed = (orders.withColumn("first", F.col("options")[0]["machine_id"]).join(of, "first")
+             .withColumn("cand", F.transform("options", lambda o: F.struct(
+                 (F.array_position("members", o["machine_id"]) - 1).cast("int").alias("m"),
+                 o["need_u"].alias("need")))))
+    return rank_orders(keyed, buckets, "cand", "options")
 
 
 def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
                    scenarios: Mapping[str, Sequence[str] | DataFrame | None] | None = None,
-                   component: str | None = "part_category", strategy: str = "auto",
-                   max_local_rows: int = 2_000_000, buckets: int | None = None,
-                   max_rounds: int = 10_000) -> PlanResult:
+                   buckets: int | None = None) -> PlanResult:
     """Plan every scenario (set of down machines) in one set of jobs.
 
     ``cands`` needs order_id, machine_id, promised_date, processing_hours,
-    margin, p_best, profit_score, base_confidence and the ``component``
-    column (or ``component=None`` for one component).
+    margin, p_best, profit_score and base_confidence.
     """
     spark = cands.sparkSession
     scenarios = dict(scenarios or {BASELINE: None})
     ids, down = _scenario_frame(spark, scenarios)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "plan")
-
-    # Written once: the size check, the local path and the rounds all read it.
-    prepared = scratch.write(_prepare(cands, component), "prepared")
     cap = scratch.write(_capacity(machines, planning_days, ids, down), "capacity")
-
-    # Candidate rows per component (x scenarios) and the one-component-per-machine
-    # check, from one small aggregate (rows = machines, not candidates).
-    sizes = prepared.groupBy("component", "machine_id").count().collect()
-    per_comp: dict[str, int] = {}
-    machine_comp: dict[str, str] = {}
-    for r in sizes:
-        per_comp[r["component"]] = per_comp.get(r["component"], 0) + r["count"] * len(ids)
-        prev = machine_comp.setdefault(r["machine_id"], r["component"])
-        if prev != r["component"]:
-            raise ValueError(f"machine {r['machine_id']} appears in components "
-                             f"{prev} and {r['component']}; plan with component=None")
-    if strategy == "auto":
-        local_comps = [k for k, n in per_comp.items() if n <= max_local_rows]
-    elif strategy == "local":
-        local_comps = list(per_comp)
-    elif strategy == "rounds":
-        local_comps = []
-    else:
-        raise ValueError(strategy)
-    round_comps = [k for k in per_comp if k not in set(local_comps)]
-
-    parts = []
-    if local_comps:
-        parts.append(_plan_local(prepared, cap, ids, local_comps))
-    rounds = 0
-    if round_comps:
-        # Priority buckets: fine enough that a one-bucket window is a small slice of a
-        # component (>= 16 per component), and about a million candidate rows each at scale.
-        n_rows = sum(per_comp[c] for c in round_comps)
-        buckets = max(buckets, 16 * len(round_comps), -(-n_rows // 1_000_000))
-        committed, rounds = _plan_rounds(prepared, cap, ids, round_comps, scratch, buckets,
-                                         max_rounds)
-        parts.append(committed)
-    assigned = parts[0] if parts else spark.createDataFrame([], _OUT_SCHEMA)
-    for p in parts[1:]:
-        assigned = assigned.unionByName(p)
-    assigned = scratch.write(assigned, "assigned")
+    orders = scratch.write(_orders(cands, cap), "orders").filter("size(options) > 0")
+    # at most machines x machines rows
+    links = (orders.select(F.col("options")[0]["machine_id"].alias("a"),
+                           F.explode("options.machine_id").alias("b")).distinct().collect())
+    groups = _machine_groups([(r["a"], r["b"]) for r in links])
+    if not buckets:
+        # small enough for a window over one bucket, and several to a component
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * len(groups),
+                      orders.count() // BUCKET_ROWS + 1)
+    state = scratch.write(_state(orders, groups, buckets), "state")
+    intervals, rounds = _plan_rounds(state, cap, ids, groups)
+    assigned = scratch.write(_replay(state, intervals), "assigned")
+    scratch.drop("orders")
+    scratch.drop("state")
 
     used = assigned.groupBy("scenario_id", "machine_id").agg(F.sum("need_u").alias("used_u"))
     remaining = (cap.join(used, ["scenario_id", "machine_id"], "left")
                  .select("scenario_id", "machine_id",
                          ((F.col("cap_u") - F.coalesce(F.col("used_u"), F.lit(0)))
                           .cast("double") / MICRO).alias("remaining_hours")))
-    assigned_out = assigned.select("scenario_id", "order_id", "machine_id",
-                                   F.col("margin").alias("profit"), "p_best",
-                                   "processing_hours", "profit_score", "base_confidence")
-    return PlanResult(assigned_out, remaining, rounds,
-                      {"local": sorted(local_comps), "rounds": sorted(round_comps)})
+    return PlanResult(
+        schemas.conform(assigned.withColumn("profit", F.col("margin")), schemas.ASSIGNED_PLAN,
+                        "scenario_id"),
+        schemas.conform(remaining, schemas.REMAINING_CAPACITY, "scenario_id"), rounds)
 
 
 def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
@@ -229,206 +245,155 @@ def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days:
     """One plan (D1). Result columns drop ``scenario_id``."""
     res = plan_scenarios(cands, machines, planning_days, {BASELINE: down_machines}, **kw)
     return PlanResult(res.assigned.drop("scenario_id"), res.remaining.drop("scenario_id"),
-                      res.rounds, res.strategies)
-
-
-_OUT_SCHEMA = ("scenario_id string, order_id string, machine_id string, need_u bigint, "
-               + ", ".join(f"{c} double" for c in PAYLOAD))
-
-
-def _per_scenario(prepared: DataFrame, cap: DataFrame, ids: list[str]) -> DataFrame:
-    """Candidates x scenarios with capacity; ``usable`` = machine up, known, need present."""
-    c = prepared.withColumn("scenario_id", F.explode(F.array(*[F.lit(s) for s in ids])))
-    c = c.join(cap, ["scenario_id", "machine_id"], "left")
-    usable = (F.col("cap_u").isNotNull() & ~F.coalesce(F.col("is_down"), F.lit(False))
-              & F.col("need_all").isNotNull())
-    return c.withColumn("usable", usable).drop("is_down")
-
-
-# ---- strategy "local": one pandas task per (small, size-checked) component ---------------
-
-def _plan_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential greedy over one component of one scenario (all candidates given)."""
-    keys = (pdf.groupby("order_id", sort=True)
-               .agg(k_score=("score", "max"), k_due=("due", "min"), k_need=("need_all", "min"))
-               .reset_index()
-               .sort_values(["k_score", "k_due", "k_need", "order_id"],
-                            ascending=[False, True, True, True], na_position="last",
-                            kind="mergesort"))
-    pos = pd.Series(np.arange(len(keys)), index=keys["order_id"].to_numpy())
-    c = pdf[pdf["usable"]].copy()
-    c["_pos"] = pos.reindex(c["order_id"].to_numpy()).to_numpy()
-    c["_pnull"] = c["score"].isna()
-    c["_pneg"] = (-c["score"]).fillna(0.0)
-    c = c.sort_values(["_pos", "_pnull", "_pneg", "need_all", "machine_id"], kind="mergesort")
-    caps = dict(zip(c["machine_id"], c["cap_u"].astype("int64")))
-    orders = c["_pos"].to_numpy()
-    machines = c["machine_id"].to_numpy()
-    needs = c["need_all"].to_numpy(dtype="int64")
-    take = np.zeros(len(c), dtype=bool)
-    done = -1
-    for i in range(len(c)):
-        o = orders[i]
-        if o == done:
-            continue
-        m, n = machines[i], needs[i]
-        if caps[m] >= n:
-            caps[m] -= n
-            take[i] = True
-            done = o
-    out = c.loc[take, ["scenario_id", "order_id", "machine_id", "need_all", *PAYLOAD]]
-    return out.rename(columns={"need_all": "need_u"})
+                      res.rounds)
 
 
-def _plan_local(prepared: DataFrame, cap: DataFrame, ids: list[str],
-                comps: list[str]) -> DataFrame:
-    c = _per_scenario(prepared.filter(F.col("component").isin(comps)), cap, ids)
-    c = c.select("scenario_id", "component", "order_id", "machine_id",
-                 F.unix_date("promised_date").alias("due"), "score", "need_all", "cap_u",
-                 "usable", *PAYLOAD)
-    return c.groupBy("scenario_id", "component").applyInPandas(_plan_component, _OUT_SCHEMA)
+@dataclass
+class _Open:
+    """Where a (scenario, component) stands."""
 
+    frontier: int     # first undecided priority
+    last: int         # the component's last priority
+    rem: list[int]    # remaining capacity by place of the machine, -1: never usable
+    window: int = 1   # buckets to look at
 
-# ---- strategy "rounds": DataFrame-only safe-prefix rounds -----------------------------------
+    def end(self) -> int:
+        return ((self.frontier >> _BITS) + self.window) << _BITS
 
-def running_need(best: DataFrame) -> DataFrame:
-    """Running need per (scenario, machine) in priority order, split by priority bucket.
 
-    local running sum inside (machine, bucket) + total of all earlier buckets of
-    the machine; the bucket totals table is small (machines x buckets).
-    """
-    w_local = (Window.partitionBy("scenario_id", "machine_id", "bucket").orderBy("prio")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = best.withColumn("run_local", F.sum("need_u").over(w_local))
-    totals = best.groupBy("scenario_id", "machine_id", "bucket").agg(
-        F.sum("need_u").alias("bucket_need"))
-    w_off = (Window.partitionBy("scenario_id", "machine_id").orderBy("bucket")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("scenario_id", "machine_id", "bucket",
-                            F.coalesce(F.sum("bucket_need").over(w_off), F.lit(0))
-                            .alias("offset"))
-    # machines x buckets rows: broadcast is bounded by the dimension, not the data
-    return (local.join(F.broadcast(offsets), ["scenario_id", "machine_id", "bucket"])
-                 .withColumn("run", F.col("run_local") + F.col("offset"))
-                 .drop("run_local", "offset"))
-
-
-_STATE_COLS = ["scenario_id", "component", "order_id", "prio", "bucket", "machine_id", "need_u",
-               "p_null", "p_neg", *PAYLOAD]
-
-
-def _plan_rounds(prepared: DataFrame, cap: DataFrame, ids: list[str], comps: list[str],
-                 scratch: Scratch, buckets: int, max_rounds: int) -> tuple[DataFrame, int]:
-    """Safe-prefix rounds over a moving priority window per (scenario, component).
-
-    The ranked state is written once, range-ordered by ``prio`` (file and
-    row-group min/max stats let a round read only its window). Each round
-    looks at the orders in [frontier, frontier + w buckets) of every open
-    component: everything before the first overflow is committed and the
-    frontier moves to it; without an overflow the whole window is decided,
-    the frontier moves past it and w doubles.
+_WINDOW = {"scenario_id": pa.string(), "component": pa.string(), "lo": pa.int64(),
+           "hi": pa.int64(), "rem": pa.list_(pa.int64())}
+
+
+def _local(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """Loop control as a table that is part of the plan (no job makes it)."""
+    arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
+
+def _fits(option):
+    return option["need"] <= F.element_at("rem", option["m"] + 1)
+
+
+def _picks(state: DataFrame, windows: list[tuple]) -> DataFrame:
+    """scenario_id, component, bucket, prio, rem, m, need: what the windows' orders pick."""
+    in_windows = F.lit(False)
+    for lo, hi in _merge_ranges([(w[2], w[3]) for w in windows]):
+        in_windows = in_windows | ((F.col("prio") >= lo) & (F.col("prio") < hi))
+    of = _local(state.sparkSession, windows, _WINDOW)
+    return (state.select("component", "prio", "cand").filter(in_windows)
+            .join(of, "component").filter("prio >= lo and prio < hi")
+            .withColumn("pick", F.get(F.filter("cand", _fits), 0)).filter("pick is not null")
+            .select("scenario_id", "component", F.shiftright("prio", _BITS).alias("bucket"),
+                    "prio", "rem", "pick.m", "pick.need"))
+
+
+def _first_overflows(state: DataFrame, windows: list[tuple]) -> dict:
+    """Per (scenario, component): the first order that doesn't fit, and the needs before it.
+
+    Each window is one bucket, so its rows are bounded. Picks are made from the capacities
+    the round started with; a window's last item is what is left at the bucket's start.
     """
-    spark = prepared.sparkSession
-    mine = prepared.filter(F.col("component").isin(comps))
-    # Priorities over all candidates (down machines included), then keep usable rows.
-    ranked = scratch.write(rank_orders(order_priority(mine), buckets), "ranked")
-    state = (_per_scenario(mine.join(ranked, ["component", "order_id"]), cap, ids)
-             .filter("usable")
-             .select("scenario_id", "component", "order_id", "prio",
-                     F.shiftright(F.col("prio"), 33).alias("bucket"), "machine_id",
-                     F.col("need_all").alias("need_u"), *_pref_columns(), *PAYLOAD))
-    state = scratch.write(state.repartitionByRange(buckets, "prio").sortWithinPartitions("prio"),
-                          "state")
-    # Loop control: one entry per open (scenario, component): [frontier prio, window, last prio].
-    bounds = state.groupBy("scenario_id", "component").agg(
-        F.min("prio").alias("lo"), F.max("prio").alias("hi")).collect()
-    open_ = {(r["scenario_id"], r["component"]): [r["lo"], 1, r["hi"]] for r in bounds}
-    # Remaining capacity per (scenario, machine): dimension-sized loop state.
-    rem = {(r["scenario_id"], r["machine_id"]): r["cap_u"]
-           for r in cap.filter(~F.col("is_down")).collect()}
-    commit_cols = ["scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD]
-    commits = []
-    k = 0
+    run = F.sum("need").over(Window.partitionBy("scenario_id", "component", "m").orderBy("prio")
+                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = F.when(F.col("run") > F.element_at("at_start", F.col("m") + 1), F.col("prio"))
+    starts = _local(state.sparkSession, [(w[0], w[1], w[5]) for w in windows], {
+        "scenario_id": pa.string(), "component": pa.string(),
+        "at_start": pa.list_(pa.int64())})
+    rows = (_picks(state, [w[:5] for w in windows]).join(starts, ["scenario_id", "component"])
+            .withColumn("run", run)
+            .withColumn("stop", F.min(over).over(Window.partitionBy("scenario_id", "component"))))
+    out: dict = {}
+    for r in rows.groupBy("scenario_id", "component", "m").agg(
+            F.min("stop").alias("stop"),
+            F.sum(F.when(F.col("prio") < F.col("stop"), F.col("need"))).alias("need")).collect():
+        stop, needs = out.setdefault((r["scenario_id"], r["component"]), (r["stop"], {}))
+        needs[r["m"]] = r["need"] or 0
+    return out
+
+
+def _plan_rounds(state: DataFrame, cap: DataFrame, ids: list[str],
+                 groups: dict[str, list[str]]) -> tuple[list[tuple], int]:
+    """The decided priority intervals (with the capacities they start from) and their rounds."""
+    caps = {(r["scenario_id"], r["machine_id"]): r["cap_u"]
+            for r in cap.filter("not is_down").collect()}  # machines x scenarios
+    open_: dict[tuple[str, str], _Open] = {}
+    for r in state.groupBy("component").agg(F.min("prio").alias("lo"),
+                                            F.max("prio").alias("hi")).collect():
+        for sid in ids:
+            rem = [caps.get((sid, m)) for m in groups[r["component"]]]
+            open_[sid, r["component"]] = _Open(r["lo"], r["hi"],
+                                               [-1 if x is None else x for x in rem])
+    intervals: list[tuple] = []
+    rounds = 0
     while open_:
-        k += 1
-        if k > max_rounds:
-            raise RuntimeError(f"planner did not finish in {max_rounds} rounds")
-        win_rows = [(sid, comp, f, ((f >> 33) + w) << 33) for (sid, comp), (f, w, _) in
-                    open_.items()]
-        # Pushed down as an OR of ranges: row groups outside every window are skipped.
-        in_windows = F.lit(False)
-        for lo, hi in _merge_ranges([(r[2], r[3]) for r in win_rows]):
-            in_windows = in_windows | ((F.col("prio") >= lo) & (F.col("prio") < hi))
-        win = F.broadcast(spark.createDataFrame(
-            win_rows, "scenario_id string, component string, f bigint, e bigint"))
-        rem_df = F.broadcast(spark.createDataFrame(
-            [(sid, m, v) for (sid, m), v in rem.items()],
-            "scenario_id string, machine_id string, rem_u bigint"))
-        window = (state.filter(in_windows)
-                       .join(win, ["scenario_id", "component"])
-                       .filter((F.col("prio") >= F.col("f")) & (F.col("prio") < F.col("e")))
-                       .drop("f", "e"))
-        feasible = (window.join(rem_df, ["scenario_id", "machine_id"])
-                          .filter(F.col("need_u") <= F.col("rem_u")).drop("rem_u"))
-        # One shuffle: rows of a priority bucket meet in one task, which clusters the
-        # per-order pick, the per-(machine, bucket) running sum and the bucket totals.
-        pick = F.min(F.struct("p_null", "p_neg", "need_u", "machine_id", *PAYLOAD)).alias("c")
-        best = (feasible.repartition("scenario_id", "bucket")
-                        .groupBy("scenario_id", "bucket", "component", "order_id", "prio")
-                        .agg(pick)
-                        .select("scenario_id", "component", "order_id", "prio", "bucket",
-                                "c.machine_id", "c.need_u", *[f"c.{p}" for p in PAYLOAD]))
-        best = (running_need(best).join(rem_df, ["scenario_id", "machine_id"])
-                .withColumn("over", F.col("run") > F.col("rem_u")))
-        # First overflow per component (one row per component), marked in the same job.
-        stop = best.filter("over").groupBy("scenario_id", "component").agg(
-            F.min("prio").alias("stop"))
-        best = (best.join(F.broadcast(stop), ["scenario_id", "component"], "left")
-                    .withColumn("commit", F.col("stop").isNull()
-                                | (F.col("prio") < F.col("stop"))))
-        best = scratch.write(best, f"r{k}_best")
-        t0 = time.time()
-        # Loop control in one small collect: stops per component, usage per machine.
-        used = (best.filter("commit").groupBy("scenario_id", "machine_id")
-                    .agg(F.sum("need_u").alias("v"))
-                    .select(F.lit("u").alias("kind"), "scenario_id",
-                            F.col("machine_id").alias("key"), "v"))
-        stops_df = (best.filter(F.col("stop").isNotNull())
-                        .groupBy("scenario_id", "component").agg(F.min("stop").alias("v"))
-                        .select(F.lit("s").alias("kind"), "scenario_id",
-                                F.col("component").alias("key"), "v"))
-        stops = {}
-        for r in used.unionByName(stops_df).collect():
-            if r["kind"] == "u":
-                rem[(r["scenario_id"], r["key"])] -= r["v"]
-            else:
-                stops[(r["scenario_id"], r["key"])] = r["v"]
-        commits.append(best.filter("commit").select(*commit_cols))
-        _trace(f"round {k}: {len(open_)} open, {len(stops)} stops ({time.time() - t0:.2f}s)")
-        for key, (f, w, last) in list(open_.items()):
+        rounds += 1
+        windows = [(sid, comp, o.frontier, o.end(), o.rem) for (sid, comp), o in open_.items()]
+        totals: dict = {}
+        for r in _picks(state, windows).groupBy("scenario_id", "component", "bucket", "m").agg(
+                F.sum("need").alias("need")).collect():
+            totals.setdefault((r["scenario_id"], r["component"]), {}).setdefault(
+                r["bucket"], {})[r["m"]] = r["need"]
+        checks = []
+        for key, o in open_.items():
+            left = list(o.rem)
+            for bucket in sorted(totals.get(key, {})):
+                needs = totals[key][bucket]
+                if any(n > left[m] for m, n in needs.items()):
+                    lo = max(o.frontier, bucket << _BITS)
+                    checks.append((*key, lo, (bucket + 1) << _BITS, o.rem, left))
+                    break
+                for m, n in needs.items():
+                    left[m] -= n
+            totals[key] = left  # what is left at the overflowing bucket, or at the end
+        stops = _first_overflows(state, checks) if checks else {}
+        for key, o in list(open_.items()):
+            start, rem, left = o.frontier, o.rem, totals[key]
             if key in stops:
-                open_[key] = [stops[key], w, last]
+                stop, needs = stops[key]
+                if stop <= start:
+                    raise AssertionError(f"round {rounds} decided nothing of {key}")
+                for m, n in needs.items():
+                    left[m] -= n
+                # as many buckets next time as this round could use
+                o.window = max(1, (stop >> _BITS) - (start >> _BITS))
+                o.frontier = stop
             else:
-                e = ((f >> 33) + w) << 33
-                if e > last:
-                    del open_[key]
-                else:
-                    open_[key] = [e, w * 2, last]
-    if not commits:
-        return spark.createDataFrame([], _OUT_SCHEMA), 0
-    out = commits[0]
-    for c in commits[1:]:
-        out = out.unionByName(c)
-    return out, k
+                o.frontier = o.end()
+                o.window = min(2 * o.window, MAX_WINDOW)
+            o.rem = left
+            intervals.append((*key, start, o.frontier, rem))
+            if o.frontier > o.last:
+                del open_[key]
+        _trace(f"round {rounds}: {len(open_)} open, {len(stops)} stops")
+    return intervals, rounds
+
+
+def _replay(state: DataFrame, intervals: list[tuple]) -> DataFrame:
+    """The plan: every order picks again from the capacities of its interval."""
+    of = _local(state.sparkSession, intervals, _WINDOW).withColumn(
+        "bucket", F.explode(F.expr(f"sequence(shiftright(lo, {_BITS}), "
+                                   f"shiftright(hi - 1, {_BITS}))")))
+    place = F.array_position(F.transform("cand", _fits), F.lit(True)).cast("int")
+    return (state.withColumn("bucket", F.shiftright("prio", _BITS))
+            .join(of, ["component", "bucket"]).filter("prio >= lo and prio < hi")
+            .withColumn("place", place).filter("place > 0")
+            .withColumn("o", F.element_at("options", F.col("place")))
+            .select("scenario_id", "order_id", "o.machine_id", "o.need_u",
+                    *[f"o.{c}" for c in PAYLOAD]))
 
 
 def _merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that cover the given ones, at most 32: the nearest are joined."""
     out: list[list[int]] = []
     for lo, hi in sorted(ranges):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
+    while len(out) > 32:
+        k = min(range(1, len(out)), key=lambda i: out[i][0] - out[i - 1][1])
+        out[k - 1][1] = out.pop(k)[1]
     return [(a, b) for a, b in out]
 
 
@@ -453,14 +418,15 @@ def dense_order_rank(ranked: DataFrame) -> DataFrame:
                          .alias("priority_rank")))
 
 
-def order_ranks(cands: DataFrame, component: str | None = "part_category",
+def order_ranks(cands: DataFrame, component: str = "part_category",
                 buckets: int | None = None) -> DataFrame:
     """Priority rank of every order (O2), computed over all its candidates."""
     spark = cands.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "rank")
-    ranked = scratch.write(rank_orders(order_priority(_prepare(cands, component)), buckets),
-                           "ranked")
+    keys = scratch.write(order_priority(_prepare(cands, component)), "keys")
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             keys.count() // BUCKET_ROWS + 1)
+    ranked = scratch.write(rank_orders(keys, buckets), "ranked")
     return dense_order_rank(ranked)
 
 

@@ -80,3 +80,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(p)
         trace(f"wrote {name} in {time.time() - t0:.2f}s")
         return self.spark.read.schema(df.schema).parquet(p)
+
+    def drop(self, name: str) -> None:
+        """Delete a written table that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
