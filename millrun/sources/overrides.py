@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +51,14 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ASSIGNMENT_OVERRIDES).parquet(path)
 
 
+def newest_first() -> list:
+    """Order of the override history; ties by order and machine id."""
+    return [F.desc_nulls_last("assigned_at"), F.asc("order_id"), F.asc("machine_id")]
+
+
 def history(overrides: DataFrame) -> DataFrame:
     """Override history, newest first (S13 / O4); ties by order and machine id."""
-    return overrides.select(*OVERRIDE_COLUMNS).orderBy(
-        F.desc_nulls_last("assigned_at"), F.asc("order_id"), F.asc("machine_id"))
+    return overrides.select(*OVERRIDE_COLUMNS).orderBy(*newest_first())
 
 
 def display(overrides: DataFrame) -> DataFrame:
@@ -81,9 +83,3 @@ def valid_requests(requests: DataFrame, plan: DataFrame) -> DataFrame:
     return j.filter(F.col("current_machine").isNotNull()
                     & F.col("requested_machine").isNotNull()
                     & (F.col("requested_machine") != F.col("current_machine")))
-
-
-def default_path(spark: SparkSession) -> str:
-    """Override log location under the session warehouse."""
-    wh = spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(wh, "assignment_overrides")

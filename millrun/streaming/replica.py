@@ -3,97 +3,146 @@
 Change rows (key columns, version columns, payload, optional delete flag)
 land as files in a folder. A Structured Streaming query reads new files and,
 per micro-batch, merges them into the replica: newest row per key wins
-(an aggregate, so a hot key is combined map-side), deleted keys drop out.
-With ``trigger(availableNow=True)`` one call processes what has arrived and
-stops, which is a triggered refresh.
-
-Without a transactional table format, each batch writes the full merged
-replica to ``<root>/v=<batch_id>`` and readers take the highest committed
-version; a replayed batch rewrites the same version, so the sink is
-idempotent.
+(an aggregate, so a hot key is combined map-side). A deleted key keeps its
+delete row, hidden from readers, so an older row that comes late doesn't
+bring it back. With ``trigger(availableNow=True)`` one call processes what
+has arrived and stops, which is a triggered refresh.
+
+Layout, without a transactional table format:
+
+* ``<root>/_checkpoint``: the stream's progress, beside the data it is the
+  progress of, so any later session resumes it;
+* ``<root>/data/v=<version>/part=<p>``: rows by a hash of their key. A batch
+  rewrites only the parts its keys fall in, under a version number that only
+  rises;
+* ``<root>/_manifest/v=<version>``: written last, in one rename. It names the
+  version of every part and the stream's batch, so a batch that is replayed
+  after its commit is skipped. Readers take the newest manifest; the one
+  before is kept for readers under way, older ones and their parts go.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrun.session import ensure_checkpoint_dir
+PARTS = 16
 
 
-def newest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str],
-                   delete_flag: str | None = None) -> DataFrame:
-    """One row per key: the one with the greatest version tuple; deleted keys removed."""
-    payload = [c for c in df.columns if c not in keys]
-    best = F.max(F.struct(*[F.col(v) for v in version],
-                          *[F.col(c).alias(f"_p_{c}") for c in payload if c not in version]))
-    out = df.groupBy(*keys).agg(best.alias("_b"))
-    cols = [*keys, *[F.col(f"_b.{v}").alias(v) for v in version],
-            *[F.col(f"_b._p_{c}").alias(c) for c in payload if c not in version]]
-    out = out.select(*cols)
-    if delete_flag:
-        out = out.filter(~F.coalesce(F.col(delete_flag), F.lit(False))).drop(delete_flag)
-    return out.select(*[c for c in df.columns if c != delete_flag])
+def newest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """One row per key: the one with the greatest version tuple, delete rows included."""
+    payload = [c for c in df.columns if c not in keys and c not in version]
+    best = F.max(F.struct(*version, *[F.col(c).alias(f"_p_{c}") for c in payload]))
+    out = df.groupBy(*keys).agg(best.alias("_b")).select(
+        *keys, *[F.col(f"_b.{v}").alias(v) for v in version],
+        *[F.col(f"_b._p_{c}").alias(c) for c in payload])
+    return out.select(*df.columns)
+
+
+def live(rows: DataFrame, delete_flag: str | None) -> DataFrame:
+    """``rows`` without delete rows and their flag."""
+    if not delete_flag:
+        return rows
+    return rows.filter(~F.coalesce(F.col(delete_flag), F.lit(False))).drop(delete_flag)
 
 
 def merge(current: DataFrame | None, changes: DataFrame, keys: Sequence[str],
-          version: Sequence[str], delete_flag: str | None = None) -> DataFrame:
-    """Replica after applying ``changes`` to ``current`` (upsert by key, newest wins)."""
-    if current is None:
-        return newest_per_key(changes, keys, version, delete_flag)
-    cur = current
-    if delete_flag and delete_flag not in cur.columns:
-        cur = cur.withColumn(delete_flag, F.lit(False))
-    return newest_per_key(cur.unionByName(changes.select(*cur.columns)), keys, version,
-                          delete_flag)
+          version: Sequence[str]) -> DataFrame:
+    """Rows after applying ``changes`` to ``current`` (upsert by key, newest wins).
+
+    Both hold delete rows where the feed has them; :func:`live` hides them.
+    """
+    rows = changes if current is None else current.unionByName(changes.select(*current.columns))
+    return newest_per_key(rows, keys, version)
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _fs(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def committed_versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(
-                spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_replica(spark: SparkSession, root: str, schema: T.StructType | None = None):
-    """Current replica (highest committed version), or None before the first refresh."""
-    vs = committed_versions(spark, root)
-    if not vs:
+    return sorted(int(n[2:]) for n in _names(spark, f"{root}/_manifest") if n.startswith("v="))
+
+
+def _manifest(spark: SparkSession, root: str, version: int) -> dict:
+    text = spark.read.text(f"{root}/_manifest/v={version}", wholetext=True).first()
+    return json.loads(text["value"])
+
+
+def _publish(spark: SparkSession, root: str, manifest: dict) -> None:
+    fs, final = _fs(spark, f"{root}/_manifest/v={manifest['version']}")
+    _, draft = _fs(spark, f"{root}/_manifest/_draft")
+    out = fs.create(draft, True)
+    out.writeBytes(json.dumps(manifest))
+    out.close()
+    if not fs.rename(draft, final):
+        raise RuntimeError(f"version {manifest['version']} of {root} is there already")
+
+
+def _expire(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Drop all manifests but the newest ``keep``, and the versions that none of those names."""
+    versions = committed_versions(spark, root)
+    used = {v for k in versions[-keep:] for v in _manifest(spark, root, k)["parts"].values()}
+    gone = [f"{root}/_manifest/v={v}" for v in versions[:-keep]]
+    gone += [f"{root}/data/{n}" for n in _names(spark, f"{root}/data")
+             if n.startswith("v=") and int(n[2:]) not in used and int(n[2:]) < versions[-1]]
+    for path in gone:
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
+def _read_parts(spark: SparkSession, root: str, schema: T.StructType,
+                parts: dict[str, int]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(
+        *[f"{root}/data/v={v}/part={p}" for p, v in sorted(parts.items())])
+
+
+def read_replica(spark: SparkSession, root: str) -> DataFrame | None:
+    """The replica's live rows, or None before the first refresh."""
+    versions = committed_versions(spark, root)
+    if not versions:
         return None
-    r = spark.read.schema(schema) if schema is not None else spark.read
-    return r.parquet(f"{root}/v={vs[-1]}")
+    manifest = _manifest(spark, root, versions[-1])
+    schema = T.StructType.fromJson(manifest["schema"])
+    return live(_read_parts(spark, root, schema, manifest["parts"]), manifest["delete_flag"])
 
 
 def refresh(spark: SparkSession, changes_dir: str, schema: T.StructType, replica_root: str,
             keys: Sequence[str], version: Sequence[str], delete_flag: str | None = None,
-            checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> int:
+            max_files_per_trigger: int | None = None) -> int:
     """Process all change files that arrived since the last refresh; return batches run."""
-    checkpoint = checkpoint or (ensure_checkpoint_dir(spark).rstrip("/")
-                                + "/replica-" + replica_root.strip("/").replace("/", "_"))
-    replica_schema = T.StructType([f for f in schema.fields if f.name != delete_flag])
     batches = []
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prior = [v for v in committed_versions(spark, replica_root) if v < batch_id]
-        current = (spark.read.schema(replica_schema).parquet(f"{replica_root}/v={prior[-1]}")
-                   if prior else None)
-        merged = merge(current, batch, keys, version, delete_flag)
-        merged.write.mode("overwrite").parquet(f"{replica_root}/v={batch_id}")
+        versions = committed_versions(spark, replica_root)
+        last = _manifest(spark, replica_root, versions[-1]) if versions else {
+            "version": -1, "batch_id": -1, "parts": {}}
+        if batch_id <= last["batch_id"]:
+            return  # committed before the stream could note it
+        touched = [str(r["p"]) for r in batch.select(part.alias("p")).distinct().collect()]
+        number = last["version"] + 1
+        old = {p: v for p, v in last["parts"].items() if p in touched}
+        merged = merge(_read_parts(spark, replica_root, schema, old), batch, keys, version)
+        merged.withColumn("part", part).repartition(PARTS, "part").write.mode(
+            "overwrite").partitionBy("part").parquet(f"{replica_root}/data/v={number}")
+        _publish(spark, replica_root, {
+            "version": number, "batch_id": batch_id, "delete_flag": delete_flag,
+            "schema": json.loads(schema.json()),
+            "parts": last["parts"] | {p: number for p in touched}})
+        _expire(spark, replica_root)
         batches.append(batch_id)
 
     reader = spark.readStream.schema(schema)
@@ -101,7 +150,7 @@ def refresh(spark: SparkSession, changes_dir: str, schema: T.StructType, replica
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     q = (reader.parquet(changes_dir).writeStream
          .foreachBatch(apply)
-         .option("checkpointLocation", checkpoint)
+         .option("checkpointLocation", f"{replica_root}/_checkpoint")
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()

@@ -16,7 +16,7 @@ def test_catalog_roundtrip(spark):
     catalog.create_schema(spark, "plant")
     catalog.create_table(spark, "plant.machine_status", schemas.MACHINE_STATUS)
     assert catalog.table_exists(spark, "plant.machine_status")
-    assert catalog.column_comments(spark, "plant.machine_status")["status"].startswith("Current")
+    assert catalog.column_comments(spark, "plant.machine_status")["status"].startswith("down")
     catalog.insert_values(spark, "plant.machine_status",
                           [("M1", "Mill 1", "down"), ("M2", "Mill 2", "up")],
                           timestamp_column="reported_at")
@@ -46,32 +46,61 @@ def test_overrides_log(spark, tmp_path):
     assert overrides.read_overrides(spark, path).count() == 0
 
 
-def test_replica_refresh_two_batches_and_replay(spark, tmp_path):
-    schema = "k bigint, ts timestamp, v double, deleted boolean"
+_FEED = "k bigint, ts timestamp, v double, deleted boolean"
+_T = dt.datetime(2024, 1, 1)
+
+
+def _land(spark, changes, name, *rows):
+    """One file of change rows (key, hour, value, deleted)."""
+    spark.createDataFrame([(k, _T.replace(hour=h), v, gone) for k, h, v, gone in rows],
+                          _FEED).coalesce(1).write.parquet(f"{changes}/{name}")
+
+
+def _refresh(spark, changes, root, **kw):
+    schema = spark.createDataFrame([], _FEED).schema
+    n = replica.refresh(spark, f"{changes}/*", schema, root, ["k"], ["ts"], "deleted", **kw)
+    return n, {r.k: r.v for r in replica.read_replica(spark, root).collect()}
+
+
+def test_replica_goes_on_in_another_session(spark, tmp_path):
+    """Three refreshes, each by a session of its own: all rows arrive, versions only rise."""
+    changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
+    _land(spark, changes, "b1", (1, 0, 1.0, False), (2, 0, 2.0, False), (1, 1, 1.5, False))
+    assert _refresh(spark, changes, root) == (1, {1: 1.5, 2: 2.0})
+    _land(spark, changes, "b2", (2, 2, 2.5, False), (1, 3, None, True), (3, 0, 3.0, False))
+    assert _refresh(spark.newSession(), changes, root) == (1, {2: 2.5, 3: 3.0})
+    _land(spark, changes, "b3", (4, 0, 4.0, False))
+    assert _refresh(spark.newSession(), changes, root) == (1, {2: 2.5, 3: 3.0, 4: 4.0})
+    assert _refresh(spark, changes, root)[0] == 0
+    assert replica.committed_versions(spark, root) == [1, 2]
+    # what no kept version names is gone; parts that b3 didn't touch weren't rewritten
+    manifest = replica._manifest(spark, root, 2)
+    assert len([v for v in manifest["parts"].values() if v == 2]) == 1
+    assert set(os.listdir(f"{root}/data")) <= {"v=0", "v=1", "v=2"}
+
+
+def test_replica_keeps_deletes_against_late_rows(spark, tmp_path):
+    changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
+    _land(spark, changes, "b1", (1, 5, None, True), (2, 1, 2.0, False))
+    assert _refresh(spark, changes, root) == (1, {2: 2.0})
+    _land(spark, changes, "b2", (1, 3, 1.0, False))
+    assert _refresh(spark, changes, root) == (1, {2: 2.0})
+    _land(spark, changes, "b3", (1, 6, 1.5, False), (2, 7, None, True))
+    assert _refresh(spark, changes, root) == (1, {1: 1.5})
+    # all at once, and replayed from nothing, give the same
+    assert _refresh(spark, changes, str(tmp_path / "again"))[1] == {1: 1.5}
+
+
+def test_replayed_batch_is_skipped(spark, tmp_path):
     changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
-    t = dt.datetime(2024, 1, 1)
-    spark.createDataFrame([(1, t, 1.0, False), (2, t, 2.0, False), (1, t.replace(hour=1), 1.5,
-                                                                       False)], schema) \
-        .write.parquet(f"{changes}/b1")
-    from pyspark.sql.types import _parse_datatype_string
-    st = _parse_datatype_string(schema)
-    ckpt = str(tmp_path / "ckpt")
-    n1 = replica.refresh(spark, f"{changes}/*", st, root, ["k"], ["ts"], "deleted", ckpt)
-    assert n1 == 1
-    got = {r.k: r.v for r in replica.read_replica(spark, root).collect()}
-    assert got == {1: 1.5, 2: 2.0}
-    spark.createDataFrame([(2, t.replace(hour=2), 2.5, False), (1, t.replace(hour=3), None,
-                                                                  True),
-                           (3, t, 3.0, False)], schema).write.parquet(f"{changes}/b2")
-    replica.refresh(spark, f"{changes}/*", st, root, ["k"], ["ts"], "deleted", ckpt)
-    got = {r.k: r.v for r in replica.read_replica(spark, root).collect()}
-    assert got == {2: 2.5, 3: 3.0}
-    # replaying everything from scratch gives the same replica
-    root2 = str(tmp_path / "replica2")
-    replica.refresh(spark, f"{changes}/*", st, root2, ["k"], ["ts"], "deleted",
-                    str(tmp_path / "ckpt2"))
-    assert {r.k: r.v for r in replica.read_replica(spark, root2).collect()} == got
-    assert os.path.isdir(root)
+    _land(spark, changes, "b1", (1, 0, 1.0, False))
+    _refresh(spark, changes, root)
+    commits = tmp_path / "replica" / "_checkpoint" / "commits"
+    for f in commits.iterdir():  # as if the session had ended before the stream's own note
+        f.unlink()
+    n, rows = _refresh(spark, changes, root)
+    assert (n, rows) == (0, {1: 1.0})
+    assert replica.committed_versions(spark, root) == [0]
 
 
 def test_dense_rank_matches_window(spark):
