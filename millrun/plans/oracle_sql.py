@@ -85,7 +85,12 @@ WHERE NOT (part_category IS NULL OR machine_id IS NULL OR estimated_runtime_hour
   OR base_confidence IS NULL OR isnan(base_confidence) OR is_best IS NULL)"""
 
 ORACLES["training_shape"] = with_cands(LABELED) + """
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(10 AS BIGINT) AS n_columns FROM labeled"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(10 AS BIGINT) AS n_columns FROM labeled
+WHERE NOT (part_category IS NULL OR machine_id IS NULL OR estimated_runtime_hours IS NULL
+  OR isnan(estimated_runtime_hours) OR quantity IS NULL OR margin IS NULL OR isnan(margin)
+  OR processing_hours IS NULL OR isnan(processing_hours) OR daily_capacity_hours IS NULL
+  OR isnan(daily_capacity_hours) OR efficiency_factor IS NULL OR isnan(efficiency_factor)
+  OR base_confidence IS NULL OR isnan(base_confidence) OR is_best IS NULL)"""
 
 ORACLES["input_example"] = with_cands(LABELED) + f"""
 SELECT {FEATURES}, is_best FROM labeled ORDER BY order_id, machine_id LIMIT 5"""
@@ -245,9 +250,36 @@ SELECT s.order_id, s.machine_id, coalesce(m.daily_capacity_hours * {DAYS}, 0.0)
        coalesce(m.daily_capacity_hours * {DAYS}, 0.0) >= s.processing_hours AS fits_empty_machine
 FROM sc s LEFT JOIN machines m ON m.machine_id = s.machine_id"""
 
+ORACLES["candidates_retired_machines"] = with_cands(SCORED) + f"""
+SELECT s.order_id, s.machine_id, coalesce(m.daily_capacity_hours * {DAYS}, 0.0) AS capacity_hours,
+       coalesce(m.daily_capacity_hours * {DAYS}, 0.0) >= s.processing_hours AS fits_empty_machine
+FROM sc s LEFT JOIN (SELECT * FROM machines
+                     WHERE machine_id NOT IN ('M-0004', 'M-0011', 'M-0018')) m
+  ON m.machine_id = s.machine_id"""
+
 ORACLES["greedy_plan"] = planned(DAYS, BASE) + f"\nSELECT {PLAN_COLS} FROM plan"
 ORACLES["greedy_plan_rounds"] = ORACLES["greedy_plan"]
 
+# One component for the whole plant, and every fifth machine a second time with the
+# capability after its own.
+_SPANNING = (
+    "WITH RECURSIVE " + ALL_VIEWS[len("WITH "):]
+    .replace("FROM backlog o JOIN machines m ON o.category = m.capability",
+             "FROM backlog o JOIN able m ON o.category = m.capability")
+    .replace("cand0 AS (", """able AS (
+  SELECT * FROM machines
+  UNION ALL
+  SELECT m.machine_id, m.machine_name,
+         CASE (n.n_nationkey + 1) % 6 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'LARGE'
+              WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'SMALL' ELSE 'STANDARD' END,
+         m.daily_capacity_hours, m.efficiency_factor, m.is_operational
+  FROM machines m JOIN nation n ON m.machine_name = n.n_name WHERE n.n_nationkey % 5 = 0),
+cand0 AS (""", 1) + ",\n" + plan_ctes(DAYS, BASE)
+    .replace("SELECT part_category AS component", "SELECT 'all' AS component")
+    .replace("m.capability AS component", "'all' AS component")
+    .replace("GROUP BY s.scenario_id, m.capability)", "GROUP BY s.scenario_id)"))
+ORACLES["greedy_plan_spanning"] = _SPANNING + f"\nSELECT {PLAN_COLS} FROM plan"
+
 ORACLES["remaining_capacity"] = planned(DAYS, BASE) + f"""
 SELECT m.machine_id, CAST(CAST(round(m.daily_capacity_hours * 1000000) AS BIGINT) * {DAYS}
        - coalesce(u.used, 0) AS DOUBLE) / 1000000 AS remaining_hours
@@ -344,6 +376,23 @@ SELECT is_best, r <= CAST(round(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS is_test,
        CAST(count(*) AS BIGINT) AS n
 FROM rk GROUP BY ALL"""
 
+ORACLES["split_rows"] = with_cands(LABELED) + """
+SELECT order_id, machine_id, r <= CAST(round(n * CAST(0.2 AS DOUBLE)) AS BIGINT) AS is_test
+FROM (
+  SELECT order_id, machine_id, count(*) OVER (PARTITION BY is_best) AS n,
+         row_number() OVER (PARTITION BY is_best ORDER BY
+           ('0x' || substr(md5('42|split|' || order_id || '|' || machine_id), 1, 8))::BIGINT,
+           order_id, machine_id) AS r
+  FROM labeled)"""
+
+ORACLES["model_checks"] = with_cands() + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_out_of_range,
+       CAST(0 AS BIGINT) AS n_wrong_scores, TRUE AS beats_majority FROM cands"""
+
+ORACLES["model_plan_checks"] = """
+SELECT CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_overfull,
+       CAST(0 AS BIGINT) AS n_not_candidates, CAST(0 AS BIGINT) AS n_left_though_fitting"""
+
 ORACLES["latest_version"] = """
 SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events GROUP BY event_type"""
 
@@ -353,8 +402,9 @@ SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events
 OV = oracle_prefix("override_requests")
 
 ORACLES["override_history"] = OV + """
-SELECT order_id, machine_id, assigned_by, assigned_at, notes FROM override_requests
-ORDER BY assigned_at DESC NULLS LAST, order_id, machine_id"""
+SELECT order_id, machine_id, assigned_by, assigned_at, notes,
+       row_number() OVER (ORDER BY assigned_at DESC NULLS LAST, order_id, machine_id) AS position
+FROM override_requests"""
 
 ORACLES["override_display"] = OV + """
 SELECT order_id AS "Order ID", machine_id AS "Machine ID", assigned_by AS "Assigned By",
@@ -388,6 +438,11 @@ SELECT user_id, ts, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1"""
 
+ORACLES["replica_refreshed"] = """
+SELECT user_id, ts, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events) WHERE rn = 1 AND event_type IS DISTINCT FROM 'error'"""
+
 ORACLES["down_from_status"] = oracle_prefix("machine_status") + "," + """
 d AS (""" + LATEST_STATUS_DOWN + ")\nSELECT machine_id FROM d"
 
@@ -402,8 +457,7 @@ tot AS (SELECT CAST(max(hi) AS BIGINT) AS total FROM cum),
 o AS (SELECT 'ORD-' || CAST(o_orderkey + 2000 AS VARCHAR) AS order_id FROM orders),
 o2 AS (
   SELECT order_id,
-         CAST(floor(CAST(('0x' || substr(md5('42|part|' || order_id), 1, 6))::BIGINT * total
-                         AS DOUBLE) / 16777216) AS BIGINT) AS target,
+         ('0x' || substr(md5('42|part|' || order_id), 1, 15))::BIGINT % total AS target,
          ('0x' || substr(md5('42|customer|' || order_id), 1, 8))::BIGINT AS h_cust,
          ('0x' || substr(md5('42|quantity|' || order_id), 1, 8))::BIGINT AS h_qty,
          ('0x' || substr(md5('42|due|' || order_id), 1, 8))::BIGINT AS h_due
@@ -434,5 +488,7 @@ LEFT JOIN custs c ON c.pool = ch.pool AND c.idx = 1 + ch.h_cust % s.n"""
 ORACLES["assigned_enriched_sql"] = ORACLES["assigned_enriched"]
 
 ORACLES["scored_routes_sorted"] = with_cands() + """
-SELECT order_id, machine_id, CAST(margin_cents * conf_pct AS DOUBLE) / 10000 AS profit_score
-FROM cands ORDER BY profit_score DESC NULLS LAST, order_id, machine_id"""
+SELECT order_id, machine_id, profit_score,
+       row_number() OVER (ORDER BY profit_score DESC NULLS LAST, order_id, machine_id) AS position
+FROM (SELECT order_id, machine_id, CAST(margin_cents * conf_pct AS DOUBLE) / 10000 AS profit_score
+      FROM cands)"""

@@ -12,13 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrun.operators import routes
+from millrun.operators import ranking, routes
+from millrun.session import Scratch
 from millrun.sources import fixtures as fx
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 PLANNING_DAYS = 28
 SCENARIO_DOWN = ["M-0003", "M-0010"]
+RETIRED = ["M-0004", "M-0011", "M-0018"]
 
 
 def query(name: str):
@@ -32,6 +34,14 @@ def _cands(spark, d):
     return routes.candidate_routes(fx.backlog(spark, d), fx.machines(spark, d))
 
 
+def _by_order(spark, d):
+    return routes.order_routes(fx.backlog(spark, d), fx.machines(spark, d))
+
+
+def _labeled(spark, d):
+    return routes.label_orders(_by_order(spark, d))
+
+
 # ---- scans and projections -------------------------------------------------
 
 @query("scan_machines")
@@ -61,7 +71,7 @@ def route_features(spark, d):
 
 @query("labeled_routes")
 def labeled_routes(spark, d):
-    return routes.labeled_output(routes.label_routes(_cands(spark, d)))
+    return routes.labeled_output(_labeled(spark, d))
 
 
 @query("feature_matrix")
@@ -71,17 +81,17 @@ def feature_matrix(spark, d):
 
 @query("training_rows")
 def training_rows(spark, d):
-    return routes.training_rows(routes.label_routes(_cands(spark, d)))
+    return routes.training_rows(_labeled(spark, d))
 
 
 @query("training_shape")
 def training_shape(spark, d):
-    return routes.training_shape(routes.training_rows(routes.label_routes(_cands(spark, d))))
+    return routes.training_shape(routes.training_rows(_labeled(spark, d)))
 
 
 @query("input_example")
 def input_example(spark, d):
-    rows = routes.label_routes(_cands(spark, d)).select(*routes.FEATURE_COLUMNS, routes.TARGET,
+    rows = _labeled(spark, d).select(*routes.FEATURE_COLUMNS, routes.TARGET,
                                                         "order_id")
     return routes.input_example(rows).drop("order_id")
 
@@ -116,11 +126,7 @@ def _plan(spark, d, days=PLANNING_DAYS, down=None, **kw):
 
 @query("order_priority")
 def order_priority(spark, d):
-    s = _scored(spark, d)
-    return s.groupBy("part_category", "order_id").agg(
-        F.max("profit_score").alias("max_profit_score"),
-        F.min("promised_date").alias("min_due"),
-        F.min("processing_hours").alias("min_hours"))
+    return routes.route_priority(_by_order(spark, d))
 
 
 @query("order_rank")
@@ -130,7 +136,7 @@ def order_rank(spark, d):
 
 @query("candidate_preference")
 def candidate_preference(spark, d):
-    return greedy.candidate_preference(_scored(spark, d))
+    return routes.route_preference(_by_order(spark, d))
 
 
 @query("candidates_machine_down")
@@ -150,6 +156,27 @@ def candidates_unknown_machine(spark, d):
                     (hours >= F.col("processing_hours")).alias("fits_empty_machine"))
 
 
+@query("candidates_retired_machines")
+def candidates_retired_machines(spark, d):
+    """Candidates against a catalog that lacks some of their machines: those have no hours."""
+    kept = fx.machines(spark, d).filter(~F.col("machine_id").isin(*RETIRED))
+    cap = kpi.machine_capacity(kept, PLANNING_DAYS)
+    c = _scored(spark, d).join(cap, "machine_id", "left")
+    hours = F.coalesce(F.col("capacity_hours"), F.lit(0.0))
+    return c.select("order_id", "machine_id", hours.alias("capacity_hours"),
+                    (hours >= F.col("processing_hours")).alias("fits_empty_machine"))
+
+
+@query("greedy_plan_spanning")
+def greedy_plan_spanning(spark, d):
+    """Every fifth machine has a second capability, so orders and machines span categories."""
+    machines = fx.machines(spark, d)
+    second = fx.second_capabilities(spark, d)
+    cands = routes.scored_routes(routes.candidate_routes(
+        fx.backlog(spark, d), machines.unionByName(second)))
+    return greedy.greedy_assign_priority(cands, machines, PLANNING_DAYS).assigned
+
+
 @query("greedy_plan")
 def greedy_plan(spark, d):
     return _plan(spark, d).assigned
@@ -157,8 +184,8 @@ def greedy_plan(spark, d):
 
 @query("greedy_plan_rounds")
 def greedy_plan_rounds(spark, d):
-    """Same plan through the DataFrame-only rounds strategy (the path for huge components)."""
-    return _plan(spark, d, strategy="rounds").assigned
+    """The same plan cut into many more priority buckets, so into other rounds."""
+    return _plan(spark, d, buckets=400).assigned
 
 
 @query("remaining_capacity")
@@ -250,12 +277,8 @@ def assigned_order_ids(spark, d):
 
 from millrun.operators import model as mdl  # noqa: E402
 
-VERIFY_TREES = 20  # the reference trains 200 trees; the registered queries use fewer
-
-
 def _training_rows(spark, d):
-    labeled = routes.label_routes(_cands(spark, d))
-    return labeled.select(*routes.FEATURE_COLUMNS, routes.TARGET, "order_id").dropna(how="any")
+    return _labeled(spark, d).select(*routes.FEATURE_COLUMNS, routes.TARGET, "order_id").dropna(how="any")
 
 
 @query("split_counts")
@@ -265,7 +288,7 @@ def split_counts(spark, d):
 
 
 def _trained(spark, d):
-    return mdl.train(_training_rows(spark, d), num_trees=VERIFY_TREES)
+    return mdl.train(_training_rows(spark, d))
 
 
 @query("route_model_scores")
@@ -278,8 +301,49 @@ def route_model_scores(spark, d):
 @query("model_accuracy")
 def model_accuracy(spark, d):
     t = _trained(spark, d)
-    return spark.createDataFrame([(t.test_accuracy, t.params["n_estimators"])],
-                                 "test_accuracy double, n_estimators int")
+    return spark.createDataFrame([(t.test_accuracy, t.params["numTrees"])],
+                                 "test_accuracy double, num_trees int")
+
+
+@query("split_rows")
+def split_rows(spark, d):
+    """Which rows the split holds out."""
+    return mdl.stratified_split(_training_rows(spark, d)).select("order_id", "machine_id",
+                                                                 "is_test")
+
+
+@query("model_checks")
+def model_checks(spark, d):
+    """Scores of all candidates: how many, how many wrong, and whether the model beats a guess."""
+    trained = _trained(spark, d)
+    scored = mdl.score(trained.model, _cands(spark, d))
+    wrong = F.abs(F.col("profit_score") - F.col("p_best") * F.col("margin")) > 1e-9
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(~F.col("p_best").between(0, 1) | F.col("p_best").isNull(), 1))
+        .alias("n_out_of_range"),
+        F.count(F.when(wrong, 1)).alias("n_wrong_scores")).withColumn(
+        "beats_majority", F.lit(trained.test_accuracy >= trained.majority_share))
+
+
+@query("model_plan_checks")
+def model_plan_checks(spark, d):
+    """The plan on the model's scores: every count is a broken promise of the planner."""
+    machines = fx.machines(spark, d)
+    scored = Scratch(spark, "scored").write(
+        mdl.score(_trained(spark, d).model, _cands(spark, d)), "scored")
+    res = greedy.greedy_assign_priority(scored, machines, PLANNING_DAYS)
+    keys = ["order_id", "machine_id"]
+    left = res.remaining.withColumnRenamed("remaining_hours", "left_hours")
+    open_orders = scored.join(res.assigned.select("order_id"), "order_id", "left_anti")
+
+    def count(df, name):
+        return df.agg(F.count(F.lit(1)).alias(name))
+    return (count(res.assigned.groupBy("order_id").count().filter("count > 1"), "n_twice")
+            .join(count(left.filter("left_hours < 0"), "n_overfull"))
+            .join(count(res.assigned.join(scored, keys, "left_anti"), "n_not_candidates"))
+            .join(count(open_orders.join(left, "machine_id")
+                        .filter("processing_hours <= left_hours"), "n_left_though_fitting")))
 
 
 @query("latest_version")
@@ -301,7 +365,8 @@ SYNC_CUTOFF = "2024-01-15 00:00:00"
 
 @query("override_history")
 def override_history(spark, d):
-    return ov.history(fx.override_requests(spark, d))
+    """Overrides with their place in the list, newest first."""
+    return ranking.positions(ov.history(fx.override_requests(spark, d)), ov.newest_first())
 
 
 @query("override_display")
@@ -343,6 +408,19 @@ def synced_upsert(spark, d):
                          ["ts", "event_id"])
 
 
+@query("replica_refreshed")
+def replica_refreshed(spark, d):
+    """The feed with deletes, refreshed as a stream in three batches that hold late rows."""
+    scratch = Scratch(spark, "feed")
+    feed = fx.change_feed(spark, d).withColumn("deleted", F.col("event_type") == "error")
+    third = F.pmod(F.col("event_id") * 7, F.lit(3))
+    for k in (2, 0, 1):
+        feed.filter(third == k).coalesce(1).write.parquet(scratch.path(f"changes/b{k}"))
+    replica.refresh(spark, scratch.path("changes/*"), feed.schema, scratch.path("replica"),
+                    ["user_id"], ["ts", "event_id"], "deleted", max_files_per_trigger=1)
+    return replica.read_replica(spark, scratch.path("replica"))
+
+
 @query("down_from_status")
 def down_from_status(spark, d):
     return scenario.down_from_status(fx.machine_status(spark, d))
@@ -381,11 +459,11 @@ def assigned_enriched_sql(spark, d):
     cands = routes.scored_routes(routes.candidate_routes(backlog, m))
     plan = greedy.greedy_assign_priority(cands, m, PLANNING_DAYS).assigned
     dashboard.register_views(m, cands, backlog, plan)
-    return dashboard.sql_query(spark, dashboard.ENRICHED_SQL)
+    return spark.sql(dashboard.ENRICHED_SQL)
 
 
 @query("scored_routes_sorted")
 def scored_routes_sorted(spark, d):
     """Scored candidates in display order (highest planning score first)."""
-    return dashboard.sorted_by_score(_scored(spark, d)).select(
-        "order_id", "machine_id", "profit_score")
+    return ranking.positions(_scored(spark, d).select("order_id", "machine_id", "profit_score"),
+                             dashboard.best_first())

@@ -7,14 +7,14 @@ import __spark_entry__ as E
 from conftest import SMALL
 from tools_oracle import compare
 
-SKIP = {"route_model_scores", "model_accuracy"}  # rows-only (learned model)
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-              "events"]:
+    for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     return c
 
@@ -26,11 +26,12 @@ def test_query_matches_sql(spark, con, name):
     assert ok, detail
 
 
-def test_every_query_registered_runs(spark):
-    for name in sorted(set(E.queries()) - set(E.oracle_sql())):
-        if name in SKIP:
-            continue
-        E.queries()[name](spark, SMALL).count()
+def test_model_queries_score_every_candidate(spark):
+    qs = E.queries()
+    scores = qs["route_model_scores"](spark, SMALL)
+    assert scores.count() == qs["candidate_routes"](spark, SMALL).count()
+    row = qs["model_accuracy"](spark, SMALL).first()
+    assert 0.5 < row["test_accuracy"] <= 1 and row["num_trees"] == 200
 
 
 def test_entry_smoke(spark):
