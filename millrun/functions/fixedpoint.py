@@ -29,9 +29,9 @@ def keyed_u32(seed: int, *keys: Column) -> Column:
 
 def need_micro_hours(runtime_uh: Column, quantity: Column, eff_pct: Column) -> Column:
     """runtime x quantity / efficiency, rounded half up to micro-hours."""
-    num = runtime_uh * quantity.cast("bigint") * 100 + F.floor(eff_pct / 2).cast("bigint")
-    # floor of a double quotient is exact for integer operands below 2**53
-    return F.when(eff_pct > 0, F.floor(num / eff_pct).cast("bigint"))
+    eff = eff_pct.cast("bigint")
+    num = runtime_uh * quantity.cast("bigint") * 100 + F.call_function("div", eff, F.lit(2))
+    return F.when(eff > 0, F.call_function("div", num, F.when(eff > 0, eff)))
 
 
 def confidence_pct(u32: Column, eff_pct: Column) -> Column:

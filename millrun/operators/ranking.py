@@ -17,6 +17,25 @@ from pyspark.sql import functions as F
 from millrun.session import Scratch
 
 
+BUCKET_ROWS = 500_000  # rows in a range, about: what one window holds
+
+
+def _bucketed(df: DataFrame, buckets: int | None, scratch: Scratch,
+              name: str) -> tuple[DataFrame, int]:
+    """``df``, and how many ranges to cut it into (from its row count, written first)."""
+    if buckets:
+        return df, buckets
+    stored = scratch.write(df, name)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored, max(least, stored.count() // BUCKET_ROWS + 1)
+
+
+def positions(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """``df`` with each row's 1-based place along a unique ``order``."""
+    return dense_rank(df.withColumn("_all", F.lit(1)), ["_all"], order, df.columns, out).drop(
+        "_all", "rid")
+
+
 def range_ids(df: DataFrame, order: Sequence[Column], buckets: int,
               keep: Sequence[str]) -> DataFrame:
     """``keep`` columns + ``rid``: increasing along ``order``; ``rid >> 33`` is the range."""
@@ -48,9 +67,8 @@ def dense_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     ``order`` must make rows unique within a group (add a key as last tie-break).
     The numbered rows are written once so the range assignment is fixed.
     """
-    spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = scratch or Scratch(spark, "rank")
+    scratch = scratch or Scratch(df.sparkSession, "rank")
+    df, buckets = _bucketed(df, buckets, scratch, f"rows_{out}")
     full_order = [F.col(c).asc_nulls_last() for c in group] + list(order)
     ided = scratch.write(range_ids(df, full_order, buckets, list(dict.fromkeys([*group, *keep]))),
                          f"ids_{out}")
@@ -65,9 +83,8 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str, keep: Sequ
     Sum inside each range of the order plus the totals of all earlier ranges
     (one row per range).
     """
-    spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scratch = scratch or Scratch(spark, "cumsum")
+    scratch = scratch or Scratch(df.sparkSession, "cumsum")
+    df, buckets = _bucketed(df, buckets, scratch, f"rows_{out}")
     ided = scratch.write(range_ids(df, list(order), buckets,
                                    list(dict.fromkeys([*keep, value]))), f"ids_{out}")
     b = ided.withColumn("_bucket", F.shiftright(F.col("rid"), 33))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrun.functions.fixedpoint import (MICRO, confidence_pct, keyed_u32,
                                           need_micro_hours, to_units)
-from millrun.operators.sizing import broadcast_if_small
 
 SEED = 42
 
@@ -18,6 +17,9 @@ CANDIDATE_COLUMNS = [
     "processing_hours", "margin", "base_confidence",
 ]
 
+MACHINE_COLUMNS = ["machine_id", "machine_name", "capability", "daily_capacity_hours",
+                   "efficiency_factor", "is_operational"]
+
 FEATURE_COLUMNS = [
     "part_category", "machine_id", "estimated_runtime_hours", "quantity", "margin",
     "processing_hours", "daily_capacity_hours", "efficiency_factor", "base_confidence",
@@ -27,57 +29,92 @@ NUMERIC_FEATURES = [c for c in FEATURE_COLUMNS if c not in CATEGORICAL_FEATURES]
 TARGET = "is_best"
 
 
-def candidate_routes(orders: DataFrame, machines: DataFrame, seed: int = SEED,
-                     keep_units: bool = True) -> DataFrame:
-    """Expand each order to every machine whose capability equals its category.
+def order_routes(orders: DataFrame, machines: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row per order and category: its columns and ``routes``, an array of its machines.
 
-    The machine catalog is a dimension; it is broadcast when its row count is
-    within the checked bound, else the join shuffles on the category key.
-    Besides the reference columns the result keeps the integer forms
-    ``need_uh`` (micro-hours), ``margin_cents`` and ``conf_pct``.
+    The machines of a capability are one array (as many rows as capabilities), so an
+    order's candidates are made, scored and ranked inside its row: no exchange beyond the
+    join, and none of expanded rows. Where that table is too large to broadcast, Spark
+    splits a category that holds a large share of the orders (both sides are exchanges).
+    A route holds the candidate columns and the integer forms ``need_uh`` (micro-hours),
+    ``margin_cents``, ``conf_pct`` and ``score_units``.
     """
-    m = broadcast_if_small(machines.select(
-        "machine_id", "machine_name", "capability", "daily_capacity_hours",
-        "efficiency_factor", "is_operational"))
+    capable = machines.groupBy("capability").agg(F.sort_array(F.collect_list(F.struct(
+        "machine_id", "machine_name", "capability", "daily_capacity_hours", "efficiency_factor",
+        "is_operational"))).alias("machines"))
     o = orders.select(
         "order_id", "part_id", F.col("category").alias("part_category"), "customer_name",
         "quantity", "promised_date", "sale_price", "material_cost", "estimated_runtime_hours")
-    c = o.join(m, o.part_category == m.capability, "inner")
-
-    eff_pct = to_units(F.col("efficiency_factor"), 100)
-    runtime_uh = to_units(F.col("estimated_runtime_hours"), MICRO)
-    price_c = to_units(F.col("sale_price"), 100)
-    cost_c = to_units(F.col("material_cost"), 100)
-    u32 = keyed_u32(seed, F.col("order_id"), F.col("machine_id"))
-    c = (c.withColumn("need_uh", need_micro_hours(runtime_uh, F.col("quantity"), eff_pct))
-          .withColumn("margin_cents", (price_c - cost_c) * F.col("quantity").cast("bigint"))
-          .withColumn("conf_pct", confidence_pct(u32, eff_pct))
-          .withColumn("processing_hours", F.col("need_uh").cast("double") / MICRO)
-          .withColumn("margin", F.col("margin_cents").cast("double") / 100)
-          .withColumn("base_confidence", F.col("conf_pct").cast("double") / 100))
-    cols = CANDIDATE_COLUMNS + (["need_uh", "margin_cents", "conf_pct"] if keep_units else [])
-    return c.select(*cols)
+    o = o.join(capable, o.part_category == capable.capability, "inner").drop("capability")
+    margin = ((to_units(F.col("sale_price"), 100) - to_units(F.col("material_cost"), 100))
+              * F.col("quantity").cast("bigint"))
+    runtime = to_units(F.col("estimated_runtime_hours"), MICRO)
+
+    def route(m):
+        eff = to_units(m["efficiency_factor"], 100)
+        need = need_micro_hours(runtime, F.col("quantity"), eff)
+        conf = confidence_pct(keyed_u32(seed, F.col("order_id"), m["machine_id"]), eff)
+        return F.struct(
+            *[m[c].alias(c) for c in MACHINE_COLUMNS],
+            (need.cast("double") / MICRO).alias("processing_hours"),
+            (margin.cast("double") / 100).alias("margin"),
+            (conf.cast("double") / 100).alias("base_confidence"),
+            need.alias("need_uh"), margin.alias("margin_cents"), conf.alias("conf_pct"),
+            (margin * conf).alias("score_units"))
 
+    return o.withColumn("routes", F.transform("machines", route)).drop("machines")
 
-def historical_score(cands: DataFrame) -> DataFrame:
-    """profit_score = margin x base_confidence (historical meaning), exact via integers."""
-    return (cands.withColumn("score_units", F.col("margin_cents") * F.col("conf_pct"))
-                 .withColumn("profit_score", F.col("score_units").cast("double") / 10000))
 
+def _expand(by_order: DataFrame) -> DataFrame:
+    return by_order.select(*[c for c in by_order.columns if c != "routes"], F.inline("routes"))
 
-def label_routes(cands: DataFrame) -> DataFrame:
-    """is_best = 1 for the top historical score of each order (ties -> lowest machine_id).
 
-    The window is keyed by order_id: a group is one order's candidates, bounded
-    by the machines of one capability, so no group can hold a hot share of rows.
+def candidate_routes(orders: DataFrame, machines: DataFrame, seed: int = SEED,
+                     keep_units: bool = True) -> DataFrame:
+    """Expand each order to every machine whose capability equals its category.
+
+    Besides the candidate columns the result keeps the integer forms
+    ``need_uh`` (micro-hours), ``margin_cents`` and ``conf_pct``.
     """
-    scored = historical_score(cands)
-    w = Window.partitionBy("order_id").orderBy(
-        F.desc_nulls_last("score_units"), F.asc_nulls_last("machine_id"))
-    labeled = (scored.withColumn("_rank", F.row_number().over(w))
-                     .withColumn("is_best", F.when(F.col("_rank") == 1, F.lit(1)).otherwise(F.lit(0)))
-                     .drop("_rank"))
-    return labeled
+    cols = CANDIDATE_COLUMNS + (["need_uh", "margin_cents", "conf_pct"] if keep_units else [])
+    return _expand(order_routes(orders, machines, seed)).select(*cols)
+
+
+def _best_first(route):
+    """Order of routes by planning score, need and machine."""
+    s = route["score_units"]
+    return F.struct(s.isNull().alias("no_score"), (-s).alias("down"),
+                    route["need_uh"].isNull().alias("no_need"), route["need_uh"].alias("need"),
+                    route["machine_id"].alias("machine_id"))
+
+
+def label_orders(by_order: DataFrame) -> DataFrame:
+    """Labelled candidates of :func:`order_routes`: 1 for the top historical score of an order
+    (ties: lowest machine_id)."""
+    best = F.array_min(F.transform("routes", lambda r: F.struct(
+        r["score_units"].isNull().alias("no_score"), (-r["score_units"]).alias("down"),
+        r["machine_id"].alias("machine_id"))))
+    rows = _expand(by_order.withColumn("best", best["machine_id"]))
+    return (rows.withColumn("profit_score", F.col("score_units").cast("double") / 10000)
+            .withColumn("is_best", F.col("machine_id").eqNullSafe(F.col("best")).cast("int"))
+            .drop("best"))
+
+
+def route_preference(by_order: DataFrame) -> DataFrame:
+    """Preference rank of each route inside its order (O3)."""
+    ranked = F.posexplode(F.sort_array(F.transform("routes", _best_first)))
+    return by_order.select("order_id", ranked.alias("at", "r")).select(
+        "order_id", "r.machine_id", (F.col("at") + 1).cast("bigint").alias("pref_rank"))
+
+
+def route_priority(by_order: DataFrame) -> DataFrame:
+    """Priority keys of each order (A1): best score, due date and least hours of its routes."""
+    return by_order.select(
+        "part_category", "order_id",
+        F.array_max(F.transform("routes", lambda r: r["score_units"].cast("double") / 10000))
+        .alias("max_profit_score"),
+        F.col("promised_date").alias("min_due"),
+        F.array_min("routes.processing_hours").alias("min_hours"))
 
 
 def labeled_output(labeled: DataFrame) -> DataFrame:

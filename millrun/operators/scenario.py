@@ -13,19 +13,25 @@ ENRICH_COLUMNS = ["part_id", "category", "customer_name", "quantity"]
 VIEW_COLUMNS = ["order_id", "machine_id", "part_id", "category", "customer_name", "quantity"]
 
 
-def assert_unique_key(df: DataFrame, key: str | Sequence[str]) -> None:
-    """Raise when ``key`` repeats (a left join on it would fan out and inflate sums)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    dup = df.groupBy(*keys).count().filter(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"duplicate key {keys}: {dup[0].asDict()}")
+def unique_rows(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key`` and ``columns``, one row a key; the query fails where a key repeats.
+
+    The check is part of the plan (an aggregate on the key that a join on it needs
+    anyway), so nothing runs before the result is asked for.
+    """
+    row = F.struct(*columns)
+    once = F.when(F.col("n") > 1, F.raise_error(F.concat(
+        F.lit(f"duplicate {key}: "), F.col(key).cast("string"))).cast(
+            df.select(row.alias("r")).schema["r"].dataType)).otherwise(F.col("r"))
+    return (df.groupBy(key).agg(F.min(row).alias("r"), F.count(F.lit(1)).alias("n"))
+            .select(key, once.alias("r")).select(key, "r.*"))
 
 
 def enrich(plan: DataFrame, backlog: DataFrame, validate: bool = True) -> DataFrame:
     """plan LEFT JOIN backlog on order_id (J2 / J3), backlog key checked unique."""
-    if validate:
-        assert_unique_key(backlog, "order_id")
-    return plan.join(backlog.select("order_id", *ENRICH_COLUMNS), "order_id", "left")
+    right = unique_rows(backlog, "order_id", ENRICH_COLUMNS) if validate else \
+        backlog.select("order_id", *ENRICH_COLUMNS)
+    return plan.join(right, "order_id", "left")
 
 
 def assigned_view(enriched: DataFrame) -> DataFrame:

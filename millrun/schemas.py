@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -12,97 +14,89 @@ def _f(name: str, dtype: T.DataType, comment: str) -> T.StructField:
 S, D, I, B = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
 
 MACHINES = T.StructType([
-    _f("machine_id", S, "Unique machine identifier"),
-    _f("machine_name", S, "Descriptive name of the machine"),
-    _f("capability", S, "Part category the machine can process"),
-    _f("daily_capacity_hours", D, "Available production hours per day"),
-    _f("efficiency_factor", D, "Relative processing efficiency (1.0 = baseline)"),
-    _f("is_operational", B, "Indicates if the machine is currently operational"),
+    _f("machine_id", S, "key"),
+    _f("machine_name", S, "label for people"),
+    _f("capability", S, "the one category it makes"),
+    _f("daily_capacity_hours", D, "hours a day it can be planned for"),
+    _f("efficiency_factor", D, "divides an order's runtime; 1 is nominal"),
+    _f("is_operational", B, "false while out of service"),
 ])
 
 PARTS = T.StructType([
-    _f("part_id", S, "Unique part identifier"),
-    _f("part_name", S, "Part description or name"),
-    _f("category", S, "Part type or category"),
-    _f("material_cost", D, "Material cost per unit"),
-    _f("default_price", D, "Selling price per unit"),
-    _f("estimated_runtime_hours", D, "Baseline estimated runtime (hours) per unit"),
+    _f("part_id", S, "key"),
+    _f("part_name", S, "label for people"),
+    _f("category", S, "matched with machine capabilities"),
+    _f("material_cost", D, "spent on one unit"),
+    _f("default_price", D, "earned by one unit"),
+    _f("estimated_runtime_hours", D, "one unit on a nominal machine"),
 ])
 
 ORDERS_BACKLOG = T.StructType([
-    _f("order_id", S, "Unique order identifier"),
-    _f("part_id", S, "Part being ordered"),
-    _f("category", S, "Part category (joins to parts.category)"),
-    _f("customer_name", S, "Customer placing the order"),
-    _f("quantity", I, "Units ordered"),
-    _f("promised_date", T.DateType(), "Promised delivery date"),
-    _f("sale_price", D, "Sale price per unit"),
-    _f("material_cost", D, "Material cost per unit"),
-    _f("estimated_runtime_hours", D, "Baseline runtime per unit (hours)"),
+    _f("order_id", S, "key, one row each"),
+    _f("part_id", S, "what is made"),
+    _f("category", S, "of the part"),
+    _f("customer_name", S, "who gets it"),
+    _f("quantity", I, "how many"),
+    _f("promised_date", T.DateType(), "due day"),
+    _f("sale_price", D, "earned by one unit"),
+    _f("material_cost", D, "spent on one unit"),
+    _f("estimated_runtime_hours", D, "one unit on a nominal machine"),
 ])
 
 CANDIDATE_ROUTES = T.StructType([
-    _f("order_id", S, "Unique order identifier"),
-    _f("part_id", S, "Part being manufactured"),
-    _f("part_category", S, "Part category"),
-    _f("customer_name", S, "Customer placing the order"),
-    _f("quantity", I, "Units ordered"),
-    _f("promised_date", T.DateType(), "Promised delivery date"),
-    _f("sale_price", D, "Sale price per unit"),
-    _f("material_cost", D, "Material cost per unit"),
-    _f("estimated_runtime_hours", D, "Baseline runtime (hours) per unit"),
-    _f("machine_id", S, "Candidate machine ID for this order"),
-    _f("machine_name", S, "Descriptive name of candidate machine"),
-    _f("capability", S, "Machine capability (category match)"),
-    _f("daily_capacity_hours", D, "Machine's available hours per day"),
-    _f("efficiency_factor", D, "Machine efficiency (higher = faster)"),
-    _f("is_operational", B, "Current operational status of the machine"),
-    _f("processing_hours", D, "Estimated total hours required on this machine"),
-    _f("margin", D, "Profit margin for the order (price - cost) x quantity"),
-    _f("base_confidence", D, "Synthetic historical confidence score (0-1)"),
+    _f("order_id", S, "with machine_id the key"),
+    _f("part_id", S, "what is made"),
+    _f("part_category", S, "equals capability"),
+    _f("customer_name", S, "who gets it"),
+    _f("quantity", I, "how many"),
+    _f("promised_date", T.DateType(), "due day"),
+    _f("sale_price", D, "earned by one unit"),
+    _f("material_cost", D, "spent on one unit"),
+    _f("estimated_runtime_hours", D, "one unit on a nominal machine"),
+    _f("machine_id", S, "a machine that can make the order"),
+    _f("machine_name", S, "label for people"),
+    _f("capability", S, "equals part_category"),
+    _f("daily_capacity_hours", D, "hours a day it can be planned for"),
+    _f("efficiency_factor", D, "divides the runtime"),
+    _f("is_operational", B, "false while out of service"),
+    _f("processing_hours", D, "runtime x quantity / efficiency"),
+    _f("margin", D, "(sale_price - material_cost) x quantity"),
+    _f("base_confidence", D, "0.01 to 0.99, drawn by order and machine"),
 ])
 
 HISTORICAL_ROUTES_LABELED = T.StructType(list(CANDIDATE_ROUTES.fields) + [
-    _f("profit_score", D, "Synthetic performance score (margin x base_confidence)"),
-    _f("is_best", I, "Label: 1 if this was the best (historical) machine, else 0"),
+    _f("profit_score", D, "margin x base_confidence"),
+    _f("is_best", I, "1 on the order's row with the top profit_score"),
 ])
 
 MACHINE_STATUS = T.StructType([
-    _f("machine_id", S, "Unique machine identifier"),
-    _f("machine_name", S, "Descriptive name of the machine"),
-    _f("status", S, "Current status of the machine (up, down, ...)"),
-    _f("reported_at", T.TimestampType(), "Timestamp of the last status update"),
+    _f("machine_id", S, "whose report"),
+    _f("machine_name", S, "label for people"),
+    _f("status", S, "down, or anything else"),
+    _f("reported_at", T.TimestampType(), "newest report counts"),
 ])
 
 ASSIGNED_PLAN = T.StructType([
-    _f("order_id", S, "Assigned order"),
-    _f("machine_id", S, "Machine the order is routed to"),
-    _f("profit", D, "Margin of the order"),
-    _f("p_best", D, "Probability the machine is the best route"),
-    _f("processing_hours", D, "Hours the order takes on the machine"),
-    _f("profit_score", D, "Planning score (p_best x margin)"),
-    _f("base_confidence", D, "Historical route confidence"),
+    _f("order_id", S, "planned once"),
+    _f("machine_id", S, "where it is made"),
+    _f("profit", D, "its margin"),
+    _f("p_best", D, "score that it was planned by"),
+    _f("processing_hours", D, "taken from the machine's capacity"),
+    _f("profit_score", D, "p_best x margin"),
+    _f("base_confidence", D, "as in the candidates"),
 ])
 
 REMAINING_CAPACITY = T.StructType([
-    _f("machine_id", S, "Machine"),
-    _f("remaining_hours", D, "Capacity left after the plan"),
-])
-
-KPIS = T.StructType([
-    _f("expected_profit", D, "Sum of assigned margins"),
-    _f("expected_ontime_deliveries", D, "Sum of p_best over the plan"),
-    _f("factory_oee", D, "availability x mean p_best x quality"),
-    _f("factory_capacity_utilization", D, "min(used / capacity, 1)"),
-    _f("expected_orders_completed", T.LongType(), "Distinct assigned orders"),
+    _f("machine_id", S, "key"),
+    _f("remaining_hours", D, "not planned; 0 for a machine that is down"),
 ])
 
 ASSIGNMENT_OVERRIDES = T.StructType([
-    _f("order_id", S, "Order whose machine is overridden"),
-    _f("machine_id", S, "Machine chosen by the planner"),
-    _f("assigned_by", S, "User who saved the override"),
-    _f("assigned_at", T.TimestampType(), "Server time of the override"),
-    _f("notes", S, "Free-text reason"),
+    _f("order_id", S, "which order moves"),
+    _f("machine_id", S, "where to"),
+    _f("assigned_by", S, "who asked"),
+    _f("assigned_at", T.TimestampType(), "when it was saved"),
+    _f("notes", S, "why"),
 ])
 
 MODEL_REGISTRY = T.StructType([
@@ -116,6 +110,12 @@ MODEL_REGISTRY = T.StructType([
 ])
 
 
+def conform(df: DataFrame, schema: T.StructType, *before: str) -> DataFrame:
+    """``df`` as the declared columns (types and comments), after the columns ``before``."""
+    return df.select(*before, *[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)
+                                for f in schema.fields])
+
+
 def ddl(schema: T.StructType) -> str:
     """``CREATE TABLE`` column list with comments for a StructType."""
     cols = []

@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrun import schemas
+from millrun.schemas import conform
+
 # The six part types of the test tables, in the order machine
 # capability is assigned by n_nationkey % 6.
 CAPABILITIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -40,18 +43,30 @@ def order_id_of(key: Column) -> Column:
 def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     caps = F.array(*[F.lit(c) for c in CAPABILITIES])
-    return read(spark, sf_dir, "nation").select(
+    return conform(read(spark, sf_dir, "nation").select(
         machine_id_of(k).alias("machine_id"),
         F.col("n_name").alias("machine_name"),
         F.element_at(caps, (F.pmod(k, F.lit(6)) + 1).cast("int")).alias("capability"),
         ((F.lit(20) + F.pmod(k, F.lit(9))).cast("double") / 2).alias("daily_capacity_hours"),
         ((F.lit(85) + F.pmod(k, F.lit(4)) * 5).cast("double") / 100).alias("efficiency_factor"),
         F.lit(True).alias("is_operational"),
-    )
+    ), schemas.MACHINES)
+
+
+def second_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth machine again, with the capability after its own."""
+    k = F.col("n_nationkey")
+    caps = F.array(*[F.lit(c) for c in CAPABILITIES])
+    keys = read(spark, sf_dir, "nation").filter(F.pmod(k, F.lit(5)) == 0).select(
+        machine_id_of(k).alias("machine_id"),
+        F.element_at(caps, (F.pmod(k + 1, F.lit(6)) + 1).cast("int")).alias("second"))
+    own = machines(spark, sf_dir)
+    return own.join(keys, "machine_id").withColumn("capability", F.col("second")).select(
+        *own.columns)
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _keyed_parts(spark, sf_dir).drop("p_partkey")
+    return conform(_keyed_parts(spark, sf_dir), schemas.PARTS)
 
 
 def _keyed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +97,7 @@ def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
     p = _keyed_parts(spark, sf_dir)
-    return (
+    rows = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(p, lines.l_partkey == p.p_partkey)
         .join(cust, F.col("o_custkey") == cust.c_custkey)
@@ -98,6 +113,7 @@ def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
             "estimated_runtime_hours",
         )
     )
+    return conform(rows, schemas.ORDERS_BACKLOG)
 
 
 def override_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

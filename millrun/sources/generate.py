@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrun.operators.ranking import dense_rank, running_total
-from millrun.operators.sizing import broadcast_if_small
 from millrun.session import Scratch
 
 SEED = 42
@@ -35,7 +34,7 @@ REFERENCE_DEALER_CATEGORIES = ("battery", "electronics")
 
 
 def draw(seed: int, purpose: str, key: Column, bits: int = 32) -> Column:
-    """Uniform integer in [0, 2**bits) from md5 of ``seed|purpose|key`` (bits 24 or 32)."""
+    """Uniform integer in [0, 2**bits) from md5 of ``seed|purpose|key`` (bits 32 or 60)."""
     text = F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), key.cast("string"))
     return F.conv(F.substring(F.md5(text), 1, bits // 4), 16, 10).cast("bigint")
 
@@ -68,16 +67,15 @@ def generate_backlog(ids: DataFrame, parts: DataFrame, customers: DataFrame,
         raise ValueError("empty parts catalog")
     width = max(1, -(-total // n_parts))
     binned = cum.withColumn("bin", F.explode(F.sequence(
-        F.floor(F.col("lo") / width).cast("bigint"),
-        F.floor((F.col("hi") - 1) / width).cast("bigint"))))
+        F.call_function("div", F.col("lo"), F.lit(width)),
+        F.call_function("div", F.col("hi") - 1, F.lit(width)))))
 
     orders = ids.select(F.concat(F.lit("ORD-"), (F.col("seq") + id_offset).cast("string"))
                         .alias("order_id"))
     orders = orders.withColumn(
-        "target", F.floor(draw(seed, "part", F.col("order_id"), 24) * total / 2 ** 24)
-        .cast("bigint"))
-    orders = orders.withColumn("bin", F.floor(F.col("target") / width).cast("bigint"))
-    chosen = (orders.join(broadcast_if_small(binned), "bin")
+        "target", F.pmod(draw(seed, "part", F.col("order_id"), 60), F.lit(total)))
+    orders = orders.withColumn("bin", F.call_function("div", F.col("target"), F.lit(width)))
+    chosen = (orders.join(binned, "bin")
                     .filter((F.col("target") >= F.col("lo")) & (F.col("target") < F.col("hi"))))
 
     dealer_cat = F.col("category").isin(list(dealer_categories))
