@@ -154,41 +154,50 @@ def _find(parent: list[int], x: int) -> int:
 
 def forest(nodes: list[int], sets: list[np.ndarray], left: list[int], right: list[int],
            joined: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Edges that span the links between members ``left`` and ``right`` of one group.
+    """Edges from each member to the first one it is linked with, by way of others or not.
 
-    Members flagged in ``joined`` are known to be linked with each other.
+    Links are looked for between the members ``left`` and ``right`` of a group; those
+    flagged in ``joined`` are known to be linked with each other.
     """
     vocabulary = np.unique(np.concatenate(sets))
     flag = np.zeros(len(vocabulary), dtype=np.int64)
     a, b = (_Sets([sets[i] for i in side], vocabulary) for side in (left, right))
-    parent, edges, first = list(range(len(nodes))), [], None
+    parent, first = list(range(len(nodes))), None
+
+    def join(i: int, j: int) -> None:
+        x, y = _find(parent, i), _find(parent, j)
+        parent[max(x, y)] = min(x, y)
+
     for i, known in enumerate(joined):
+        if i and nodes[i] == nodes[i - 1]:  # rows with equal ids
+            join(i, i - 1)
         if known:
             first = i if first is None else first
-            parent[i] = first
+            join(i, first)
     for k, i in enumerate(left):
         for j in (right[x] for x in _links(a, b, flag, k, percent)):
-            x, y = _find(parent, i), _find(parent, j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                edges.append((nodes[i], nodes[j]))
-    return edges
+            join(i, j)
+    return [(n, nodes[_find(parent, i)]) for i, n in enumerate(nodes) if parent[i] != i]
 
 
-def _texts_of(df: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
-    """``members`` with the text of their node."""
+def _texts_of(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the given nodes.
+
+    Their number grows with the documents, so they are not to be broadcast.
+    """
     texts = df.select(F.col(id_col).cast("bigint").alias("node"),
                       F.col(text_col).cast("string").alias("text")).where("node is not null")
-    return texts.join(members, "node")
+    return texts.join(nodes.select("node").hint("merge"), "node")
 
 
 def _sets_of(table: pa.Table, size: int) -> tuple[list[int], list[np.ndarray]]:
+    """Nodes, ascending, and their sets; ``table`` must be sorted by node."""
     return (table.column("node").to_pylist(),
             [shingles(t, size) for t in byte_values(table.column("text").combine_chunks())])
 
 
 def _by_cluster(table: pa.Table) -> Iterator[pa.Table]:
-    table = table.sort_by("cluster")
+    table = table.sort_by([("cluster", "ascending"), ("node", "ascending")])
     clusters = table.column("cluster").to_numpy()
     cuts = np.flatnonzero(clusters[1:] != clusters[:-1]) + 1
     for start, stop in zip([0, *cuts], [*cuts, len(clusters)]):
@@ -237,6 +246,7 @@ def _leader_likeness(members: DataFrame, size: int) -> DataFrame:
 def _tile_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the two blocks of each tile (or inside its one block)."""
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
         nodes, sets = _sets_of(table, size)
         side = table.column("side").to_pylist()
         left = [i for i, s in enumerate(side) if s <= 0 and len(sets[i])]
@@ -249,17 +259,15 @@ def _tile_links(members: DataFrame, size: int, percent: int) -> DataFrame:
     return members.groupBy("tile").applyInArrow(run, "a bigint, b bigint")
 
 
-def _large_links(df: DataFrame, id_col: str, text_col: str, large: DataFrame, scratch: Scratch,
-                 size: int, percent: int, block: int) -> DataFrame:
+def _large_links(texts: DataFrame, large: DataFrame, scratch: Scratch, size: int, percent: int,
+                 block: int) -> DataFrame:
     """Links inside clusters of more than ``block`` nodes (node, cluster, n)."""
-    chunks = F.ceil(F.col("n") / block).cast("int")
     spread = large.where("node <> cluster").select(
-        "node", "cluster", F.expr("pmod(xxhash64(node), n div {0} + 1)".format(block)).alias(
-            "chunk"))
+        "node", "cluster", F.expr(f"pmod(xxhash64(node), n div {block} + 1)").alias("chunk"))
     leaders = large.where("node = cluster").select(
-        "node", "cluster", F.explode(F.sequence(F.lit(0), chunks)).cast("bigint").alias("chunk"))
+        "node", "cluster", F.explode(F.expr(f"sequence(0L, n div {block})")).alias("chunk"))
     likeness = scratch.write(
-        _leader_likeness(_texts_of(df, id_col, text_col, spread.unionByName(leaders)), size)
+        _leader_likeness(texts.join(spread.unionByName(leaders), "node"), size)
         .groupBy("node", "cluster").agg(F.max("shared").alias("shared"),
                                         F.min("total").alias("total")), "likeness")
     linked = F.expr(f"100 * shared >= {percent} * total")
@@ -288,8 +296,7 @@ def _large_links(df: DataFrame, id_col: str, text_col: str, large: DataFrame, sc
     ).unionByName(tiles.where(~same).select(
         "cluster", F.col("other").alias("block"), "tile", F.lit(1).alias("side")))
     members = blocks.join(sides, ["cluster", "block"]).select("node", "linked", "tile", "side")
-    return star.unionByName(
-        _tile_links(_texts_of(df, id_col, text_col, members), size, percent))
+    return star.unionByName(_tile_links(texts.join(members, "node"), size, percent))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -318,17 +325,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sized = scratch.write(clusters.join(counted, "cluster"), "sized")
     totals = sized.agg(F.sum(F.when(F.col("n") <= block, 1)).alias("small"),
                        F.sum(F.when(F.col("n") > block, 1)).alias("large")).first()
-    links = df.sparkSession.createDataFrame([], "a bigint, b bigint")
-    if totals["small"]:
+    component = clusters.select("node", F.col("node").alias("component")).limit(0)
+    if totals["small"] or totals["large"]:
+        texts = scratch.write(_texts_of(df, id_col, text_col, clusters), "texts")
+    if totals["small"]:  # a cluster is compared whole, so its stars are components
         units = totals["small"] // (4 * block) + 1
         small = sized.where(F.col("n") <= block).select(
             "node", "cluster", F.expr(f"pmod(xxhash64(cluster), {units})").alias("unit"))
-        links = links.unionByName(
-            _small_links(_texts_of(df, id_col, text_col, small), size, percent))
+        component = component.unionByName(
+            _small_links(texts.join(small, "node"), size, percent).toDF("node", "component"))
     if totals["large"]:
-        links = links.unionByName(_large_links(
-            df, id_col, text_col, sized.where(F.col("n") > block), scratch, size, percent, block))
-    component = connected(scratch.write(links, "links"), scratch, "components")
+        links = _large_links(texts, sized.where(F.col("n") > block), scratch, size, percent, block)
+        component = component.unionByName(
+            connected(scratch.write(links, "links"), scratch, "components"))
+    component = component.groupBy("node").agg(F.min("component").alias("component"))
     labelled = scratch.write(
         nodes.select("set_key", "node").join(component, "node", "left")
         .select("set_key", F.coalesce("component", "node").alias("component")), "labelled")
