@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrun.llm import bpe, html, minhash, packing, quality, rules, simhash, suffix, tokens, urls
 from millrun.llm.arrow import share_package
+from millrun.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,8 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(_table(spark, sf_dir, "documents"))
+    judged = rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.drop("class_distance", "word_distance")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
-
-ORACLES: dict[str, str] = {}
