@@ -23,10 +23,11 @@ orders of every open (scenario, component):
 
 1. every order picks its first candidate that fits the machine's remaining
    capacity (capacity only shrinks, so what doesn't fit now never will);
-2. the needs are added up by machine and priority bucket (a range of the sort);
-3. where a machine overflows, its first overflowing bucket is added up row by
-   row, which gives the first order that doesn't fit;
-4. all orders before it are decided: the sequential planner makes the same
+2. the needs are added up by machine: row by row in a window that one task can
+   hold; in a longer one by priority bucket (a range of the sort), and row by
+   row only in the first bucket where a machine overflows. That gives the first
+   order that doesn't fit;
+3. all orders before it are decided: the sequential planner makes the same
    picks there. The next window starts at that order, or after the window.
 
 A round is remembered as a priority interval with the capacities it started
@@ -54,6 +55,7 @@ from millrun.session import Scratch, trace as _trace
 PAYLOAD = ["margin", "p_best", "processing_hours", "profit_score", "base_confidence"]
 BASELINE = "baseline"
 BUCKET_ROWS = 500_000   # orders in a priority bucket, about
+EXACT_ROWS = 500_000    # orders that one task adds up row by row, about
 MAX_WINDOW = 64         # buckets a round looks at, so that its sums stay few
 _BITS = 33              # a priority's bucket is its bits above these
 
@@ -218,12 +220,11 @@ def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 2
     links = (orders.select(F.col("options")[0]["machine_id"].alias("a"),
                            F.explode("options.machine_id").alias("b")).distinct().collect())
     groups = _machine_groups([(r["a"], r["b"]) for r in links])
-    if not buckets:
-        # small enough for a window over one bucket, and several to a component
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * len(groups),
-                      orders.count() // BUCKET_ROWS + 1)
+    n = orders.count()
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                             4 * len(groups), n // BUCKET_ROWS + 1)
     state = scratch.write(_state(orders, groups, buckets), "state")
-    intervals, rounds = _plan_rounds(state, cap, ids, groups)
+    intervals, rounds = _plan_rounds(state, cap, ids, groups, n // buckets)
     assigned = scratch.write(_replay(state, intervals), "assigned")
     scratch.drop("orders")
     scratch.drop("state")
@@ -288,11 +289,13 @@ def _picks(state: DataFrame, windows: list[tuple]) -> DataFrame:
                     "prio", "rem", "pick.m", "pick.need"))
 
 
-def _first_overflows(state: DataFrame, windows: list[tuple]) -> dict:
-    """Per (scenario, component): the first order that doesn't fit, and the needs before it.
+def _decide(state: DataFrame, windows: list[tuple]) -> dict:
+    """Per (scenario, component): the first order that doesn't fit (or None), and the needs
+    of all orders before it by machine.
 
-    Each window is one bucket, so its rows are bounded. Picks are made from the capacities
-    the round started with; a window's last item is what is left at the bucket's start.
+    A component's window has ``EXACT_ROWS`` orders at most, about, so one task can add it
+    up row by row. Picks are made from the capacities the round started with; a window's
+    last item is what is left where it starts.
     """
     run = F.sum("need").over(Window.partitionBy("scenario_id", "component", "m").orderBy("prio")
                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -301,71 +304,90 @@ def _first_overflows(state: DataFrame, windows: list[tuple]) -> dict:
         "scenario_id": pa.string(), "component": pa.string(),
         "at_start": pa.list_(pa.int64())})
     rows = (_picks(state, [w[:5] for w in windows]).join(starts, ["scenario_id", "component"])
+            .repartition("scenario_id", "component")
             .withColumn("run", run)
             .withColumn("stop", F.min(over).over(Window.partitionBy("scenario_id", "component"))))
-    out: dict = {}
+    before = F.col("stop").isNull() | (F.col("prio") < F.col("stop"))
+    out: dict = {(w[0], w[1]): (None, {}) for w in windows}
     for r in rows.groupBy("scenario_id", "component", "m").agg(
-            F.min("stop").alias("stop"),
-            F.sum(F.when(F.col("prio") < F.col("stop"), F.col("need"))).alias("need")).collect():
-        stop, needs = out.setdefault((r["scenario_id"], r["component"]), (r["stop"], {}))
-        needs[r["m"]] = r["need"] or 0
+            F.min("stop").alias("stop"), F.sum(F.when(before, F.col("need"))).alias("need")) \
+            .collect():
+        key = r["scenario_id"], r["component"]
+        out[key] = r["stop"], out[key][1]
+        out[key][1][r["m"]] = r["need"] or 0
     return out
 
 
-def _plan_rounds(state: DataFrame, cap: DataFrame, ids: list[str],
-                 groups: dict[str, list[str]]) -> tuple[list[tuple], int]:
+def _sums(state: DataFrame, windows: list[tuple]) -> dict:
+    """Per (scenario, component) and priority bucket: the needs picked from each machine."""
+    out: dict = {}
+    for r in _picks(state, windows).groupBy("scenario_id", "component", "bucket", "m").agg(
+            F.sum("need").alias("need")).collect():
+        out.setdefault((r["scenario_id"], r["component"]), {}).setdefault(
+            r["bucket"], {})[r["m"]] = r["need"]
+    return out
+
+
+def _before_overflow(o: "_Open", sums: dict) -> tuple[int | None, list[int]]:
+    """The first bucket in which a machine overflows (or None), and what is left there."""
+    left = list(o.rem)
+    for bucket in sorted(sums):
+        if any(need > left[m] for m, need in sums[bucket].items()):
+            return bucket, left
+        for m, need in sums[bucket].items():
+            left[m] -= need
+    return None, left
+
+
+def _plan_rounds(state: DataFrame, cap: DataFrame, ids: list[str], groups: dict[str, list[str]],
+                 bucket_rows: int) -> tuple[list[tuple], int]:
     """The decided priority intervals (with the capacities they start from) and their rounds."""
     caps = {(r["scenario_id"], r["machine_id"]): r["cap_u"]
             for r in cap.filter("not is_down").collect()}  # machines x scenarios
+    exact = max(1, EXACT_ROWS // max(1, bucket_rows))  # buckets that one task adds up
     open_: dict[tuple[str, str], _Open] = {}
     for r in state.groupBy("component").agg(F.min("prio").alias("lo"),
                                             F.max("prio").alias("hi")).collect():
         for sid in ids:
             rem = [caps.get((sid, m)) for m in groups[r["component"]]]
-            open_[sid, r["component"]] = _Open(r["lo"], r["hi"],
-                                               [-1 if x is None else x for x in rem])
+            open_[sid, r["component"]] = _Open(
+                r["lo"], r["hi"], [-1 if x is None else x for x in rem], min(exact, MAX_WINDOW))
     intervals: list[tuple] = []
     rounds = 0
     while open_:
         rounds += 1
-        windows = [(sid, comp, o.frontier, o.end(), o.rem) for (sid, comp), o in open_.items()]
-        totals: dict = {}
-        for r in _picks(state, windows).groupBy("scenario_id", "component", "bucket", "m").agg(
-                F.sum("need").alias("need")).collect():
-            totals.setdefault((r["scenario_id"], r["component"]), {}).setdefault(
-                r["bucket"], {})[r["m"]] = r["need"]
-        checks = []
+        # windows that are too long to add up row by row are first added up by bucket
+        long = {key: o for key, o in open_.items() if o.window > exact}
+        sums = _sums(state, [(*key, o.frontier, o.end(), o.rem) for key, o in long.items()]) \
+            if long else {}
+        checks, left = [], {}
         for key, o in open_.items():
-            left = list(o.rem)
-            for bucket in sorted(totals.get(key, {})):
-                needs = totals[key][bucket]
-                if any(n > left[m] for m, n in needs.items()):
-                    lo = max(o.frontier, bucket << _BITS)
-                    checks.append((*key, lo, (bucket + 1) << _BITS, o.rem, left))
-                    break
-                for m, n in needs.items():
-                    left[m] -= n
-            totals[key] = left  # what is left at the overflowing bucket, or at the end
-        stops = _first_overflows(state, checks) if checks else {}
+            bucket, left[key] = _before_overflow(o, sums.get(key, {}))
+            if key not in long:
+                checks.append((*key, o.frontier, o.end(), o.rem, left[key]))
+            elif bucket is not None:
+                lo = max(o.frontier, bucket << _BITS)
+                checks.append((*key, lo, (bucket + 1) << _BITS, o.rem, left[key]))
+        decided = _decide(state, checks) if checks else {}
         for key, o in list(open_.items()):
-            start, rem, left = o.frontier, o.rem, totals[key]
-            if key in stops:
-                stop, needs = stops[key]
+            start, rem = o.frontier, o.rem
+            stop, needs = decided.get(key, (None, {}))
+            for m, need in needs.items():
+                left[key][m] -= need
+            if stop is None:
+                o.frontier = o.end()
+                o.window = min(2 * o.window, MAX_WINDOW)
+            else:
                 if stop <= start:
                     raise AssertionError(f"round {rounds} decided nothing of {key}")
-                for m, n in needs.items():
-                    left[m] -= n
-                # as many buckets next time as this round could use
-                o.window = max(1, (stop >> _BITS) - (start >> _BITS))
+                # as many buckets next time as this round could use, or what one task can
+                o.window = max(1, min(exact, MAX_WINDOW), (stop >> _BITS) - (start >> _BITS))
                 o.frontier = stop
-            else:
-                o.frontier = o.end()
-                o.window = min(2 * o.window, MAX_WINDOW)
-            o.rem = left
+            o.rem = left[key]
             intervals.append((*key, start, o.frontier, rem))
             if o.frontier > o.last:
                 del open_[key]
-        _trace(f"round {rounds}: {len(open_)} open, {len(stops)} stops")
+        _trace(f"round {rounds}: {len(open_)} open, {len(long)} long windows")
     return intervals, rounds
 
 

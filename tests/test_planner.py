@@ -106,6 +106,23 @@ def test_empty_and_all_down(spark):
         "M1": 0.0, "M9": 0.0}
 
 
+def test_long_windows_are_added_up_by_bucket(spark, monkeypatch):
+    """With few rows to a task, windows grow over many buckets."""
+    monkeypatch.setattr(greedy, "EXACT_ROWS", 4)
+    rng = random.Random(5)
+    cands, machines = random_instance(rng, 80, n_comp=2)
+    machines = [(m, 4 * h) for m, h in machines]
+    expected, caps = sequential_plan(
+        pd.DataFrame(cands, columns=[f.split()[0] for f in CAND_SCHEMA.split(", ")]),
+        pd.DataFrame(machines, columns=["machine_id", "daily_capacity_hours"]), 3)
+    res = greedy.greedy_assign_priority(spark.createDataFrame(cands, CAND_SCHEMA),
+                                        spark.createDataFrame(machines, MACH_SCHEMA), 3,
+                                        buckets=30)
+    assert plan_dict(res) == expected
+    rem = {r.machine_id: r.remaining_hours for r in res.remaining.collect()}
+    assert rem == {k: v / 1e6 for k, v in caps.items()}
+
+
 def _row(order, machine, category, hours=1.0, score=2.5, margin=5.0):
     return (order, machine, category, dt.date(2025, 1, 1), hours, margin, 0.5, score, 0.5)
 
