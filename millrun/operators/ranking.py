@@ -95,6 +95,6 @@ def running_total(df: DataFrame, order: Sequence[Column], value: str, keep: Sequ
     offsets = totals.select("_bucket", F.coalesce(F.sum("_t").over(
         Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_offset"))
-    return (local.join(F.broadcast(offsets), "_bucket")
+    return (local.join(offsets, "_bucket")
                  .withColumn(out, F.col("_local") + F.col("_offset"))
                  .drop("_bucket", "_local", "_offset", "rid"))

@@ -337,13 +337,18 @@ def model_plan_checks(spark, d):
     left = res.remaining.withColumnRenamed("remaining_hours", "left_hours")
     open_orders = scored.join(res.assigned.select("order_id"), "order_id", "left_anti")
 
-    def count(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name))
-    return (count(res.assigned.groupBy("order_id").count().filter("count > 1"), "n_twice")
-            .join(count(left.filter("left_hours < 0"), "n_overfull"))
-            .join(count(res.assigned.join(scored, keys, "left_anti"), "n_not_candidates"))
-            .join(count(open_orders.join(left, "machine_id")
-                        .filter("processing_hours <= left_hours"), "n_left_though_fitting")))
+    broken = {
+        "n_twice": res.assigned.groupBy("order_id").count().filter("count > 1"),
+        "n_overfull": left.filter("left_hours < 0"),
+        "n_not_candidates": res.assigned.join(scored, keys, "left_anti"),
+        "n_left_though_fitting": open_orders.join(left, "machine_id").filter(
+            "processing_hours <= left_hours"),
+    }
+    rows = None
+    for name, df in broken.items():
+        part = df.select(*[F.lit(int(n == name)).cast("bigint").alias(n) for n in broken])
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in broken])
 
 
 @query("latest_version")
