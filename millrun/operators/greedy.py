@@ -450,13 +450,3 @@ def order_ranks(cands: DataFrame, component: str = "part_category",
                              keys.count() // BUCKET_ROWS + 1)
     ranked = scratch.write(rank_orders(keys, buckets), "ranked")
     return dense_order_rank(ranked)
-
-
-def candidate_preference(cands: DataFrame) -> DataFrame:
-    """Preference rank of each candidate inside its order (O3): a window per order."""
-    score = _no_nan(F.col("profit_score"))
-    need = to_units(F.col("processing_hours"), MICRO)
-    w = Window.partitionBy("order_id").orderBy(score.desc_nulls_last(), need.asc_nulls_last(),
-                                               F.col("machine_id").asc_nulls_last())
-    return cands.select("order_id", "machine_id",
-                        F.row_number().over(w).cast("bigint").alias("pref_rank"))
