@@ -329,7 +329,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if totals["small"] or totals["large"]:
         texts = scratch.write(_texts_of(df, id_col, text_col, clusters), "texts")
     if totals["small"]:  # a cluster is compared whole, so its stars are components
-        units = totals["small"] // (4 * block) + 1
+        units = totals["small"] // (block // 2) + 1
         small = sized.where(F.col("n") <= block).select(
             "node", "cluster", F.expr(f"pmod(xxhash64(cluster), {units})").alias("unit"))
         component = component.unionByName(
