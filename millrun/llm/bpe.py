@@ -5,6 +5,8 @@ Contract of :func:`encode` and :func:`decode`:
 * a null text counts as empty (no ids); ids and texts of repeated rows repeat;
 * texts are encoded whole; long ones are cut first, but only where no match of
   the split pattern can cross the cut, so the ids are those of the whole text;
+* a ``.json`` vocabulary's added tokens are found in a text first, wherever they
+  stand, as by the ``tokenizers`` library; a rank file has none;
 * bytes that aren't UTF-8 are read as U+FFFD (Spark strings are UTF-8);
 * only the id column and the text column are read, so other columns can have
   any name; an empty table gives an empty result.
@@ -51,21 +53,29 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return out
 
 
+def _added_tokens(data: dict) -> dict[str, int]:
+    for token in data["added_tokens"]:
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"added token {token['content']!r} doesn't match by its content alone")
+    return {t["content"]: t["id"] for t in data["added_tokens"]}
+
+
 @lru_cache(maxsize=4)
 def encoder(ranks_path: str, pattern: str):
     """A tiktoken encoder for a rank file (``.tiktoken``) or a byte-level ``.json`` vocabulary."""
     import tiktoken
+    added: dict[str, int] = {}
     if ranks_path.endswith(".json"):
         with open(ranks_path, encoding="utf-8") as f:
             data = json.load(f)
-        added = {t["content"] for t in data["added_tokens"]}
+        added = _added_tokens(data)
         of = _byte_of_char()
         ranks = {bytes(of[c] for c in token): i
                  for token, i in data["model"]["vocab"].items() if token not in added}
     else:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -75,13 +85,30 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def encode_text(enc, text: str) -> list[int]:
-    """Ids of one text, without special tokens."""
+@lru_cache(maxsize=4)
+def _at_added_tokens(enc):
+    """A pattern that splits a text at the encoder's added tokens, or None without any."""
+    longest_first = sorted(enc.special_tokens_set, key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, longest_first))})") if longest_first else None
+
+
+def _encode_rest(enc, text: str) -> list[int]:
     if len(text) <= CHUNK_CHARS:
         return enc.encode_ordinary(text)
     return [i for part in safe_chunks(text) for i in enc.encode_ordinary(part)]
 
 
+def encode_text(enc, text: str) -> list[int]:
+    """Ids of one text: its added tokens, if the encoder has any, and the text between them."""
+    added = _at_added_tokens(enc)
+    if added is None:
+        return _encode_rest(enc, text)
+    out: list[int] = []
+    for i, part in enumerate(added.split(text)):
+        out += [enc.encode_single_token(part)] if i % 2 else _encode_rest(enc, part)
+    return out
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(id, n_tokens long, ids_le binary: the ids as little-endian unsigned 32-bit integers)."""

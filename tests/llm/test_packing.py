@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 
 from conftest import SMALL
-from llm_cases import awkward_rows, clashing, docs
+from llm_cases import awkward_rows, clashing, docs, prose
 from millrun.llm import bpe, packing, queries
 
 JSON = P.path("byte_bpe_50k.json")
@@ -61,6 +61,19 @@ def test_awkward_rows(spark):
     assert packing.pack(docs(spark, []), JSON, P.PATTERN).count() == 0
 
 
+def test_added_tokens_in_texts_by_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(JSON)
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}  x", f"a  {mark}\n\nb", "<|endoftext|",
+             f"word's{mark}'s 12{mark}34", (f"{prose(900)}{mark} " * 20)]
+    rows = [r for r in awkward_rows() if r[0] is not None][:-2]
+    rows += [(100 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    ids = {r[0]: own.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
+    assert len(texts[-1]) > bpe.CHUNK_CHARS and 50256 in ids[100]
+    check(packing.pack(docs(spark, rows), JSON, P.PATTERN).collect(), ids)
+
+
 def brute_force(ends, penalties, window, truncation):
     """Least cost over all choices of ends: padded windows, or full ones and a last whole,
     half or quarter one."""
