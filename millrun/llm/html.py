@@ -9,13 +9,15 @@ scripts, styles, templates, comments, and elements with ``hidden`` or an inline
 ``display:none`` or ``visibility:hidden``.
 
 Defined cases: a null or empty page gives an empty text; a page without tags is its text;
-a tag that never ends is text; elements nested deeper than ``MAX_DEPTH`` stay at that
-depth; repeated rows are rendered each; other columns have any name.
+a tag that never ends is text; elements nest to any depth; text that stands in a table
+but in no cell comes before its rows; of an attribute given twice the first counts, of a
+declaration the last; repeated rows are rendered each; other columns have any name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 
 from millrun.llm.arrow import byte_values, slices
 
-MAX_DEPTH = 120
 # Element names by how they are read or laid out.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp".split())
@@ -49,11 +50,12 @@ IMPLIED = {
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_UNSEEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/]|$)|"
-                     r"style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)",
-                     re.I)
-_SPAN = re.compile(r"colspan\s*=\s*[\"']?\s*(\d{1,3})", re.I)
-_START = re.compile(r"start\s*=\s*[\"']?\s*(\d{1,9})", re.I)
+_ATTRIBUTE = re.compile(
+    r"([^\s/=>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_MAYBE_UNSEEN = re.compile(r"hidden|style", re.I)
+# Parts of a style whose colons and semicolons don't make declarations.
+_OPAQUE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*+\"|'[^']*+'|\([^)]*+\)", re.S)
+_NUMBER = re.compile(r"\s*(\d{1,9})")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -73,23 +75,72 @@ def _limits(tag: str) -> set:
     return set() if tag == "table" else {"td", "th", "caption"}
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), unescape("".join(values)))
+    return out
+
+
+def _number(node: _Node, name: str) -> int | None:
+    """An attribute's whole number."""
+    found = _NUMBER.match(_attributes(node.attributes).get(name, "")) if node.attributes else None
+    return int(found[1]) if found else None
+
+
+def _declared(style: str) -> dict[str, str]:
+    """The values that count of a style's properties."""
+    out: dict[str, str] = {}
+    important: set[str] = set()
+    for declaration in _OPAQUE.sub(" ", style).lower().split(";"):
+        name, _, value = map(str.strip, declaration.partition(":"))
+        value, mark, _ = value.partition("!")
+        if mark or name not in important:
+            out[name] = value.strip()
+        if mark:
+            important.add(name)
+    return out
+
+
 def parse(page: str) -> _Node:
     """The page's tree; texts are strings among the children."""
     root = _Node("#root")
     stack = [root]
+    places: dict = defaultdict(list)  # of the open elements in the stack, by tag
+    blocks: list[int] = []  # of those in BLOCKS
+
+    def push(node: _Node) -> None:
+        places[node.tag].append(len(stack))
+        if node.tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(node)
+
+    def pop_from(i: int) -> None:
+        for node in stack[i:]:
+            places[node.tag].pop()
+            if node.tag in BLOCKS:
+                blocks.pop()
+        del stack[i:]
+
+    def leave_head() -> None:
+        if stack[-1].tag == "head":
+            pop_from(len(stack) - 1)
 
     def add_text(raw: str) -> None:
-        if stack[-1].tag == "head" and raw.strip():
-            stack.pop()
+        if raw.strip():
+            leave_head()
         stack[-1].children.append(unescape(raw))
 
+    def last(tags: set) -> int:
+        if tags is BLOCKS:
+            return blocks[-1] if blocks else 0
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: set, limits: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in limits:
-                return
+        i = last(tags)
+        if i and i >= last(limits):
+            pop_from(i)
 
     at = 0
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -104,8 +155,8 @@ def parse(page: str) -> _Node:
                 close({tag}, _limits(tag))
         elif m[2]:
             tag, attributes = m[2].lower(), m[3] or ""
-            if stack[-1].tag == "head" and tag not in IN_HEAD:
-                stack.pop()
+            if tag not in IN_HEAD:
+                leave_head()
             if tag in ENDS_P:
                 close({"p"}, {"td", "th", "table", "li", "button"})
             if tag in IMPLIED:
@@ -118,36 +169,61 @@ def parse(page: str) -> _Node:
                 if tag not in HIDDEN:
                     node.children.append(unescape(page[at:stop]))
                 at = end.end() if end else len(page)
-            elif tag not in VOID and not attributes.endswith("/") and len(stack) < MAX_DEPTH:
-                stack.append(node)
+            elif tag not in VOID and not attributes.endswith("/"):
+                push(node)
     if at < len(page):
         add_text(page[at:])
     return root
 
 
 def _visible(node: _Node) -> bool:
-    return node.tag not in HIDDEN and not (
-        node.attributes and _UNSEEN.search(node.attributes))
+    if node.tag in HIDDEN:
+        return False
+    if not node.attributes or not _MAYBE_UNSEEN.search(node.attributes):
+        return True
+    attributes = _attributes(node.attributes)
+    style = _declared(attributes.get("style", ""))
+    return not ("hidden" in attributes or style.get("display") == "none"
+                or style.get("visibility") == "hidden")
 
 
 def _parts(node: _Node):
     """Texts, line breaks and blocks below a node, inline elements opened up."""
-    for child in node.children:
-        if isinstance(child, str) or child.tag == "br":
-            yield child
-        elif _visible(child):
-            if child.tag in BLOCKS:
+    open_ = [iter(node.children)]
+    while open_:
+        for child in open_[-1]:
+            if isinstance(child, str) or child.tag == "br":
                 yield child
-            else:
-                yield from _parts(child)
+            elif _visible(child):
+                if child.tag in BLOCKS:
+                    yield child
+                else:
+                    open_.append(iter(child.children))
+                    break
+        else:
+            open_.pop()
+
 
+# The functions that lay out a node append its lines to ``out`` and yield the layouts of
+# nodes below it, which :func:`_run` runs before it goes on; so depth needs no call stack.
 
-def _lines(node: _Node) -> list[str]:
+
+def _run(layout) -> None:
+    stack = [layout]
+    while stack:
+        below = next(stack[-1], None)
+        if below is None:
+            stack.pop()
+        else:
+            stack.append(below)
+
+
+def _lines(node: _Node, out: list[str]):
     """The node's content; an empty string is a blank line between blocks."""
-    out: list[str] = []
+    first = len(out)
     inline: list[str] = []
-    number = _START.search(node.attributes)
-    number = int(number[1]) if number else 1
+    number = _number(node, "start") if node.tag == "ol" else None
+    number = 1 if number is None else number
 
     def flush() -> None:
         if inline:
@@ -163,93 +239,127 @@ def _lines(node: _Node) -> list[str]:
             inline.append("\0")
         else:
             flush()
+            nested = part.tag in ("ul", "ol") and node.tag in ("li", "ul", "ol")
+            gap = part.tag in SPACED and not nested
+            blank = gap and len(out) > first and bool(out[-1])
+            if blank:
+                out.append("")
+            at = len(out)
             if part.tag == "li":
                 marker = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
-                lines = _lines(part) or [""]
-                lines = [(marker if i == 0 else " " * len(marker) if x else "") + x
-                         for i, x in enumerate(lines)]
+                lines: list[str] = []
+                yield _lines(part, lines)
+                out.extend((marker if i == 0 else " " * len(marker) if x else "") + x
+                           for i, x in enumerate(lines or [""]))
             else:
-                lines = _block(part)
-            if not lines:
-                continue
-            nested = part.tag in ("ul", "ol") and node.tag in ("li", "ul", "ol")
-            gap = part.tag in SPACED and not nested
-            if gap and out and out[-1]:
-                out.append("")
-            out.extend(lines)
-            if gap:
+                yield _block(part, out)
+            if len(out) == at:
+                if blank:
+                    out.pop()
+            elif gap:
                 out.append("")
     flush()
-    while out and not out[-1]:
+    while len(out) > first and not out[-1]:
         out.pop()
-    return out
 
 
-def _block(node: _Node) -> list[str]:
+def _block(node: _Node, out: list[str]):
     if node.tag == "table":
-        return _table(node)
-    if node.tag == "hr":
-        return ["---"]
-    if node.tag in ("pre", "textarea"):
-        return _plain(node).strip("\n").split("\n") if _plain(node).strip() else []
-    lines = _lines(node)
-    if node.tag in ("blockquote", "dd"):
-        return ["  " + x if x else x for x in lines]
-    return lines
+        yield _table(node, out)
+    elif node.tag == "hr":
+        out.append("---")
+    elif node.tag in ("pre", "textarea"):
+        plain = _plain(node)
+        if plain.strip():
+            out.extend(plain.strip("\n").split("\n"))
+    elif node.tag in ("blockquote", "dd"):
+        lines: list[str] = []
+        yield _lines(node, lines)
+        out.extend("  " + x if x else x for x in lines)
+    else:
+        yield _lines(node, out)
 
 
 def _plain(node: _Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else
-                   _plain(c) if _visible(c) else "" for c in node.children)
+    out: list[str] = []
+    open_ = [iter(node.children)]
+    while open_:
+        for child in open_[-1]:
+            if isinstance(child, str):
+                out.append(child)
+            elif child.tag == "br":
+                out.append("\n")
+            elif _visible(child):
+                open_.append(iter(child.children))
+                break
+        else:
+            open_.pop()
+    return "".join(out)
 
 
 def _rows(node: _Node):
-    """Captions and rows of a table, not those of tables inside it."""
-    for child in node.children:
-        if isinstance(child, _Node) and _visible(child):
-            if child.tag in ("tr", "caption"):
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
-            elif child.tag not in ("col", "colgroup"):
+    """Captions and rows of a table, not those of tables inside it, and what stands between them."""
+    stray = _Node("#stray")
+    open_ = [iter(node.children)]
+    while open_:
+        for child in open_[-1]:
+            tag = None if isinstance(child, str) else child.tag
+            if tag not in ("tr", "caption", "thead", "tbody", "tfoot", "colgroup"):
+                stray.children.append(child)
+                continue
+            if not _visible(child):
+                continue
+            if stray.children:
+                yield stray
+                stray = _Node("#stray")
+            if tag in ("tr", "caption"):
                 yield child
+            else:
+                open_.append(iter(child.children))
+                break
+        else:
+            open_.pop()
+    yield stray
 
 
-def _table(node: _Node) -> list[str]:
+def _table(node: _Node, out: list[str]):
     """Rows on lines of their own, cells of a column from the same place on."""
-    before, grid = [], []
+    grid = []
     for row in _rows(node):
         if row.tag != "tr":
-            before += _lines(row)
+            lines: list[str] = []
+            yield _lines(row, lines)
+            out.extend(x for x in lines if x)
             continue
         cells = []
         for cell in _parts(row):
             if isinstance(cell, str):
                 if cell.strip():
-                    before.append(_SPACE.sub(" ", cell).strip(" "))
+                    out.append(_SPACE.sub(" ", cell).strip(" "))
                 continue
             if cell.tag == "br":
                 continue
-            span = _SPAN.search(cell.attributes)
-            cells.append([x for x in _block(cell) if x])
-            cells += [[] for _ in range(int(span[1]) - 1 if span else 0)]
+            lines = []
+            yield _block(cell, lines)
+            cells.append([x for x in lines if x])
+            cells += [[] for _ in range(min(_number(cell, "colspan") or 1, 1000) - 1)]
         if any(cells):
             grid.append(cells)
     widths = [max((len(x) for row in grid if c < len(row) for x in row[c]), default=0)
               for c in range(max(map(len, grid), default=0))]
-    out = before
     for row in grid:
         for k in range(max(map(len, row))):
             line = "  ".join((cell[k] if k < len(cell) else "").ljust(width)
                              for cell, width in zip(row, widths))
             out.append(line.rstrip(" "))
-    return out
 
 
 def render(page: str) -> str:
     """All visible text of a page."""
-    return "\n".join(_lines(parse(page)))
+    out: list[str] = []
+    _run(_lines(parse(page), out))
+    return "\n".join(out)
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -70,3 +70,39 @@ def test_awkward_rows(spark):
     got = sorted((str(r["page_id"]), r["text"]) for r in html.extract_text(df).collect())
     assert got == [("1", ""), ("1", ""), ("2", ""), ("3", "a�b"), ("4", "cell"), ("None", "x")]
     assert html.extract_text(df.limit(0)).count() == 0
+
+
+SEEN = {
+    '<p title="a hidden gem">yes</p>': "yes",
+    '<div class="hidden md:block">yes</div>': "yes",
+    '<a href="/hidden/path">yes</a> <a href=/hidden/>too</a>': "yes too",
+    '<p style="overflow: hidden !important">yes</p>': "yes",
+    '<p data-style="display:none">yes</p>': "yes",
+    '<p style="display:none;display:block">yes</p>': "yes",
+    "<p style=\"background:url('x;display:none')\">yes</p>": "yes",
+    '<p HIDDEN="">no</p><p class=x hidden>no</p><b style=display:none>no</b>yes': "yes",
+    '<p style="display:none !important;display:block">no</p>yes': "yes",
+    "<p style='VISIBILITY:hidden'>no</p>yes": "yes",
+    "<table>a <b>b</b><tr><td>c<td>d</tr>e<tbody>f<tr><td>g</table>": "a b\ne\nf\nc  d\ng",
+    "<table><colgroup><col>a<tr><td>b</table>": "a\nb",
+    "<table><tr><td data-colspan=2>ab<td>c<tr><td>d<td>e</table>": "ab  c\nd   e",
+}
+
+
+@pytest.mark.parametrize("page", list(SEEN))
+def test_all_that_is_seen_and_nothing_else(page):
+    assert html.render(page) == SEEN[page]
+
+
+@pytest.mark.parametrize("depth", [200, 3000])
+def test_depth_changes_no_layout(depth):
+    for inner in ("x<p hidden>no</p><ul><li>a<li>b</ul>", "<table><tr><td>a<td>b</table>c",
+                  "<pre>  a\n b</pre>", "<ol start=4><li>a</ol>"):
+        for tag in ("div", "b", "section"):
+            page = f"<{tag}>" * depth + inner + f"</{tag}>" * depth + "<p>end"
+            assert html.render(page) == html.render(f"<div>{inner}</div><p>end")
+    lists = html.render("<ul><li>" * 200 + "a<br>b" + "</ul>" * 200)
+    assert lists == "- " * 200 + "a\n" + "  " * 200 + "b"
+    tables = html.render("<table><tr><td>" * depth + "a<td>b" + "</table>" * depth)
+    assert tables == "a  b"
+    assert html.render("<pre>" + "<i>" * depth + "a") == "a"
