@@ -11,14 +11,19 @@ instead of byte by byte; only equality matters here.
 2. Every block sends its sorted distinct anchor fingerprints, dealt into key slices.
    Each slice keeps a logarithmic family of sorted levels (:class:`Levels`): a block's
    array becomes a level, levels of like size merge, and all blocks are scanned against
-   the levels. Blocks hear which of their anchors other blocks have.
+   the levels. Blocks hear which of their anchors other blocks have, and which have more
+   than ``SPREAD_RUNS`` distinct runs.
 3. Blocks send the distinct runs of shared anchors with their least document. The slices
    keep families of window fingerprints with the least document, and answer for every
    window whether a smaller document has it.
+   Of anchors with many distinct runs (at the ends of a frequent passage, or in a frequent
+   phrase, where the text around differs by document) blocks send the distinct window
+   fingerprints instead, dealt by themselves, each with the block's least document.
 4. Blocks put the answers together and cut the covered bytes.
 
-A block sends an anchor or a run once, however many of its documents hold it, so a
-passage in a third of all documents reaches a slice once a block. Fingerprints of
+A block sends an anchor, a run or a window once, however many of its documents hold it, so
+a passage in a third of all documents reaches a slice once a block, and a slice gets at
+most about ``SPREAD_RUNS`` runs of one anchor. Fingerprints of
 windows have 64 bits; those of anchors only select what is compared.
 
 Defined cases: a null text is empty; texts shorter than ``length`` bytes keep all; rows
@@ -45,6 +50,7 @@ from millrun.session import Scratch
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 16  # arrays of 8 bytes a place then fit in a core's cache
 ANCHORS_A_SLICE = 150_000
+SPREAD_RUNS = 16_384  # distinct runs of an anchor, over all blocks, that one slice may get
 _LAST = np.iinfo(np.int64).max  # stands for a null id
 _U = np.uint64
 _BASE = _U(0xD6E8FEB86659FD93)
@@ -231,19 +237,34 @@ class _Block:
         np.maximum.at(high, of, self.owner)
         return keys, of, low < high
 
-    def shared_runs(self, bits: int, slices_n: int, answers: dict[int, bytes]) -> tuple:
-        """(runs of shared anchors, the entry of each, entries' first runs, owners and slices).
-
-        Entries are the distinct runs, by slice and fingerprint.
+    def run_counts(self, of: np.ndarray, n: int) -> np.ndarray:
+        """The number of distinct runs of each of ``n`` keys."""
+        counts = np.bincount(of, minlength=n)
+        several = np.flatnonzero(counts[of] > 1)
+        key, content = of[several], self.runs.content[several]
+        order = np.lexsort((content, key))
+        key, content = key[order], content[order]
+        again = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+        return counts - np.bincount(key[1:][again], minlength=n)
+
+    def shared_runs(self, bits: int, slices_n: int, answers: dict[int, bytes],
+                    spread: dict[int, bytes]) -> tuple:
+        """(runs of shared anchors, the entry of each, entries' first runs and slices, spread runs).
+
+        Entries are the distinct runs, by slice and fingerprint. Spread runs are those of
+        anchors whose windows are dealt; they have no entries.
         """
         keys, of, here = self.keys(bits)
         slice_of_key = _slice_of(keys, bits, slices_n)
         shared = here.copy()
-        for s, answer in answers.items():
-            lo, hi = np.searchsorted(slice_of_key, [s, s + 1])
-            shared[lo:hi] |= np.unpackbits(np.frombuffer(answer, np.uint8), count=hi - lo).astype(
-                bool)
-        runs = np.flatnonzero(shared[of])
+        dealt = np.zeros(len(keys), dtype=bool)
+        for mask, heard in ((shared, answers), (dealt, spread)):
+            for s, answer in heard.items():
+                lo, hi = np.searchsorted(slice_of_key, [s, s + 1])
+                mask[lo:hi] |= np.unpackbits(
+                    np.frombuffer(answer, np.uint8), count=hi - lo).astype(bool)
+        spread_runs = np.flatnonzero((shared & dealt)[of])
+        runs = np.flatnonzero((shared & ~dealt)[of])
         slice_of_run = slice_of_key[of[runs]]
         order = np.lexsort((self.owner[runs], self.runs.content[runs], slice_of_run))
         runs, slice_of_run = runs[order], slice_of_run[order]
@@ -251,17 +272,54 @@ class _Block:
         new = np.ones(len(runs), dtype=bool)
         new[1:] = (content[1:] != content[:-1]) | (slice_of_run[1:] != slice_of_run[:-1])
         entry = np.cumsum(new) - 1
-        return runs, entry, runs[new], slice_of_run[new]
+        return runs, entry, runs[new], slice_of_run[new], spread_runs
 
-    def removed(self, length: int, found: tuple, answers: dict[int, bytes]) -> np.ndarray:
+    def spread_windows(self, runs: np.ndarray, length: int) -> tuple:
+        """(start, owner and entry of every window of ``runs``, entries' fingerprints and owners).
+
+        Entries are the distinct windows, by fingerprint, each with its least owner.
+        """
+        parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+        size = self.runs.windows[runs] - 1 + length
+        piece = np.cumsum(size) // CHUNK_BYTES
+        for some in np.split(np.arange(len(runs)), np.flatnonzero(np.diff(piece)) + 1):
+            if not len(some):
+                continue
+            first, count = self.runs.first[runs[some]], self.runs.windows[runs[some]]
+            text, _ = _windows(first, size[some])
+            start = np.concatenate([[0], np.cumsum(size[some])[:-1]])
+            within, of = _windows(start, count)
+            prints = _Prints(self.data[text], gram_size(length)).of(within, length)
+            parts.append((first[of] + within - start[of], self.owner[runs[some]][of], prints))
+        places, owner, prints = map(np.concatenate, zip(*parts))
+        keys, entry = np.unique(prints, return_inverse=True)
+        least = np.full(len(keys), _LAST)
+        np.minimum.at(least, entry, owner)
+        return places, owner, entry, keys, least
+
+    def removed(self, length: int, found: tuple, answers: dict[int, bytes],
+                slices_n: int) -> np.ndarray:
         """Mask of the bytes that windows of smaller documents cover."""
-        runs, entry, first, entry_slice = found
+        runs, entry, first, entry_slice, spread_runs = found
         edge = np.zeros(len(self.data) + 1, dtype=np.int64)
         later = self.owner[runs] > self.owner[first][entry]
         a = self.runs.first[runs[later]]
         np.add.at(edge, a, 1)
         np.add.at(edge, a + self.runs.windows[runs[later]] - 1 + length, -1)
+        places, owner, of, keys, least = self.spread_windows(spread_runs, length)
+        key_slice = slices_n + _slice_of(keys, 64, slices_n)
+        covered = np.zeros(len(keys), dtype=bool)
+        for s, answer in answers.items():
+            if s >= slices_n:
+                lo, hi = np.searchsorted(key_slice, [s, s + 1])
+                covered[lo:hi] = np.unpackbits(
+                    np.frombuffer(answer, np.uint8), count=hi - lo).astype(bool)
+        places = places[covered[of] | (owner > least[of])]
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + length, -1)
         for s, answer in answers.items():
+            if s >= slices_n:
+                continue
             lo, hi = np.searchsorted(entry_slice, [s, s + 1])
             count = self.runs.windows[first[lo:hi]]
             hit = np.unpackbits(np.frombuffer(answer, np.uint8), count=int(count.sum())).astype(
@@ -341,23 +399,40 @@ def stored_blocks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -
     return scratch.write(src.mapInArrow(run, "block bigint, n_bytes bigint, body binary"), "blocks")
 
 
+def _several(counts: np.ndarray) -> bytes:
+    """Places and values of the counts over one."""
+    at = np.flatnonzero(counts > 1)
+    return np.stack([at, counts[at]]).astype("<u4").tobytes()
+
+
+def _counts(raw: bytes, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.int64)
+    at, values = np.frombuffer(raw, "<u4").reshape(2, -1)
+    out[at] = values
+    return out
+
+
 def _anchor_keys(blocks: DataFrame, length: int, bits: int, n: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, body in zip(*(batch.column(c).to_pylist() for c in ("block", "body"))):
-                keys, _, _ = _Block(body, length).keys(bits)
+                rows = _Block(body, length)
+                keys, of, _ = rows.keys(bits)
+                counts = rows.run_counts(of, len(keys))
                 cut = np.searchsorted(_slice_of(keys, bits, n), np.arange(n + 1))
                 some = np.flatnonzero(cut[1:] > cut[:-1])
                 yield from _batch(
                     slice=some, block=[block] * len(some),
-                    keys=[_pack(keys[cut[s]:cut[s + 1]], bits) for s in some]).to_batches()
+                    keys=[_pack(keys[cut[s]:cut[s + 1]], bits) for s in some],
+                    several=[_several(counts[cut[s]:cut[s + 1]]) for s in some]).to_batches()
 
     return blocks.select("block", "body").mapInArrow(
-        run, "slice int, block bigint, keys binary")
+        run, "slice int, block bigint, keys binary, several binary")
 
 
-def _shared_keys(keys: DataFrame, bits: int) -> DataFrame:
-    """For each block and slice, which of its keys other blocks have."""
+def _shared_keys(keys: DataFrame, bits: int, spread: int) -> DataFrame:
+    """For each block and slice, which of its keys other blocks have (kind 1), and, where there
+    are any, which have more than ``spread`` distinct runs (kind 3)."""
     def run(table: pa.Table) -> pa.Table:
         family = Levels()
         runs = [_unpack(raw, bits) for raw in table.column("keys").to_pylist()]
@@ -370,8 +445,21 @@ def _shared_keys(keys: DataFrame, bits: int) -> DataFrame:
         for own in runs:
             low, high = family.owners(own)
             answers.append(np.packbits(low < high).tobytes())
-        return _batch(slice=table.column("slice"), block=blocks,
-                      answer=answers, kind=[1] * len(answers))
+        out = _batch(slice=table.column("slice"), block=blocks,
+                     answer=answers, kind=[1] * len(answers))
+        counts = [_counts(raw, len(own))
+                  for raw, own in zip(table.column("several").to_pylist(), runs)]
+        if sum(int(c.max()) for c in counts) <= spread:
+            return out
+        total = np.zeros(len(family.levels[0][0]), dtype=np.int64)
+        places = [np.searchsorted(family.levels[0][0], own) for own in runs]
+        for at, count in zip(places, counts):
+            total[at] += count
+        masks = [total[at] > spread for at in places]
+        some = [i for i, mask in enumerate(masks) if mask.any()]
+        return pa.concat_tables([out, _batch(
+            slice=[table.column("slice")[i].as_py() for i in some], block=blocks[some],
+            answer=[np.packbits(masks[i]).tobytes() for i in some], kind=[3] * len(some))])
 
     return keys.groupBy("slice").applyInArrow(
         run, "slice int, block bigint, answer binary, kind int")
@@ -384,12 +472,16 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
 
 def _shared_runs(blocks: DataFrame, answers: DataFrame, length: int, bits: int,
                  n: int) -> DataFrame:
-    """The distinct runs of shared anchors: their bytes, sizes and least documents."""
+    """The distinct runs of shared anchors: their bytes, sizes and least documents.
+
+    Slices from ``n`` on get windows of anchors with many runs: fingerprints in ``texts``.
+    """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"slice": [], "block": [], "texts": [], "sizes": [], "owners": []}
         for number, body in zip(left.column("block").to_pylist(), left.column("body").to_pylist()):
             block = _Block(body, length)
-            _, _, first, entry_slice = block.shared_runs(bits, n, _answers(right, 1))
+            _, _, first, entry_slice, spread = block.shared_runs(
+                bits, n, _answers(right, 1), _answers(right, 3))
             start = block.runs.first[first]
             size = block.runs.windows[first] - 1 + length
             cut = np.searchsorted(entry_slice, np.arange(n + 1))
@@ -401,6 +493,15 @@ def _shared_runs(blocks: DataFrame, answers: DataFrame, length: int, bits: int,
                 out["texts"].append(_zipped(block.data[places].tobytes()))
                 out["sizes"].append(size[part].astype("<u4").tobytes())
                 out["owners"].append(block.owner[first[part]].astype("<i8").tobytes())
+            _, _, _, keys, least = block.spread_windows(spread, length)
+            cut = np.searchsorted(_slice_of(keys, 64, n), np.arange(n + 1))
+            for s in np.flatnonzero(cut[1:] > cut[:-1]):
+                part = slice(cut[s], cut[s + 1])
+                out["slice"].append(n + int(s))
+                out["block"].append(number)
+                out["texts"].append(keys[part].astype("<u8").tobytes())
+                out["sizes"].append(b"")
+                out["owners"].append(least[part].astype("<i8").tobytes())
         return _batch(**out)
 
     return blocks.select("block", "body").groupBy("block").cogroup(
@@ -416,11 +517,26 @@ def _unzipped(raw: bytes) -> bytes:
     return pa.decompress(raw[:-8], int.from_bytes(raw[-8:], "little"), codec="zstd", asbytes=True)
 
 
-def _covered_windows(runs: DataFrame, length: int) -> DataFrame:
+def _covered_prints(table: pa.Table) -> pa.Table:
+    """For each block, which of its window fingerprints a smaller document has."""
+    windows = Levels()
+    batches = [(np.frombuffer(keys, "<u8").astype(np.uint64), np.frombuffer(own, "<i8"))
+               for keys, own in zip(*(table.column(c).to_pylist() for c in ("texts", "owners")))]
+    for keys, mine in batches:
+        windows.add(keys, mine, mine)
+    windows.close()
+    answers = [np.packbits(windows.owners(keys)[0] < mine).tobytes() for keys, mine in batches]
+    return _batch(slice=table.column("slice"), block=table.column("block").to_numpy(),
+                  answer=answers, kind=[2] * len(answers))
+
+
+def _covered_windows(runs: DataFrame, length: int, n: int) -> DataFrame:
     """For each block and slice, which windows of its runs a smaller document has."""
     k = gram_size(length)
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("slice")[0].as_py() >= n:
+            return _covered_prints(table)
         contents, windows = Levels(), Levels()
         columns = [table.column(c).to_pylist() for c in ("texts", "sizes", "owners")]
         blocks = table.column("block").to_numpy()
@@ -481,17 +597,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = anchors // ANCHORS_A_SLICE + 1
     bits = 8 * max(5, -(-(anchors.bit_length() + 8) // 8))
     keys = _anchor_keys(blocks, length, bits, n)
-    first = scratch.write(_shared_keys(keys, bits), "shared_keys")
+    first = scratch.write(_shared_keys(keys, bits, SPREAD_RUNS), "shared_keys")
     second = scratch.write(
-        _covered_windows(_shared_runs(blocks, first, length, bits, n), length), "covered")
+        _covered_windows(_shared_runs(blocks, first, length, bits, n), length, n), "covered")
     rest = [f for f in df.schema.fields if f.name != text_col]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         for body in left.column("body").to_pylist():
             block = _Block(body, length)
-            gone = block.removed(length, block.shared_runs(bits, n, _answers(right, 1)),
-                                 _answers(right, 2))
+            found = block.shared_runs(bits, n, _answers(right, 1), _answers(right, 3))
+            gone = block.removed(length, found, _answers(right, 2), n)
             removed, spans, kept = [], [], []
             for a, size, null in zip(block.starts.tolist(), block.sizes.tolist(), block.null):
                 mask, data = gone[a:a + size], block.data[a:a + size]

@@ -117,3 +117,28 @@ def test_levels():
             plain[k] for k in keys.tolist()]
         family.close()
     assert len(family.levels) == 1
+
+
+@pytest.mark.parametrize("spread", [1, 20])
+def test_runs_around_a_frequent_passage_are_spread(spark, monkeypatch, spread):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(suffix, "ANCHORS_A_SLICE", 40)
+    monkeypatch.setattr(suffix, "SPREAD_RUNS", spread, raising=False)
+    plain, most = suffix._covered_windows, []
+
+    def watched(runs, *rest):
+        most.append(runs.selectExpr("slice", "length(sizes) div 4 as n").groupBy("slice").sum("n")
+                    .agg({"sum(n)": "max"}).first()[0] or 0)
+        return plain(runs, *rest)
+
+    monkeypatch.setattr(suffix, "_covered_windows", watched)
+    rng = random.Random(7)
+    passage = prose(30, 4)
+
+    def own():
+        return "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(rng.randrange(10**6) * 1000 + i, own() + passage + own() + passage[:52 + i % 9])
+            for i in range(300)] + shuffled_passages(1)
+    df = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    assert as_rows(suffix.repeat_digests(df)) == digest(brute_force(rows, 50))
+    assert most[0] < 60  # all runs of an anchor in one slice: 622
