@@ -1,8 +1,9 @@
 """Quality rules: base counts, and distribution divergence from language references.
 
 Each document gets two histograms: its bytes by character class, and its words by
-common word (all others together). The reference of a language is the mean of the
-histograms of all its documents that pass the base rules. The distances are
+common word (all others together). The reference of a language, of every value that
+occurs, is the mean of the histograms of all its documents that pass the base rules.
+Words are judged only in the languages of ``COMMON_WORDS``. The distances are
 Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) from the
 language's reference. A document is rejected when its characters alone are far off
 (``LIMITS["class"]``), or its characters and its words both are off by less
@@ -10,12 +11,12 @@ language's reference. A document is rejected when its characters alone are far o
 guards ``min_chars`` and ``min_words`` are judged by the base rules alone.
 
 Shares are added up as integers (billionths), so references don't depend on how
-rows are dealt to tasks. References are at most one row for each language of
-``COMMON_WORDS`` and one for all other languages together.
+rows are dealt to tasks. References are a written table with a row for each language
+(upper and lower case and outer blanks don't matter), joined with the documents.
 
-Defined cases: a null text has no words and fails the base rules; a null or unknown
-language uses the pooled reference; without any reference only the base rules
-count; repeated rows are judged each; ids may be null; other columns have any name.
+Defined cases: a null text has no words and fails the base rules; a document with a null
+or blank language, or one without a reference, has no distances and is judged by the base
+rules alone; repeated rows are judged each; ids may be null; other columns have any name.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ COMMON_WORDS = {
 }
 SYMBOLS = b"#*$%&|<>"
 LIMITS = {"class": 0.3, "both_class": 0.125, "both_word": 0.3, "min_chars": 250, "min_words": 50}
-OTHER_LANGUAGE = "other"
 SCALE = 1_000_000_000
 
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
@@ -136,35 +136,35 @@ def base_failed(stats: str) -> Column:
 
 
 def _language(lang_col: str) -> Column:
-    lang = F.lower(F.col(lang_col).cast("string"))
-    return F.when(lang.isin(*COMMON_WORDS), lang).otherwise(OTHER_LANGUAGE)
+    return F.lower(F.trim(F.col(lang_col).cast("string")))
 
 
-def references(stats_df: DataFrame, lang_col: str, stats: str) -> dict[str, dict[str, list[float]]]:
-    """Mean histograms by language over all documents that pass the base rules.
+def references(stats_df: DataFrame, lang_col: str, stats: str) -> DataFrame:
+    """(__ref_lang, __ref_classes, __ref_common): mean histograms of every language.
 
-    The result has one row a language and bin, so at most five languages' bins.
-    The pooled reference is that of all documents together.
+    They are over all documents of the language that pass the base rules; words are null
+    for languages without common words.
     """
+    def shares(name):
+        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.transform(name, lambda x: x / F.greatest(total, F.lit(1)))
+
+    bins = {"classes": _N_CLASSES, "common": _N_WORD_BINS}
     passing = stats_df.where(~base_failed(stats)).select(
-        _language(lang_col).alias("lang"), F.col(stats))
-    rows = []
-    for name in ("classes", "common"):
-        n = _N_CLASSES if name == "classes" else _N_WORD_BINS
-        sums = passing.groupBy("lang").agg(
-            *[F.sum(F.col(stats)[name][i]).alias(f"b{i}") for i in range(n)])
-        rows += [(r["lang"], name, [int(r[f"b{i}"] or 0) for i in range(n)])
-                 for r in sums.collect()]
-    out: dict[str, dict[str, list[float]]] = {}
-    pooled: dict[str, np.ndarray] = {}
-    for lang, name, sums in rows:
-        if lang != OTHER_LANGUAGE:
-            out.setdefault(lang, {})[name] = [s / max(1, sum(sums)) for s in sums]
-        pooled[name] = pooled.get(name, 0) + np.array(sums, dtype=object)
-    if pooled:
-        out[OTHER_LANGUAGE] = {k: [int(x) / max(1, int(v.sum())) for x in v]
-                               for k, v in pooled.items()}
-    return out
+        _language(lang_col).alias("lang"), F.col(stats)).where("lang <> ''")
+    sums = passing.groupBy("lang").agg(*[F.sum(F.col(stats)[name][i]).alias(f"{name}{i}")
+                                         for name, n in bins.items() for i in range(n)])
+    sums = sums.select("lang", *[F.array(*[f"{name}{i}" for i in range(n)]).alias(name)
+                                 for name, n in bins.items()])
+    has_words = F.col("lang").isin(*COMMON_WORDS)
+    return sums.select(F.col("lang").alias("__ref_lang"), shares("classes").alias("__ref_classes"),
+                       F.when(has_words, shares("common")).alias("__ref_common"))
+
+
+def with_references(stats_df: DataFrame, lang_col: str, stats: str, scratch: Scratch) -> DataFrame:
+    """``stats_df`` with the columns of its language's reference, null where there is none."""
+    refs = scratch.write(references(stats_df, lang_col, stats), "references")
+    return stats_df.join(refs, _language(lang_col) == refs["__ref_lang"], "left")
 
 
 def js_distance(shares: Column, reference: Column) -> Column:
@@ -180,20 +180,19 @@ def js_distance(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(refs: dict, lang_col: str, stats: str, limits: dict) -> dict[str, Column]:
-    """Columns class_distance, word_distance, base_failed and kept (distances null below a guard)."""
-    lang, s = _language(lang_col), F.col(stats)
+def judge(stats: str, limits: dict) -> dict[str, Column]:
+    """Columns class_distance, word_distance, base_failed and kept.
+
+    Distances are null below a guard and without a reference.
+    """
+    s = F.col(stats)
 
-    def against(name):
-        if not refs:
-            return F.lit(0.0)
-        picked = F.coalesce(*[F.when(lang == k, F.array(*map(F.lit, v[name])))
-                              for k, v in sorted(refs.items()) if k != OTHER_LANGUAGE],
-                            F.array(*map(F.lit, refs[OTHER_LANGUAGE][name])))
-        return js_distance(s[name], picked)
+    def against(name, enough):
+        ref = F.col(f"__ref_{name}")
+        return F.when(enough & ref.isNotNull(), js_distance(s[name], ref))
 
-    classes = F.when(s["n_chars"] >= limits["min_chars"], against("classes"))
-    words = F.when(s["n_words"] >= limits["min_words"], against("common"))
+    classes = against("classes", s["n_chars"] >= limits["min_chars"])
+    words = against("common", s["n_words"] >= limits["min_words"])
     by_class, by_word = F.coalesce(classes, F.lit(0.0)), F.coalesce(words, F.lit(0.0))
     far = (by_class > limits["class"]) | \
         ((by_class > limits["both_class"]) & (by_word > limits["both_word"]))
@@ -206,10 +205,10 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, counts, class_distance, word_distance, base_failed, kept) for every document."""
     narrow = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                        F.col(text_col).alias("text"))
-    stats = Scratch(df.sparkSession, "rules").write(
-        with_stats(narrow, "text", "stats").drop("text"), "stats")
-    verdict = judge(references(stats, "lang", "stats"), "lang", "stats", LIMITS | (limits or {}))
-    return stats.select(F.col("id").alias(id_col), *[F.col("stats")[c].alias(c) for c in COUNTS],
+    scratch = Scratch(df.sparkSession, "rules")
+    stats = scratch.write(with_stats(narrow, "text", "stats").drop("text"), "stats")
+    verdict = judge("stats", LIMITS | (limits or {}))
+    return with_references(stats, "lang", "stats", scratch).select(F.col("id").alias(id_col), *[F.col("stats")[c].alias(c) for c in COUNTS],
                         *[v.alias(k) for k, v in verdict.items()])
 
 
@@ -217,6 +216,7 @@ def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
               limits: dict | None = None) -> DataFrame:
     """The rows of ``df`` that pass, all columns as they were."""
     out = "__rule_stats"
-    stats = Scratch(df.sparkSession, "rules").write(with_stats(df, text_col, out), "rows")
-    verdict = judge(references(stats, lang_col, out), lang_col, out, LIMITS | (limits or {}))
-    return stats.where(verdict["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    scratch = Scratch(df.sparkSession, "rules")
+    stats = scratch.write(with_stats(df, text_col, out), "rows")
+    verdict = judge(out, LIMITS | (limits or {}))
+    return with_references(stats, lang_col, out, scratch).where(verdict["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])

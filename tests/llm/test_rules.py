@@ -95,3 +95,26 @@ def test_junk_goes_and_clean_stays(spark):
              got.selectExpr("quality", "int(kept) as k").groupBy("quality").agg(
                  {"k": "avg"}).withColumnRenamed("avg(k)", "share").collect()}
     assert share[1] >= 0.98 and share[0] <= 0.3
+
+
+def test_clean_documents_in_other_scripts_stay(spark):
+    words = {"en": "the mill by river sold grain and bought slow barges before winter".split(),
+             "ru": "мельница на реке продала зерно и купила баржи перед зимой тихо".split(),
+             "el": "ο μύλος στο ποτάμι πούλησε σιτάρι και αγόρασε βάρκες πριν χειμώνα".split(),
+             None: "물레방아는 강가에서 곡식을 팔고 겨울 전에 배를 샀다 조용히".split()}
+    rng = np.random.default_rng(3)
+
+    def prose_in(lang):
+        return " ".join(f"{rng.choice(words[lang])}{rng.choice(words[lang])}" for _ in range(120)) + "."
+    rows = [(i, prose_in("en"), "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, prose_in("ru"), ["ru", "RU "][i % 2], "s", 1) for i in range(6)]
+    rows += [(200 + i, prose_in("el"), "el", "s", 1) for i in range(4)]
+    rows += [(300 + i, prose_in(None), [None, ""][i % 2], "s", 1) for i in range(4)]
+    junk = " ".join(f"#{i}$%{i * 37}|&" for i in range(100))
+    rows += [(400, junk, "ru", "s", 1), (401, junk, "en", "s", 1)]
+    got = {r["doc_id"]: r for r in rules.quality_rules(docs(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {400, 401}
+    assert got[100]["word_distance"] is None and got[300]["class_distance"] is None
+    kept = {r["doc_id"] for r in rules.keep_good(docs(spark, rows)).collect()}
+    assert kept == set(got) - {400, 401}
