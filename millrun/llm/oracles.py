@@ -1,4 +1,4 @@
-"""DuckDB SQL for the queries that SQL can express (op1, op5, op8; see the tests for the others)."""
+"""DuckDB SQL for the queries that SQL can express (op1, op5, op8, op11, op12, op13; see the tests for the others)."""
 
 from __future__ import annotations
 
@@ -151,4 +151,107 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
                                                          AND w > {LIMITS["both_word"]})) AS kept
 FROM base b JOIN far ON far.doc_id = b.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_minhash": OP1, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8}
+
+
+def _crc_table() -> list[int]:
+    """The 256 entries of CRC-32, from its polynomial."""
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return table
+
+
+# Jumps of every key up to 9 shards in 128-bit integers, checksums byte by byte.
+OP11 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+jumps AS (
+  SELECT r, ((coalesce(doc_id, 0) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)
+            AS state, 0::BIGINT AS cell, 0::BIGINT AS shard, 0::BIGINT AS grown FROM d
+  UNION ALL
+  SELECT r, state, CAST(floor((cell + 1) * (2147483648::DOUBLE / CAST(
+           state // 8589934592::HUGEINT + 1 AS DOUBLE))) AS BIGINT),
+         CASE WHEN cell < 8 THEN cell ELSE shard END, cell
+  FROM (SELECT r, cell, shard, (state * 2862933555777941757::HUGEINT + 1)
+               % 18446744073709551616::HUGEINT AS state FROM jumps WHERE cell <= 8)),
+table_ AS (SELECT {_crc_table()}::BIGINT[] AS t),
+sums AS (
+  SELECT r, xor(list_reduce(
+    list_transform(regexp_extract_all(hex(b), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)
+    AS crc
+  FROM d, table_)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32, r) - 1
+         AS slot, grown_shard
+FROM (SELECT d.r, doc_id, CAST(octet_length(b) + 1 AS BIGINT) AS size, crc AS text_crc32,
+             CAST(shard AS INTEGER) AS shard, CAST(grown AS INTEGER) AS grown_shard
+      FROM d JOIN jumps ON jumps.r = d.r AND cell > 8 JOIN sums ON sums.r = d.r)"""
+
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SCALED = "list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))"
+
+# All anchors against all rows; sums of integers in doubles are exact here.
+OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_SCALED} AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS place
+  FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.id)
+            AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same
+     AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10"""
+
+
+def _rounds(k: int, rounds: int) -> str:
+    """Assignments and centroids of every round as further tables."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min([CAST(list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, c.v)
+                      + list_dot_product(c.v, c.v) AS BIGINT), c.k]) AS near
+  FROM v, c{i} c GROUP BY r)""")
+        if i < rounds:
+            out.append(f"""s{i} AS (
+  SELECT k, dim, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+  FROM (SELECT near[2] AS k, unnest(v.v) AS x, unnest(range(len(v.v))) AS dim
+        FROM a{i} JOIN v ON v.r = a{i}.r) GROUP BY k, dim),
+c{i + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.v, c.v) AS v
+  FROM c{i} c LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY dim) AS v
+    FROM s{i} GROUP BY k) m ON m.k = c.k)""")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, {_SCALED} AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND {_FINITE}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS k, v FROM v
+  QUALIFY k < 40),
+{_rounds(40, 5)}
+SELECT v.vec_id, CAST(near[2] AS INTEGER) AS cluster, near[1] AS distance,
+       CAST(sum(near[1]) OVER (PARTITION BY near[2]) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near[1]) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','))
+         AS centroid_sha256
+FROM a5 JOIN v ON v.r = a5.r JOIN c5 c ON c.k = near[2]"""
+
+ORACLES: dict[str, str] = {"op1_minhash": OP1, "op5_quality_rules": OP5, "op8_suffix_dedup": OP8,
+                           "op11_jump_shards": OP11, "op12_hard_negatives": OP12,
+                           "op13_centroids": OP13}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrun.llm import bpe, html, minhash, packing, quality, rules, simhash, suffix, tokens, urls
+from pyspark.sql import functions as F
+
+from millrun.llm import (bpe, centroids, html, minhash, negatives, packing, quality, rules,
+                         sharding, simhash, suffix, tokens, urls)
 from millrun.llm.arrow import share_package
 from millrun.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,6 +76,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op11_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the ids that 7 divides are shifted; anchors are the ids that 100 divides."""
+    label = F.col("label").cast("bigint")
+    return negatives.hard_negatives(
+        _table(spark, sf_dir, "embeddings"),
+        label=F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_jump_shards": op11_jump_shards,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_centroids": op13_centroids,
 }
