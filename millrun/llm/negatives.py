@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrun.operators import ranking
 from millrun.session import Scratch
 
 ROWS_A_BLOCK = 4096
 ANCHORS_A_BLOCK = 512
-_BLOCK = "part int, labels array<bigint>, held binary"
+_BLOCK = "seq bigint, n int, labels array<bigint>, held binary"
 
 
 def packed_scores(anchors: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
@@ -100,11 +101,15 @@ def _to_blocks(size: int):
     """Arrow function: runs of ``size`` rows, by id within a run, as one row each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+
         def block(table: pa.Table) -> pa.RecordBatch:
-            part = table.column("part")[0].as_py()
-            table = table.drop(["part"]).sort_by([("id", "ascending"), ("row", "ascending")])
+            nonlocal made
+            made += 1
+            seq = (table.column("task")[0].as_py() << 32) + made
+            table = table.drop(["task"]).sort_by([("id", "ascending"), ("row", "ascending")])
             return pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()),
+                "seq": pa.array([seq], pa.int64()), "n": pa.array([table.num_rows], pa.int32()),
                 "labels": pa.array([table.column("label").unique().to_pylist()],
                                    pa.list_(pa.int64())),
                 "held": pa.array([_batch_bytes(table)], pa.binary())})
@@ -124,12 +129,20 @@ def _to_blocks(size: int):
     return pack
 
 
-def _blocks(rows: DataFrame, n: int, size: int) -> DataFrame:
-    """``rows`` (``n``) as blocks of at most ``size``, by label and id; a part has one or two."""
+def _blocks(rows: DataFrame, n: int, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """``rows`` (``n``) as blocks of at most ``size`` rows by label and id, in parts.
+
+    A part has blocks of about ``size`` rows together, however many partitions they come from.
+    """
     order = [F.col("label"), F.col("id"), F.col("row")]
     dealt = rows.repartitionByRange(n // size + 1, *order).sortWithinPartitions(*order).withColumn(
-        "part", F.spark_partition_id())
-    return dealt.mapInArrow(_to_blocks(size), _BLOCK)
+        "task", F.spark_partition_id())
+    blocks = scratch.write(dealt.mapInArrow(_to_blocks(size), _BLOCK), name)
+    until = ranking.running_total(blocks.select("seq", "n"), [F.col("seq").asc()], "n", ["seq"],
+                                  "until", blocks.count() // ranking.BUCKET_ROWS + 1,
+                                  Scratch(rows.sparkSession, name))
+    parts = until.select("seq", F.expr(f"cast((until - n) div {size} as int)").alias("part"))
+    return scratch.write(blocks.join(parts, "seq"), f"{name}_parts")
 
 
 def _cells(anchors: DataFrame, rows: DataFrame, pairs: DataFrame, fn, schema: str) -> DataFrame:
@@ -140,9 +153,11 @@ def _cells(anchors: DataFrame, rows: DataFrame, pairs: DataFrame, fn, schema: st
     return left.groupBy("a", "b").cogroup(right.groupBy("of", "with")).applyInArrow(fn, schema)
 
 
-def _tables(group: pa.Table) -> list[pa.Table]:
-    return [pa.ipc.open_stream(h).read_all().combine_chunks()
-            for h in group.column("held").to_pylist()]
+def _table(group: pa.Table) -> pa.Table:
+    """The rows of a part's blocks, by id."""
+    held = [pa.ipc.open_stream(h).read_all() for h in group.column("held").to_pylist()]
+    return pa.concat_tables(held).sort_by([("id", "ascending"), ("row", "ascending")]) \
+        .combine_chunks()
 
 
 def _fill(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,21 +170,19 @@ def _find_positives(few: int):
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"anchor": [], "id": [], "score": []}
-        for a in _tables(left):
-            a_label, a_row = (a.column(c).to_numpy() for c in ("label", "row"))
-            a_vec = _matrix(a.column("v").chunk(0))
-            for b in _tables(right):
-                b_label, b_row, b_id = (b.column(c).to_numpy() for c in ("label", "row", "id"))
-                mine, theirs = _fill(a_vec, _matrix(b.column("v").chunk(0)))
-                for label in np.intersect1d(a_label, b_label):
-                    here, there = a_label == label, np.flatnonzero(b_label == label)
-                    for row, scores in zip(a_row[here], packed_scores(mine[here], theirs[there])):
-                        other = b_row[there] != row
-                        scores, ids = scores[other], b_id[there][other]
-                        best = np.argsort(-scores, kind="stable")[:few]
-                        out["anchor"] += [row] * len(best)
-                        out["id"] += ids[best].tolist()
-                        out["score"] += scores[best].tolist()
+        a, b = _table(left), _table(right)
+        a_label, a_row = (a.column(c).to_numpy() for c in ("label", "row"))
+        b_label, b_row, b_id = (b.column(c).to_numpy() for c in ("label", "row", "id"))
+        mine, theirs = _fill(_matrix(a.column("v").chunk(0)), _matrix(b.column("v").chunk(0)))
+        for label in np.intersect1d(a_label, b_label):
+            here, there = a_label == label, np.flatnonzero(b_label == label)
+            for row, scores in zip(a_row[here], packed_scores(mine[here], theirs[there])):
+                other = b_row[there] != row
+                scores, ids = scores[other], b_id[there][other]
+                best = np.argsort(-scores, kind="stable")[:few]
+                out["anchor"] += [row] * len(best)
+                out["id"] += ids[best].tolist()
+                out["score"] += scores[best].tolist()
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return find
@@ -183,29 +196,24 @@ def _find_negatives(few: int, low: int, high: int):
         names = ("anchor", "anchor_id", "place", "positive_id", "positive_score", "negative_id",
                  "negative_score")
         out: dict[str, list] = {n: [] for n in names}
-        for a in _tables(left):
-            a_vec = _matrix(a.column("v").chunk(0))
-            facts = list(zip(*(a.column(c).to_pylist() for c in (
-                "row", "id", "label", "positives"))))
-            for b in _tables(right):
-                b_label, b_id = (b.column(c).to_numpy() for c in ("label", "id"))
-                asked = np.array([(b_label != f[2]).any() for f in facts])
-                mine, theirs = _fill(a_vec, _matrix(b.column("v").chunk(0)))
-                scored = packed_scores(mine[asked], theirs)
-                for (row, own, label, found), scores in zip(
-                        (f for f, q in zip(facts, asked) if q), scored):
-                    other = np.flatnonzero(b_label != label)
-                    order = other[np.argsort(-scores[other], kind="stable")]
-                    falling = -scores[order]
-                    for p in found:
-                        least, most = -(-low * p["score"] // 100), high * p["score"] // 100
-                        at = np.searchsorted(falling, -most, "left")
-                        end = min(at + few, int(np.searchsorted(falling, -least, "right")))
-                        for i in order[at:end]:
-                            for name, value in zip(names, (
-                                    row, own, p["place"], p["id"], p["score"], int(b_id[i]),
-                                    int(scores[i]))):
-                                out[name].append(value)
+        a, b = _table(left), _table(right)
+        facts = list(zip(*(a.column(c).to_pylist() for c in ("row", "id", "label", "positives"))))
+        b_label, b_id = (b.column(c).to_numpy() for c in ("label", "id"))
+        asked = np.array([(b_label != f[2]).any() for f in facts])
+        mine, theirs = _fill(_matrix(a.column("v").chunk(0)), _matrix(b.column("v").chunk(0)))
+        for (row, own, label, found), scores in zip(
+                (f for f, q in zip(facts, asked) if q), packed_scores(mine[asked], theirs)):
+            other = np.flatnonzero(b_label != label)
+            order = other[np.argsort(-scores[other], kind="stable")]
+            falling = -scores[order]
+            for p in found:
+                least, most = -(-low * p["score"] // 100), high * p["score"] // 100
+                at = int(np.searchsorted(falling, -most, "left"))
+                end = min(at + few, int(np.searchsorted(falling, -least, "right")))
+                for i in order[at:end].tolist():
+                    for name, value in zip(names, (row, own, p["place"], p["id"], p["score"],
+                                                   int(b_id[i]), int(scores[i]))):
+                        out[name].append(value)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return find
@@ -236,11 +244,10 @@ def hard_negatives(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     rows = scratch.write(prepared(df, id_col, vector_col, label, anchor, scale), "rows")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("anchor"), 1))
                       .alias("anchors")).first()
-    row_blocks = scratch.write(_blocks(rows.select("row", "id", "label", "v"), counts["n"],
-                                       rows_a_block), "row_blocks")
+    row_blocks = _blocks(rows.select("row", "id", "label", "v"), counts["n"], rows_a_block,
+                         scratch, "row_blocks")
     asked = rows.where("anchor").select("row", "id", "label", "v")
-    anchor_blocks = scratch.write(_blocks(asked, counts["anchors"], anchors_a_block),
-                                  "anchor_blocks")
+    anchor_blocks = _blocks(asked, counts["anchors"], anchors_a_block, scratch, "anchor_blocks")
 
     def labels(blocks: DataFrame, name: str) -> DataFrame:
         return blocks.select(F.col("part").alias(name), F.explode("labels").alias("label"))
@@ -254,8 +261,8 @@ def hard_negatives(df: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         F.collect_list(F.struct(F.col("place").cast("bigint").alias("place"), "id", "score")))
         .alias("positives")), "positives")
 
-    asking = scratch.write(_blocks(asked.join(found, "row"), counts["anchors"],
-                                   anchors_a_block), "asking_blocks")
+    asking = _blocks(asked.join(found, "row"), counts["anchors"], anchors_a_block, scratch,
+                     "asking_blocks")
     last = row_blocks.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
     # every part of anchors with every part of rows: the stated query set, in blocks
     grid = asking.select(F.col("part").alias("a")).distinct().select(
