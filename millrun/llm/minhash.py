@@ -350,9 +350,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              **parameters) -> DataFrame:
-    """The rows of ``df`` that are the least of their group, one each, all columns as they were."""
-    found = near_duplicates(df, id_col, text_col, **parameters)
-    ids = Scratch(df.sparkSession, "neardup").write(
-        found.where("kept").select(F.col(id_col).alias("__kept_id")).distinct(), "kept")
-    one = df.join(ids, df[id_col].cast("bigint") == ids["__kept_id"], "left_semi")
-    return one.dropDuplicates([id_col]).unionByName(df.where(df[id_col].isNull()))
+    """One row of ``df`` of each group, the one with the least id, all columns as they were.
+
+    Rows are numbered in a written table and linked by that number, so rows that share an id
+    or have none are rows of their own: of exact copies one stays, texts that aren't alike
+    all stay. A row without id comes after those with one.
+    """
+    spark = df.sparkSession
+    rows = Scratch(spark, "neardup").write(
+        df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", text_col, **parameters).select("__row", "component_id")
+    ids = rows.select("__row", F.col(id_col).alias("__id"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__row"))
+    kept = found.join(ids, "__row").groupBy("component_id").agg(first.alias("f")).select(
+        F.col("f.__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row")

@@ -89,6 +89,16 @@ def test_awkward_rows(spark):
     assert ids.count(None) == 2
 
 
+def test_keep_one_of_rows_that_share_or_lack_an_id(spark):
+    """Unlike texts under one id all stay; of copies one stays, the least id, with or without."""
+    a, b, c, d = (prose(60, 40 + k) for k in range(4))
+    rows = [(1, a), (1, b), (None, c), (None, c), (7, d), (3, d), (None, d), (5, None), (5, ""),
+            (2, a)]
+    df = docs(spark, [(i, t, "en", "s", None) for i, t in rows])
+    kept = sorted(map(str, ((r["doc_id"], r["text"]) for r in minhash.keep_one(df).collect())))
+    assert kept == sorted(map(str, [(1, a), (1, b), (None, c), (3, d), (5, None), (5, "")]))
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert minhash.keep_one(docs(spark, [])).count() == 0

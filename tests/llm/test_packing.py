@@ -7,12 +7,14 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from tokenizers import Tokenizer
 
 from conftest import SMALL
 from llm_cases import awkward_rows, clashing, docs, prose
 from millrun.llm import bpe, packing, queries
 
 JSON = P.path("byte_bpe_50k.json")
+OWN = Tokenizer.from_file(JSON)
 
 
 def check(rows, ids_of):
@@ -41,9 +43,7 @@ def check(rows, ids_of):
 
 
 def test_whole_table_by_the_tokenizers_library(spark):
-    from tokenizers import Tokenizer
-    own = Tokenizer.from_file(JSON)
-    ids = {r["doc_id"]: own.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+    ids = {r["doc_id"]: OWN.encode(r["text"] or "", add_special_tokens=False).ids + [0]
            for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     sizes = check(queries.op9_packing(spark, SMALL).collect(), ids)
     padding = sum(0 if s & (s - 1) == 0 else 1024 - s for s in sizes)
@@ -52,8 +52,7 @@ def test_whole_table_by_the_tokenizers_library(spark):
 
 def test_awkward_rows(spark):
     rows = [r for r in awkward_rows() if r[0] is not None][:-2]
-    enc = bpe.encoder(JSON, P.PATTERN)
-    ids = {r[0]: enc.encode_ordinary(r[1] or "") + [0] for r in rows}
+    ids = {r[0]: OWN.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
     check(packing.pack(clashing(docs(spark, rows)), JSON, P.PATTERN).collect(), ids)
     check(packing.pack(docs(spark, rows), JSON, P.PATTERN, segment=300).collect(), ids)
     everything = packing.pack(docs(spark, awkward_rows()), JSON, P.PATTERN)
@@ -62,14 +61,12 @@ def test_awkward_rows(spark):
 
 
 def test_added_tokens_in_texts_by_the_tokenizers_library(spark):
-    from tokenizers import Tokenizer
-    own = Tokenizer.from_file(JSON)
     mark = "<|endoftext|>"
     texts = [f"a {mark} b", mark, f"{mark}{mark}  x", f"a  {mark}\n\nb", "<|endoftext|",
              f"word's{mark}'s 12{mark}34", (f"{prose(900)}{mark} " * 20)]
     rows = [r for r in awkward_rows() if r[0] is not None][:-2]
     rows += [(100 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    ids = {r[0]: own.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
+    ids = {r[0]: OWN.encode(r[1] or "", add_special_tokens=False).ids + [0] for r in rows}
     assert len(texts[-1]) > bpe.CHUNK_CHARS and 50256 in ids[100]
     check(packing.pack(docs(spark, rows), JSON, P.PATTERN).collect(), ids)
 
