@@ -5,8 +5,8 @@ last return the columns of ``documents``. What a stage returns is written as Par
 read again as the next one's ``docs``.
 
 Defined cases are those of the operators: rows without text are empty documents and fail
-the quality rules; rows without id pass near-dedup by themselves; empty tables give empty
-results.
+the quality rules; rows without id, or that share one, are rows of their own for near-dedup;
+empty tables give empty results.
 """
 
 from __future__ import annotations
