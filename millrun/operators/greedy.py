@@ -10,29 +10,32 @@ Semantics (the sequential planner this reproduces):
   machine is up and still has at least the order's need; otherwise it stays
   unassigned. An order gets one machine, whatever its categories;
 * capacity per machine is daily hours x planning days; a machine outside the
-  catalog, a null/NaN need or a null order id is never assignable.
+  catalog, a null, NaN or negative need or a null order id is never assignable.
 
 Orders and machines only meet inside a *component* of the graph of orders and
 machines, so components are planned independently. They are derived from the
 candidates: machines that share an order are in one component.
 
-The plan is made in rounds over a state of one row per order (its usable
-candidates as an array in order of preference), written once, sorted by
-component and priority. The rounds write nothing. Each looks at a window of
-orders of every open (scenario, component):
-
-1. every order picks its first candidate that fits the machine's remaining
-   capacity (capacity only shrinks, so what doesn't fit now never will);
-2. the needs are added up by machine: row by row in a window that one task can
-   hold; in a longer one by priority bucket (a range of the sort), and row by
-   row only in the first bucket where a machine overflows. That gives the first
-   order that doesn't fit;
-3. all orders before it are decided: the sequential planner makes the same
-   picks there. The next window starts at that order, or after the window.
-
-A round is remembered as a priority interval with the capacities it started
-from; one pass over the state at the end makes the same picks again and gives
-the plan. Loop control on the driver is of the size of the machine catalog.
+A component's orders are cut into priority *buckets* of about ``BUCKET_ROWS``
+orders, and all buckets are planned at once, each from a guess of the capacities
+it starts with. Planning a bucket gives what it takes from every machine, and the
+*bounds* of the starting capacities that give the very same answer: a machine must
+hold at least what was taken from it, and less than what the least refused order
+would have needed. Running sums of what earlier buckets take (one row a bucket and
+machine) give every bucket the capacities it starts with; buckets whose bounds
+don't hold them are planned again from there. When all bounds hold, the plan is the
+sequential one: the first bucket's start is known, and each bucket that holds makes
+the next one's start exact.
+
+Answers change where a machine runs out, so the number of rounds follows the
+machines that do, not the number of orders. A hot component is spread over as many
+tasks as it has buckets. The driver holds the capacities of the machine catalog;
+guesses, sums and bounds are tables.
+
+Scenarios share work in two ways. In a component where a scenario has the capacities
+of the baseline it has the baseline's plan. In the others it starts from the
+baseline's answers: buckets before the first order that had a down machine, and all
+others whose bounds hold, aren't planned again.
 
 Needs and capacities are integer micro-hours, so sums equal the sequential
 subtraction exactly.
@@ -43,8 +46,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,10 +58,11 @@ from millrun.session import Scratch, trace as _trace
 
 PAYLOAD = ["margin", "p_best", "processing_hours", "profit_score", "base_confidence"]
 BASELINE = "baseline"
-BUCKET_ROWS = 500_000   # orders in a priority bucket, about
-EXACT_ROWS = 500_000    # orders that one task adds up row by row, about
-MAX_WINDOW = 64         # buckets a round looks at, so that its sums stay few
-_BITS = 33              # a priority's bucket is its bits above these
+BUCKET_ROWS = 100_000    # orders in a priority bucket, about: what one task plans
+RANK_ROWS = 500_000      # orders in a range that is ranked, about
+NEVER = -(1 << 60)       # capacity of a machine that is down or unknown
+_ABSENT = 1 << 62        # need of an option that isn't there
+_BITS = 33               # a priority's bucket is its bits above these
 
 
 @dataclass
@@ -65,13 +70,14 @@ class PlanResult:
     assigned: DataFrame   # scenario_id, order_id, machine_id, profit, p_best, processing_hours, ...
     remaining: DataFrame  # scenario_id, machine_id, remaining_hours
     rounds: int
+    planned_buckets: int  # buckets planned in all rounds, each time counted
 
 
 def _no_nan(c):
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def _scenario_frame(spark: SparkSession, scenarios) -> tuple[list[str], DataFrame]:
+def scenario_frame(spark: SparkSession, scenarios) -> tuple[list[str], DataFrame]:
     """(scenario ids, DataFrame(scenario_id, machine_id) of down machines)."""
     schema = T.StructType([T.StructField("scenario_id", T.StringType()),
                            T.StructField("machine_id", T.StringType())])
@@ -91,43 +97,27 @@ def _scenario_frame(spark: SparkSession, scenarios) -> tuple[list[str], DataFram
     return ids, df.dropna().distinct()
 
 
-def order_priority(cands: DataFrame, component: str = "component") -> DataFrame:
-    """Per-order priority keys (A1): max score, min due date, min need."""
-    return cands.groupBy(component, "order_id").agg(
-        F.max("score").alias("k_score"),
-        F.min("promised_date").alias("k_due"),
-        F.min("need_all").alias("k_need"))
-
-
-def priority_order() -> list:
-    """Sort order of O2: component, score desc, due asc, need asc (nulls last), order_id."""
-    return [F.col("component").asc_nulls_last(), F.col("k_score").desc_nulls_last(),
-            F.col("k_due").asc_nulls_last(), F.col("k_need").asc_nulls_last(),
-            F.col("order_id").asc()]
+def priority_order() -> list[Column]:
+    """Sort order of O2 in a component: score desc, due asc, need asc (nulls last), order_id."""
+    return [F.col("k_score").desc_nulls_last(), F.col("k_due").asc_nulls_last(),
+            F.col("k_need").asc_nulls_last(), F.col("order_id").asc()]
 
 
-def rank_orders(keys: DataFrame, buckets: int, *keep: str) -> DataFrame:
+def rank_orders(keys: DataFrame, buckets: int, *keep: str,
+                order_by: Sequence[Column] | None = None) -> DataFrame:
     """Global priority id: range-partition on the priority order, number rows in order.
 
     ``prio`` increases with priority inside a component; ``prio >> 33`` is the
     range bucket (the partition index), used to split running sums.
     """
-    order = priority_order()
+    order = [F.col("component").asc_nulls_last(), *(order_by or priority_order())]
     return (keys.repartitionByRange(buckets, *order)
                 .sortWithinPartitions(*order)
                 .select("component", "order_id",
                         F.monotonically_increasing_id().alias("prio"), *keep))
 
 
-def _prepare(cands: DataFrame, component: str) -> DataFrame:
-    """Candidates with numeric keys; ``component`` is the column that ranks are within."""
-    return (cands.filter(F.col("order_id").isNotNull())
-                 .select(F.col(component).cast("string").alias("component"), "order_id",
-                         "promised_date", _no_nan(F.col("profit_score")).alias("score"),
-                         to_units(F.col("processing_hours"), MICRO).alias("need_all")))
-
-
-def _capacity(machines: DataFrame, planning_days: int, ids: list[str],
+def capacity(machines: DataFrame, planning_days: int, ids: list[str],
               down: DataFrame) -> DataFrame:
     """(scenario_id, machine_id, cap_u): catalog capacity; down machines 0, even if unknown."""
     cat = (machines.select(F.col("machine_id").cast("string").alias("machine_id"),
@@ -143,23 +133,21 @@ def _capacity(machines: DataFrame, planning_days: int, ids: list[str],
                        F.coalesce(F.col("is_down"), F.lit(False)).alias("is_down"))
 
 
-def _orders(cands: DataFrame, cap: DataFrame) -> DataFrame:
+def order_options(cands: DataFrame) -> DataFrame:
     """One row per order: priority keys over all its candidates, and the usable ones in order.
 
-    Usable are candidates with a need on a machine of the catalog.
+    Usable are candidates with a machine and a need. Candidates that are still arrays in the
+    order's row don't need the exchange of this step: see ``routes.order_options``.
     """
-    known = cap.select("machine_id").distinct().withColumn("known", F.lit(True))
-    score = _no_nan(F.col("profit_score"))
-    need = to_units(F.col("processing_hours"), MICRO)
-    rows = (cands.filter(F.col("order_id").isNotNull())
-            .select("order_id", F.col("machine_id").cast("string").alias("machine_id"),
-                    "promised_date", score.alias("score"), need.alias("need_u"),
-                    *[F.col(c).cast("double").alias(c) for c in PAYLOAD])
-            .join(known, "machine_id", "left"))
+    rows = cands.filter(F.col("order_id").isNotNull()).select(
+        "order_id", F.col("machine_id").cast("string").alias("machine_id"), "promised_date",
+        _no_nan(F.col("profit_score")).alias("score"),
+        to_units(F.col("processing_hours"), MICRO).alias("need_u"),
+        *[F.col(c).cast("double").alias(c) for c in PAYLOAD])
     option = F.struct(F.col("score").isNull().alias("no_score"),
                       F.coalesce(-F.col("score"), F.lit(0.0)).alias("down_score"),
                       "need_u", "machine_id", *PAYLOAD)
-    usable = F.col("known") & F.col("need_u").isNotNull()
+    usable = F.col("machine_id").isNotNull() & (F.col("need_u") >= 0)
     return rows.groupBy("order_id").agg(
         F.max("score").alias("k_score"), F.min("promised_date").alias("k_due"),
         F.min("need_u").alias("k_need"),
@@ -185,11 +173,19 @@ def _machine_groups(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     return groups
 
 
-def _state(orders: DataFrame, groups: dict[str, list[str]], buckets: int) -> DataFrame:
-    """component, prio, order_id, cand (place of the machine in its group, need), options.
+def _local(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of the machine catalog's size as a table that is part of the plan."""
+    arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+
 
-    Sorted by component and priority; ``prio`` rises along that order, and
-    ``prio >> 33`` is the range bucket.
+def _state(orders: DataFrame, groups: dict[str, list[str]], buckets: int,
+           order_by: Sequence[Column] | None) -> DataFrame:
+    """component, bucket, prio, order_id, options and cand (place of the machine in its group,
+    need).
+
+    A bucket is one or more neighbouring ranges of the sort, so that the sort is as parallel
+    as the session's shuffles however few buckets there are.
     """
     spark = orders.sparkSession
     of = _local(spark, [(m, name, members) for name, members in groups.items() for m in members],
@@ -199,224 +195,296 @@ def _state(orders: DataFrame, groups: dict[str, list[str]], buckets: int) -> Dat
              .withColumn("cand", F.transform("options", lambda o: F.struct(
                  (F.array_position("members", o["machine_id"]) - 1).cast("int").alias("m"),
                  o["need_u"].alias("need")))))
-    return rank_orders(keyed, buckets, "cand", "options")
+    pieces = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    ranked = rank_orders(keyed, buckets * pieces, "cand", "options", order_by=order_by)
+    return ranked.withColumn("bucket", F.expr(f"shiftright(prio, {_BITS}) div {pieces}"))
 
 
-def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
-                   scenarios: Mapping[str, Sequence[str] | DataFrame | None] | None = None,
-                   buckets: int | None = None) -> PlanResult:
-    """Plan every scenario (set of down machines) in one set of jobs.
+# ---- one bucket, inside a task ------------------------------------------------------------
 
-    ``cands`` needs order_id, machine_id, promised_date, processing_hours,
-    margin, p_best, profit_score and base_confidence.
+def walk(machine: np.ndarray, need: np.ndarray, start: np.ndarray):
+    """Plan one bucket: (place of each order's pick or -1, taken, low, high) by machine.
+
+    ``machine`` and ``need`` have a row per order and its options in order of preference.
+    Any starting capacities from ``low`` to below ``high`` give the same picks. Orders are
+    taken in runs: all pick from what is left where the run begins, needs are added up by
+    machine, and the run ends before the first order that doesn't fit any more.
     """
-    spark = cands.sparkSession
-    scenarios = dict(scenarios or {BASELINE: None})
-    ids, down = _scenario_frame(spark, scenarios)
-    scratch = Scratch(spark, "plan")
-    cap = scratch.write(_capacity(machines, planning_days, ids, down), "capacity")
-    orders = scratch.write(_orders(cands, cap), "orders").filter("size(options) > 0")
-    # at most machines x machines rows
+    n, width = machine.shape
+    left, used = start.copy(), np.zeros_like(start)
+    low = np.full(len(start), 2 * NEVER)
+    high = np.full(len(start), _ABSENT)
+    picks = np.full(n, -1, np.int64)
+    at, span = 0, 1024
+    while at < n:
+        length = min(span, n - at)
+        m, want = machine[at:at + length], need[at:at + length]
+        fits = want <= left[m]
+        pick = np.where(fits.any(1), fits.argmax(1), -1)
+        rows = np.flatnonzero(pick >= 0)
+        rows = rows[np.argsort(m[rows, pick[rows]], kind="stable")]  # by machine, then in order
+        mine, needs = m[rows, pick[rows]], want[rows, pick[rows]]
+        sums = np.concatenate(([0], np.cumsum(needs)))
+        run = sums[1:] - sums[np.searchsorted(mine, mine)]
+        over = rows[run > left[mine]]
+        stop = int(over.min()) if len(over) else length
+        kept = rows < stop
+        rows, mine, needs, run = rows[kept], mine[kept], needs[kept], run[kept]
+        picks[at + rows] = pick[rows]
+        np.maximum.at(low, mine, used[mine] + run)
+        # refused: the options before the pick, or all of them
+        ends = np.where(pick < 0, width, pick)[:stop]
+        r, c = np.nonzero((np.arange(width) < ends[:, None]) & (want[:stop] < _ABSENT))
+        theirs = m[r, c]
+        sums = np.concatenate(([0], np.cumsum(needs)))
+        key = mine * length + rows
+        before = (sums[np.searchsorted(key, theirs * length + r)]
+                  - sums[np.searchsorted(key, theirs * length)])
+        np.minimum.at(high, theirs, used[theirs] + before + want[r, c])
+        taken = np.zeros_like(start)
+        np.add.at(taken, mine, needs)
+        used += taken
+        left -= taken
+        at += stop
+        span = 2 * span if stop == length else max(256, stop)
+    return picks, used, low, high
+
+
+def _options(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Machines and needs of every order's options, filled up to the longest list."""
+    lists = table.column("cand").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    there = np.arange(int(sizes.max(initial=1))) < sizes[:, None]
+    machine = np.zeros(there.shape, np.int64)
+    need = np.full(there.shape, _ABSENT)
+    flat = lists.flatten()
+    machine[there] = flat.field("m").to_numpy(zero_copy_only=False)
+    need[there] = flat.field("need").to_numpy(zero_copy_only=False)
+    return machine, need
+
+
+_ANSWER = "variant int, component string, bucket bigint, m int, taken bigint, low bigint, high bigint"
+_PICK = ("variant int, component string, order_id string, machine_id string, need_u bigint, "
+         + ", ".join(f"{c} double" for c in PAYLOAD))
+
+
+def _answers(orders: pa.Table, asked: pa.Table) -> pa.Table:
+    """What a bucket takes and its bounds, for each of the asked starts."""
+    machine, need = _options(orders.sort_by("prio"))
+    parts = []
+    for r in asked.to_pylist():
+        _, taken, low, high = walk(machine, need, np.array(r["starts"], np.int64))
+        k = len(taken)
+        parts.append(pa.table({
+            "variant": pa.array([r["variant"]] * k, pa.int32()),
+            "component": pa.array([r["component"]] * k, pa.string()),
+            "bucket": pa.array([r["bucket"]] * k, pa.int64()),
+            "m": pa.array(np.arange(k), pa.int32()), "taken": pa.array(taken, pa.int64()),
+            "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())}))
+    return pa.concat_tables(parts)
+
+
+def _chosen(orders: pa.Table, asked: pa.Table) -> pa.Table:
+    """The picks of a bucket's orders with their columns, for each of the asked starts."""
+    orders = orders.sort_by("prio")
+    machine, need = _options(orders)
+    lists = orders.column("options").combine_chunks()
+    first = np.concatenate(([0], np.cumsum(
+        lists.value_lengths().to_numpy(zero_copy_only=False))))[:-1]
+    flat = lists.flatten()
+    parts = []
+    for r in asked.to_pylist():
+        picks = walk(machine, need, np.array(r["starts"], np.int64))[0]
+        got = np.flatnonzero(picks >= 0)
+        taken = flat.take(pa.array(first[got] + picks[got]))
+        parts.append(pa.table({
+            "variant": pa.array([r["variant"]] * len(got), pa.int32()),
+            "component": pa.array([r["component"]] * len(got), pa.string()),
+            "order_id": orders.column("order_id").take(pa.array(got)).cast(pa.string()),
+            **{c: taken.field(c) for c in ("machine_id", "need_u", *PAYLOAD)}}))
+    return pa.concat_tables(parts)
+
+
+def _in_buckets(state: DataFrame, asked: DataFrame, columns: list[str], fn,
+                schema: str) -> DataFrame:
+    """``fn(orders of a bucket, what is asked of it)`` for every bucket that is asked for."""
+    asked = asked.select(F.col("component").alias("of"), F.col("bucket").alias("at"),
+                         "variant", "component", "bucket", "starts")
+    wanted = asked.select("of", "at").distinct()
+    orders = state.select("component", "bucket", "prio", *columns).join(
+        wanted, (F.col("component") == F.col("of")) & (F.col("bucket") == F.col("at")),
+        "left_semi")
+    return orders.groupBy("component", "bucket").cogroup(
+        asked.groupBy("of", "at")).applyInArrow(fn, schema)
+
+
+# ---- rounds -------------------------------------------------------------------------------
+
+def _starts(answers: DataFrame, problems: DataFrame) -> DataFrame:
+    """variant, component, bucket, starts (by machine) and whether the answer holds for them."""
+    earlier = Window.partitionBy("variant", "component", "m").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    start = F.col("cap") - F.coalesce(F.sum("taken").over(earlier), F.lit(0))
+    rows = (answers.join(problems, ["variant", "component", "m"]).withColumn("start", start)
+            .withColumn("holds", (F.col("start") >= F.col("low"))
+                        & (F.col("start") < F.col("high")))
+            # more taken than there is: a guess of nothing left
+            .withColumn("start", F.when(F.col("start") < NEVER // 2, F.col("start"))
+                        .otherwise(F.greatest("start", F.lit(0)))))
+    return rows.groupBy("variant", "component", "bucket").agg(
+        F.sort_array(F.collect_list(F.struct("m", "start")))["start"].alias("starts"),
+        F.bool_and("holds").alias("holds"))
+
+
+class _Rounds:
+    """Plans buckets of ``state`` until every answer holds for the start it really has."""
+
+    def __init__(self, state: DataFrame, scratch: Scratch):
+        self.state, self.scratch = state, scratch
+        self.rounds = self.planned = self.checks = 0
+
+    def _answer(self, asked: DataFrame, n: int) -> DataFrame:
+        self.rounds += 1
+        self.planned += n
+        return _in_buckets(self.state, asked, ["cand"], _answers, _ANSWER)
+
+    def first(self, problems: DataFrame) -> DataFrame:
+        """Answers of all buckets from the full capacities."""
+        full = problems.groupBy("variant", "component").agg(
+            F.sort_array(F.collect_list(F.struct("m", "cap")))["cap"].alias("starts"))
+        asked = self.scratch.write(
+            self.state.select("component", "bucket").distinct().join(full, "component"), "asked_0")
+        return self.scratch.write(self._answer(asked, asked.count()), "answers_0")
+
+    def settle(self, answers: DataFrame, problems: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The answers that hold, and all buckets' starts."""
+        key = ["variant", "component", "bucket"]
+        while True:
+            self.checks += 1
+            starts = self.scratch.write(_starts(answers, problems), f"starts_{self.checks}")
+            asked = starts.where("not holds")
+            n = asked.count()
+            _trace(f"round {self.rounds}: {n} buckets to plan again")
+            if not n:
+                return answers, starts
+            answers = self.scratch.write(
+                answers.join(asked.select(*key), key, "left_anti").unionByName(
+                    self._answer(asked, n)), f"answers_{self.checks}")
+
+
+def plan_capacities(orders: DataFrame, cap: DataFrame, ids: Sequence[str], scratch: Scratch,
+                    buckets: int | None = None, order_by: Sequence[Column] | None = None,
+                    base: str | None = None) -> tuple[DataFrame, int, int]:
+    """Plan ``orders`` (written) for every scenario's capacities.
+
+    ``orders`` has a row for each order: order_id, ``options`` and the columns of ``order_by``
+    (default: the keys of :func:`order_options`); ``cap`` has scenario_id, machine_id, cap_u
+    (null, or no row: unusable).
+    Returns (scenario_id, order_id, machine_id, need_u, payload), rounds, planned buckets.
+    """
+    spark = orders.sparkSession
+    ids = list(ids)
+    base = base or (BASELINE if BASELINE in ids else ids[0])
+    orders = orders.filter("size(options) > 0")
+    # at most machines x machines rows, and machines x scenarios
     links = (orders.select(F.col("options")[0]["machine_id"].alias("a"),
                            F.explode("options.machine_id").alias("b")).distinct().collect())
     groups = _machine_groups([(r["a"], r["b"]) for r in links])
-    n = orders.count()
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             4 * len(groups), n // BUCKET_ROWS + 1)
-    state = scratch.write(_state(orders, groups, buckets), "state")
-    intervals, rounds = _plan_rounds(state, cap, ids, groups, n // buckets)
-    assigned = scratch.write(_replay(state, intervals), "assigned")
-    scratch.drop("orders")
-    scratch.drop("state")
-
+    caps = {(r["scenario_id"], r["machine_id"]): r["cap_u"] for r in cap.collect()}
+    variants: dict[tuple, int] = {}  # (component, capacities) that differ
+    problems, plans = [], []
+    for sid in [base, *(s for s in ids if s != base)]:
+        for component, members in groups.items():
+            vector = tuple(NEVER if caps.get((sid, m)) is None else caps[sid, m] for m in members)
+            if (component, vector) not in variants:
+                variants[component, vector] = len(variants)
+                problems += [(len(variants) - 1, component, i, c, sid == base)
+                             for i, c in enumerate(vector)]
+            plans.append((sid, component, variants[component, vector]))
+    known = _local(spark, problems, {"variant": pa.int32(), "component": pa.string(),
+                                     "m": pa.int32(), "cap": pa.int64(), "is_base": pa.bool_()})
+    of_base = known.where("is_base").drop("is_base")
+    others = known.where("not is_base").drop("is_base")
+    buckets = buckets or orders.count() // BUCKET_ROWS + 1
+    state = scratch.write(_state(orders, groups, buckets, order_by), "state")
+    rounds = _Rounds(state, scratch)
+    answers, starts = rounds.settle(rounds.first(of_base), of_base)
+    if not all(p[4] for p in problems):
+        theirs = others.select("variant", "component").distinct()
+        taken_over = scratch.write(answers.drop("variant").join(theirs, "component"), "taken_over")
+        _, more = rounds.settle(taken_over, others)
+        starts = starts.unionByName(more)
+    picks = _in_buckets(state, starts, ["cand", "order_id", "options"], _chosen, _PICK)
+    of = _local(spark, plans, {"scenario_id": pa.string(), "component": pa.string(),
+                               "variant": pa.int32()})
+    assigned = picks.join(of, ["component", "variant"]).select(
+        "scenario_id", "order_id", "machine_id", "need_u", *PAYLOAD)
+    return assigned, rounds.rounds, rounds.planned
+
+
+def remaining_capacity(cap: DataFrame, assigned: DataFrame) -> DataFrame:
+    """scenario_id, machine_id, cap_u less what ``assigned`` takes."""
     used = assigned.groupBy("scenario_id", "machine_id").agg(F.sum("need_u").alias("used_u"))
-    remaining = (cap.join(used, ["scenario_id", "machine_id"], "left")
-                 .select("scenario_id", "machine_id",
-                         ((F.col("cap_u") - F.coalesce(F.col("used_u"), F.lit(0)))
-                          .cast("double") / MICRO).alias("remaining_hours")))
-    return PlanResult(
-        schemas.conform(assigned.withColumn("profit", F.col("margin")), schemas.ASSIGNED_PLAN,
-                        "scenario_id"),
-        schemas.conform(remaining, schemas.REMAINING_CAPACITY, "scenario_id"), rounds)
-
-
-def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
-                           down_machines: Sequence[str] | DataFrame | None = None,
-                           **kw) -> PlanResult:
-    """One plan (D1). Result columns drop ``scenario_id``."""
-    res = plan_scenarios(cands, machines, planning_days, {BASELINE: down_machines}, **kw)
-    return PlanResult(res.assigned.drop("scenario_id"), res.remaining.drop("scenario_id"),
-                      res.rounds)
+    return cap.join(used, ["scenario_id", "machine_id"], "left").withColumn(
+        "cap_u", F.col("cap_u") - F.coalesce(F.col("used_u"), F.lit(0))).drop("used_u")
 
 
-@dataclass
-class _Open:
-    """Where a (scenario, component) stands."""
-
-    frontier: int     # first undecided priority
-    last: int         # the component's last priority
-    rem: list[int]    # remaining capacity by place of the machine, -1: never usable
-    window: int = 1   # buckets to look at
-
-    def end(self) -> int:
-        return ((self.frontier >> _BITS) + self.window) << _BITS
+def as_result(assigned: DataFrame, left: DataFrame, rounds: int, planned: int,
+              *more: str) -> PlanResult:
+    hours = left.select("scenario_id", "machine_id",
+                        (F.col("cap_u").cast("double") / MICRO).alias("remaining_hours"))
+    return PlanResult(
+        schemas.conform(assigned.withColumn("profit", F.col("margin")), schemas.ASSIGNED_PLAN,
+                        "scenario_id", *more),
+        schemas.conform(hours, schemas.REMAINING_CAPACITY, "scenario_id"), rounds, planned)
 
 
-_WINDOW = {"scenario_id": pa.string(), "component": pa.string(), "lo": pa.int64(),
-           "hi": pa.int64(), "rem": pa.list_(pa.int64())}
+def usable_capacity(cap: DataFrame) -> DataFrame:
+    """``cap`` with null where a machine is down, so that nothing ever fits."""
+    return cap.select("scenario_id", "machine_id",
+                      F.when(~F.col("is_down"), F.col("cap_u")).alias("cap_u"))
 
 
-def _local(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
-    """Loop control as a table that is part of the plan (no job makes it)."""
-    arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
-    return spark.createDataFrame(pa.table(arrays, names=list(columns)))
+def as_orders(cands: DataFrame) -> DataFrame:
+    return cands if "options" in cands.columns else order_options(cands)
 
 
-def _fits(option):
-    return option["need"] <= F.element_at("rem", option["m"] + 1)
+def held(cap: DataFrame) -> DataFrame:
+    """Capacities (machines x scenarios) read once and made part of the plans that use them."""
+    kinds = {"scenario_id": pa.string(), "machine_id": pa.string(), "cap_u": pa.int64(),
+             "is_down": pa.bool_()}
+    return _local(cap.sparkSession, [tuple(r) for r in cap.select(*kinds).collect()], kinds)
 
 
-def _picks(state: DataFrame, windows: list[tuple]) -> DataFrame:
-    """scenario_id, component, bucket, prio, rem, m, need: what the windows' orders pick."""
-    in_windows = F.lit(False)
-    for lo, hi in _merge_ranges([(w[2], w[3]) for w in windows]):
-        in_windows = in_windows | ((F.col("prio") >= lo) & (F.col("prio") < hi))
-    of = _local(state.sparkSession, windows, _WINDOW)
-    return (state.select("component", "prio", "cand").filter(in_windows)
-            .join(of, "component").filter("prio >= lo and prio < hi")
-            .withColumn("pick", F.get(F.filter("cand", _fits), 0)).filter("pick is not null")
-            .select("scenario_id", "component", F.shiftright("prio", _BITS).alias("bucket"),
-                    "prio", "rem", "pick.m", "pick.need"))
+def plan_scenarios(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
+                   scenarios: Mapping[str, Sequence[str] | DataFrame | None] | None = None,
+                   buckets: int | None = None) -> PlanResult:
+    """Plan every scenario (set of down machines) in one set of jobs.
 
+    ``cands`` needs order_id, machine_id, promised_date, processing_hours, margin, p_best,
+    profit_score and base_confidence; or it has a row for each order with its ``options`` in
+    order and priority keys, as :func:`order_options` and ``routes.order_options`` make them.
+    """
+    spark = cands.sparkSession
+    ids, down = scenario_frame(spark, dict(scenarios or {BASELINE: None}))
+    scratch = Scratch(spark, "plan")
+    cap = held(capacity(machines, planning_days, ids, down))
+    orders = scratch.write(as_orders(cands), "orders")
+    assigned, rounds, planned = plan_capacities(orders, usable_capacity(cap), ids, scratch,
+                                                buckets)
+    assigned = scratch.write(assigned, "assigned")
+    scratch.drop("orders")
+    scratch.drop("state")
+    return as_result(assigned, remaining_capacity(cap, assigned), rounds, planned)
 
-def _decide(state: DataFrame, windows: list[tuple]) -> dict:
-    """Per (scenario, component): the first order that doesn't fit (or None), and the needs
-    of all orders before it by machine.
 
-    A component's window has ``EXACT_ROWS`` orders at most, about, so one task can add it
-    up row by row. Picks are made from the capacities the round started with; a window's
-    last item is what is left where it starts.
-    """
-    run = F.sum("need").over(Window.partitionBy("scenario_id", "component", "m").orderBy("prio")
-                             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    over = F.when(F.col("run") > F.element_at("at_start", F.col("m") + 1), F.col("prio"))
-    starts = _local(state.sparkSession, [(w[0], w[1], w[5]) for w in windows], {
-        "scenario_id": pa.string(), "component": pa.string(),
-        "at_start": pa.list_(pa.int64())})
-    rows = (_picks(state, [w[:5] for w in windows]).join(starts, ["scenario_id", "component"])
-            .repartition("scenario_id", "component")
-            .withColumn("run", run)
-            .withColumn("stop", F.min(over).over(Window.partitionBy("scenario_id", "component"))))
-    before = F.col("stop").isNull() | (F.col("prio") < F.col("stop"))
-    out: dict = {(w[0], w[1]): (None, {}) for w in windows}
-    for r in rows.groupBy("scenario_id", "component", "m").agg(
-            F.min("stop").alias("stop"), F.sum(F.when(before, F.col("need"))).alias("need")) \
-            .collect():
-        key = r["scenario_id"], r["component"]
-        out[key] = r["stop"], out[key][1]
-        out[key][1][r["m"]] = r["need"] or 0
-    return out
-
-
-def _sums(state: DataFrame, windows: list[tuple]) -> dict:
-    """Per (scenario, component) and priority bucket: the needs picked from each machine."""
-    out: dict = {}
-    for r in _picks(state, windows).groupBy("scenario_id", "component", "bucket", "m").agg(
-            F.sum("need").alias("need")).collect():
-        out.setdefault((r["scenario_id"], r["component"]), {}).setdefault(
-            r["bucket"], {})[r["m"]] = r["need"]
-    return out
-
-
-def _before_overflow(o: "_Open", sums: dict) -> tuple[int | None, list[int]]:
-    """The first bucket in which a machine overflows (or None), and what is left there."""
-    left = list(o.rem)
-    for bucket in sorted(sums):
-        if any(need > left[m] for m, need in sums[bucket].items()):
-            return bucket, left
-        for m, need in sums[bucket].items():
-            left[m] -= need
-    return None, left
-
-
-def _plan_rounds(state: DataFrame, cap: DataFrame, ids: list[str], groups: dict[str, list[str]],
-                 bucket_rows: int) -> tuple[list[tuple], int]:
-    """The decided priority intervals (with the capacities they start from) and their rounds."""
-    caps = {(r["scenario_id"], r["machine_id"]): r["cap_u"]
-            for r in cap.filter("not is_down").collect()}  # machines x scenarios
-    exact = max(1, EXACT_ROWS // max(1, bucket_rows))  # buckets that one task adds up
-    open_: dict[tuple[str, str], _Open] = {}
-    for r in state.groupBy("component").agg(F.min("prio").alias("lo"),
-                                            F.max("prio").alias("hi")).collect():
-        for sid in ids:
-            rem = [caps.get((sid, m)) for m in groups[r["component"]]]
-            open_[sid, r["component"]] = _Open(
-                r["lo"], r["hi"], [-1 if x is None else x for x in rem], min(exact, MAX_WINDOW))
-    intervals: list[tuple] = []
-    rounds = 0
-    while open_:
-        rounds += 1
-        # windows that are too long to add up row by row are first added up by bucket
-        long = {key: o for key, o in open_.items() if o.window > exact}
-        sums = _sums(state, [(*key, o.frontier, o.end(), o.rem) for key, o in long.items()]) \
-            if long else {}
-        checks, left = [], {}
-        for key, o in open_.items():
-            bucket, left[key] = _before_overflow(o, sums.get(key, {}))
-            if key not in long:
-                checks.append((*key, o.frontier, o.end(), o.rem, left[key]))
-            elif bucket is not None:
-                lo = max(o.frontier, bucket << _BITS)
-                checks.append((*key, lo, (bucket + 1) << _BITS, o.rem, left[key]))
-        decided = _decide(state, checks) if checks else {}
-        for key, o in list(open_.items()):
-            start, rem = o.frontier, o.rem
-            stop, needs = decided.get(key, (None, {}))
-            for m, need in needs.items():
-                left[key][m] -= need
-            if stop is None:
-                o.frontier = o.end()
-                o.window = min(2 * o.window, MAX_WINDOW)
-            else:
-                if stop <= start:
-                    raise AssertionError(f"round {rounds} decided nothing of {key}")
-                # as many buckets next time as this round could use, or what one task can
-                o.window = max(1, min(exact, MAX_WINDOW), (stop >> _BITS) - (start >> _BITS))
-                o.frontier = stop
-            o.rem = left[key]
-            intervals.append((*key, start, o.frontier, rem))
-            if o.frontier > o.last:
-                del open_[key]
-        _trace(f"round {rounds}: {len(open_)} open, {len(long)} long windows")
-    return intervals, rounds
-
-
-def _replay(state: DataFrame, intervals: list[tuple]) -> DataFrame:
-    """The plan: every order picks again from the capacities of its interval."""
-    of = _local(state.sparkSession, intervals, _WINDOW).withColumn(
-        "bucket", F.explode(F.expr(f"sequence(shiftright(lo, {_BITS}), "
-                                   f"shiftright(hi - 1, {_BITS}))")))
-    place = F.array_position(F.transform("cand", _fits), F.lit(True)).cast("int")
-    return (state.withColumn("bucket", F.shiftright("prio", _BITS))
-            .join(of, ["component", "bucket"]).filter("prio >= lo and prio < hi")
-            .withColumn("place", place).filter("place > 0")
-            .withColumn("o", F.element_at("options", F.col("place")))
-            .select("scenario_id", "order_id", "o.machine_id", "o.need_u",
-                    *[f"o.{c}" for c in PAYLOAD]))
-
-
-def _merge_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Ranges that cover the given ones, at most 32: the nearest are joined."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(ranges):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    while len(out) > 32:
-        k = min(range(1, len(out)), key=lambda i: out[i][0] - out[i - 1][1])
-        out[k - 1][1] = out.pop(k)[1]
-    return [(a, b) for a, b in out]
+def greedy_assign_priority(cands: DataFrame, machines: DataFrame, planning_days: int = 21,
+                           down_machines: Sequence[str] | DataFrame | None = None,
+                           **kw) -> PlanResult:
+    """One plan (D1). Result columns drop ``scenario_id``."""
+    res = plan_scenarios(cands, machines, planning_days, {BASELINE: down_machines}, **kw)
+    return PlanResult(res.assigned.drop("scenario_id"), res.remaining.drop("scenario_id"),
+                      res.rounds, res.planned_buckets)
 
 
 # ---- ranks exposed as tables ------------------------------------------------------------
@@ -440,13 +508,13 @@ def dense_order_rank(ranked: DataFrame) -> DataFrame:
                          .alias("priority_rank")))
 
 
-def order_ranks(cands: DataFrame, component: str = "part_category",
-                buckets: int | None = None) -> DataFrame:
-    """Priority rank of every order (O2), computed over all its candidates."""
-    spark = cands.sparkSession
+def order_ranks(keys: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Priority rank of every order (O2) from ``keys``: component, order_id, k_score, k_due,
+    k_need."""
+    spark = keys.sparkSession
     scratch = Scratch(spark, "rank")
-    keys = scratch.write(order_priority(_prepare(cands, component)), "keys")
+    keys = scratch.write(keys, "keys")
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                             keys.count() // BUCKET_ROWS + 1)
+                             keys.count() // RANK_ROWS + 1)
     ranked = scratch.write(rank_orders(keys, buckets), "ranked")
     return dense_order_rank(ranked)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -13,6 +14,7 @@ from millrun.functions import report
 from millrun.operators import greedy, kpi, routes, scenario
 from millrun.sources import fixtures as fx
 
+SOURCES = ["nation", "part", "lineitem", "orders", "customer"]
 PLAN_COLUMNS = ["order_id", "machine_id", "profit", "p_best", "processing_hours"]
 # SQL text over the registered views (S8): the planned rows with their backlog columns.
 ENRICHED_SQL = (f"SELECT {', '.join([*PLAN_COLUMNS, *scenario.ENRICH_COLUMNS])} "
@@ -43,9 +45,9 @@ class Loaded:
 
 
 def load_data(spark: SparkSession, sf_dir: str, planning_days: int = 21) -> Loaded:
-    """Load and cache the dashboard tables (S10): the cache lives until ``release``.
+    """Load and persist the dashboard tables; they live until ``release``.
 
-    Cached DataFrames keep their lineage, so a lost executor's blocks are recomputed.
+    Persisted DataFrames keep their lineage, so a lost executor's blocks are recomputed.
     """
     level = StorageLevel.MEMORY_AND_DISK
     machines = fx.machines(spark, sf_dir).persist(level)
@@ -58,6 +60,52 @@ def load_data(spark: SparkSession, sf_dir: str, planning_days: int = 21) -> Load
     return Loaded(machines, cands, backlog, enriched, kpis)
 
 
+def source_versions(spark: SparkSession, sf_dir: str) -> tuple:
+    """Time of the last change and bytes of each table that the dashboard reads."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        out.append((name, fs.getFileStatus(path).getModificationTime(),
+                    fs.getContentSummary(path).getLength()))
+    return tuple(out)
+
+
+class LoadCache:
+    """Loaded dashboard tables with a lifetime (S10).
+
+    An entry is keyed by folder, horizon and the versions of the sources, and serves until its
+    deadline. The first use after it, or after a source changed, loads anew and releases the
+    blocks of the entry it replaces.
+    """
+
+    def __init__(self, seconds: float = 60.0, load: Callable[..., Loaded] = load_data,
+                 versions: Callable[..., tuple] = source_versions,
+                 clock: Callable[[], float] = time.monotonic):
+        self.seconds, self.load, self.versions, self.clock = seconds, load, versions, clock
+        self._held: dict[tuple, tuple[float, tuple, Loaded]] = {}
+
+    def get(self, spark: SparkSession, sf_dir: str, planning_days: int = 21) -> Loaded:
+        key = (sf_dir, planning_days)
+        versions = self.versions(spark, sf_dir)
+        held = self._held.get(key)
+        if held and self.clock() < held[0] and held[1] == versions:
+            return held[2]
+        if held:
+            del self._held[key]
+            held[2].release()
+        loaded = self.load(spark, sf_dir, planning_days)
+        self._held[key] = (self.clock() + self.seconds, versions, loaded)
+        return loaded
+
+    def clear(self) -> None:
+        for _, _, loaded in self._held.values():
+            loaded.release()
+        self._held.clear()
+
+
 def register_views(machines: DataFrame, cands: DataFrame, backlog: DataFrame,
                    plan: DataFrame) -> None:
     machines.createOrReplaceTempView("machines_catalog")

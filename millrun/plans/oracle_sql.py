@@ -397,6 +397,14 @@ ORACLES["latest_version"] = """
 SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events GROUP BY event_type"""
 
 
+ORACLES["alias_targets"] = """
+SELECT name, alias, version FROM (
+  SELECT event_type AS name, 'alias-' || CAST(event_id % 3 AS VARCHAR) AS alias,
+         CAST(user_id AS VARCHAR) AS version,
+         row_number() OVER (PARTITION BY event_type, event_id % 3 ORDER BY ts DESC, event_id DESC)
+           AS rn FROM events) WHERE rn = 1"""
+
+
 # ---- overrides and replica refresh ---------------------------------------------------
 
 OV = oracle_prefix("override_requests")
@@ -433,6 +441,64 @@ v AS (
 SELECT p.order_id, coalesce(v.machine_id, p.machine_id) AS machine_id
 FROM plan p LEFT JOIN v ON v.order_id = p.order_id AND v.rn = 1"""
 
+# Pins by machine in order of time, one step an override; the rest on what they leave.
+_PINS = f"""
+newest AS (
+  SELECT order_id, machine_id, assigned_at FROM override_requests
+  QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY assigned_at DESC, machine_id DESC) = 1),
+asked AS MATERIALIZED (
+  SELECT n.order_id, n.machine_id, s.need_uh,
+         row_number() OVER (PARTITION BY n.machine_id ORDER BY n.assigned_at, n.order_id) AS k
+  FROM newest n JOIN sc s ON s.order_id = n.order_id AND s.machine_id = n.machine_id
+  WHERE n.machine_id NOT IN ('M-0003', 'M-0010')),
+pr AS (
+  SELECT machine_id, 0 AS k, CAST(round(daily_capacity_hours * 1000000) AS BIGINT) * {DAYS} AS u,
+         CAST(NULL AS VARCHAR) AS order_id, FALSE AS taken FROM machines
+  UNION ALL
+  SELECT a.machine_id, CAST(a.k AS INTEGER), CASE WHEN pr.u >= a.need_uh THEN pr.u - a.need_uh
+         ELSE pr.u END, a.order_id, pr.u >= a.need_uh
+  FROM pr JOIN asked a ON a.machine_id = pr.machine_id AND a.k = pr.k + 1),
+pins AS MATERIALIZED (SELECT order_id, machine_id FROM pr WHERE taken),
+machines_left AS MATERIALIZED (
+  SELECT m.machine_id, m.capability, min(pr.u) AS left_u
+  FROM machines m JOIN pr ON pr.machine_id = m.machine_id GROUP BY m.machine_id, m.capability),
+free AS (SELECT * FROM sc WHERE order_id NOT IN (SELECT order_id FROM pins)),
+pri AS ("""
+
+_PINNED_PLAN = (
+    "WITH RECURSIVE " + (oracle_prefix("machines", "backlog", "machine_status",
+                                       "override_requests")[len("WITH "):])
+    + ",\n" + CANDS + ",\n"
+    + plan_ctes(DAYS, {"baseline": SCENARIOS["two_down"]})
+    .replace("\npri AS (", _PINS, 1)
+    .replace("FROM sc GROUP BY", "FROM free GROUP BY")
+    .replace("FROM sc c CROSS JOIN", "FROM free c CROSS JOIN")
+    .replace("FROM machines m CROSS JOIN scen s", "FROM machines_left m CROSS JOIN scen s")
+    .replace(f"CAST(round(m.daily_capacity_hours * 1000000) AS BIGINT) * {DAYS}", "m.left_u")
+    .replace("\nplan AS (", "\nrest AS (") + f""",
+plan AS (
+  SELECT *, FALSE AS pinned FROM rest
+  UNION ALL
+  SELECT 'baseline', p.order_id, p.machine_id, s.margin, s.p_best, s.processing_hours,
+         s.profit_score, s.base_confidence, s.need_uh, TRUE
+  FROM pins p JOIN sc s ON s.order_id = p.order_id AND s.machine_id = p.machine_id)""")
+
+ORACLES["plan_with_overrides"] = _PINNED_PLAN + f"\nSELECT pinned, {PLAN_COLS} FROM plan"
+
+ORACLES["overrides_remaining"] = _PINNED_PLAN + f"""
+SELECT m.machine_id, CASE WHEN m.machine_id IN ('M-0003', 'M-0010') THEN CAST(0 AS DOUBLE)
+       ELSE CAST(CAST(round(m.daily_capacity_hours * 1000000) AS BIGINT) * {DAYS}
+                 - coalesce(u.used, 0) AS DOUBLE) / 1000000 END AS remaining_hours
+FROM machines m LEFT JOIN (SELECT machine_id, CAST(sum(need_uh) AS BIGINT) AS used FROM plan
+                           GROUP BY machine_id) u ON u.machine_id = m.machine_id"""
+
+ORACLES["overrides_rejected"] = _PINNED_PLAN + """
+SELECT order_id, machine_id FROM newest
+WHERE order_id NOT IN (SELECT order_id FROM pins) AND machine_id IS NOT NULL"""
+
+ORACLES["overrides_kpi"] = (_PINNED_PLAN + "," + KPI_CTE.format(days=DAYS)
+                            + f"\nSELECT {KPI_COLS} FROM kpis")
+
 ORACLES["synced_upsert"] = """
 SELECT user_id, ts, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
@@ -443,6 +509,28 @@ SELECT user_id, ts, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events) WHERE rn = 1 AND event_type IS DISTINCT FROM 'error'"""
 
+_SNAPSHOTS = """
+WITH old AS (
+  SELECT user_id, ts, event_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-15'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+later AS (
+  SELECT user_id, ts, event_id, event_type, value FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+new AS (SELECT * FROM later WHERE event_type <> 'error')"""
+
+ORACLES["snapshot_changes"] = _SNAPSHOTS + """
+SELECT 'insert' AS change_type, n.* FROM new n ANTI JOIN old o ON o.user_id = n.user_id
+UNION ALL
+SELECT 'delete', o.* FROM old o ANTI JOIN new n ON o.user_id = n.user_id
+UNION ALL
+SELECT 'update_preimage', o.* FROM old o JOIN new n ON o.user_id = n.user_id
+WHERE o.event_id <> n.event_id
+UNION ALL
+SELECT 'update_postimage', n.* FROM old o JOIN new n ON o.user_id = n.user_id
+WHERE o.event_id <> n.event_id"""
+
+ORACLES["changes_refreshed"] = _SNAPSHOTS + "\nSELECT * FROM new"
+
 ORACLES["down_from_status"] = oracle_prefix("machine_status") + "," + """
 d AS (""" + LATEST_STATUS_DOWN + ")\nSELECT machine_id FROM d"
 

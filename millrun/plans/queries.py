@@ -119,8 +119,12 @@ def _scenarios(spark, d):
             "status": scenario.down_from_status(fx.machine_status(spark, d))}
 
 
+def _options(spark, d):
+    return routes.order_options(_by_order(spark, d))
+
+
 def _plan(spark, d, days=PLANNING_DAYS, down=None, **kw):
-    return greedy.greedy_assign_priority(_scored(spark, d), fx.machines(spark, d), days, down,
+    return greedy.greedy_assign_priority(_options(spark, d), fx.machines(spark, d), days, down,
                                          **kw)
 
 
@@ -131,7 +135,9 @@ def order_priority(spark, d):
 
 @query("order_rank")
 def order_rank(spark, d):
-    return greedy.order_ranks(_scored(spark, d)).withColumnRenamed("component", "part_category")
+    keys = routes.priority_keys(_by_order(spark, d)).withColumnRenamed("part_category",
+                                                                       "component")
+    return greedy.order_ranks(keys).withColumnRenamed("component", "part_category")
 
 
 @query("candidate_preference")
@@ -184,7 +190,7 @@ def greedy_plan(spark, d):
 
 @query("greedy_plan_rounds")
 def greedy_plan_rounds(spark, d):
-    """The same plan cut into many more priority buckets, so into other rounds."""
+    """The same plan cut into many small priority buckets, so with many more rounds."""
     return _plan(spark, d, buckets=400).assigned
 
 
@@ -223,28 +229,28 @@ def kpi_empty_plan(spark, d):
 
 @query("scenario_plan")
 def scenario_plan(spark, d):
-    res = greedy.plan_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+    res = greedy.plan_scenarios(_options(spark, d), fx.machines(spark, d), PLANNING_DAYS,
                                 _scenarios(spark, d))
     return res.assigned
 
 
 @query("kpi_scenarios")
 def kpi_scenarios(spark, d):
-    _, kpis, _ = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+    _, kpis, _ = scenario.run_scenarios(_options(spark, d), fx.machines(spark, d), PLANNING_DAYS,
                                         _scenarios(spark, d))
     return kpis
 
 
 @query("kpi_delta")
 def kpi_delta(spark, d):
-    _, _, delta = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d),
+    _, _, delta = scenario.run_scenarios(_options(spark, d), fx.machines(spark, d),
                                          PLANNING_DAYS, _scenarios(spark, d))
     return delta
 
 
 @query("kpi_report")
 def kpi_report(spark, d):
-    _, kpis, _ = scenario.run_scenarios(_scored(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+    _, kpis, _ = scenario.run_scenarios(_options(spark, d), fx.machines(spark, d), PLANNING_DAYS,
                                         _scenarios(spark, d))
     return rpt.kpi_report(kpis).filter(F.col("scenario_id") != greedy.BASELINE)
 
@@ -294,7 +300,7 @@ def _trained(spark, d):
 @query("route_model_scores")
 def route_model_scores(spark, d):
     trained = _trained(spark, d)
-    scored = mdl.score(trained.model, _cands(spark, d))
+    scored = mdl.score(trained, _cands(spark, d))
     return scored.select("order_id", "machine_id", "p_best", "profit_score")
 
 
@@ -316,7 +322,7 @@ def split_rows(spark, d):
 def model_checks(spark, d):
     """Scores of all candidates: how many, how many wrong, and whether the model beats a guess."""
     trained = _trained(spark, d)
-    scored = mdl.score(trained.model, _cands(spark, d))
+    scored = mdl.score(trained, _cands(spark, d))
     wrong = F.abs(F.col("profit_score") - F.col("p_best") * F.col("margin")) > 1e-9
     return scored.agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -331,7 +337,7 @@ def model_plan_checks(spark, d):
     """The plan on the model's scores: every count is a broken promise of the planner."""
     machines = fx.machines(spark, d)
     scored = Scratch(spark, "scored").write(
-        mdl.score(_trained(spark, d).model, _cands(spark, d)), "scored")
+        mdl.score(_trained(spark, d), _cands(spark, d)), "scored")
     res = greedy.greedy_assign_priority(scored, machines, PLANNING_DAYS)
     keys = ["order_id", "machine_id"]
     left = res.remaining.withColumnRenamed("remaining_hours", "left_hours")
@@ -360,8 +366,20 @@ def latest_version(spark, d):
     return mdl.latest_versions(reg).select("name", "version")
 
 
+@query("alias_targets")
+def alias_targets(spark, d):
+    """Events as a log of aliases: the version each alias of each name points to."""
+    log = fx.read(spark, d, "events").select(
+        F.col("event_type").alias("name"),
+        F.concat(F.lit("alias-"), (F.col("event_id") % 3).cast("string")).alias("alias"),
+        F.col("user_id").cast("string").alias("version"), F.col("ts").alias("set_at"),
+        F.col("event_id").alias("entry"))
+    return mdl.alias_targets(log)
+
+
 # ---- overrides and replica refresh ------------------------------------------------
 
+from millrun.sources import feed as feed_of  # noqa: E402
 from millrun.sources import overrides as ov  # noqa: E402
 from millrun.streaming import replica  # noqa: E402
 
@@ -371,12 +389,12 @@ SYNC_CUTOFF = "2024-01-15 00:00:00"
 @query("override_history")
 def override_history(spark, d):
     """Overrides with their place in the list, newest first."""
-    return ranking.positions(ov.history(fx.override_requests(spark, d)), ov.newest_first())
+    return ov.history_positions(fx.override_requests(spark, d))
 
 
 @query("override_display")
 def override_display(spark, d):
-    return ov.display(ov.history(fx.override_requests(spark, d)))
+    return ov.display(fx.override_requests(spark, d))
 
 
 def _requests(spark, d):
@@ -403,6 +421,34 @@ def overrides_applied(spark, d):
     return scenario.apply_overrides(plan.select("order_id", "machine_id"), valid)
 
 
+def _with_overrides(spark, d):
+    return scenario.plan_with_overrides(_options(spark, d), fx.machines(spark, d), PLANNING_DAYS,
+                                        fx.override_requests(spark, d), SCENARIO_DOWN)
+
+
+@query("plan_with_overrides")
+def plan_with_overrides(spark, d):
+    """Overrides take their capacity first, with two machines down; the rest is planned after."""
+    return _with_overrides(spark, d).assigned
+
+
+@query("overrides_remaining")
+def overrides_remaining(spark, d):
+    return _with_overrides(spark, d).remaining
+
+
+@query("overrides_rejected")
+def overrides_rejected(spark, d):
+    """Newest override of an order whose machine can't make it, is down or is full by then."""
+    return _with_overrides(spark, d).rejected
+
+
+@query("overrides_kpi")
+def overrides_kpi(spark, d):
+    return kpi.compute_kpis(_with_overrides(spark, d).assigned, fx.machines(spark, d),
+                            PLANNING_DAYS)
+
+
 @query("synced_upsert")
 def synced_upsert(spark, d):
     """Replica keyed by user_id: snapshot before the cutoff, then the later changes merged."""
@@ -415,15 +461,46 @@ def synced_upsert(spark, d):
 
 @query("replica_refreshed")
 def replica_refreshed(spark, d):
-    """The feed with deletes, refreshed as a stream in three batches that hold late rows."""
+    """The feed with deletes, landed and refreshed as a stream in three parts with late rows."""
     scratch = Scratch(spark, "feed")
     feed = fx.change_feed(spark, d).withColumn("deleted", F.col("event_type") == "error")
     third = F.pmod(F.col("event_id") * 7, F.lit(3))
     for k in (2, 0, 1):
-        feed.filter(third == k).coalesce(1).write.parquet(scratch.path(f"changes/b{k}"))
-    replica.refresh(spark, scratch.path("changes/*"), feed.schema, scratch.path("replica"),
-                    ["user_id"], ["ts", "event_id"], "deleted", max_files_per_trigger=1)
-    return replica.read_replica(spark, scratch.path("replica"))
+        feed.filter(third == k).write.parquet(scratch.path(f"changes/b{k}"))
+        replica.refresh(spark, scratch.path("changes/*"), feed.schema, scratch.path("replica"),
+                        ["user_id"], ["ts", "event_id"])
+    return replica.read_replica(spark, scratch.path("replica"), feed.schema, "deleted")
+
+
+def _snapshots(spark, d):
+    """State by user before the cutoff, and at the end without users whose last event is an error."""
+    feed = fx.change_feed(spark, d)
+    early = feed.filter(F.col("ts") < F.lit(SYNC_CUTOFF).cast("timestamp_ntz"))
+    old = replica.merge(None, early, ["user_id"], ["ts", "event_id"])
+    new = replica.merge(None, feed, ["user_id"], ["ts", "event_id"])
+    return old, new.filter(F.col("event_type") != "error")
+
+
+@query("snapshot_changes")
+def snapshot_changes(spark, d):
+    """What leads from the earlier state to the later one."""
+    return feed_of.snapshot_changes(*_snapshots(spark, d), ["user_id"])
+
+
+@query("changes_refreshed")
+def changes_refreshed(spark, d):
+    """The earlier state as a replica, refreshed from the change feed of the two states."""
+    scratch = Scratch(spark, "snapshots")
+    old, new = _snapshots(spark, d)
+    old = scratch.write(old, "old")
+    changes = feed_of.as_refresh(feed_of.snapshot_changes(old, new, ["user_id"]), 2)
+    start = feed_of.as_refresh(feed_of.snapshot_changes(old.limit(0), old, ["user_id"]), 1)
+    for name, rows in (("b1", start), ("b2", changes)):
+        rows.write.parquet(scratch.path(f"changes/{name}"))
+        replica.refresh(spark, scratch.path("changes/*"), start.schema, scratch.path("replica"),
+                        ["user_id"], ["version"])
+    return replica.read_replica(spark, scratch.path("replica"), start.schema,
+                                "deleted").drop("version")
 
 
 @query("down_from_status")

@@ -103,13 +103,21 @@ MODEL_REGISTRY = T.StructType([
     _f("name", S, "Registered model name"),
     _f("version", S, "Version number as text"),
     _f("path", S, "Folder of the saved PipelineModel"),
-    _f("alias", S, "Alias such as champion, or null"),
     _f("test_accuracy", D, "Held-out accuracy at registration"),
     _f("params", S, "Training parameters as JSON"),
     _f("registered_at", T.TimestampType(), "Registration time"),
 ])
 
 
+MODEL_ALIASES = T.StructType([
+    _f("name", S, "Registered model name"),
+    _f("alias", S, "Alias such as champion"),
+    _f("version", S, "Version it points to from then on"),
+    _f("set_at", T.TimestampType(), "Newest row of an alias counts"),
+    _f("entry", T.LongType(), "Place in the log, orders equal times"),
+])
+
+
 def conform(df: DataFrame, schema: T.StructType, *before: str) -> DataFrame:
     """``df`` as the declared columns (types and comments), after the columns ``before``."""
     return df.select(*before, *[F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata)

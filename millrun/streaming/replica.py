@@ -8,29 +8,29 @@ delete row, hidden from readers, so an older row that comes late doesn't
 bring it back. With ``trigger(availableNow=True)`` one call processes what
 has arrived and stops, which is a triggered refresh.
 
-Layout, without a transactional table format:
-
-* ``<root>/_checkpoint``: the stream's progress, beside the data it is the
-  progress of, so any later session resumes it;
-* ``<root>/data/v=<version>/part=<p>``: rows by a hash of their key. A batch
-  rewrites only the parts its keys fall in, under a version number that only
-  rises;
-* ``<root>/_manifest/v=<version>``: written last, in one rename. It names the
-  version of every part and the stream's batch, so a batch that is replayed
-  after its commit is skipped. Readers take the newest manifest; the one
-  before is kept for readers under way, older ones and their parts go.
+The replica is a Parquet folder partitioned by a hash of the key. A batch merges
+the partitions that its keys fall in and replaces just those by Spark's dynamic
+partition overwrite, from a written copy of the merged rows, because what is
+replaced is also read. Merging is idempotent, so a batch that is replayed gives
+the same rows; a copy that was finished before a failure is used again. The
+number of partitions follows the rows of the first refresh and is part of the
+folder's names. Readers should run between refreshes.
+
+``<root>/_checkpoint`` holds the stream's progress beside the data it is the
+progress of, so any later session resumes it.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PARTS = 16
+from millrun.sources.overrides import drop_table, path_exists
+
+ROWS_A_PART = 2_000_000  # rows of the first refresh in a partition, about
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
@@ -60,89 +60,52 @@ def merge(current: DataFrame | None, changes: DataFrame, keys: Sequence[str],
     return newest_per_key(rows, keys, version)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    fs, p = _fs(spark, folder)
-    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def committed_versions(spark: SparkSession, root: str) -> list[int]:
-    return sorted(int(n[2:]) for n in _names(spark, f"{root}/_manifest") if n.startswith("v="))
-
-
-def _manifest(spark: SparkSession, root: str, version: int) -> dict:
-    text = spark.read.text(f"{root}/_manifest/v={version}", wholetext=True).first()
-    return json.loads(text["value"])
-
-
-def _publish(spark: SparkSession, root: str, manifest: dict) -> None:
-    fs, final = _fs(spark, f"{root}/_manifest/v={manifest['version']}")
-    _, draft = _fs(spark, f"{root}/_manifest/_draft")
-    out = fs.create(draft, True)
-    out.writeBytes(json.dumps(manifest))
-    out.close()
-    if not fs.rename(draft, final):
-        raise RuntimeError(f"version {manifest['version']} of {root} is there already")
-
-
-def _expire(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Drop all manifests but the newest ``keep``, and the versions that none of those names."""
-    versions = committed_versions(spark, root)
-    used = {v for k in versions[-keep:] for v in _manifest(spark, root, k)["parts"].values()}
-    gone = [f"{root}/_manifest/v={v}" for v in versions[:-keep]]
-    gone += [f"{root}/data/{n}" for n in _names(spark, f"{root}/data")
-             if n.startswith("v=") and int(n[2:]) not in used and int(n[2:]) < versions[-1]]
-    for path in gone:
-        fs, p = _fs(spark, path)
-        fs.delete(p, True)
-
-
-def _read_parts(spark: SparkSession, root: str, schema: T.StructType,
-                parts: dict[str, int]) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(
-        *[f"{root}/data/v={v}/part={p}" for p, v in sorted(parts.items())])
+def _stored(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
+    """All rows with their partition (``parts``, ``part``), or None before the first refresh."""
+    if not path_exists(spark, f"{root}/data"):
+        return None
+    placed = T.StructType([*schema.fields, T.StructField("parts", T.IntegerType()),
+                           T.StructField("part", T.IntegerType())])
+    return spark.read.schema(placed).parquet(f"{root}/data")
 
 
-def read_replica(spark: SparkSession, root: str) -> DataFrame | None:
+def read_replica(spark: SparkSession, root: str, schema: T.StructType,
+                 delete_flag: str | None = None) -> DataFrame | None:
     """The replica's live rows, or None before the first refresh."""
-    versions = committed_versions(spark, root)
-    if not versions:
-        return None
-    manifest = _manifest(spark, root, versions[-1])
-    schema = T.StructType.fromJson(manifest["schema"])
-    return live(_read_parts(spark, root, schema, manifest["parts"]), manifest["delete_flag"])
+    rows = _stored(spark, root, schema)
+    return None if rows is None else live(rows.select(*schema.fieldNames()), delete_flag)
+
+
+def _merge_batch(batch: DataFrame, batch_id: int, root: str, keys: Sequence[str],
+                 version: Sequence[str], schema: T.StructType) -> None:
+    spark = batch.sparkSession
+    copy = f"{root}/_merged/batch={batch_id}"
+    if not path_exists(spark, f"{copy}/_SUCCESS"):
+        current = _stored(spark, root, schema)
+        first = None if current is None else current.select("parts").first()
+        parts = first["parts"] if first else batch.count() // ROWS_A_PART + 1
+        placed = batch.select(*schema.fieldNames()).withColumn(
+            "part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        if current is not None:
+            touched = [r["part"] for r in placed.select("part").distinct().collect()]
+            current = current.where(F.col("part").isin(touched)).drop("parts")
+        merged = merge(current, placed, [*keys, "part"], version)
+        merged.withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(copy)
+    rows = spark.read.parquet(copy)
+    (rows.repartition("part").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("parts", "part")
+     .parquet(f"{root}/data"))
+    drop_table(spark, f"{root}/_merged/batch={batch_id - 1}")
 
 
 def refresh(spark: SparkSession, changes_dir: str, schema: T.StructType, replica_root: str,
-            keys: Sequence[str], version: Sequence[str], delete_flag: str | None = None,
+            keys: Sequence[str], version: Sequence[str],
             max_files_per_trigger: int | None = None) -> int:
     """Process all change files that arrived since the last refresh; return batches run."""
     batches = []
-    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        versions = committed_versions(spark, replica_root)
-        last = _manifest(spark, replica_root, versions[-1]) if versions else {
-            "version": -1, "batch_id": -1, "parts": {}}
-        if batch_id <= last["batch_id"]:
-            return  # committed before the stream could note it
-        touched = [str(r["p"]) for r in batch.select(part.alias("p")).distinct().collect()]
-        number = last["version"] + 1
-        old = {p: v for p, v in last["parts"].items() if p in touched}
-        merged = merge(_read_parts(spark, replica_root, schema, old), batch, keys, version)
-        merged.withColumn("part", part).repartition(PARTS, "part").write.mode(
-            "overwrite").partitionBy("part").parquet(f"{replica_root}/data/v={number}")
-        _publish(spark, replica_root, {
-            "version": number, "batch_id": batch_id, "delete_flag": delete_flag,
-            "schema": json.loads(schema.json()),
-            "parts": last["parts"] | {p: number for p in touched}})
-        _expire(spark, replica_root)
+        _merge_batch(batch, batch_id, replica_root, keys, version, schema)
         batches.append(batch_id)
 
     reader = spark.readStream.schema(schema)

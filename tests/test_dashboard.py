@@ -19,6 +19,49 @@ def test_load_recalculate(spark):
     loaded.release()
 
 
+class _Fake:
+    def __init__(self, n):
+        self.n, self.released = n, False
+
+    def release(self):
+        self.released = True
+
+
+def test_cache_lives_until_its_deadline(spark):
+    """By an injected clock: one load a lifetime, a fresh one after it or when a source changed."""
+    now, versions, loads = [0.0], ["a"], []
+
+    def load(*_):
+        loads.append(_Fake(len(loads)))
+        return loads[-1]
+
+    cache = dashboard.LoadCache(60, load, lambda *_: tuple(versions), lambda: now[0])
+    first = cache.get(spark, "x")
+    now[0] = 59.9
+    assert cache.get(spark, "x") is first and len(loads) == 1
+    assert cache.get(spark, "x", 7) is not first  # another horizon, another entry
+    now[0] = 60.0
+    second = cache.get(spark, "x")
+    assert second is not first and first.released and not second.released
+    versions[0] = "b"
+    third = cache.get(spark, "x")
+    assert third is not second and second.released
+    cache.clear()
+    assert all(x.released for x in loads)
+
+
+def test_cache_of_the_tables(spark):
+    now = [0.0]
+    cache = dashboard.LoadCache(60, clock=lambda: now[0])
+    first = cache.get(spark, SMALL, 2)
+    assert cache.get(spark, SMALL, 2) is first and first.candidates.storageLevel.useMemory
+    now[0] = 61.0
+    second = cache.get(spark, SMALL, 2)
+    assert second is not first and second.candidates.storageLevel.useMemory
+    cache.clear()
+    assert not second.candidates.storageLevel.useMemory
+
+
 def test_sorted_by_score(spark):
     from millrun.plans import queries as Q
     rows = dashboard.sorted_by_score(Q._scored(spark, SMALL)).limit(50).collect()

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -48,13 +49,12 @@ def test_equals_sequential(spark, seed):
     m = spark.createDataFrame(machines, MACH_SCHEMA)
     cp = pd.DataFrame(cands, columns=[f.split()[0] for f in CAND_SCHEMA.split(", ")])
     mp = pd.DataFrame(machines, columns=["machine_id", "daily_capacity_hours"])
-    for down in [(), ("M01",), ("M00", "M10")]:
+    for down, buckets in [((), 20), (("M01",), 3), (("M00", "M10"), 7)]:
         expected, caps = sequential_plan(cp, mp, 3, down)
-        for buckets in (3, 20):
-            res = greedy.greedy_assign_priority(c, m, 3, list(down), buckets=buckets)
-            assert plan_dict(res) == expected, (buckets, down)
-            rem = {r.machine_id: r.remaining_hours for r in res.remaining.collect()}
-            assert rem == {k: v / 1e6 for k, v in caps.items()}
+        res = greedy.greedy_assign_priority(c, m, 3, list(down), buckets=buckets)
+        assert plan_dict(res) == expected, (buckets, down)
+        rem = {r.machine_id: r.remaining_hours for r in res.remaining.collect()}
+        assert rem == {k: v / 1e6 for k, v in caps.items()}
 
 
 def test_one_component_and_scenarios(spark):
@@ -106,23 +106,157 @@ def test_empty_and_all_down(spark):
         "M1": 0.0, "M9": 0.0}
 
 
-def test_long_windows_are_added_up_by_bucket(spark, monkeypatch):
-    """With few rows to a task, windows grow over many buckets."""
-    monkeypatch.setattr(greedy, "EXACT_ROWS", 4)
-    rng = random.Random(5)
-    cands, machines = random_instance(rng, 80, n_comp=2)
-    machines = [(m, 4 * h) for m, h in machines]
-    expected, caps = sequential_plan(
-        pd.DataFrame(cands, columns=[f.split()[0] for f in CAND_SCHEMA.split(", ")]),
-        pd.DataFrame(machines, columns=["machine_id", "daily_capacity_hours"]), 3)
-    res = greedy.greedy_assign_priority(spark.createDataFrame(cands, CAND_SCHEMA),
-                                        spark.createDataFrame(machines, MACH_SCHEMA), 3,
-                                        buckets=30)
+def _frames(spark, cands, machines):
+    return (spark.createDataFrame(cands, CAND_SCHEMA), spark.createDataFrame(machines, MACH_SCHEMA),
+            pd.DataFrame(cands, columns=[f.split()[0] for f in CAND_SCHEMA.split(", ")]),
+            pd.DataFrame(machines, columns=["machine_id", "daily_capacity_hours"]))
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_one_component_in_many_buckets(spark, seed):
+    """Each bucket has a few orders, so nearly all start from a guess."""
+    rng = random.Random(seed)
+    cands, machines = random_instance(rng, 120, n_comp=1, machines_per_comp=5)
+    c, m, cp, mp = _frames(spark, cands, [(i, 4 * h) for i, h in machines])
+    expected, caps = sequential_plan(cp, mp, 3)
+    res = greedy.greedy_assign_priority(c, m, 3, buckets=30)
     assert plan_dict(res) == expected
     rem = {r.machine_id: r.remaining_hours for r in res.remaining.collect()}
     assert rem == {k: v / 1e6 for k, v in caps.items()}
 
 
+def test_rounds_follow_the_machines_that_run_out(spark):
+    """Eight times the orders and buckets, capacities to match: no more rounds to speak of."""
+    rounds = []
+    for times in (1, 8):
+        cands = [(f"O{i:05d}", f"M{j}", "C", dt.date(2025, 1, 1), 1.0, 10.0, 0.5,
+                  float(100 - j) if (i + j) % 3 else float(90 - j), 0.5)
+                 for i in range(60 * times) for j in range(4)]
+        machines = [(f"M{j}", 6.0 * times) for j in range(4)]
+        c, m, cp, mp = _frames(spark, cands, machines)
+        res = greedy.greedy_assign_priority(c, m, 2, buckets=6 * times)
+        assert plan_dict(res) == sequential_plan(cp, mp, 2)[0]
+        rounds.append(res.rounds)
+    assert max(rounds) <= 6 and rounds[1] <= rounds[0] + 2
+
+
+def test_scenarios_plan_only_what_the_down_machines_change(spark):
+    """Untouched components and buckets before the first pick of a down machine are shared."""
+    cands, machines = [], [(f"M{c}{j}", 30.0) for c in range(3) for j in range(3)]
+    for c in range(3):
+        for i in range(80):
+            # the last quarter prefers M{c}2, the others never have it as an option
+            options = [2, 0] if i >= 60 else [0, 1]
+            cands += [(f"O{c}{i:03d}", f"M{c}{j}", f"C{c}", dt.date(2025, 1, 1), 1.0, 1.0, 0.5,
+                       1000.0 - i - 0.1 * k, 0.5) for k, j in enumerate(options)]
+    c, m, cp, mp = _frames(spark, cands, machines)
+    alone = greedy.plan_scenarios(c, m, 2, {"baseline": None}, buckets=24)
+    both = greedy.plan_scenarios(c, m, 2, {"baseline": None, "down": ["M12"], "same": ["MX"]},
+                                 buckets=24)
+    more = both.planned_buckets - alone.planned_buckets
+    assert 0 < more <= 6  # a quarter of one component's eight buckets, some of them twice
+    rows = both.assigned.collect()
+    for sid, down in (("baseline", ()), ("down", ("M12",)), ("same", ())):
+        assert {r.order_id: r.machine_id for r in rows if r.scenario_id == sid} \
+            == sequential_plan(cp, mp, 2, down)[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_walk_and_its_bounds(seed):
+    """A bucket's picks are the plain loop's, and hold for all capacities within the bounds."""
+    rng = np.random.default_rng(seed)
+    n, machines = 400, 4
+    lists = [[(int(m), int(rng.integers(0, 9))) for m in rng.permutation(machines)[
+        :rng.integers(0, machines + 1)]] for _ in range(n)]
+    machine = np.zeros((n, machines), np.int64)
+    need = np.full((n, machines), greedy._ABSENT)
+    for i, options in enumerate(lists):
+        for k, (m, w) in enumerate(options):
+            machine[i, k], need[i, k] = m, w
+
+    def loop(start):
+        left, picks = list(start), []
+        for options in lists:
+            place = next((k for k, (m, w) in enumerate(options) if w <= left[m]), -1)
+            picks.append(place)
+            if place >= 0:
+                left[options[place][0]] -= options[place][1]
+        return picks
+
+    start = np.array([greedy.NEVER, 0, 150, 10**6], np.int64)[rng.permutation(4)]
+    start[start == 150] += rng.integers(0, 60)
+    picks, taken, low, high = greedy.walk(machine, need, start)
+    assert picks.tolist() == loop(start)
+    assert ((start >= low) & (start < high)).all()
+    for m in range(machines):
+        inside = {int(x) for x in (low[m], high[m] - 1, low[m] + 1) if low[m] <= x < high[m]}
+        for x in inside:
+            moved = start.copy()
+            moved[m] = x
+            assert loop(moved) == picks.tolist()
+        for x in (low[m] - 1, high[m]):
+            if 0 <= x < 10**7:
+                moved = start.copy()
+                moved[m] = x
+                assert loop(moved) != picks.tolist()
+
+
+def test_negative_needs_are_never_assigned(spark):
+    rows = [_row("A", "M1", "C1", hours=-1.0), _row("B", "M1", "C1", hours=2.0)]
+    c, m, _, _ = _frames(spark, rows, [("M1", 2.0)])
+    assert plan_dict(greedy.greedy_assign_priority(c, m, 1)) == {"B": "M1"}
+
+
+def _pinned_loop(cands, machines, days, overrides, down):
+    """Pins in order of time, then the sequential planner on what they leave."""
+    caps = {m: 0 if m in down else round(h * 1e6) * days for m, h in machines}
+    newest = {}
+    for order, machine, at in sorted(overrides, key=lambda o: (o[2], o[1])):
+        newest[order] = (at, machine)
+    needs = {(r[0], r[1]): round(r[4] * 1e6) for r in cands if r[4] is not None}
+    pins = {}
+    for order, (at, machine) in sorted(newest.items(), key=lambda o: (o[1][0], o[0])):
+        need = needs.get((order, machine))
+        if need is not None and machine in caps and machine not in down and caps[machine] >= need:
+            caps[machine] -= need
+            pins[order] = machine
+    rest = pd.DataFrame([r for r in cands if r[0] not in pins],
+                        columns=[f.split()[0] for f in CAND_SCHEMA.split(", ")])
+    left = pd.DataFrame([(m, u / days / 1e6) for m, u in caps.items()],
+                        columns=["machine_id", "daily_capacity_hours"])
+    plan, remaining = sequential_plan(rest, left, days, down)
+    return pins, plan, {m: (0 if m in down else u / 1e6) for m, u in remaining.items()}, \
+        {o: m for o, (_, m) in newest.items() if o not in pins}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overrides_take_capacity_first(spark, seed):
+    rng = random.Random(seed)
+    cands, machines = random_instance(rng, 60)
+    overrides = [(f"O{rng.randrange(70):04d}", f"M{rng.randrange(2)}{rng.randrange(4)}",
+                  dt.datetime(2025, 1, 1 + rng.randrange(3))) for _ in range(50)]
+    down = ("M01",)
+    pins, plan, remaining, rejected = _pinned_loop(cands, machines, 2, overrides, down)
+    c, m, _, _ = _frames(spark, cands, machines)
+    res = scenario.plan_with_overrides(c, m, 2, spark.createDataFrame(
+        overrides, "order_id string, machine_id string, assigned_at timestamp"), list(down),
+        buckets=4)
+    rows = res.assigned.collect()
+    assert {r.order_id: r.machine_id for r in rows if r.pinned} == pins and pins
+    assert {r.order_id: r.machine_id for r in rows if not r.pinned} == plan
+    assert {r.machine_id: r.remaining_hours for r in res.remaining.collect()} == remaining
+    assert {r.order_id: r.machine_id for r in res.rejected.collect()} == rejected and rejected
+
+
+def test_no_overrides_is_the_plain_plan(spark):
+    cands, machines = random_instance(random.Random(3), 40)
+    c, m, cp, mp = _frames(spark, cands, machines)
+    none = spark.createDataFrame([], "order_id string, machine_id string, assigned_at timestamp")
+    res = scenario.plan_with_overrides(c, m, 2, none)
+    assert plan_dict(res) == sequential_plan(cp, mp, 2)[0]
+    assert res.rejected.count() == 0
+
+
 def _row(order, machine, category, hours=1.0, score=2.5, margin=5.0):
     return (order, machine, category, dt.date(2025, 1, 1), hours, margin, 0.5, score, 0.5)
 

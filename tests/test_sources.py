@@ -3,12 +3,13 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrun import schemas
 from millrun.operators import ranking
-from millrun.sources import catalog, overrides
+from millrun.sources import catalog, feed, overrides
 from millrun.streaming import replica
 
 
@@ -46,6 +47,46 @@ def test_overrides_log(spark, tmp_path):
     assert overrides.read_overrides(spark, path).count() == 0
 
 
+def _files(path):
+    return [os.path.join(d, f) for d, _, names in os.walk(path) for f in names
+            if f.endswith(".parquet")]
+
+
+def test_override_batches_are_idempotent_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "overrides")
+    overrides.create_table(spark, path)
+    for k in range(6):
+        batch = spark.createDataFrame([(f"ORD-{k}-{i}", "M-0001", "alice", None) for i in range(3)],
+                                      "order_id string, machine_id string, assigned_by string, "
+                                      "notes string")
+        overrides.append_batch(spark, path, batch, f"request-{k}")
+        overrides.append_batch(spark, path, batch, f"request-{k}")  # sent again
+    before = overrides.history(overrides.read_overrides(spark, path)).collect()
+    assert len(before) == 18 and len(_files(path)) >= 6
+    other = "month=2001-01"  # a month that isn't crowded
+    spark.createDataFrame([("OLD", "M-0002", "bob", dt.datetime(2001, 1, 2), None, "r", "2001-01")],
+                          overrides.STORED).write.mode("append").partitionBy("month").parquet(path)
+    old_files = {f for f in _files(path) if other in f}
+    done = overrides.compact(spark, path, max_files=4)
+    assert len(done) == 1 and done != ["2001-01"]
+    assert {f for f in _files(path) if other in f} == old_files
+    assert len(_files(path)) == 1 + len(old_files)
+    after = overrides.history(overrides.read_overrides(spark, path)).collect()
+    assert after[:-1] == before and after[-1].order_id == "OLD"
+    overrides.append_batch(spark, path, batch, "request-5")
+    assert overrides.read_overrides(spark, path).count() == 19
+    assert overrides.compact(spark, path, max_files=4) == []
+
+
+def test_history_positions(spark):
+    rows = [(f"O{i % 7}", f"M{i % 3}", "x", dt.datetime(2025, 1, 1 + i % 5), None)
+            for i in range(40)]
+    df = spark.createDataFrame(rows, schemas.ASSIGNMENT_OVERRIDES)
+    got = sorted(overrides.history_positions(df).collect(), key=lambda r: r.position)
+    assert [tuple(r)[:5] for r in got] == [tuple(r) for r in overrides.history(df).collect()]
+    assert [r.position for r in got] == list(range(1, 41))
+
+
 _FEED = "k bigint, ts timestamp, v double, deleted boolean"
 _T = dt.datetime(2024, 1, 1)
 
@@ -58,13 +99,15 @@ def _land(spark, changes, name, *rows):
 
 def _refresh(spark, changes, root, **kw):
     schema = spark.createDataFrame([], _FEED).schema
-    n = replica.refresh(spark, f"{changes}/*", schema, root, ["k"], ["ts"], "deleted", **kw)
-    return n, {r.k: r.v for r in replica.read_replica(spark, root).collect()}
+    n = replica.refresh(spark, f"{changes}/*", schema, root, ["k"], ["ts"], **kw)
+    return n, {r.k: r.v for r in replica.read_replica(spark, root, schema, "deleted").collect()}
 
 
 def test_replica_goes_on_in_another_session(spark, tmp_path):
-    """Three refreshes, each by a session of its own: all rows arrive, versions only rise."""
+    """Three refreshes, each by a session of its own: all rows arrive."""
     changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
+    schema = spark.createDataFrame([], _FEED).schema
+    assert replica.read_replica(spark, root, schema) is None
     _land(spark, changes, "b1", (1, 0, 1.0, False), (2, 0, 2.0, False), (1, 1, 1.5, False))
     assert _refresh(spark, changes, root) == (1, {1: 1.5, 2: 2.0})
     _land(spark, changes, "b2", (2, 2, 2.5, False), (1, 3, None, True), (3, 0, 3.0, False))
@@ -72,11 +115,19 @@ def test_replica_goes_on_in_another_session(spark, tmp_path):
     _land(spark, changes, "b3", (4, 0, 4.0, False))
     assert _refresh(spark.newSession(), changes, root) == (1, {2: 2.5, 3: 3.0, 4: 4.0})
     assert _refresh(spark, changes, root)[0] == 0
-    assert replica.committed_versions(spark, root) == [1, 2]
-    # what no kept version names is gone; parts that b3 didn't touch weren't rewritten
-    manifest = replica._manifest(spark, root, 2)
-    assert len([v for v in manifest["parts"].values() if v == 2]) == 1
-    assert set(os.listdir(f"{root}/data")) <= {"v=0", "v=1", "v=2"}
+
+
+def test_replica_rewrites_only_touched_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replica, "ROWS_A_PART", 10)
+    changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
+    _land(spark, changes, "b1", *[(k, 0, float(k), False) for k in range(60)])
+    _refresh(spark, changes, root)
+    before = set(_files(f"{root}/data"))
+    assert len(os.listdir(f"{root}/data/parts=7")) > 4
+    _land(spark, changes, "b2", (4, 1, -4.0, False))
+    assert _refresh(spark, changes, root)[1] == {k: -4.0 if k == 4 else float(k)
+                                                 for k in range(60)}
+    assert len(before - set(_files(f"{root}/data"))) == 1
 
 
 def test_replica_keeps_deletes_against_late_rows(spark, tmp_path):
@@ -91,16 +142,62 @@ def test_replica_keeps_deletes_against_late_rows(spark, tmp_path):
     assert _refresh(spark, changes, str(tmp_path / "again"))[1] == {1: 1.5}
 
 
-def test_replayed_batch_is_skipped(spark, tmp_path):
+def test_replayed_batch_changes_nothing(spark, tmp_path):
     changes, root = str(tmp_path / "changes"), str(tmp_path / "replica")
     _land(spark, changes, "b1", (1, 0, 1.0, False))
     _refresh(spark, changes, root)
-    commits = tmp_path / "replica" / "_checkpoint" / "commits"
-    for f in commits.iterdir():  # as if the session had ended before the stream's own note
-        f.unlink()
-    n, rows = _refresh(spark, changes, root)
-    assert (n, rows) == (0, {1: 1.0})
-    assert replica.committed_versions(spark, root) == [0]
+    _land(spark, changes, "b2", (1, 1, 2.0, False), (2, 1, 3.0, False))
+    _refresh(spark, changes, root)
+    (tmp_path / "replica" / "_checkpoint" / "commits" / "1").unlink()  # ended before its note
+    (tmp_path / "replica" / "_checkpoint" / "commits" / ".1.crc").unlink(missing_ok=True)
+    for f in _files(f"{root}/data"):  # and after old files went
+        os.unlink(f)
+    assert _refresh(spark, changes, root) == (1, {1: 2.0, 2: 3.0})
+
+
+_STATE = "k bigint, name string, v double"
+
+
+def test_snapshot_changes(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", None), (None, "n", 0.0),
+                                 (5, "e", float("nan"))], _STATE)
+    new = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.5), (3, None, None), (4, "d", 4.0),
+                                 (None, "n", 0.5), (5, "e", float("nan"))], _STATE)
+    got = sorted(map(str, (tuple(r) for r in feed.snapshot_changes(old, new, ["k"]).collect())))
+    assert got == sorted(map(str, [
+        ("update_preimage", 2, "b", 2.0), ("update_postimage", 2, "b", 2.5),
+        ("update_preimage", 3, "c", None), ("update_postimage", 3, None, None),
+        ("insert", 4, "d", 4.0),
+        ("update_preimage", None, "n", 0.0), ("update_postimage", None, "n", 0.5)]))
+    gone = feed.snapshot_changes(new, old, ["k"]).where("change_type = 'delete'").collect()
+    assert [r.k for r in gone] == [4]
+    assert feed.snapshot_changes(old, old, ["k"]).count() == 0
+    twice = old.unionByName(old.where("k = 1"))
+    with pytest.raises(Exception, match="key repeats in a snapshot: 1"):
+        feed.snapshot_changes(twice, new, ["k"]).collect()
+
+
+def test_changes_of_a_table_refresh_a_replica(spark, tmp_path):
+    """The feed of a table with the property set brings a replica to its newer state."""
+    catalog.create_schema(spark, "feeds")
+    rows = [(k, f"n{k}", float(k)) for k in range(20)]
+    old = spark.createDataFrame(rows, _STATE)
+    catalog.overwrite(spark.createDataFrame(
+        [(k, n, v + (k % 3 == 0)) for k, n, v in rows if k % 4] + [(50, "new", 5.0)], _STATE),
+        "feeds.parts")
+    with pytest.raises(ValueError, match="no change feed"):
+        feed.table_changes(spark, "feeds.parts", old, ["k"])
+    catalog.set_properties(spark, "feeds.parts", {"change_feed": "true"})
+    changes = feed.as_refresh(feed.table_changes(spark, "feeds.parts", old, ["k"]), 2)
+    start = feed.as_refresh(feed.snapshot_changes(old.limit(0), old, ["k"]), 1)
+    landed, root = str(tmp_path / "changes"), str(tmp_path / "replica")
+    for name, batch in (("b1", start), ("b2", changes)):
+        batch.write.parquet(f"{landed}/{name}")
+        replica.refresh(spark, f"{landed}/*", start.schema, root, ["k"], ["version"])
+    got = replica.read_replica(spark, root, start.schema, "deleted").drop("version")
+    want = spark.table("feeds.parts")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    catalog.drop_schema(spark, "feeds")
 
 
 def test_dense_rank_matches_window(spark):
