@@ -5,13 +5,17 @@ table cells and rows, the head before content) and reads scripts, styles and tit
 raw text. The renderer emits all visible text: paragraphs and headings with a blank line
 around them, other blocks on lines of their own, list items with markers and indents,
 tables with aligned columns, preformatted text as it is. Not visible are the head,
-scripts, styles, templates, comments, and elements with ``hidden`` or an inline style of
-``display:none`` or ``visibility:hidden``.
+scripts, styles, templates, comments, elements with ``hidden`` or an inline style of
+``display:none``, dialogs that aren't open, and all of closed details but their summary.
+An inline ``visibility`` of hidden or collapse hides the texts below it, up to elements
+that are ``visible`` again. Cells that span rows keep their columns in the rows below, up to
+the end of their row group.
 
 Defined cases: a null or empty page gives an empty text; a page without tags is its text;
 a tag that never ends is text; elements nest to any depth; text that stands in a table
 but in no cell comes before its rows; of an attribute given twice the first counts, of a
-declaration the last; repeated rows are rendered each; other columns have any name.
+declaration the last; ids may be null and repeat: each row is rendered; other columns have
+any name.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ RAW = set("script style title textarea noscript iframe xmp".split())
 IN_HEAD = set("title meta link style script base noscript template".split())
 HIDDEN = set("head script style template noscript iframe title datalist".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
-BLOCKS = SPACED | set("html body div section article aside nav header footer main address form "
+BLOCKS = SPACED | set("html body div section article aside nav header footer main address form dialog "
                       "li dt dd tr td th thead tbody tfoot caption figcaption details summary "
                       "center legend option optgroup textarea".split())
 ENDS_P = BLOCKS - set("html body tr td th thead tbody tfoot caption option optgroup".split())
@@ -176,15 +180,47 @@ def parse(page: str) -> _Node:
     return root
 
 
-def _visible(node: _Node) -> bool:
+def _displayed(node: _Node) -> tuple[bool, str]:
+    """Whether the element has a box, and its own ``visibility`` (or an empty string)."""
     if node.tag in HIDDEN:
-        return False
+        return False, ""
+    if node.tag == "dialog" and "open" not in _attributes(node.attributes):
+        return False, ""
     if not node.attributes or not _MAYBE_UNSEEN.search(node.attributes):
-        return True
+        return True, ""
     attributes = _attributes(node.attributes)
     style = _declared(attributes.get("style", ""))
-    return not ("hidden" in attributes or style.get("display") == "none"
-                or style.get("visibility") == "hidden")
+    return ("hidden" not in attributes and style.get("display") != "none",
+            style.get("visibility", ""))
+
+
+def _prune(root: _Node) -> _Node:
+    """The tree without what isn't seen; hidden items lose their marker."""
+    open_ = [(root, True)]
+    while open_:
+        node, seen = open_.pop()
+        closed = node.tag == "details" and "open" not in _attributes(node.attributes)
+        kept: list = []
+        for child in node.children:
+            if isinstance(child, str):
+                if seen and not closed:
+                    kept.append(child)
+                continue
+            if closed and (child.tag != "summary" or kept):
+                continue
+            displayed, visibility = _displayed(child)
+            if not displayed:
+                continue
+            shown = {"hidden": False, "collapse": False, "visible": True,
+                     "initial": True}.get(visibility, seen)
+            if not shown and child.tag == "hr":
+                continue
+            if not shown and child.tag == "li":
+                child.tag = "div"
+            kept.append(child)
+            open_.append((child, shown))
+        node.children = kept
+    return root
 
 
 def _parts(node: _Node):
@@ -194,12 +230,11 @@ def _parts(node: _Node):
         for child in open_[-1]:
             if isinstance(child, str) or child.tag == "br":
                 yield child
-            elif _visible(child):
-                if child.tag in BLOCKS:
-                    yield child
-                else:
-                    open_.append(iter(child.children))
-                    break
+            elif child.tag in BLOCKS:
+                yield child
+            else:
+                open_.append(iter(child.children))
+                break
         else:
             open_.pop()
 
@@ -222,8 +257,12 @@ def _lines(node: _Node, out: list[str]):
     """The node's content; an empty string is a blank line between blocks."""
     first = len(out)
     inline: list[str] = []
-    number = _number(node, "start") if node.tag == "ol" else None
-    number = 1 if number is None else number
+    number, step = 1, 1
+    if node.tag == "ol":
+        if "reversed" in _attributes(node.attributes):
+            number, step = sum(getattr(c, "tag", "") == "li" for c in node.children), -1
+        start = _number(node, "start")
+        number = number if start is None else start
 
     def flush() -> None:
         if inline:
@@ -246,8 +285,10 @@ def _lines(node: _Node, out: list[str]):
                 out.append("")
             at = len(out)
             if part.tag == "li":
+                value = _number(part, "value") if node.tag == "ol" else None
+                number = number if value is None else value
                 marker = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
+                number += step
                 lines: list[str] = []
                 yield _lines(part, lines)
                 out.extend((marker if i == 0 else " " * len(marker) if x else "") + x
@@ -290,7 +331,7 @@ def _plain(node: _Node) -> str:
                 out.append(child)
             elif child.tag == "br":
                 out.append("\n")
-            elif _visible(child):
+            else:
                 open_.append(iter(child.children))
                 break
         else:
@@ -299,7 +340,8 @@ def _plain(node: _Node) -> str:
 
 
 def _rows(node: _Node):
-    """Captions and rows of a table, not those of tables inside it, and what stands between them."""
+    """Captions and rows of a table, not those of tables inside it, and what stands between
+    them; a node ``#end`` after each row group."""
     stray = _Node("#stray")
     open_ = [iter(node.children)]
     while open_:
@@ -308,8 +350,6 @@ def _rows(node: _Node):
             if tag not in ("tr", "caption", "thead", "tbody", "tfoot", "colgroup"):
                 stray.children.append(child)
                 continue
-            if not _visible(child):
-                continue
             if stray.children:
                 yield stray
                 stray = _Node("#stray")
@@ -320,19 +360,36 @@ def _rows(node: _Node):
                 break
         else:
             open_.pop()
+            if open_:
+                yield _Node("#end")
     yield stray
 
 
+def _spanned(below: dict[int, int], column: int) -> bool:
+    """Whether a cell of a row above stands in ``column``; counts that row down."""
+    if column not in below:
+        return False
+    below[column] -= 1
+    if not below[column]:
+        del below[column]
+    return True
+
+
 def _table(node: _Node, out: list[str]):
     """Rows on lines of their own, cells of a column from the same place on."""
     grid = []
+    below: dict[int, int] = {}  # rows that a cell above still takes, by column
     for row in _rows(node):
+        if row.tag == "#end":
+            below = {}
+            continue
         if row.tag != "tr":
             lines: list[str] = []
             yield _lines(row, lines)
             out.extend(x for x in lines if x)
             continue
-        cells = []
+        cells: list[list[str]] = []
+        spans: dict[int, int] = {}
         for cell in _parts(row):
             if isinstance(cell, str):
                 if cell.strip():
@@ -340,10 +397,20 @@ def _table(node: _Node, out: list[str]):
                 continue
             if cell.tag == "br":
                 continue
+            while _spanned(below, len(cells)):
+                cells.append([])
             lines = []
             yield _block(cell, lines)
-            cells.append([x for x in lines if x])
-            cells += [[] for _ in range(min(_number(cell, "colspan") or 1, 1000) - 1)]
+            wide = min(_number(cell, "colspan") or 1, 1000)
+            high = _number(cell, "rowspan")
+            high = 1 if high is None else min(high, 65534) or 65534  # 0: to the group's end
+            for k in range(wide):
+                if high > 1:
+                    spans[len(cells)] = high - 1
+                cells.append([x for x in lines if x] if k == 0 else [])
+        for column in [c for c in below if c >= len(cells)]:
+            _spanned(below, column)
+        below |= spans
         if any(cells):
             grid.append(cells)
     widths = [max((len(x) for row in grid if c < len(row) for x in row[c]), default=0)
@@ -358,7 +425,7 @@ def _table(node: _Node, out: list[str]):
 def render(page: str) -> str:
     """All visible text of a page."""
     out: list[str] = []
-    _run(_lines(parse(page), out))
+    _run(_lines(_prune(parse(page)), out))
     return "\n".join(out)
 
 

@@ -89,6 +89,39 @@ SEEN = {
 }
 
 
+SEEN |= {
+    # visibility is inherited and can be set back
+    "<div style='visibility:hidden'>no<p style='visibility:visible'>yes <b>too</b></p>no</div>":
+        "yes too",
+    "<div style='visibility:collapse'>no<div style='visibility:inherit'>no</div></div>yes": "yes",
+    "<div style='visibility:hidden'><p style='display:none;visibility:visible'>no</p></div>yes":
+        "yes",
+    "<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>": "- yes",
+    "<div style='visibility:hidden'><hr></div>yes": "yes",
+    "<table><tr><td style='visibility:hidden'>no<td>a<tr><td>bb<td>c</table>": "    a\nbb  c",
+    # closed and open widgets
+    "<details><summary>more</summary><p>no</p>no</details>yes": "more\nyes",
+    "<details open><summary>more</summary>yes</details>": "more\nyes",
+    "<details>no<b>no</b></details>yes": "yes",
+    "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+    # numbers of items
+    "<ol><li>a<li value=7>b<li>c</ol>": "1. a\n7. b\n8. c",
+    "<ol reversed><li>a<li>b<li>c</ol>": "3. a\n2. b\n1. c",
+    "<ol start=9 reversed><li>a<li>b</ol>": "9. a\n8. b",
+    "<ul><li value=7>a</ul>": "- a",
+    # cells over several rows
+    "<table><tr><td rowspan=2>A<td>b<tr><td>c</table>": "A  b\n   c",
+    "<table><tr><td>a<td rowspan=3>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>":
+        "a  B  c\nd     e\nf     g",
+    "<table><tr><td rowspan=2 colspan=2>AA<td>b<tr><td>c<tr><td>d<td>e<td>f</table>":
+        "AA     b\n       c\nd   e  f",
+    "<table><tbody><tr><td rowspan=5>A<td>b<tbody><tr><td>c<td>d</table>": "A  b\nc  d",
+    "<table><tr><td rowspan=0>A<td>b<tr><td>c<tr><td>d</table>": "A  b\n   c\n   d",
+    "<table><tr><td>a<td>b<td rowspan=2>C<tr><td>d<tr><td>e<td>f<td>g</table>":
+        "a  b  C\nd\ne  f  g",
+}
+
+
 @pytest.mark.parametrize("page", list(SEEN))
 def test_all_that_is_seen_and_nothing_else(page):
     assert html.render(page) == SEEN[page]
