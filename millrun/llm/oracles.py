@@ -68,6 +68,14 @@ _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
 _IN = ", ".join(f"'{w}'" for w in _WORDS)
 
 
+# Jensen-Shannon distance of the grouped shares p and q.
+_JS = """sqrt(greatest(sum(
+           CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+           + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0))"""
+# Letters of any script and blanks as one class.
+_COARSE = "CASE WHEN bin IN ('1', '2', '4', '8') THEN 'text' ELSE bin END"
+
+
 def _without(pattern: str) -> str:
     """Characters of the text that match ``pattern``."""
     return f"length(t) - length(regexp_replace(t, '{pattern}', '', 'g'))"
@@ -77,8 +85,7 @@ def _without(pattern: str) -> str:
 OP5 = rf"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t,
-         CASE WHEN lower(lang) IN ({", ".join(f"'{g}'" for g in COMMON_WORDS)})
-              THEN lower(lang) ELSE 'other' END AS lang,
+         nullif(lower(trim(lang)), '') AS lang,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 lines AS (
@@ -118,29 +125,46 @@ shares AS MATERIALIZED (
   SELECT w.doc_id, 'word', bin, k * 1000000000 // b.n_words
   FROM words w JOIN base b ON b.doc_id = w.doc_id),
 passing AS (
-  SELECT s.*, b.lang FROM shares s JOIN base b ON b.doc_id = s.doc_id WHERE NOT b.base_failed),
-sums AS (
-  SELECT lang, name, bin, CAST(sum(share) AS DOUBLE) AS k FROM passing WHERE lang <> 'other'
-  GROUP BY ALL
-  UNION ALL
-  SELECT 'other', name, bin, CAST(sum(share) AS DOUBLE) FROM passing GROUP BY name, bin),
+  SELECT s.*, b.lang FROM shares s JOIN base b ON b.doc_id = s.doc_id
+  WHERE NOT b.base_failed AND b.lang IS NOT NULL),
+medians AS (
+  SELECT lang, bin, m / greatest(sum(m) OVER (PARTITION BY lang), 1) AS q
+  FROM (SELECT lang, bin, quantile_cont(share // 1000000, 0.5) AS m, count(*) AS n
+        FROM passing WHERE name = 'class' GROUP BY lang, bin)
+  WHERE n >= {LIMITS["min_docs"]}),
+core AS MATERIALIZED (
+  SELECT doc_id FROM (
+    SELECT p.doc_id, m.q, CAST(p.share AS DOUBLE) / 1000000000 AS p
+    FROM passing p JOIN medians m ON m.lang = p.lang AND m.bin = p.bin WHERE p.name = 'class')
+  GROUP BY doc_id HAVING {_JS} <= {LIMITS["class"]}),
+sums AS MATERIALIZED (
+  SELECT lang, name, bin, CAST(sum(share) AS DOUBLE) AS k
+  FROM passing p JOIN core ON core.doc_id = p.doc_id
+  WHERE lang IN (SELECT b.lang FROM base b JOIN core c ON c.doc_id = b.doc_id
+                 GROUP BY b.lang HAVING count(*) >= {LIMITS["min_docs"]})
+    AND (name = 'class' OR lang IN ({", ".join(f"'{g}'" for g in COMMON_WORDS)}))
+  GROUP BY ALL),
 refs AS MATERIALIZED (
-  SELECT lang, name, bin, k / sum(k) OVER (PARTITION BY lang, name) AS q FROM sums),
+  SELECT lang, name, bin, k / sum(k) OVER (PARTITION BY lang, name) AS q FROM sums
+  UNION ALL
+  SELECT '(any)', 'class', {_COARSE}, sum(k) / (SELECT sum(k) FROM sums WHERE name = 'class')
+  FROM sums WHERE name = 'class' GROUP BY ALL),
 judged AS (
-  SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM refs) THEN lang ELSE 'other' END AS ref
+  SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM refs) THEN lang ELSE '(any)' END AS ref
   FROM base),
 pairs AS (
   SELECT j.doc_id, r.name, r.bin, r.q, 0 AS share FROM judged j JOIN refs r ON r.lang = j.ref
   UNION ALL
-  SELECT doc_id, name, bin, 0, share FROM shares),
+  SELECT s.doc_id, name, CASE WHEN j.ref = '(any)' THEN {_COARSE} ELSE bin END, 0, share
+  FROM shares s JOIN judged j ON j.doc_id = s.doc_id),
 bins AS (
   SELECT doc_id, name, bin, sum(q) AS q, CAST(sum(share) AS DOUBLE) / 1000000000 AS p
   FROM pairs GROUP BY doc_id, name, bin),
 dist AS (
-  SELECT doc_id, name, sqrt(greatest(sum(
-           CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
-           + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS x
-  FROM bins GROUP BY doc_id, name),
+  SELECT b.doc_id, b.name, {_JS} AS x
+  FROM bins b JOIN judged j ON j.doc_id = b.doc_id
+  WHERE EXISTS (SELECT 1 FROM refs r WHERE r.lang = j.ref AND r.name = b.name)
+  GROUP BY b.doc_id, b.name),
 far AS (
   SELECT b.doc_id,
          coalesce(max(x) FILTER (name = 'class' AND n_chars >= {LIMITS["min_chars"]}), 0) AS c,

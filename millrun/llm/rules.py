@@ -1,22 +1,31 @@
 """Quality rules: base counts, and distribution divergence from language references.
 
 Each document gets two histograms: its bytes by character class, and its words by
-common word (all others together). The reference of a language, of every value that
-occurs, is the mean of the histograms of all its documents that pass the base rules.
-Words are judged only in the languages of ``COMMON_WORDS``. The distances are
-Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) from the
-language's reference. A document is rejected when its characters alone are far off
+common word (all others together). The distances are Jensen-Shannon distances (square root
+of the divergence in bits, 0 to 1) from the reference of its language.
+
+References are robust: the class histograms of a language's documents that pass the base
+rules have a median (by class, in thousandths), and the reference is the mean over the
+documents whose class distance from that median is within ``LIMITS["class"]``, so that a few
+odd documents don't move it. A language, any value that occurs, has a reference if
+``LIMITS["min_docs"]`` documents or more make it. Words are judged only in the languages of
+``COMMON_WORDS``. A document is rejected when its characters alone are far off
 (``LIMITS["class"]``), or its characters and its words both are off by less
-(``LIMITS["both_class"]`` and ``LIMITS["both_word"]``). Documents shorter than the
-guards ``min_chars`` and ``min_words`` are judged by the base rules alone.
+(``LIMITS["both_class"]`` and ``LIMITS["both_word"]``).
+
+Documents of other languages, or of none given, are held against what is common to all
+references, in coarse classes that don't depend on the script: letters and blanks, digits,
+punctuation, other marks, symbols. Documents shorter than the guards ``min_chars`` and
+``min_words`` are judged by the base rules alone.
 
 Shares are added up as integers (billionths), so references don't depend on how
 rows are dealt to tasks. References are a written table with a row for each language
 (upper and lower case and outer blanks don't matter), joined with the documents.
 
-Defined cases: a null text has no words and fails the base rules; a document with a null
-or blank language, or one without a reference, has no distances and is judged by the base
-rules alone; repeated rows are judged each; ids may be null; other columns have any name.
+Defined cases: a null text has no words and fails the base rules; a null or blank language
+is none; where no language has a reference the base rules alone judge; very long texts are
+read whole, one at a time; repeated rows are judged each; ids may be null and repeat; an
+empty table gives an empty result; other columns have any name.
 """
 
 from __future__ import annotations
@@ -42,7 +51,8 @@ COMMON_WORDS = {
           "le ha me si sin sobre este ya entre cuando todo esta",
 }
 SYMBOLS = b"#*$%&|<>"
-LIMITS = {"class": 0.3, "both_class": 0.125, "both_word": 0.3, "min_chars": 250, "min_words": 50}
+LIMITS = {"class": 0.3, "both_class": 0.125, "both_word": 0.3, "min_chars": 250, "min_words": 50,
+          "min_docs": 20}
 SCALE = 1_000_000_000
 
 _WORDS = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
@@ -139,34 +149,6 @@ def _language(lang_col: str) -> Column:
     return F.lower(F.trim(F.col(lang_col).cast("string")))
 
 
-def references(stats_df: DataFrame, lang_col: str, stats: str) -> DataFrame:
-    """(__ref_lang, __ref_classes, __ref_common): mean histograms of every language.
-
-    They are over all documents of the language that pass the base rules; words are null
-    for languages without common words.
-    """
-    def shares(name):
-        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.transform(name, lambda x: x / F.greatest(total, F.lit(1)))
-
-    bins = {"classes": _N_CLASSES, "common": _N_WORD_BINS}
-    passing = stats_df.where(~base_failed(stats)).select(
-        _language(lang_col).alias("lang"), F.col(stats)).where("lang <> ''")
-    sums = passing.groupBy("lang").agg(*[F.sum(F.col(stats)[name][i]).alias(f"{name}{i}")
-                                         for name, n in bins.items() for i in range(n)])
-    sums = sums.select("lang", *[F.array(*[f"{name}{i}" for i in range(n)]).alias(name)
-                                 for name, n in bins.items()])
-    has_words = F.col("lang").isin(*COMMON_WORDS)
-    return sums.select(F.col("lang").alias("__ref_lang"), shares("classes").alias("__ref_classes"),
-                       F.when(has_words, shares("common")).alias("__ref_common"))
-
-
-def with_references(stats_df: DataFrame, lang_col: str, stats: str, scratch: Scratch) -> DataFrame:
-    """``stats_df`` with the columns of its language's reference, null where there is none."""
-    refs = scratch.write(references(stats_df, lang_col, stats), "references")
-    return stats_df.join(refs, _language(lang_col) == refs["__ref_lang"], "left")
-
-
 def js_distance(shares: Column, reference: Column) -> Column:
     """Jensen-Shannon distance of a histogram in billionths from reference shares."""
     def part(x, m):
@@ -180,19 +162,71 @@ def js_distance(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _normed(name: Column) -> Column:
+    total = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(name, lambda x: x / F.greatest(total, F.lit(1.0)))
+
+
+def _coarse(shares: Column) -> Column:
+    """Letters of any script and blanks, digits, punctuation, other marks, symbols."""
+    return F.array(shares[0] + shares[1] + shares[3] + shares[7], shares[2], shares[4],
+                   shares[5], shares[6])
+
+
+def references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict) -> DataFrame:
+    """(__ref_lang, __ref_classes, __ref_common, __sums): a row for each language with support.
+
+    Words are null for languages without common words; ``__sums`` are the class sums.
+    """
+    bins = {"classes": _N_CLASSES, "common": _N_WORD_BINS}
+    passing = stats_df.where(~base_failed(stats)).select(
+        _language(lang_col).alias("lang"), F.col(stats)).where("lang <> ''")
+    # thousandths, so the exact percentile keeps at most 1001 counts a class
+    medians = passing.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[
+        F.percentile(F.expr(f"{stats}.classes[{i}] div 1000000"), F.lit(0.5)).alias(f"m{i}")
+        for i in range(_N_CLASSES)]).where(F.col("n") >= limits["min_docs"])
+    medians = medians.select("lang", _normed(F.array(*[f"m{i}" for i in range(_N_CLASSES)]))
+                             .alias("median"))
+    core = passing.join(medians, "lang").where(
+        js_distance(F.col(stats)["classes"], F.col("median")) <= limits["class"])
+    sums = core.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum(F.col(stats)[name][i]).alias(f"{name}{i}")
+        for name, n in bins.items() for i in range(n)]).where(F.col("n") >= limits["min_docs"])
+    sums = sums.select("lang", *[F.array(*[F.col(f"{name}{i}").cast("double") for i in range(n)])
+                                 .alias(name) for name, n in bins.items()])
+    has_words = F.col("lang").isin(*COMMON_WORDS)
+    return sums.select(F.col("lang").alias("__ref_lang"),
+                       _normed(F.col("classes")).alias("__ref_classes"),
+                       F.when(has_words, _normed(F.col("common"))).alias("__ref_common"),
+                       F.col("classes").alias("__sums"))
+
+
+def with_references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict,
+                    scratch: Scratch) -> DataFrame:
+    """``stats_df`` with the columns of its language's reference, null where there is none,
+    and ``__ref_any``, the coarse classes of all references (null without any)."""
+    refs = scratch.write(references(stats_df, lang_col, stats, limits), "references")
+    total = refs.agg(*[F.sum(F.col("__sums")[i]).alias(f"s{i}")
+                       for i in range(_N_CLASSES)]).first()  # one row
+    every = F.lit(None).cast("array<double>") if total["s0"] is None else _normed(_coarse(
+        F.array(*[F.lit(x) for x in total])))
+    return stats_df.join(refs.drop("__sums"), _language(lang_col) == refs["__ref_lang"],
+                         "left").withColumn("__ref_any", every)
+
+
 def judge(stats: str, limits: dict) -> dict[str, Column]:
     """Columns class_distance, word_distance, base_failed and kept.
 
-    Distances are null below a guard and without a reference.
+    Distances are null below a guard and without a reference; the class distance is in
+    coarse classes where the language has none.
     """
     s = F.col(stats)
-
-    def against(name, enough):
-        ref = F.col(f"__ref_{name}")
-        return F.when(enough & ref.isNotNull(), js_distance(s[name], ref))
-
-    classes = against("classes", s["n_chars"] >= limits["min_chars"])
-    words = against("common", s["n_words"] >= limits["min_words"])
+    own, common, every = (F.col(f"__ref_{name}") for name in ("classes", "common", "any"))
+    classes = F.when(s["n_chars"] >= limits["min_chars"], F.when(
+        own.isNotNull(), js_distance(s["classes"], own)).when(
+        every.isNotNull(), js_distance(_coarse(s["classes"]), every)))
+    words = F.when((s["n_words"] >= limits["min_words"]) & common.isNotNull(),
+                   js_distance(s["common"], common))
     by_class, by_word = F.coalesce(classes, F.lit(0.0)), F.coalesce(words, F.lit(0.0))
     far = (by_class > limits["class"]) | \
         ((by_class > limits["both_class"]) & (by_word > limits["both_word"]))
@@ -205,18 +239,22 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, counts, class_distance, word_distance, base_failed, kept) for every document."""
     narrow = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"),
                        F.col(text_col).alias("text"))
+    limits = LIMITS | (limits or {})
     scratch = Scratch(df.sparkSession, "rules")
     stats = scratch.write(with_stats(narrow, "text", "stats").drop("text"), "stats")
-    verdict = judge("stats", LIMITS | (limits or {}))
-    return with_references(stats, "lang", "stats", scratch).select(F.col("id").alias(id_col), *[F.col("stats")[c].alias(c) for c in COUNTS],
-                        *[v.alias(k) for k, v in verdict.items()])
+    verdict = judge("stats", limits)
+    return with_references(stats, "lang", "stats", limits, scratch).select(
+        F.col("id").alias(id_col), *[F.col("stats")[c].alias(c) for c in COUNTS],
+        *[v.alias(k) for k, v in verdict.items()])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
               limits: dict | None = None) -> DataFrame:
     """The rows of ``df`` that pass, all columns as they were."""
     out = "__rule_stats"
+    limits = LIMITS | (limits or {})
     scratch = Scratch(df.sparkSession, "rules")
     stats = scratch.write(with_stats(df, text_col, out), "rows")
-    verdict = judge(out, LIMITS | (limits or {}))
-    return with_references(stats, lang_col, out, scratch).where(verdict["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    verdict = judge(out, limits)
+    return with_references(stats, lang_col, out, limits, scratch).where(verdict["kept"]).select(
+        *[F.col(f"`{c}`") for c in df.columns])
