@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import SMALL
 from llm_cases import awkward_rows, clashing, docs
 from millrun.llm import queries, simhash
+from millrun.session import Scratch
 
 
 def plain_edited(rows):
@@ -104,9 +105,40 @@ def test_block_tables_find_all(spark, words, radius, blocks):
     parts = [f"f{w}" for w in range(words)]
     table = spark.createDataFrame(rows, "doc_id bigint, " + ", ".join(
         f"{p} bigint" for p in parts))
-    got = simhash.within_radius(table.where("doc_id % 3 = 0"), table, parts, "doc_id",
-                                radius, blocks)
-    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(prints) if i % 3 == 0
-            for j, b in enumerate(prints) if i != j and (a ^ b).bit_count() <= radius}
-    rows = [tuple(r) for r in got.collect()]
+    got = simhash.near_prints(table.where("doc_id % 3 = 0"), table, parts, radius, blocks)
+    want = {(a, b, (a ^ b).bit_count()) for i, a in enumerate(prints) if i % 3 == 0
+            for b in prints if (a ^ b).bit_count() <= radius}
+
+    def whole(r, prefix):
+        return sum((r[f"{prefix}_{p}"] % 2**64) << 64 * w for w, p in enumerate(parts))
+    rows = [(whole(r, "q"), whole(r, "t"), r["distance"]) for r in got.collect()]
     assert set(rows) == want and len(rows) == len(want)
+    counted = simhash.neighbour_counts(table, F.col("doc_id") % 3 == 0, parts,
+                                       Scratch(spark, "t"), radius, blocks).collect()
+    near = {sum((r[p] % 2**64) << 64 * w for w, p in enumerate(parts)): r["n_near"]
+            for r in counted}
+    assert near == {a: sum((a ^ b).bit_count() <= radius for b in prints) - 1
+                    for a in prints[::3]}
+
+
+def test_recall_of_the_search_on_the_whole_table(spark):
+    """The counts of the registered query are those of all pairs: recall 1."""
+    rows = queries.op10_simhash(spark, SMALL).collect()
+    prints = [int(r["fingerprint"], 16) for r in rows]
+    for r in rows:
+        if r["doc_id"] % 20:
+            assert r["n_near"] is None
+        else:
+            own = int(r["fingerprint"], 16)
+            assert r["n_near"] == sum((own ^ p).bit_count() <= 3 for p in prints) - 1
+
+
+def test_rows_that_repeat_and_a_large_group_of_copies(spark):
+    text = "the same words again and again in every copy of this text"
+    rows = [(i, text, "en", "s", 1) for i in range(200)] + [(7, text, "en", "s", 1)] * 3
+    rows += [(20, "another text under an id that repeats", "en", "s", 1)]
+    got = simhash.edited_likeness(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert sum(r["doc_id"] == 7 for r in got) == 4
+    asked = [r for r in got if r["doc_id"] % 20 == 0]
+    assert sorted(r["n_near"] for r in asked) == [0] + [202] * 10
