@@ -15,8 +15,9 @@ Ratings here: 0 for poor, 1 for good but toxic, 2 for good.
 
 Defined cases: a null text is empty and scored by its (empty) features; of several
 ratings of a document the lowest counts; unrated documents don't train; without any
-rating, or with one grade only, everything is kept and scores are null; repeated rows
-are scored each; ids may be null; other columns have any name.
+rating, or with one grade only, everything is kept and scores are null; very long texts are
+read whole, one at a time; repeated rows are scored each; ids may be null; an empty table
+gives an empty result; other columns have any name.
 """
 
 from __future__ import annotations
@@ -157,13 +158,26 @@ def fit(df: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str
     least = max(3, rows.count() * 3 // 1000)
     common = (rows.select(F.explode("features").alias("f")).groupBy("f").count()
               .where(F.col("count") >= least).select("f"))
-    kept = {r["f"] for r in common.collect()}  # at most DIMENSIONS
-    held = rows.toArrow() if kept else None
-    if held is None or not held.num_rows:
+    kept = [r["f"] for r in common.collect()]  # at most DIMENSIONS
+    if not kept:
         return None
     known = np.zeros(DIMENSIONS, dtype=bool)
-    known[list(kept)] = True
-    features = [f[known[f]] for f in (np.asarray(x.values) for x in held.column("features"))]
+    known[kept] = True
+
+    def only_common(batches):
+        for batch in batches:
+            lists = batch.column("features")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            keep = known[flat]
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(
+                lists.value_lengths().to_numpy(zero_copy_only=False))])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("grade"), pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(flat[keep], pa.int32()))],
+                ["grade", "features"])
+
+    held = rows.mapInArrow(only_common, "grade int, features array<int>").toArrow()
+    features = [np.asarray(x.values) for x in held.column("features")]
     return fit_ordinal(features, held.column("grade").to_numpy().astype(np.int64),
                        min_rows=least)
 
