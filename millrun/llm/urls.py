@@ -9,7 +9,8 @@ labels and the path's first segment the smoothed share of blocked URLs among tho
 labelled (the mean where none is). Everything is DataFrame functions and Spark ML.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and
-the features of an empty text; repeated rows are judged each; labels are 1 for block and
+the features of an empty text; ids may be null and repeat, every row is judged; very long
+URLs are read whole; labels are 1 for block and
 0 for allow, rows without one don't train; with labels of one class only, all URLs get it,
 with none all are allowed; an empty table gives an empty result.
 """
@@ -97,7 +98,8 @@ def _group(name: str) -> Column:
 def with_features(urls: DataFrame, scratch: Scratch) -> DataFrame:
     """``urls`` (url, host, path, label and more) with the columns of ``FEATURES``.
 
-    The groups' shares are counted over all labelled rows.
+    The groups' shares are counted over all labelled rows but the row itself, so that a row
+    that trains doesn't see its own label.
     """
     text = F.coalesce("url", F.lit(""))
     n = F.length(text)
@@ -116,10 +118,12 @@ def with_features(urls: DataFrame, scratch: Scratch) -> DataFrame:
     total = urls.agg(*counts).first()
     mean = total["blocked"] / total["known"] if total["known"] else 0.0
     for name in GROUPS:
-        table = scratch.write(urls.groupBy(_group(name).alias("_key")).agg(*counts).select(
-            "_key", ((F.col("blocked") + SMOOTHING * mean) / (F.col("known") + SMOOTHING))
-            .alias(f"{name}_blocked")), name)
-        out = out.withColumn("_key", _group(name)).join(table, "_key").drop("_key")
+        table = scratch.write(urls.groupBy(_group(name).alias("_key")).agg(*counts), name)
+        others = F.col("known") - F.col("label").isNotNull().cast("int")
+        blocked = F.col("blocked") - F.coalesce("label", F.lit(0))
+        out = out.withColumn("_key", _group(name)).join(table, "_key").withColumn(
+            f"{name}_blocked", (blocked + SMOOTHING * mean) / (others + SMOOTHING)).drop(
+            "_key", "known", "blocked")
     return out
 
 

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -86,6 +87,35 @@ def test_trees_learn_from_given_labels(spark):
     assert right >= 98
 
 
+def test_held_out_accuracy_on_the_table(spark):
+    """Trees fitted on three quarters of the URLs that a rule decides judge the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rules = urls.rule_table(spark, queries.URL_RULES)
+    decided = urls.judge_urls(pages, rules).where("rule is not null").select(
+        "page_id", F.expr("int(verdict = 'block')").alias("label")).join(pages, "page_id").cache()
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    nowhere = urls.rule_table(spark, [("allow", "nowhere.example", "/")])
+    got = urls.judge_urls(decided.where(held).select("page_id", "url"), nowhere,
+                          decided.where(~held).select("url", "label")).join(
+        decided.select("page_id", "label"), "page_id").collect()
+    right = sum((r["verdict"] == "block") == bool(r["label"]) for r in got)
+    assert len(got) > 50 and right >= 0.95 * len(got)
+
+
+def test_a_row_doesnt_see_its_own_label(spark):
+    rows = spark.createDataFrame(
+        [("http://a.org/", 1), ("http://a.org/", 0), ("http://b.net/", 1), ("http://b.net/", None)],
+        "url string, label int")
+    host, path = urls.host_and_path(F.col("url"))
+    got = urls.with_features(rows.withColumns({"host": host, "path": path}),
+                             Scratch(spark, "t")).collect()
+    mean, s = 2 / 3, urls.SMOOTHING
+    share = {("a", 1): s * mean / (1 + s), ("a", 0): (1 + s * mean) / (1 + s),
+             ("b", 1): mean, ("b", None): (1 + s * mean) / (1 + s)}
+    for r in got:
+        assert r["domain_blocked"] == pytest.approx(share[r["host"][0], r["label"]])
+
+
 def test_one_class_of_labels(spark):
     asked = spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.org/")],
                                   "page_id bigint, url string")
