@@ -81,8 +81,12 @@ class Scratch:
         trace(f"wrote {name} in {time.time() - t0:.2f}s")
         return self.spark.read.schema(df.schema).parquet(p)
 
+    def clear(self) -> None:
+        """Delete all tables of this folder; nothing may read them any more."""
+        self.drop("")
+
     def drop(self, name: str) -> None:
         """Delete a written table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
