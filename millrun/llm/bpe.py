@@ -2,7 +2,8 @@
 
 Contract of :func:`encode` and :func:`decode`:
 
-* a null text counts as empty (no ids); ids and texts of repeated rows repeat;
+* a null text counts as empty (no ids); document ids may be null and repeat, every row is
+  encoded by itself;
 * texts are encoded whole; long ones are cut first, but only where no match of
   the split pattern can cross the cut, so the ids are those of the whole text;
 * a ``.json`` vocabulary's added tokens are found in a text first, wherever they

@@ -301,13 +301,14 @@ def _large_links(texts: DataFrame, large: DataFrame, scratch: Scratch, size: int
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = 5, percent: int = 80, bands: int = 56, rows: int = 7,
-                    block: int = 256) -> DataFrame:
+                    block: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
     Documents with ``100 * intersection >= percent * union`` of their shingle sets are
     linked; ``component_id`` is the least id reachable, ``kept`` whether that is the own.
+    The result reads tables of ``scratch``.
     """
-    scratch = Scratch(df.sparkSession, "neardup")
+    scratch = scratch or Scratch(df.sparkSession, "neardup")
     signed = scratch.write(signatures(df, id_col, text_col, size, bands, rows), "signatures")
     usable = signed.where("set_key is not null and id is not null")
     nodes = scratch.write(
@@ -357,11 +358,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all stay. A row without id comes after those with one.
     """
     spark = df.sparkSession
-    rows = Scratch(spark, "neardup").write(
-        df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row", text_col, **parameters).select("__row", "component_id")
+    own, work = Scratch(spark, "kept"), Scratch(spark, "neardup")
+    rows = own.write(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "__row", text_col, scratch=work, **parameters).select(
+        "__row", "component_id")
     ids = rows.select("__row", F.col(id_col).alias("__id"))
     first = F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__row"))
-    kept = found.join(ids, "__row").groupBy("component_id").agg(first.alias("f")).select(
-        F.col("f.__row").alias("__row"))
+    kept = own.write(found.join(ids, "__row").groupBy("component_id").agg(first.alias("f")).select(
+        F.col("f.__row").alias("__row")), "ids")
+    work.clear()
     return rows.join(kept, "__row", "left_semi").drop("__row")

@@ -20,9 +20,9 @@ Long streams are solved in segments of ``segment`` tokens that end at document
 ends; the windows after the segment's best last cut are carried over, so memory
 is bounded. Nothing is shuffled: each task packs its own partition.
 
-Defined cases: a null text is empty (its document is the end id alone); repeated
-rows are packed each; an empty table gives no pieces; a document longer than a
-window spans several; only the id and text columns are read.
+Defined cases: a null text is empty (its document is the end id alone); ids may be null and
+repeat, every row is packed by itself; an empty table gives no pieces; a document longer than
+a window spans several, however long; only the id and text columns are read.
 """
 
 from __future__ import annotations

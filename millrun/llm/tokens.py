@@ -12,8 +12,9 @@ with the sections' character intervals. A token across a boundary is allocated b
 Sections are ascending, don't overlap and may leave gaps; tokens that touch none count
 nowhere. So with sections that cover the text, the counts add up to the document's.
 
-Defined cases: a null text is empty; an empty text's only line has no tokens; repeated
-rows are counted each; an empty table gives an empty result; other columns have any name.
+Defined cases: a null text is empty; an empty text's only line has no tokens; very long
+texts are read whole, one at a time, and encoded in pieces; ids may be null and repeat, every
+row is counted by itself; an empty table gives an empty result; other columns have any name.
 """
 
 from __future__ import annotations

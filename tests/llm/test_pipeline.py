@@ -9,7 +9,9 @@ import __spark_entry__ as E
 import corpus_pipeline
 from conftest import SMALL
 from llm_cases import DOCS, awkward_rows, docs
-from millrun.llm import minhash
+from millrun.llm import minhash, quality
+from test_quality import plain_score
+from test_rules import brute_force as rules_by_force
 from test_suffix import brute_force
 
 
@@ -42,6 +44,24 @@ def test_filters_keep_rows_as_they_were(stages):
         assert all(before[r["doc_id"]] == r for r in got.collect())
 
 
+def test_classifier_keeps_what_plain_scores_keep(spark, stages):
+    given, got = stages["quality_classifier"]
+    model = quality.fit(given, quality.graded(spark.read.parquet(f"{SMALL}/labels.parquet")))
+    want = set()
+    for r in given.collect():
+        score = plain_score(r["text"], model.weights) - model.thresholds[-1]
+        assert abs(score) > 1e-4  # none so near the limit that rounding decides
+        if score >= 0:
+            want.add(r["doc_id"])
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_rules_keep_what_brute_force_keeps(stages):
+    given, got = stages["quality_rules"]
+    want = rules_by_force([(r["doc_id"], r["text"], r["lang"]) for r in given.collect()])
+    assert {r["doc_id"] for r in got.collect()} == {i for i, v in want.items() if v[-1]}
+
+
 def test_one_of_each_group_stays(stages):
     given, got = stages["minhash_near_dedup"]
     rows = [(r["doc_id"], r["text"]) for r in given.collect()]
@@ -97,6 +117,6 @@ def test_awkward_tables(spark, tmp_path, rows):
 def test_registered():
     names = set(E.queries())
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert importlib.util.find_spec("corpus_pipeline") is not None
     assert minhash.near_duplicates.__defaults__[2:4] == (5, 80)

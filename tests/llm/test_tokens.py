@@ -1,5 +1,7 @@
 """Token attribution against the tokenizers library's offsets and plain allocation."""
 
+import bisect
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -78,6 +80,43 @@ def test_whole_table(spark):
         assert parts == text.splitlines(keepends=True) or "".join(parts) == text
 
 
+def test_lines_of_the_whole_table_by_plain_allocation(spark):
+    """Counts and crossings of every line, from the tokens' own bytes."""
+    enc = bpe.encoder(RANKS, P.PATTERN)
+    got = {}
+    for r in queries.op7_token_counts(spark, SMALL).collect():
+        got.setdefault(r["doc_id"], []).append(
+            (r["start"], r["end"], r["n_tokens"], r["n_crossing"]))
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        raw = (r["text"] or "").encode()
+        char_of = [i for i, c in enumerate(r["text"] or "") for _ in c.encode()]
+        at, spans = 0, []
+        for token in enc.encode_ordinary(r["text"] or ""):
+            size = len(enc.decode_single_token_bytes(token))
+            spans.append((char_of[at], char_of[at + size - 1] + 1))
+            at += size
+        assert at == len(raw)
+        ends = [i + 1 for i, c in enumerate(r["text"] or "") if c == "\n"]
+        if not ends or ends[-1] < len(r["text"] or ""):
+            ends.append(len(r["text"] or ""))
+        sections = list(zip([0, *ends[:-1]], ends))
+        counts, crossing = line_counts(spans, sections)
+        assert sorted(got[r["doc_id"]]) == [(a, b, n, x) for (a, b), n, x in zip(
+            sections, counts, crossing)]
+
+
+def line_counts(spans, sections):
+    """Plain allocation by first character over sections that cover the text."""
+    starts = [a for a, _ in sections]
+    counts, crossing = [0] * len(sections), [0] * len(sections)
+    for a, b in spans:
+        first, last = bisect.bisect(starts, a) - 1, bisect.bisect(starts, b - 1) - 1
+        counts[first] += 1
+        for k in range(first, last + 1):
+            crossing[k] += first != last
+    return counts, crossing
+
+
 def test_sections_from_a_column_and_awkward_rows(spark):
     df = clashing(docs(spark, awkward_rows()))
     counted = tokens.tokens_by_section(df, RANKS, P.PATTERN, rule="share")
