@@ -61,6 +61,10 @@ def with_cands(*extra: str) -> str:
 
 ORACLES["scan_machines"] = oracle_prefix("machines") + "\nSELECT * FROM machines"
 
+ORACLES["catalog_table"] = oracle_prefix("machines") + """
+SELECT *, CAST(NULL AS VARCHAR) AS change_type FROM machines
+UNION ALL SELECT 'M-9999', 'SPARE', 'LARGE', CAST(8 AS DOUBLE), CAST(1 AS DOUBLE), FALSE, 'insert'"""
+
 ORACLES["backlog_projection"] = oracle_prefix("backlog") + """
 SELECT order_id, part_id, category, customer_name, quantity FROM backlog"""
 
@@ -393,6 +397,10 @@ ORACLES["model_plan_checks"] = """
 SELECT CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_overfull,
        CAST(0 AS BIGINT) AS n_not_candidates, CAST(0 AS BIGINT) AS n_left_though_fitting"""
 
+ORACLES["registry_checks"] = with_cands() + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_differ, 9 AS n_inputs,
+       5 AS n_example, TRUE AS is_first, 4 AS n_alias_rows FROM cands"""
+
 ORACLES["latest_version"] = """
 SELECT event_type AS name, CAST(max(user_id) AS VARCHAR) AS version FROM events GROUP BY event_type"""
 
@@ -414,6 +422,9 @@ SELECT order_id, machine_id, assigned_by, assigned_at, notes,
        row_number() OVER (ORDER BY assigned_at DESC NULLS LAST, order_id, machine_id) AS position
 FROM override_requests"""
 
+ORACLES["override_log"] = OV + """
+SELECT order_id, machine_id, assigned_by, notes, TRUE AS stamped FROM override_requests"""
+
 ORACLES["override_display"] = OV + """
 SELECT order_id AS "Order ID", machine_id AS "Machine ID", assigned_by AS "Assigned By",
        assigned_at AS "Assigned At", notes AS "Notes" FROM override_requests"""
@@ -538,7 +549,8 @@ d AS (""" + LATEST_STATUS_DOWN + ")\nSELECT machine_id FROM d"
 # ---- synthetic backlog -------------------------------------------------------------
 
 ORACLES["generated_backlog"] = oracle_prefix("parts") + """,
-pw AS (SELECT *, CAST(CASE category WHEN 'MEDIUM' THEN 25 WHEN 'PROMO' THEN 30 ELSE 10 END
+pw AS (SELECT *, CAST(CASE category WHEN 'MEDIUM' THEN 2500000 WHEN 'PROMO' THEN 3000000
+                           ELSE 1000000 END
                      AS BIGINT) AS w FROM parts),
 cum AS (SELECT *, sum(w) OVER (ORDER BY part_id ROWS UNBOUNDED PRECEDING) AS hi FROM pw),
 tot AS (SELECT CAST(max(hi) AS BIGINT) AS total FROM cum),
@@ -575,6 +587,10 @@ LEFT JOIN custs c ON c.pool = ch.pool AND c.idx = 1 + ch.h_cust % s.n"""
 
 ORACLES["assigned_enriched_sql"] = ORACLES["assigned_enriched"]
 
+ORACLES["cached_load"] = ORACLES["assigned_enriched"]
+
+ORACLES["dashboard_recalculated"] = ORACLES["scenario_enriched"]
+
 ORACLES["scored_routes_sorted"] = with_cands() + """
 SELECT order_id, machine_id, profit_score,
        row_number() OVER (ORDER BY profit_score DESC NULLS LAST, order_id, machine_id) AS position

@@ -7,13 +7,17 @@ per query and mirrored in the SQL twins in ``oracle_sql.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrun import schemas
 from millrun.operators import ranking, routes
 from millrun.session import Scratch
+from millrun.sources import catalog
+from millrun.sources import feed as feed_of
 from millrun.sources import fixtures as fx
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +53,25 @@ def scan_machines(spark, d):
     return fx.machines(spark, d)
 
 
+@query("catalog_table")
+def catalog_table(spark, d):
+    """Machines through a typed, commented table: created, overwritten, added to by values."""
+    scratch = Scratch(spark, "catalog")
+    schema = f"plant_{uuid.uuid4().hex[:12]}"
+    name = f"{schema}.machines"
+    catalog.create_schema(spark, schema, scratch.path("tables"))
+    catalog.create_table(spark, name, schemas.MACHINES)
+    catalog.overwrite(fx.machines(spark, d), name)
+    catalog.insert_values(spark, name, [("M-9999", "SPARE", "LARGE", 8.0, 1.0, False)])
+    catalog.set_properties(spark, name, {"change_feed": "true"})
+    changes = feed_of.table_changes(spark, name, fx.machines(spark, d), ["machine_id"])
+    rows = spark.table(name).join(changes.select("machine_id", feed_of.CHANGE_TYPE), "machine_id",
+                                  "left")
+    rows = scratch.write(rows, "rows")
+    catalog.drop_schema(spark, schema)
+    return rows
+
+
 @query("backlog_projection")
 def backlog_projection(spark, d):
     return fx.backlog(spark, d).select("order_id", "part_id", "category", "customer_name",
@@ -357,6 +380,29 @@ def model_plan_checks(spark, d):
     return rows.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in broken])
 
 
+@query("registry_checks")
+def registry_checks(spark, d):
+    """A small forest registered twice, its alias moved on and back, loaded and scored."""
+    scratch = Scratch(spark, "registry")
+    root = scratch.path("models")
+    trained = mdl.train(_training_rows(spark, d), num_trees=5, max_depth=5)
+    first = mdl.register(spark, root, "routes", trained)
+    mdl.set_alias(spark, root, "routes", "champion",
+                  mdl.register(spark, root, "routes", trained, "challenger"))
+    mdl.set_alias(spark, root, "routes", "champion", first)
+    loaded = mdl.load(spark, root, "routes")
+    cands = _cands(spark, d)
+    scores = mdl.score(trained, cands).select("order_id", "machine_id", "p_best").join(
+        mdl.score(loaded, cands).select("order_id", "machine_id", F.col("p_best").alias("again")),
+        ["order_id", "machine_id"])
+    return scores.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(
+        F.abs(F.col("p_best") - F.col("again")) > 1e-12).alias("n_differ")).withColumns({
+            "n_inputs": F.lit(len(loaded.signature.inputs)),
+            "n_example": F.lit(loaded.example.count()),
+            "is_first": F.lit(mdl.resolve_alias(spark, root, "routes").endswith(f"v={first}")),
+            "n_alias_rows": F.lit(mdl.read_aliases(spark, root).count())})
+
+
 @query("latest_version")
 def latest_version(spark, d):
     """Versions as text per name (event_type, user_id); the latest is the integer maximum."""
@@ -379,7 +425,6 @@ def alias_targets(spark, d):
 
 # ---- overrides and replica refresh ------------------------------------------------
 
-from millrun.sources import feed as feed_of  # noqa: E402
 from millrun.sources import overrides as ov  # noqa: E402
 from millrun.streaming import replica  # noqa: E402
 
@@ -392,6 +437,23 @@ def override_history(spark, d):
     return ov.history_positions(fx.override_requests(spark, d))
 
 
+@query("override_log")
+def override_log(spark, d):
+    """All requests through the log in three batches, each sent twice, then compacted."""
+    scratch = Scratch(spark, "override_log")
+    path = scratch.path("log")
+    ov.create_table(spark, path)
+    requests = fx.override_requests(spark, d)
+    for k in range(3):
+        batch = requests.where(F.col("event_id") % 3 == k)
+        for _ in range(2):
+            ov.append_batch(spark, path, batch, f"batch-{k}")
+    ov.compact(spark, path, max_files=1)
+    return ov.read_overrides(spark, path).select(
+        "order_id", "machine_id", "assigned_by", "notes",
+        F.col("assigned_at").isNotNull().alias("stamped"))
+
+
 @query("override_display")
 def override_display(spark, d):
     return ov.display(fx.override_requests(spark, d))
@@ -544,6 +606,28 @@ def assigned_enriched_sql(spark, d):
     return spark.sql(dashboard.ENRICHED_SQL)
 
 
+@query("cached_load")
+def cached_load(spark, d):
+    """The dashboard's plan from its cache, the second time it is asked for."""
+    cache = dashboard.LoadCache()
+    cache.get(spark, d, PLANNING_DAYS)
+    rows = Scratch(spark, "dashboard").write(
+        cache.get(spark, d, PLANNING_DAYS).assigned_baseline, "rows")
+    cache.clear()
+    return rows
+
+
+@query("dashboard_recalculated")
+def dashboard_recalculated(spark, d):
+    """The plan after two machines were marked as down in the dashboard."""
+    cache = dashboard.LoadCache()
+    enriched, _, _ = dashboard.recalculate(cache.get(spark, d, PLANNING_DAYS), SCENARIO_DOWN,
+                                           PLANNING_DAYS)
+    rows = Scratch(spark, "dashboard").write(enriched, "rows")
+    cache.clear()
+    return rows
+
+
 @query("scored_routes_sorted")
 def scored_routes_sorted(spark, d):
     """Scored candidates in display order (highest planning score first)."""

@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 from millrun.schemas import ddl
 
 
-def create_schema(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}")
+def create_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create a schema (S3), its tables under ``location`` or in the warehouse."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{where}")
 
 
 def drop_schema(spark: SparkSession, name: str, cascade: bool = True) -> None:

@@ -28,6 +28,7 @@ SEED = 42
 START = dt.date(2025, 11, 1)
 HORIZON_DAYS = 30
 ID_OFFSET = 2000
+WEIGHT_UNITS = 1_000_000
 # The reference's category weights and dealer categories.
 REFERENCE_WEIGHTS = {"metal": 1.0, "battery": 1.0, "electronics": 2.5, "assembly": 3.0}
 REFERENCE_DEALER_CATEGORIES = ("battery", "electronics")
@@ -48,13 +49,15 @@ def generate_backlog(ids: DataFrame, parts: DataFrame, customers: DataFrame,
 
     ``parts``: part_id, category, default_price, material_cost, estimated_runtime_hours.
     ``customers``: customer_name, customer_key (tie-break), is_dealer.
-    Category weights are used at 0.1 resolution (integer arithmetic).
+    Category weights are used in millionths (integer arithmetic, at least one for a weight
+    above zero); categories without a weight have 1.
     """
     spark = ids.sparkSession
     scratch = Scratch(spark, "gen")
-    w = F.lit(10)
+    w = F.lit(WEIGHT_UNITS)
     for cat, weight in category_weights.items():
-        w = F.when(F.col("category") == cat, F.lit(int(round(weight * 10)))).otherwise(w)
+        units = max(1, round(weight * WEIGHT_UNITS)) if weight > 0 else 0
+        w = F.when(F.col("category") == cat, F.lit(units)).otherwise(w)
     pw = parts.select("part_id", "category", "default_price", "material_cost",
                       "estimated_runtime_hours", w.cast("bigint").alias("w"))
     cum = running_total(pw, [F.col("part_id").asc()], "w",
@@ -63,8 +66,8 @@ def generate_backlog(ids: DataFrame, parts: DataFrame, customers: DataFrame,
     cum = cum.withColumn("lo", F.col("hi") - F.col("w"))
     stats = cum.agg(F.max("hi").alias("total"), F.count(F.lit(1)).alias("n")).first()
     total, n_parts = int(stats["total"] or 0), int(stats["n"])
-    if n_parts == 0:
-        raise ValueError("empty parts catalog")
+    if total == 0:
+        raise ValueError("no part with a weight")
     width = max(1, -(-total // n_parts))
     binned = cum.withColumn("bin", F.explode(F.sequence(
         F.call_function("div", F.col("lo"), F.lit(width)),
