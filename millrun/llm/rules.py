@@ -173,7 +173,8 @@ def _coarse(shares: Column) -> Column:
                    shares[5], shares[6])
 
 
-def references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict) -> DataFrame:
+def references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict,
+               scratch: Scratch) -> DataFrame:
     """(__ref_lang, __ref_classes, __ref_common, __sums): a row for each language with support.
 
     Words are null for languages without common words; ``__sums`` are the class sums.
@@ -185,8 +186,9 @@ def references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict) ->
     medians = passing.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[
         F.percentile(F.expr(f"{stats}.classes[{i}] div 1000000"), F.lit(0.5)).alias(f"m{i}")
         for i in range(_N_CLASSES)]).where(F.col("n") >= limits["min_docs"])
-    medians = medians.select("lang", _normed(F.array(*[f"m{i}" for i in range(_N_CLASSES)]))
-                             .alias("median"))
+    # written, so that the join knows how small it is and leaves the documents where they are
+    medians = scratch.write(medians.select("lang", _normed(F.array(*[
+        f"m{i}" for i in range(_N_CLASSES)])).alias("median")), "medians")
     core = passing.join(medians, "lang").where(
         js_distance(F.col(stats)["classes"], F.col("median")) <= limits["class"])
     sums = core.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[
@@ -205,7 +207,7 @@ def with_references(stats_df: DataFrame, lang_col: str, stats: str, limits: dict
                     scratch: Scratch) -> DataFrame:
     """``stats_df`` with the columns of its language's reference, null where there is none,
     and ``__ref_any``, the coarse classes of all references (null without any)."""
-    refs = scratch.write(references(stats_df, lang_col, stats, limits), "references")
+    refs = scratch.write(references(stats_df, lang_col, stats, limits, scratch), "references")
     total = refs.agg(*[F.sum(F.col("__sums")[i]).alias(f"s{i}")
                        for i in range(_N_CLASSES)]).first()  # one row
     every = F.lit(None).cast("array<double>") if total["s0"] is None else _normed(_coarse(
