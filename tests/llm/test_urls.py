@@ -102,20 +102,6 @@ def test_held_out_accuracy_on_the_table(spark):
     assert len(got) > 50 and right >= 0.95 * len(got)
 
 
-def test_a_row_doesnt_see_its_own_label(spark):
-    rows = spark.createDataFrame(
-        [("http://a.org/", 1), ("http://a.org/", 0), ("http://b.net/", 1), ("http://b.net/", None)],
-        "url string, label int")
-    host, path = urls.host_and_path(F.col("url"))
-    got = urls.with_features(rows.withColumns({"host": host, "path": path}),
-                             Scratch(spark, "t")).collect()
-    mean, s = 2 / 3, urls.SMOOTHING
-    share = {("a", 1): s * mean / (1 + s), ("a", 0): (1 + s * mean) / (1 + s),
-             ("b", 1): mean, ("b", None): (1 + s * mean) / (1 + s)}
-    for r in got:
-        assert r["domain_blocked"] == pytest.approx(share[r["host"][0], r["label"]])
-
-
 def test_one_class_of_labels(spark):
     asked = spark.createDataFrame([(1, "http://a.net/es/"), (2, "http://a.org/")],
                                   "page_id bigint, url string")
