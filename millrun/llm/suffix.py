@@ -4,18 +4,17 @@ An index of all suffixes would be several times the text, so the suffix arrays a
 sparse: of the ``length - K + 1`` grams in a window of ``length`` bytes the one with the
 least hash (the leftmost of equals) is its *anchor*. Equal windows have equal anchors, so
 only suffixes at anchors are indexed, and all windows of an anchor lie in one short
-string, its *run*. Suffixes are ordered by fingerprints of their grams and windows
-instead of byte by byte; only equality matters here.
-
-1. Documents are written in compressed blocks of some megabytes (the batches).
-2. Every block sends its sorted distinct anchor fingerprints, dealt into key slices.
-   Each slice keeps a logarithmic family of sorted levels (:class:`Levels`): a block's
-   array becomes a level, levels of like size merge, and all blocks are scanned against
-   the levels. Blocks hear which of their anchors other blocks have, and which have more
-   than ``SPREAD_RUNS`` distinct runs.
-3. Blocks send the distinct runs of shared anchors with their least document. The slices
-   keep families of window fingerprints with the least document, and answer for every
-   window whether a smaller document has it.
+string, its *run*.
+
+1. Documents are written in compressed blocks of some megabytes.
+2. Every block sends its sorted distinct anchor fingerprints, dealt into key slices, and
+   hears which of them other blocks have (:class:`Levels`), and which have more than
+   ``SPREAD_RUNS`` distinct runs.
+3. Blocks send the distinct runs of shared anchors with their least document. A slice takes
+   them in batches into a logarithmic family of suffix arrays (:class:`SuffixLevels`): the
+   suffixes of a batch are sorted by their bytes, merge-scanned against the levels for
+   matches of ``length`` bytes, and become a level; levels of like size merge. So every
+   window is told whether a smaller document has it.
    Of anchors with many distinct runs (at the ends of a frequent passage, or in a frequent
    phrase, where the text around differs by document) blocks send the distinct window
    fingerprints instead, dealt by themselves, each with the block's least document.
@@ -23,8 +22,9 @@ instead of byte by byte; only equality matters here.
 
 A block sends an anchor, a run or a window once, however many of its documents hold it, so
 a passage in a third of all documents reaches a slice once a block, and a slice gets at
-most about ``SPREAD_RUNS`` runs of one anchor. Fingerprints of
-windows have 64 bits; those of anchors only select what is compared.
+most about ``SPREAD_RUNS`` runs of one anchor. Matches between blocks are of bytes;
+fingerprints of anchors only select what is compared. Runs of one block, and the windows of
+anchors with many runs, count as equal by 64-bit fingerprints.
 
 Defined cases: a null text is empty; texts shorter than ``length`` bytes keep all; rows
 with equal ids are one document to each other; rows without id come after all others;
@@ -49,6 +49,7 @@ from millrun.session import Scratch
 
 BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 16  # arrays of 8 bytes a place then fit in a core's cache
+BATCH_BYTES = 1 << 18  # of runs in a batch of a slice
 ANCHORS_A_SLICE = 150_000
 SPREAD_RUNS = 16_384  # distinct runs of an anchor, over all blocks, that one slice may get
 _LAST = np.iinfo(np.int64).max  # stands for a null id
@@ -114,6 +115,72 @@ class Levels:
         return low, high
 
 
+class SuffixLevels:
+    """A logarithmic family of suffix arrays: sorted suffixes with their least owners.
+
+    Suffixes are compared by their first ``length`` bytes. A new batch gets a suffix array,
+    is scanned against every level for matches and becomes a level itself; while the level
+    before is less than twice as long, the two merge. A match is noted for the side with the
+    greater owner, so a batch may come at any time and in any order.
+    """
+
+    def __init__(self, length: int):
+        self.length = length
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+        self._beaten: list[np.ndarray] = []
+        self._same: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, data: np.ndarray, places: np.ndarray,
+            owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entry number of the suffix at each of ``places``; whether the batch has a smaller owner."""
+        if not len(places):
+            return places, np.empty(0, dtype=bool)
+        suffix = np.lib.stride_tricks.sliding_window_view(data, self.length)[places]
+        suffix = suffix.view(f"S{self.length}").ravel()  # padded alike, so compared as bytes
+        order = np.argsort(suffix)
+        suffix = suffix[order]
+        new = np.concatenate([[True], suffix[1:] != suffix[:-1]])
+        first = np.flatnonzero(new)
+        entry = np.empty(len(order), dtype=np.int64)
+        entry[order] = np.cumsum(new) - 1
+        suffix, low = suffix[first], np.minimum.reduceat(owner[order], first)
+        number = self.n + np.arange(len(first))
+        self.n += len(first)
+        for level, least, holder in self.levels:
+            at = np.minimum(np.searchsorted(level, suffix), len(level) - 1)
+            hit = np.flatnonzero(level[at] == suffix)
+            at, mine = at[hit], low[hit]
+            self._beaten += [number[hit[least[at] < mine]], holder[at[mine < least[at]]]]
+        level = suffix, low, number
+        while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
+            level = self._merged(self.levels.pop(), level)
+        self.levels.append(level)
+        return number[entry], owner > low[entry]
+
+    def _merged(self, a, b):
+        suffix, low, holder = map(np.concatenate, zip(a, b))
+        order = np.argsort(suffix, kind="stable")  # two rising runs
+        suffix = suffix[order]
+        twice = np.flatnonzero(suffix[1:] == suffix[:-1])
+        i, j = order[twice], order[twice + 1]
+        same = low[i] == low[j]
+        self._same.append((holder[j[same]], holder[i[same]]))
+        keep = np.ones(len(order), dtype=bool)
+        keep[twice + (low[i] <= low[j])] = False
+        order = order[keep]
+        return suffix[keep], low[order], holder[order]
+
+    def covered(self) -> np.ndarray:
+        """For every entry so far, whether another batch has its suffix with a smaller owner."""
+        out = np.zeros(self.n, dtype=bool)
+        for numbers in self._beaten:
+            out[numbers] = True
+        for gone, kept in reversed(self._same):  # of equal owners one stands for both
+            out[gone] |= out[kept]
+        return out
+
+
 @lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, _U(base))
@@ -530,41 +597,41 @@ def _covered_prints(table: pa.Table) -> pa.Table:
                   answer=answers, kind=[2] * len(answers))
 
 
+def _batches(table: pa.Table) -> Iterator[tuple]:
+    """(blocks' places in ``table``, texts, sizes and owners of runs), some blocks at a time."""
+    columns = [table.column(c).to_pylist() for c in ("texts", "sizes", "owners")]
+    some, parts, n_bytes = [], [], 0
+    for i in np.argsort(table.column("block").to_numpy()):
+        some.append(i)
+        parts.append((np.frombuffer(_unzipped(columns[0][i]), dtype=np.uint8),
+                      np.frombuffer(columns[1][i], dtype="<u4").astype(np.int64),
+                      np.frombuffer(columns[2][i], dtype="<i8").astype(np.int64)))
+        n_bytes += len(parts[-1][0])
+        if n_bytes >= BATCH_BYTES:
+            yield some, parts
+            some, parts, n_bytes = [], [], 0
+    if some:
+        yield some, parts
+
+
 def _covered_windows(runs: DataFrame, length: int, n: int) -> DataFrame:
     """For each block and slice, which windows of its runs a smaller document has."""
-    k = gram_size(length)
-
     def run(table: pa.Table) -> pa.Table:
         if table.column("slice")[0].as_py() >= n:
             return _covered_prints(table)
-        contents, windows = Levels(), Levels()
-        columns = [table.column(c).to_pylist() for c in ("texts", "sizes", "owners")]
-        blocks = table.column("block").to_numpy()
-        batches: list = [None] * len(blocks)
-        for i in np.argsort(blocks):
-            data = np.frombuffer(_unzipped(columns[0][i]), dtype=np.uint8)
-            size = np.frombuffer(columns[1][i], dtype="<u4").astype(np.int64)
-            owner = np.frombuffer(columns[2][i], dtype="<i8").astype(np.int64)
+        family, found = SuffixLevels(length), []
+        for some, parts in _batches(table):
+            data, size, owner = map(np.concatenate, zip(*parts))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            prints = _Prints(data, k)
-            content = prints.of(start, size)
-            contents.add(content, owner, owner)
             places, of = _windows(start, size - length + 1)
-            batches[i] = content, owner, prints.of(places, length), of
-        contents.close()
-        # a run that a smaller document has whole is covered whole; of equal runs the one
-        # with the least document speaks for all
-        for i, (content, owner, keys, of) in enumerate(batches):
-            least = (owner == contents.owners(content)[0])[of]
-            batches[i] = least, keys[least], owner[of[least]]
-            windows.add(batches[i][1], batches[i][2], batches[i][2])
-        windows.close()
-        answers = []
-        for least, keys, mine in batches:
-            covered = np.ones(len(least), dtype=bool)
-            covered[least] = windows.owners(keys)[0] < mine
-            answers.append(np.packbits(covered).tobytes())
-        return _batch(slice=table.column("slice"), block=blocks,
+            found.append((some, [int((s - length + 1).sum()) for _, s, _ in parts],
+                          *family.add(data, places, owner[of])))
+        covered, answers = family.covered(), [b""] * table.num_rows
+        for some, counts, entry, beaten in found:
+            hits = np.split(covered[entry] | beaten, np.cumsum(counts)[:-1])
+            for i, hit in zip(some, hits):
+                answers[i] = np.packbits(hit).tobytes()
+        return _batch(slice=table.column("slice"), block=table.column("block").to_numpy(),
                       answer=answers, kind=[2] * len(answers))
 
     return runs.groupBy("slice").applyInArrow(

@@ -119,6 +119,45 @@ def test_levels():
     assert len(family.levels) == 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_levels_take_later_batches(seed):
+    rng = random.Random(seed)
+    length, family, batches = 6, suffix.SuffixLevels(6), []
+
+    def check():
+        least = {}
+        for at, windows, owner, _, _ in batches:
+            for w, o in zip(windows, owner):
+                least[w] = min(least.get(w, o), o)
+        covered = family.covered()
+        for at, windows, owner, entry, beaten in batches:
+            got = (covered[entry] | beaten).tolist()
+            assert got == [least[w] < o for w, o in zip(windows, owner)]
+
+    for at in range(30):
+        data = bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.choice([0, 5, 6, 40, 300])))
+        places = np.arange(max(0, len(data) - length + 1))
+        owner = np.array([rng.randrange(8) for _ in places], dtype=np.int64)  # many equal owners
+        found = family.add(np.frombuffer(data, np.uint8), places, owner)
+        batches.append((at, [data[p:p + length] for p in places], owner.tolist(), *found))
+        sizes = [len(level[0]) for level in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        for level, _, _ in family.levels:
+            flat = [bytes(x).ljust(length, b"\0") for x in level]
+            assert flat == sorted(set(flat))
+        if at % 5 == 4:
+            check()  # what is known so far; later batches come on top
+
+
+@pytest.mark.parametrize("batch_bytes", [1, 500])
+def test_batches_within_a_slice(spark, monkeypatch, batch_bytes):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", batch_bytes)
+    rows = shuffled_passages(9)
+    df = docs(spark, [(i, t, "en", "s", len(t)) for i, t in rows])
+    assert as_rows(suffix.repeat_digests(df)) == digest(brute_force(rows, 50))
+
+
 @pytest.mark.parametrize("spread", [1, 20])
 def test_runs_around_a_frequent_passage_are_spread(spark, monkeypatch, spread):
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 2000)
