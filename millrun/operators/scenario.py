@@ -105,13 +105,13 @@ def plan_with_overrides(cands: DataFrame, machines: DataFrame, planning_days: in
     ids, down = greedy.scenario_frame(spark, {greedy.BASELINE: down_machines})
     scratch = Scratch(spark, "overrides")
     cap = greedy.held(greedy.capacity(machines, planning_days, ids, down))
-    orders = scratch.write(greedy.as_orders(cands), "orders")
+    orders = scratch.write(greedy.numbered(greedy.as_orders(cands)), "orders")
     pins = scratch.write(newest_override(overrides).where(
         "order_id is not null and machine_id is not null"), "pins")
     wanted = pins.select("order_id", F.col("machine_id").alias("pin"), "assigned_at")
     single = F.filter("options", lambda o: o["machine_id"] == F.col("pin"))
     pinned = scratch.write(orders.join(wanted, "order_id").select(
-        "order_id", "assigned_at", F.slice(single, 1, 1).alias("options")), "pinned")
+        "row", "order_id", "assigned_at", F.slice(single, 1, 1).alias("options")), "pinned")
     by_time = [F.col("assigned_at").asc_nulls_last(), F.col("order_id").asc()]
     kept, _, _ = greedy.plan_capacities(pinned, greedy.usable_capacity(cap), ids,
                                         Scratch(spark, "pins"), buckets, by_time)

@@ -329,3 +329,20 @@ def test_invariants_on_fixture(spark):
     rem = {r.machine_id: r.remaining_hours for r in res.remaining.collect()}
     open_orders = cands[~cands["order_id"].isin(plan["order_id"])]
     assert (open_orders["processing_hours"] > open_orders["machine_id"].map(rem)).all()
+
+
+def test_only_rows_that_may_fit_are_sent_to_the_planning_tasks(spark, tmp_path):
+    """Options that don't fit a bucket's start count for its bounds only, and carry no payload."""
+    o = "struct<m:int,need:bigint,at:int>"
+    state = spark.createDataFrame(
+        [("c", 0, i, 10 + i, [(0, 5 + i, 0), (1, 9, 1)]) for i in range(4)],
+        f"component string, bucket bigint, prio bigint, row bigint, cand array<{o}>")
+    asked = spark.createDataFrame([(0, "c", 0, [6, 2]), (1, "c", 0, [5, 1])],
+                                  "variant int, component string, bucket bigint, "
+                                  "starts array<bigint>")
+    least = {r.m: r.least for r in greedy._too_long(state, asked).collect()}
+    assert least == {0: 7, 1: 9}
+    picks = greedy._in_buckets(state, asked, greedy._chosen, greedy._PICK).collect()
+    assert sorted((r.variant, r.row, r["at"]) for r in picks) == [(0, 10, 0), (1, 10, 0)]
+    none = spark.createDataFrame([(0, "c", 0, [1, 1])], asked.schema)
+    assert greedy._in_buckets(state, none, greedy._chosen, greedy._PICK).count() == 0
