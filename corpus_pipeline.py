@@ -15,13 +15,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrun.llm import minhash, packing, quality, rules, suffix
-from millrun.llm.arrow import share_package
+from millrun.llm.arrow import share_package, small_batches
 from millrun.session import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the top grade (good, not toxic) is a half or more."""
     share_package(spark)
+    small_batches(spark)
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_top(docs, ratings)
 
@@ -29,24 +30,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base counts and are near their language's reference."""
     share_package(spark)
+    small_batches(spark)
     return rules.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 on five-word shingles."""
     share_package(spark)
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has."""
     share_package(spark)
+    small_batches(spark)
     return suffix.cut_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
     share_package(spark)
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"),
                         public_tokenizers.PATTERN)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WHITESPACE = b" \t\n\r\x0b\x0c"  # what bytes.split() splits on: x20 and x09-x0D
 
@@ -24,7 +25,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
     row above the bound makes a run of its own.
     """
     for batch in batches:
-        sizes = [len(v) if v else 0 for v in byte_values(batch.column(column))]
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if i > start and (total + size > max_bytes or i - start >= max_rows):
@@ -35,6 +36,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             yield batch.slice(start, len(sizes) - start)
 
 
+def stored(batches: list[pa.RecordBatch]) -> bytes:
+    """The batches as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    option = pa.ipc.IpcWriteOptions(compression="zstd")
+    with pa.ipc.new_stream(sink, batches[0].schema, options=option) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def restored(body: bytes) -> pa.Table:
+    """The rows of a stream that :func:`stored` made, each column in one piece."""
+    return pa.ipc.open_stream(body).read_all().combine_chunks()
+
+
+def small_batches(spark, rows: int = 1000) -> None:
+    """Let Spark send texts to Python workers ``rows`` at a time at most.
+
+    Its usual 10,000 rows of long texts take some ten megabytes several times over in each
+    task: twice where the JVM fills a batch, once in the worker, and what is made from it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def share_package(spark) -> None:
     """Let Python workers import this package from where the driver has it.
 

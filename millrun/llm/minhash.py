@@ -26,18 +26,23 @@ ids are one node; equal texts are linked. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrun.llm.arrow import byte_values, slices
+from millrun.llm.arrow import byte_values, restored, slices, stored
 from millrun.llm.components import connected
 from millrun.session import Scratch
 
+BLOCK_BYTES = 4 << 20  # of text in a block of stored rows
+BLOCK_BITS, ROW_BITS = 24, 16  # blocks of a task and rows of a block have numbers of so many bits
+_SIGNED = "id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,19 +117,23 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, bands: int,
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in slices(batches, "text", max_bytes=4 << 20):
-            sets = [shingles(t, size) for t in byte_values(batch.column("text"))]
-            full = [s for s in sets if len(s)]
-            keys = iter(band_keys(sketches(full, bands * rows), bands, rows).tolist())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                         pa.binary()),
-                pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-            ], ["id", "n_shingles", "set_key", "bands"])
+            yield _signed(batch, size, bands, rows)
 
-    return src.mapInArrow(
-        run, "id bigint, n_shingles bigint, set_key binary, bands array<bigint>")
+    return src.mapInArrow(run, _SIGNED)
+
+
+def _signed(batch: pa.RecordBatch, size: int, bands: int, rows: int) -> pa.RecordBatch:
+    """The signatures of a batch of (id, text)."""
+    sets = [shingles(t, size) for t in byte_values(batch.column("text"))]
+    full = [s for s in sets if len(s)]
+    keys = iter(band_keys(sketches(full, bands * rows), bands, rows).tolist())
+    return pa.RecordBatch.from_arrays([
+        batch.column("id"),
+        pa.array([len(s) for s in sets], pa.int64()),
+        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                 pa.binary()),
+        pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+    ], ["id", "n_shingles", "set_key", "bands"])
 
 
 class _Sets:
@@ -310,6 +319,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = scratch or Scratch(df.sparkSession, "neardup")
     signed = scratch.write(signatures(df, id_col, text_col, size, bands, rows), "signatures")
+    return _grouped(signed, lambda nodes: _texts_of(df, id_col, text_col, nodes), size, percent,
+                    block, scratch).withColumnRenamed("id", id_col)
+
+
+def _grouped(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], size: int,
+             percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of the written ``signed``.
+
+    ``texts_of`` gives the (node, text) of a table of nodes.
+    """
     usable = signed.where("set_key is not null and id is not null")
     nodes = scratch.write(
         usable.groupBy("set_key").agg(F.min("id").alias("node"),
@@ -328,7 +347,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.sum(F.when(F.col("n") > block, 1)).alias("large")).first()
     component = clusters.select("node", F.col("node").alias("component")).limit(0)
     if totals["small"] or totals["large"]:
-        texts = scratch.write(_texts_of(df, id_col, text_col, clusters), "texts")
+        texts = scratch.write(texts_of(clusters), "texts")
     if totals["small"]:  # a cluster is compared whole, so its stars are components
         units = totals["small"] // (block // 2) + 1
         small = sized.where(F.col("n") <= block).select(
@@ -345,26 +364,114 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("set_key", F.coalesce("component", "node").alias("component")), "labelled")
     label = F.coalesce("component", "id")
     return (signed.select("id", "n_shingles", "set_key").join(labelled, "set_key", "left")
-            .select(F.col("id").alias(id_col), "n_shingles", label.alias("component_id"),
+            .select("id", "n_shingles", label.alias("component_id"),
                     F.col("id").eqNullSafe(label).alias("kept")))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             **parameters) -> DataFrame:
+def _stored_rows(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(block, ids, body): the rows in compressed blocks, written once.
+
+    Row ``i`` of a block has the number ``block << ROW_BITS | i``; numbers rise with the
+    partitions and along each.
+    """
+    n_bytes = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0))
+    src = df.select("*", F.col(id_col).alias("__id"), n_bytes.alias("__bytes"))
+    kind = src.schema["__id"].dataType.simpleString()
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << BLOCK_BITS
+        kept, size, n_rows = [], 0, 0
+
+        def row():
+            ids = pa.concat_arrays([b.column("__id") for b in kept])
+            body = stored([b.drop_columns(["__id", "__bytes"]) for b in kept])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids),
+                 pa.array([body], pa.binary())], ["block", "ids", "body"])
+
+        for batch in batches:
+            start = 0
+            for i, more in enumerate(batch.column("__bytes").to_pylist()):
+                if n_rows and (size + more > BLOCK_BYTES or n_rows >> ROW_BITS):
+                    if i > start:
+                        kept.append(batch.slice(start, i - start))
+                    yield row()
+                    number, kept, size, n_rows, start = number + 1, [], 0, 0, i
+                size, n_rows = size + more, n_rows + 1
+            if batch.num_rows > start:
+                kept.append(batch.slice(start))
+        if kept:
+            yield row()
+
+    return scratch.write(src.mapInArrow(
+        run, f"block bigint, ids array<{kind}>, body binary"), "blocks")
+
+
+def _rows_of(blocks: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(block, body, chosen): the blocks with some of ``numbers`` (``__row``), and which.
+
+    Both sides grow with the documents, so neither is to be broadcast.
+    """
+    chosen = numbers.groupBy(F.shiftright("__row", ROW_BITS).alias("block")).agg(
+        F.collect_list("__row").alias("chosen"))
+    return blocks.select("block", "body").join(chosen.hint("merge"), "block")
+
+
+def _restored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Table]]:
+    """Numbers and rows of each stored block: the chosen ones where that column is."""
+    for batch in batches:
+        chosen = batch.column("chosen") if "chosen" in batch.schema.names else None
+        for k in range(batch.num_rows):
+            first = batch.column("block")[k].as_py() << ROW_BITS
+            table = restored(batch.column("body")[k].as_py())
+            at = np.arange(table.num_rows) if chosen is None else np.sort(
+                chosen[k].values.to_numpy()) - first
+            if chosen is not None:
+                table = table.take(pa.array(at))
+            yield pa.array(first + at, pa.int64()), table.combine_chunks()
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+             percent: int = 80, bands: int = 56, rows: int = 7, block: int = 256) -> DataFrame:
     """One row of ``df`` of each group, the one with the least id, all columns as they were.
 
-    Rows are numbered in a written table and linked by that number, so rows that share an id
+    Rows are numbered in written blocks and linked by that number, so rows that share an id
     or have none are rows of their own: of exact copies one stays, texts that aren't alike
-    all stay. A row without id comes after those with one.
+    all stay. A row without id comes after those with one. Only compressed blocks are
+    exchanged to get at the texts of some rows.
     """
     spark = df.sparkSession
     own, work = Scratch(spark, "kept"), Scratch(spark, "neardup")
-    rows = own.write(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows, "__row", text_col, scratch=work, **parameters).select(
-        "__row", "component_id")
-    ids = rows.select("__row", F.col(id_col).alias("__id"))
+    blocks = _stored_rows(df, id_col, text_col, own)
+    text_at = df.columns.index(text_col)
+
+    def texts(table: pa.Table) -> pa.Array:
+        return table.column(text_at).combine_chunks().cast(pa.string())
+
+    def sign(batches):
+        for numbers, table in _restored(batches):
+            part = pa.RecordBatch.from_arrays([numbers, texts(table)], ["id", "text"])
+            for some in slices([part], "text", max_bytes=BLOCK_BYTES):
+                yield _signed(some, size, bands, rows)
+
+    def pick(batches):
+        for numbers, table in _restored(batches):
+            yield pa.RecordBatch.from_arrays([numbers, texts(table)], ["node", "text"])
+
+    def whole(batches):
+        for _, table in _restored(batches):
+            yield from table.to_batches()
+
+    signed = work.write(blocks.select("block", "body").mapInArrow(sign, _SIGNED), "signatures")
+    found = _grouped(
+        signed, lambda nodes: _rows_of(blocks, nodes.select(F.col("node").alias("__row")))
+        .mapInArrow(pick, "node bigint, text string"), size, percent, block, work)
+    ids = blocks.select("block", F.posexplode("ids").alias("at", "__id")).select(
+        (F.shiftleft("block", ROW_BITS) + F.col("at")).alias("__row"), "__id")
     first = F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__row"))
-    kept = own.write(found.join(ids, "__row").groupBy("component_id").agg(first.alias("f")).select(
-        F.col("f.__row").alias("__row")), "ids")
+    kept = own.write(
+        found.select(F.col("id").alias("__row"), "component_id").join(ids, "__row")
+        .groupBy("component_id").agg(first.alias("f")).select(F.col("f.__row").alias("__row")),
+        "ids")
     work.clear()
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    return _rows_of(blocks, kept).mapInArrow(whole, T.StructType(df.schema.fields))

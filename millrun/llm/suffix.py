@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrun.llm.arrow import byte_values, slices
+from millrun.llm.arrow import byte_values, restored, slices, stored
 from millrun.llm.minhash import mix
 from millrun.session import Scratch
 
@@ -282,7 +282,7 @@ class _Block:
     """The rows of one stored block."""
 
     def __init__(self, body: bytes, length: int):
-        self.rows = pa.ipc.open_stream(body).read_all().combine_chunks()
+        self.rows = restored(body)
         texts = byte_values(self.rows.column("__text").combine_chunks())
         raw = [t or b"" for t in texts]
         self.null = [t is None for t in texts]
@@ -439,16 +439,11 @@ def stored_blocks(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -
 
     def run(batches):
         first = TaskContext.get().partitionId() << 32
-        option = pa.ipc.IpcWriteOptions(compression="zstd")
 
         def row(number, kept, size):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, kept[0].schema, options=option) as writer:
-                for part in kept:
-                    writer.write_batch(part)
             return pa.RecordBatch.from_arrays(
                 [pa.array([first + number], pa.int64()), pa.array([size], pa.int64()),
-                 pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                 pa.array([stored(kept)], pa.binary())],
                 ["block", "n_bytes", "body"])
 
         number = size = 0

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs; sketches; large clusters; components."""
 
+import os
 import random
 
 import numpy as np
@@ -99,6 +100,29 @@ def test_keep_one_of_rows_that_share_or_lack_an_id(spark):
     assert kept == sorted(map(str, [(1, a), (1, b), (None, c), (3, d), (5, None), (5, "")]))
 
 
+def test_keep_one_exchanges_blocks_not_texts(spark, monkeypatch):
+    """Rows come from small blocks as they were; no text is exchanged or written by itself."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 3000)
+    rows = [(i % 90, prose(60, i % 70) if i % 11 else None, "en", str(i), i) for i in range(150)]
+    df = docs(spark, rows)
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(root))
+    kept = minhash.keep_one(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<block:bigint,body:binary>" in plan and "text:" not in plan, plan
+    folder, = (f"{root}/{f}" for f in set(os.listdir(root)) - before if "-kept-" in f)
+    assert {n for t in os.listdir(folder) for n in spark.read.parquet(f"{folder}/{t}").columns} == {
+        "block", "ids", "body", "__row"}
+    assert spark.read.parquet(f"{folder}/blocks").count() > 10
+    want = brute_force(list(enumerate(r[1] for r in rows)), 5, 80)
+    least = {}
+    for i, (_, c) in want.items():
+        least[c] = min(least.get(c, (999,)), (rows[i][0],))
+    got = [tuple(r) for r in kept.collect()]
+    assert set(got) <= set(rows) and len(got) == len(set(got)) == len(least)
+    assert sorted(r[0] for r in got) == sorted(i for i, in least.values())
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     assert minhash.keep_one(docs(spark, [])).count() == 0

@@ -1,5 +1,6 @@
 """Base counts against plain Python, distances against numpy."""
 
+import os
 import re
 from collections import Counter
 
@@ -186,3 +187,15 @@ def test_junk_doesnt_move_a_small_reference(spark):
     got = verdicts(spark, rows)
     assert {i for i, r in got.items() if not r["kept"]} == {100 + i for i in range(6)}
     assert max(r["class_distance"] for i, r in got.items() if i < 100) < 0.1
+
+
+def test_keep_good_leaves_no_copy_of_the_texts(spark):
+    """What stays on disk is the references, by language."""
+    rng = np.random.default_rng(6)
+    df = docs(spark, [(i, prose_in(rng, "en"), "en", "s", 1) for i in range(40)])
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(root))
+    kept = rules.keep_good(df)
+    folder, = (f for f in set(os.listdir(root)) - before if f.startswith("millrun-rules-"))
+    assert os.listdir(f"{root}/{folder}") == ["references"]
+    assert kept.count() == 40
