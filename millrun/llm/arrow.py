@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from millrun.session import share_package  # noqa: F401
+
 WHITESPACE = b" \t\n\r\x0b\x0c"  # what bytes.split() splits on: x20 and x09-x0D
 
 
@@ -60,16 +60,3 @@ def small_batches(spark, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
-
-
-def share_package(spark) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    Workers already find it when it is installed or sent with ``--py-files``; this
-    adds the driver's folder for sessions that share a file system with it.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
